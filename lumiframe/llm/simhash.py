@@ -209,22 +209,154 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return rows.join(classed.select("fp", "root").join(least, "root").select("fp", "component_id"), "fp").select("id", "fp", "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", radius: int = 2) -> DataFrame:
-    """The rows that stand for their near-duplicate group: those with the smallest id.
+# ---------------------------------------------------------------- copies of a stated similarity
+
+_SEEDS = np.random.default_rng(11).integers(1, 2**63, (12, 2), dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+class _WordHashes(dict):
+    LIMIT = 400_000
+
+    def __missing__(self, w: bytes) -> int:
+        self[w] = h = xxhash.xxh64_intdigest(w, 42)
+        return h
+
+
+def shingle_hashes(text: str | None, hashes: _WordHashes, words: int) -> np.ndarray:
+    """A 64-bit hash of each shingle, in order (fewer words: of the whole sequence)."""
+    w = (text or "").encode("utf-8", "replace").lower().split()
+    if not w:
+        return np.empty(0, np.uint64)
+    if len(hashes) > hashes.LIMIT:
+        hashes.clear()
+    h = np.fromiter(map(hashes.__getitem__, w), np.uint64, len(w))
+    n = max(1, len(h) - words + 1)
+    out = np.zeros(n, np.uint64)
+    for k in range(min(words, len(h))):
+        out = (out ^ h[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(32)
+    return out
+
+
+def sketch(shingles: np.ndarray) -> tuple[int, np.ndarray]:
+    """SimHash of all distinct shingles, and of twelve min-wise samples of three of them.
+
+    Two texts of Jaccard similarity 0.8 take the same sample with probability 0.51
+    each, and then agree in its fingerprint.
+    """
+    u = np.unique(shingles)
+    ones = np.unpackbits(u.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    whole = int.from_bytes(np.packbits(ones * 2 > len(u)).tobytes(), "big")
+    samples = np.zeros(len(_SEEDS), np.uint64)
+    for k, (a, b) in enumerate(_SEEDS):
+        x = (u ^ b) * a
+        x ^= x >> np.uint64(31)
+        own = u[np.argpartition(x, 2)[:3]] if len(u) > 3 else u
+        p, q, r = (own[min(i, len(own) - 1)] for i in range(3))
+        samples[k] = (p & q) | (q & r) | (p & r)  # the majority of three, bit by bit
+    return whole, samples
+
+
+def _sketches(docs: DataFrame, words: int) -> DataFrame:
+    """(id, d1, d2, n, fp, samples): digest of the text, number of shingles, fingerprints."""
+    fields = [T.StructField("d1", T.LongType()), T.StructField("d2", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("fp", T.LongType()), T.StructField("samples", T.ArrayType(T.LongType()))]
+
+    def make():
+        hashes = _WordHashes()
+
+        def run(texts: pa.Array) -> list[pa.Array]:
+            n, d, f, s = [], [], [], []
+            for t in texts.to_pylist():
+                raw = (t or "").encode("utf-8", "replace")
+                d.append(xxhash.xxh3_128_digest(raw))
+                h = shingle_hashes(t, hashes, words)
+                n.append(len(h))
+                whole, samples = sketch(h) if len(h) else (0, None)
+                f.append(whole)
+                s.append(None if samples is None else samples.view(np.int64))
+            d = np.frombuffer(b"".join(d), np.int64).reshape(-1, 2)
+            return [pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(n, pa.int32()), pa.array(np.array(f, np.uint64).view(np.int64)), pa.array(s, pa.list_(pa.int64()))]
+
+        return run
+
+    return append_columns(docs, "text", fields, make).select("id", *[f.name for f in fields])
+
+
+def _similar(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """``pairs`` (a, b) and ``ok``: whether the exact Jaccard similarity of their shingles reaches ``similarity``."""
+    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+
+    def run(batches):
+        hashes = _WordHashes()
+        for b in batches:
+            ok, last, left = [], None, None
+            for x, y in zip(b.column("ta").to_pylist(), b.column("tb").to_pylist()):
+                if x != last or left is None:
+                    last, left = x, np.unique(shingle_hashes(x, hashes, words))
+                right = np.unique(shingle_hashes(y, hashes, words))
+                common = len(np.intersect1d(left, right, assume_unique=True))
+                ok.append(common >= similarity * (len(left) + len(right) - common))
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
+
+    return both.mapInArrow(run, T.StructType([both.schema["a"], both.schema["b"], T.StructField("ok", T.BooleanType())]))
+
+
+def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, rounds: int = 4) -> DataFrame:
+    """``(id, component_id)``: groups of texts linked by shingle similarity, with equal texts.
+
+    At this similarity whole-text fingerprints differ in up to 18 bits, beyond any
+    radius that partitions of 64 bits can search.  Candidates therefore share the
+    fingerprint of a min-wise sample (equality), or are within two bits as whole
+    texts (the search of :func:`links`); all are verified exactly.  Texts of one
+    sample are compared with its smallest id; those that differ from it go on to
+    the next round among themselves, and after ``rounds`` in all pairs, so that a
+    group of thousands of copies costs as many comparisons as it has members.
+    Ids must be there and name one row each.
+    """
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    known = materialize(_sketches(rows, words), "sketches")
+    classes = known.groupBy("d1", "d2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("samples").alias("samples"))
+    classes = materialize(classes, "texts")
+    facts = classes.where("n > 0").select("id", "n", "fp")
+    whole = facts.groupBy("fp").agg(F.min("id").alias("low"))
+    near = links(whole.select("fp"))
+    pairs = facts.join(whole, "fp").select(F.col("low").alias("a"), F.col("id").alias("b"))
+    pairs = pairs.unionByName(near.join(whole.select(F.col("fp").alias("a"), F.col("low").alias("x")), "a").join(whole.select(F.col("fp").alias("b"), F.col("low").alias("y")), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+    left = classes.where("n > 0").select("id", F.posexplode("samples").alias("t", "s"))
+    found = None
+    for k in range(rounds + 1):
+        low = left.groupBy("t", "s").agg(F.min("id").alias("a"), F.count("*").alias("m")).where("m > 1").drop("m")
+        met = left.join(low, ["t", "s"])
+        met = materialize(met.select("t", "s", "a", F.col("id").alias("b")) if k < rounds else left.join(low, ["t", "s"]).select("t", "s", F.col("id").alias("a")).join(left, ["t", "s"]).select("t", "s", "a", F.col("id").alias("b")).where("a < b"), "met")
+        new = met.where("a <> b").select("a", "b")
+        new = (new.unionByName(pairs) if k == 0 else new).where("a <> b").distinct()
+        if k and new.isEmpty():
+            break
+        sized = new.join(facts.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("fp").alias("fa")), "a").join(facts.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("fp").alias("fb")), "b")
+        # shingle sets of that similarity are of about one size (repeats allowed for), and their fingerprints within 24 bits
+        likely = sized.where(F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= 24).select("a", "b")
+        checked = materialize(_similar(likely, rows, words, similarity), "checked")
+        good = checked.where("ok").select("a", "b")
+        found = good if found is None else found.unionByName(good)
+        if k == rounds:
+            break
+        left = met.where("a <> b").join(good, ["a", "b"], "left_anti").select(F.col("b").alias("id"), "t", "s")
+    roots = connected_components(found)
+    least = classes.join(roots, classes["id"] == roots["node"], "left").select("d1", "d2", F.coalesce("root", "id").alias("component_id"))
+    return known.select("id", "d1", "d2").join(least, ["d1", "d2"]).select("id", "component_id")
+
+
+def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates: that of the smallest id.
 
     Rows without an id cannot be told apart by it; they stay.  Of rows that repeat
-    an id (the same text or not) one stays.
+    an id one stays (the first by text).
     """
-    known = near_duplicates(docs.where(F.col(id_col).isNotNull()), id_col=id_col, text_col=text_col, radius=radius)
-    stay = known.where("id = component_id").select(F.col("id").alias(id_col)).distinct()
-    kept = docs.join(stay, id_col, "left_semi")
-    repeated = docs.groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1").select(id_col)
-    if repeated.where(F.col(id_col).isNotNull()).isEmpty():
-        once = kept
-    else:
-        tag = fresh(docs, "_n")
-        tagged = kept.withColumn(tag, F.monotonically_increasing_id())
-        tagged = materialize(tagged, "kept")
-        firsts = tagged.groupBy(id_col).agg(F.min(tag).alias(tag)).select(tag)
-        once = tagged.join(firsts, tag, "left_semi").drop(tag)
-    return once.unionByName(docs.where(F.col(id_col).isNull()))
+    named = docs.where(F.col(id_col).isNotNull())
+    if not named.groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        tag = fresh(docs, "_row")
+        named = materialize(named.withColumn(tag, F.monotonically_increasing_id()), "rows")
+        firsts = named.groupBy(id_col).agg(F.min_by(tag, F.struct(F.col(text_col), F.col(tag))).alias(tag)).select(tag)
+        named = materialize(named.join(firsts, tag, "left_semi").drop(tag), "rows")
+    stay = similar_groups(named, id_col=id_col, text_col=text_col, words=words, similarity=similarity).where("id = component_id").select(F.col("id").alias(id_col))
+    return named.join(stay, id_col, "left_semi").select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
