@@ -1 +1 @@
-
+"""DataFrame -> DataFrame operators over the canonical frames."""

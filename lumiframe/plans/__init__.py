@@ -1 +1 @@
-
+"""The collection API, and queries with their SQL."""

@@ -1,11 +1,473 @@
-"""Queries over the JPEG operators, and their SQL."""
+"""Queries over the operators, and the same in SQL.
+
+The tables hold no images, so canonical frames are derived from them: ``events``
+as a stuffed byte stream, ``embeddings`` as 8x8 blocks of coefficients, ``part``
+and ``customer`` as components, sizes and factors.  The operators are those that
+decode real images.  Each query reads its whole table.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import expr
+from ..operators import color, compare, destuff, huffman, lookups, reconstruct
+from ..sinks import jpeg, png
+from .api import RasterCollection
 
 FLAGSHIP = "q17_idct_block"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+# ---------------------------------------------------------------- bytes, from events
+
+
+def byte_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """A stuffed stream: FF is always followed by 00 or RSTn; a thousand bytes an image."""
+    e = _table(spark, sf, "events")
+    b = F.expr(
+        "CASE WHEN event_id % 7 = 3 THEN 255 WHEN event_id % 7 = 4 THEN (CASE WHEN event_id % 3 = 0 THEN 208 + (event_id div 7) % 8 ELSE 0 END) ELSE (event_id * 37 + user_id) % 255 END"
+    )
+    return e.select(F.expr("cast(event_id div 1000 as string)").alias("image_id"), F.lit(0).alias("scan_idx"), F.col("event_id").alias("pos"), b.cast("int").alias("b"))
+
+
+_BYTES = """
+b AS (SELECT CAST(event_id // 1000 AS VARCHAR) AS image_id, event_id AS pos,
+      CASE WHEN event_id % 7 = 3 THEN 255 WHEN event_id % 7 = 4 THEN (CASE WHEN event_id % 3 = 0 THEN 208 + (event_id // 7) % 8 ELSE 0 END) ELSE (event_id * 37 + user_id) % 255 END AS b FROM events),
+f AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY image_id ORDER BY pos), -1) AS p FROM b),
+g AS (SELECT image_id, pos, b, (p = 255 AND b = 0) OR (p <> 255 AND b <> 255) AS is_data, CASE WHEN p = 255 THEN 255 ELSE b END AS value, p = 255 AND b BETWEEN 208 AND 215 AS is_restart FROM f),
+r AS (SELECT image_id, pos FROM g WHERE is_restart),
+s AS (SELECT g.*, (SELECT count(*) FROM r WHERE r.image_id = g.image_id AND r.pos < g.pos) AS segment_idx FROM g),
+d AS (SELECT image_id, segment_idx, pos, value, row_number() OVER (PARTITION BY image_id, segment_idx ORDER BY pos) - 1 AS o FROM s WHERE is_data),
+n AS (SELECT image_id, segment_idx, count(*) FILTER (is_data) AS num_bytes FROM s GROUP BY ALL),
+c AS (SELECT *, (num_bytes + 127) // 128 AS subseq_count FROM n),
+t AS (SELECT c.*, coalesce((SELECT sum(c2.subseq_count) FROM c c2 WHERE c2.image_id = c.image_id AND c2.segment_idx < c.segment_idx), 0) AS subseq_offset FROM c)
+"""
+
+
+def _placed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    indexed = destuff.segment_index(destuff.byte_flags(byte_stream(spark, sf)))
+    return destuff.destuff_offset(indexed), destuff.segments(indexed)
+
+
+@query("q01_byte_flags", f"WITH {_BYTES} SELECT image_id, pos, is_data, CAST(value AS INTEGER) AS value, is_restart FROM g")
+def q01(spark, sf):
+    return destuff.byte_flags(byte_stream(spark, sf)).select("image_id", "pos", "is_data", "value", "is_restart")
+
+
+@query("q02_segment_index", f"WITH {_BYTES} SELECT image_id, pos, CAST(segment_idx AS INTEGER) AS segment_idx FROM s")
+def q02(spark, sf):
+    return destuff.segment_index(destuff.byte_flags(byte_stream(spark, sf))).select("image_id", "pos", "segment_idx")
+
+
+@query(
+    "q03_destuff_offset",
+    f"WITH {_BYTES} SELECT s.image_id, s.pos, CAST((SELECT count(*) FROM d WHERE d.image_id = s.image_id AND d.segment_idx = s.segment_idx AND d.pos < s.pos) AS BIGINT) AS \"offset\" FROM s",
+)
+def q03(spark, sf):
+    return _placed(spark, sf)[0].select("image_id", "pos", "offset")
+
+
+@query("q04_segments", f"WITH {_BYTES} SELECT image_id, CAST(segment_idx AS INTEGER) AS segment_idx, num_bytes, CAST(subseq_count AS BIGINT) AS subseq_count, CAST(subseq_offset AS BIGINT) AS subseq_offset FROM t")
+def q04(spark, sf):
+    return _placed(spark, sf)[1].select("image_id", "segment_idx", "num_bytes", "subseq_count", "subseq_offset")
+
+
+@query("q05_subsequence_map", f"WITH {_BYTES} SELECT image_id, CAST(subseq_offset + k AS BIGINT) AS subseq_idx, CAST(segment_idx AS INTEGER) AS segment_idx FROM (SELECT *, unnest(range(subseq_count)) AS k FROM t)")
+def q05(spark, sf):
+    return destuff.subsequence_map(destuff.destuffed_bytes(*_placed(spark, sf))).select("image_id", "subseq_idx", "segment_idx")
+
+
+@query("q06_destuffed_bytes", f"WITH {_BYTES} SELECT d.image_id, CAST(d.segment_idx AS INTEGER) AS segment_idx, CAST(subseq_offset * 128 + o AS BIGINT) AS dest, CAST(value AS INTEGER) AS b FROM d JOIN t ON d.image_id = t.image_id AND d.segment_idx = t.segment_idx")
+def q06(spark, sf):
+    return destuff.destuffed_bytes(*_placed(spark, sf)).select("image_id", "segment_idx", "dest", "b")
+
+
+@query("q32_padded_segments", f"WITH {_BYTES} SELECT d.image_id, CAST(d.segment_idx AS INTEGER) AS segment_idx, CAST(subseq_count * 128 AS INTEGER) AS size, upper(string_agg(printf('%02x', CAST(value AS INTEGER)), '' ORDER BY o)) || repeat('00', CAST(subseq_count * 128 - count(*) AS INTEGER)) AS bytes FROM d JOIN t ON d.image_id = t.image_id AND d.segment_idx = t.segment_idx GROUP BY d.image_id, d.segment_idx, subseq_count")
+def q32(spark, sf):
+    return destuff.padded_segments(destuff.destuffed_bytes(*_placed(spark, sf))).select("image_id", "segment_idx", F.length("data").alias("size"), F.hex("data").alias("bytes"))
+
+
+@query(
+    "q07_marker_names",
+    """WITH e AS (SELECT 192 + event_id % 64 AS code FROM events),
+    n AS (SELECT code, CASE
+      WHEN code BETWEEN 208 AND 215 THEN 'Restart with modulo 8 count ' || (code - 208) WHEN code BETWEEN 224 AND 239 THEN 'Application segment ' || (code - 224)
+      WHEN code BETWEEN 240 AND 253 THEN 'JPEG extension ' || (code - 240) WHEN code = 254 THEN 'Comment' WHEN code = 192 THEN 'Baseline DCT' WHEN code IN (193, 201) THEN 'Extended sequential DCT'
+      WHEN code IN (194, 202) THEN 'Progressive DCT' WHEN code IN (195, 203) THEN 'Lossless (sequential)' WHEN code = 196 THEN 'Define Huffman table(s)' WHEN code IN (197, 205) THEN 'Differential sequential DCT'
+      WHEN code IN (198, 206) THEN 'Differential progressive DCT' WHEN code IN (199, 207) THEN 'Differential lossless (sequential)' WHEN code = 200 THEN 'Reserved for JPEG extensions'
+      WHEN code = 204 THEN 'Define arithmetic coding conditioning(s)' WHEN code = 216 THEN 'Start of image' WHEN code = 217 THEN 'End of image' WHEN code = 218 THEN 'Start of scan'
+      WHEN code = 219 THEN 'Define quantization table(s)' WHEN code = 220 THEN 'Define number of lines' WHEN code = 221 THEN 'Define restart interval' WHEN code = 222 THEN 'Define hierarchical progression'
+      WHEN code = 223 THEN 'Expand reference component(s)' ELSE 'unknown marker' END AS name FROM e)
+    SELECT CAST(code AS INTEGER) AS code, name, count(*) AS n FROM n GROUP BY ALL""",
+)
+def q07(spark, sf):
+    codes = _table(spark, sf, "events").select((192 + F.col("event_id") % 64).cast("int").alias("code")).groupBy("code").agg(F.count("*").alias("n"))
+    return lookups.marker_names(codes).select("code", "name", "n")
+
+
+@query(
+    "q08_extend",
+    """WITH e AS (SELECT event_id, event_id % 12 AS n, event_id * 31 % (1 << (event_id % 12)::INTEGER) AS code FROM events)
+    SELECT event_id, CASE WHEN n = 0 THEN 0 WHEN code >= (1 << (n - 1)::INTEGER) THEN code ELSE code - (1 << n::INTEGER) + 1 END::BIGINT AS v FROM e""",
+)
+def q08(spark, sf):
+    e = _table(spark, sf, "events").select("event_id", (F.col("event_id") % 12).alias("n"))
+    code = F.col("event_id") * 31 % F.pow(F.lit(2), F.col("n")).cast("bigint")
+    return e.select("event_id", expr.extend(code, F.col("n")).alias("v"))
+
+
+@query(
+    "q09_canonical_codes",
+    """WITH c(len, n) AS (VALUES (2, 1), (3, 5), (4, 1), (5, 1), (6, 1), (7, 1), (8, 1), (9, 1)),
+    s AS (SELECT len, row_number() OVER (ORDER BY len, k) - 1 AS i FROM (SELECT len, unnest(range(n)) AS k FROM c)),
+    k AS (SELECT len, i, coalesce(sum(1 << (16 - len)) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s)
+    SELECT n_nationkey, len, CAST(before // (1 << (16 - len)) AS INTEGER) AS code, CAST((i + n_nationkey) % 12 AS INTEGER) AS val FROM k, nation""",
+)
+def q09(spark, sf):
+    counts = F.array(*[F.lit(n) for n in (0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0)])
+    t = _table(spark, sf, "nation").select("n_nationkey", counts.alias("counts"), F.transform(F.sequence(F.lit(0), F.lit(11)), lambda i: (i + F.col("n_nationkey")) % 12).alias("huffval"))
+    return huffman.canonical_codes(t)
+
+
+@query(
+    "q27_symbol_offsets",
+    """SELECT event_id, CAST(coalesce((sum(user_id % 97) OVER (PARTITION BY event_id // 50 ORDER BY event_id)) - user_id % 97, 0) AS BIGINT) AS position FROM events""",
+)
+def q27(spark, sf):
+    e = _table(spark, sf, "events").selectExpr("cast(event_id div 1000 as string) as image_id", "0 as scan_idx", "event_id div 50 as segment_idx", "event_id as subseq", "user_id % 97 as n")
+    return destuff.symbol_offsets(e).select(F.col("subseq").alias("event_id"), "position")
+
+
+# ---------------------------------------------------------------- blocks, from embeddings
+
+
+def blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """Each vector as a block of 64 coefficients (a power of two scales it exactly)."""
+    e = _table(spark, sf, "embeddings")
+    coef = F.transform("embedding", lambda x: F.floor(x.cast("double") * 1024).cast("bigint"))
+    return e.select("vec_id", "label", F.expr("vec_id % 16").alias("block_x"), F.expr("vec_id div 16").alias("block_y"), coef.alias("coef"))
+
+
+def tables(spark: SparkSession, sf: str) -> DataFrame:
+    """A quantisation table for each label."""
+    labels = _table(spark, sf, "embeddings").select("label").distinct()
+    return labels.select("label", F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: (1 + (F.col("label") * 7 + i) % 31).cast("smallint")).alias("q"))
+
+
+_COEF = "u AS (SELECT vec_id, label, unnest(range(64)) AS i, CAST(floor(unnest(embedding)::DOUBLE * 1024) AS BIGINT) AS c FROM embeddings)"
+_WRAP = "(((({0}) + 32768) & 65535) - 32768)"
+
+
+def _pass(source: str, group: str, along: str, other: str) -> str:
+    """CTEs of one 1-D pass in SQL: pivot eight values, transform, and unpivot."""
+    pivot = ", ".join(f"max(CASE WHEN {along} = {k} THEN v END) AS v{k}" for k in range(8))
+    outs = ["p0 + p1 + o0", "m0 + m1 + o1", "m0 - m1 + o2", "p0 - p1 + o3", "p0 - p1 - o3", "m0 - m1 - o2", "m0 + m1 - o1", "p0 + p1 - o0"]
+    rows = " UNION ALL ".join(f"SELECT {group}, {other}, {k} AS {along}, " + _WRAP.format(f"({o} + 32768) >> 16") + " AS v FROM odd" for k, o in enumerate(outs))
+    return f"""(WITH piv AS (SELECT {group}, {other}, {pivot} FROM {source} GROUP BY {group}, {other}),
+      mid AS (SELECT *, (v0 + v4) * 23170 AS p0, v2 * 30274 + v6 * 12540 AS p1, (v0 - v4) * 23170 AS m0, v2 * 12540 - v6 * 30274 AS m1,
+              ((v3 + v5) * 23170 + 4096) >> 13 AS a, ((v3 - v5) * 23170 + 4096) >> 13 AS b FROM piv),
+      odd AS (SELECT *, (v1 * 4 + a) * 8035 + (v7 * 4 + b) * 1598 AS o0, (v1 * 4 - a) * 6811 - (v7 * 4 - b) * 4551 AS o1,
+              (v1 * 4 - a) * 4551 + (v7 * 4 - b) * 6811 AS o2, (v1 * 4 + a) * 1598 - (v7 * 4 + b) * 8035 AS o3 FROM mid)
+      {rows})"""
+
+
+_DEQ = f"{_COEF}, x AS (SELECT vec_id, label, i // 8 AS r, i % 8 AS k, {_WRAP.format('c * (1 + (label * 7 + i) % 31)')} AS v FROM u)"
+_PIXELS = f"{_DEQ}, y AS {_pass('x', 'vec_id', 'r', 'k')}, z AS {_pass('y', 'vec_id', 'k', 'r')}, px AS (SELECT vec_id, r, k, greatest(0, least(255, {_WRAP.format('v + 128')})) AS px FROM z)"
+_PX_SQL = f"WITH {_PIXELS} SELECT vec_id, CAST(sum(px) AS BIGINT) AS px_sum, CAST(min(px) AS BIGINT) AS px_min, CAST(max(px) AS BIGINT) AS px_max, CAST(sum(px * (r * 8 + k + 1)) AS BIGINT) AS px_check FROM px GROUP BY vec_id"
+
+
+def _px_stats(px: DataFrame) -> DataFrame:
+    total = F.aggregate("px", F.lit(0).cast("bigint"), lambda a, v: a + v)
+    check = F.aggregate(F.transform("px", lambda v, i: v * (i + 1)), F.lit(0).cast("bigint"), lambda a, v: a + v)
+    return px.select("vec_id", total.alias("px_sum"), F.array_min("px").cast("bigint").alias("px_min"), F.array_max("px").cast("bigint").alias("px_max"), check.alias("px_check"))
+
+
+@query("q10_zigzag_to_natural", f"""WITH {_COEF}, p AS (SELECT r, c, r + c AS d FROM range(8) a(r), range(8) b(c)),
+    z AS (SELECT r * 8 + c AS i, CASE WHEN d < 8 THEN d * (d + 1) // 2 ELSE 64 - (15 - d) * (16 - d) // 2 END + CASE WHEN d % 2 = 0 THEN c ELSE r END - greatest(0, d - 7) AS zz FROM p)
+    SELECT vec_id, CAST(z.i AS INTEGER) AS i, c AS v FROM u JOIN z ON u.i = z.zz""")
+def q10(spark, sf):
+    return blocks(spark, sf).select("vec_id", F.posexplode(expr.zigzag_to_natural("coef")).alias("i", "v"))
+
+
+_DC = f"{_COEF}, e AS (SELECT vec_id, label, vec_id % 3 AS component_idx, vec_id // 3 AS unit, c * 200 AS dc FROM u WHERE i = 0)"
+
+
+def _dc_units(spark, sf):
+    return blocks(spark, sf).selectExpr("cast(label as string) as image_id", "cast(vec_id % 3 as int) as component_idx", "vec_id div 3 as unit", "coef[0] * 200 as dc", "vec_id")
+
+
+@query("q11_dc_integrate", f"WITH {_DC} SELECT vec_id, CAST({_WRAP.format('CAST(sum(dc) OVER (PARTITION BY label, component_idx, unit // 24 ORDER BY unit) AS BIGINT)')} AS BIGINT) AS dc FROM e")
+def q11(spark, sf):
+    return reconstruct.dc_integrate(_dc_units(spark, sf), 24).select("vec_id", "dc")
+
+
+@query("q12_dc_no_restart", f"WITH {_DC} SELECT vec_id, CAST({_WRAP.format('CAST(sum(dc) OVER (PARTITION BY label, component_idx ORDER BY unit) AS BIGINT)')} AS BIGINT) AS dc FROM e")
+def q12(spark, sf):
+    return reconstruct.dc_integrate(_dc_units(spark, sf)).select("vec_id", "dc")
+
+
+@query(
+    "q13_unit_address",
+    "SELECT event_id, CAST((event_id // (1 + event_id % 4)) * 6 + event_id % 2 + event_id % (1 + event_id % 4) AS BIGINT) AS address FROM events",
+)
+def q13(spark, sf):
+    e = _table(spark, sf, "events").selectExpr("event_id", "event_id as i", "1 + event_id % 4 as units_of_component", "6 as units_in_mcu", "event_id % 2 as first_in_mcu")
+    return reconstruct.unit_address(e).select("event_id", "address")
+
+
+_LAYOUTS = [("0", 1, 1), ("1", 2, 1), ("2", 2, 2), ("3", 4, 1)]
+
+
+@query(
+    "q14_deinterleave",
+    """WITH l(image_id, sx, sy) AS (VALUES ('0', 1, 1), ('1', 2, 1), ('2', 2, 2), ('3', 4, 1)),
+    e AS (SELECT event_id, l.*, event_id // 4 AS unit, sx * sy + 2 AS n FROM events JOIN l ON l.image_id = CAST(event_id % 4 AS VARCHAR)),
+    k AS (SELECT *, unit // n AS mcu, unit % n AS k FROM e)
+    SELECT event_id, CAST(greatest(0, k - sx * sy + 1) AS INTEGER) AS component_idx,
+      CAST(CASE WHEN k < sx * sy THEN (mcu // 5) * sy + k // sx ELSE mcu // 5 END AS BIGINT) AS block_y,
+      CAST(CASE WHEN k < sx * sy THEN (mcu % 5) * sx + k % sx ELSE mcu % 5 END AS BIGINT) AS block_x FROM k""",
+)
+def q14(spark, sf):
+    rows = [(i, 0, c, c, x if c == 0 else 1, y if c == 0 else 1) for i, x, y in _LAYOUTS for c in range(3)]
+    parts = spark.createDataFrame(rows, "image_id string, scan_idx int, sc int, component_idx int, ss_x int, ss_y int")
+    scans = spark.createDataFrame([(i, 0, 5, x * y + 2) for i, x, y in _LAYOUTS], "image_id string, scan_idx int, num_mcus_x int, units_in_mcu int")
+    units = _table(spark, sf, "events").selectExpr("cast(event_id % 4 as string) as image_id", "0 as scan_idx", "event_id div 4 as unit", "event_id")
+    # both sides are the layouts of four images: known to be small
+    return reconstruct.deinterleave(units, F.broadcast(reconstruct.mcu_layout(parts)), F.broadcast(scans)).select("event_id", "component_idx", "block_y", "block_x")
+
+
+@query("q15_dequantize", f"WITH {_DEQ} SELECT vec_id, CAST(r * 8 + k AS INTEGER) AS i, CAST(v AS BIGINT) AS v FROM x")
+def q15(spark, sf):
+    return reconstruct.dequantize(blocks(spark, sf), tables(spark, sf), ["label"]).select("vec_id", F.posexplode("coef").alias("i", "v"))
+
+
+@query("q16_idct_1d", f"WITH {_COEF}, x AS (SELECT vec_id, i AS k, 0 AS r, c AS v FROM u WHERE i < 8), y AS {_pass('x', 'vec_id', 'k', 'r')} SELECT vec_id, CAST(k AS INTEGER) AS i, CAST(v AS BIGINT) AS v FROM y")
+def q16(spark, sf):
+    return blocks(spark, sf).select("vec_id", F.posexplode(expr.idct_1d("slice(coef, 1, 8)")).alias("i", "v"))
+
+
+@query("q17_idct_block", _PX_SQL)
+def q17(spark, sf):
+    return _px_stats(reconstruct.idct(reconstruct.dequantize(blocks(spark, sf), tables(spark, sf), ["label"])))
+
+
+@query(
+    "q18_crop",
+    "SELECT event_id, event_id % 64 AS x, (event_id // 64) % 64 AS y FROM events WHERE event_id % 64 < 1 + user_id % 60 AND (event_id // 64) % 64 < 37",
+)
+def q18(spark, sf):
+    e = _table(spark, sf, "events").selectExpr("event_id", "event_id % 64 as x", "(event_id div 64) % 64 as y", "1 + user_id % 60 as width", "37 as height")
+    return reconstruct.crop(e).select("event_id", "x", "y")
+
+
+# ---------------------------------------------------------------- geometry, from part
+
+
+def part_components(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Components (three an image) and frames."""
+    p = _table(spark, sf, "part").selectExpr(
+        "cast(p_partkey div 3 as string) as image_id", "cast(p_partkey % 3 as int) as component_idx", "cast(1 + p_partkey % 4 as int) as ss_x", "cast(1 + (p_partkey div 4) % 4 as int) as ss_y",
+        "p_partkey div 3 as g", "p_partkey",
+    )
+    frames = p.groupBy("image_id").agg(F.max("g").alias("g")).selectExpr("image_id", "100 + g % 900 as width", "50 + g * 3 % 777 as height")
+    return p.join(frames, "image_id"), frames
+
+
+_PART = """c AS (SELECT CAST(p_partkey // 3 AS VARCHAR) AS image_id, CAST(p_partkey % 3 AS INTEGER) AS component_idx, 1 + p_partkey % 4 AS sx, 1 + (p_partkey // 4) % 4 AS sy, p_partkey // 3 AS g FROM part),
+f AS (SELECT image_id, max(sx) AS mx, max(sy) AS my, sum(sx * sy) AS u, count(*) AS n, 100 + max(g) % 900 AS w, 50 + max(g) * 3 % 777 AS h FROM c GROUP BY image_id)"""
+
+
+@query("q19_component_size", f"WITH {_PART} SELECT c.image_id, component_idx, CAST((w * sx + mx - 1) // mx AS BIGINT) AS width, CAST((h * sy + my - 1) // my AS BIGINT) AS height FROM c JOIN f USING (image_id)")
+def q19(spark, sf):
+    parts, frames = part_components(spark, sf)
+    return lookups.component_sizes(parts.select("image_id", "component_idx", "ss_x", "ss_y"), frames).select("image_id", "component_idx", "width", "height")
+
+
+@query("q20_mcu_geometry", f"WITH {_PART} SELECT image_id, CAST(ceil(w / (8.0 * CASE WHEN n = 1 THEN 1 ELSE mx END)) AS BIGINT) AS num_mcus_x, CAST(ceil(h / (8.0 * CASE WHEN n = 1 THEN 1 ELSE my END)) AS BIGINT) AS num_mcus_y, CAST(CASE WHEN n = 1 THEN 1 ELSE u END AS BIGINT) AS units_in_mcu FROM f")
+def q20(spark, sf):
+    return lookups.mcu_geometry(*part_components(spark, sf))
+
+
+@query("q26_missing_components", f"WITH {_PART} SELECT image_id, component_idx FROM c WHERE NOT EXISTS (SELECT 1 FROM c s WHERE s.image_id = c.image_id AND s.component_idx = c.component_idx AND (s.g * 3 + s.component_idx) % 5 <> 0)")
+def q26(spark, sf):
+    parts, _ = part_components(spark, sf)
+    return lookups.missing_components(parts, parts.where("p_partkey % 5 <> 0")).select("image_id", "component_idx")
+
+
+@query(
+    "q24_structure_diff",
+    f"WITH {_PART}, k AS (SELECT g * 3 + component_idx AS p, c.* FROM c), a AS (SELECT * FROM k WHERE p % 11 <> 0), b AS (SELECT image_id, component_idx, CASE WHEN p % 13 = 0 THEN sx + 1 ELSE sx END AS sx, sy FROM k WHERE p % 17 <> 0) "
+    "SELECT coalesce(a.image_id, b.image_id) AS image_id, coalesce(a.component_idx, b.component_idx) AS component_idx, CAST(a.sx AS INTEGER) AS a_ss_x, CAST(b.sx AS INTEGER) AS b_ss_x FROM a FULL JOIN b ON a.image_id = b.image_id AND a.component_idx = b.component_idx WHERE a.sx IS DISTINCT FROM b.sx OR a.sy IS DISTINCT FROM b.sy",
+)
+def q24(spark, sf):
+    parts, _ = part_components(spark, sf)
+    a = parts.where("p_partkey % 11 <> 0")
+    b = parts.where("p_partkey % 17 <> 0").withColumn("ss_x", F.when(F.col("p_partkey") % 13 == 0, F.col("ss_x") + 1).otherwise(F.col("ss_x")))
+    return compare.structure_diff(a, b).select("image_id", "component_idx", F.col("a.ss_x").alias("a_ss_x"), F.col("b.ss_x").alias("b_ss_x"))
+
+
+def _customer_info(spark, sf):
+    one = lambda k: F.expr(f"cast(if(c_custkey % {k} = 0, 2, 1) as int)")
+    return _table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("image_id"), F.array(one(7), one(11), F.lit(1), F.lit(1)).alias("ss_x"), F.array(one(5), F.lit(1), F.lit(1), one(2)).alias("ss_y"), F.expr("cast(c_custkey % 6 as int)").alias("num_components"))
+
+
+@query(
+    "q21_css_444",
+    """SELECT CAST(c_custkey AS VARCHAR) AS image_id, n BETWEEN 1 AND 4 AND c_custkey % 7 <> 0 AND c_custkey % 5 <> 0 AND (n < 2 OR c_custkey % 11 <> 0) AND (n < 4 OR c_custkey % 2 <> 0) AS is_444
+    FROM (SELECT c_custkey, c_custkey % 6 AS n FROM customer)""",
+)
+def q21(spark, sf):
+    return lookups.with_is_444(_customer_info(spark, sf)).select("image_id", "is_444")
+
+
+@query("q33_same_subsampling", "SELECT CAST(c_custkey AS VARCHAR) AS image_id, c_custkey % 7 <> 0 AND c_custkey % 11 <> 0 AND c_custkey % 5 <> 0 AND c_custkey % 2 <> 0 AS same FROM customer")
+def q33(spark, sf):
+    a = _customer_info(spark, sf)
+    ones = F.array(*[F.lit(1)] * 4)
+    return lookups.same_subsampling(a, a.select("image_id", ones.alias("ss_x"), ones.alias("ss_y")))
+
+
+@query(
+    "q34_subsampling_names",
+    """WITH v(k, css, x, y) AS (VALUES (0, '444', 1, 1), (1, '422', 2, 1), (2, '420', 2, 2), (3, '440', 1, 2), (4, '411', 4, 1), (5, '410', 4, 2), (6, 'gray', 1, 1), (7, '410V', 2, 4), (8, 'none', 0, 0))
+    SELECT event_id, css, x AS luma_x, y AS luma_y FROM events JOIN v ON event_id % 9 = k""",
+)
+def q34(spark, sf):
+    names = F.array(*[F.lit(n) for n in ("444", "422", "420", "440", "411", "410", "gray", "410V", "none")])
+    e = _table(spark, sf, "events").select("event_id", F.get(names, (F.col("event_id") % 9).cast("int")).alias("css"))
+    return lookups.subsampling_factors(e).select("event_id", "css", "luma_x", "luma_y")
+
+
+# ---------------------------------------------------------------- colour and comparison
+
+
+def _ycc_pixels(spark, sf):
+    """Three vectors an image: luma 8x8, chroma 4x4."""
+    e = _table(spark, sf, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "e"))
+    v = F.greatest(F.lit(0), F.least(F.lit(255), F.floor((F.col("e").cast("double") + 0.5) * 256))).cast("int")
+    p = e.select(F.expr("cast(vec_id div 3 as string)").alias("image_id"), F.expr("cast(vec_id % 3 as int)").alias("component_idx"), "i", v.alias("v"))
+    side = F.when(F.col("component_idx") == 0, 8).otherwise(4)
+    return p.where("component_idx = 0 or i < 16").select("image_id", "component_idx", expr.idiv(F.col("i"), side).alias("y"), (F.col("i") % side).cast("bigint").alias("x"), "v")
+
+
+@query(
+    "q22_upsample_rgb",
+    """WITH u AS (SELECT vec_id // 3 AS g, vec_id % 3 AS c, unnest(range(64)) AS i, greatest(0, least(255, floor((unnest(embedding)::DOUBLE + 0.5) * 256))) AS v FROM embeddings),
+    p AS (SELECT a.g, a.i // 8 AS y, a.i % 8 AS x, a.v AS cy, b.v - 128 AS cb, r.v - 128 AS cr FROM u a JOIN u b ON b.g = a.g AND b.c = 1 AND b.i = (a.i // 16) * 4 + (a.i % 8) // 2 JOIN u r ON r.g = a.g AND r.c = 2 AND r.i = b.i WHERE a.c = 0)
+    SELECT CAST(g AS VARCHAR) AS image_id, y, x, CAST(greatest(0, least(255, round(cy + 1.402::DOUBLE * cr))) AS INTEGER) AS r,
+      CAST(greatest(0, least(255, round(cy - 0.344136::DOUBLE * cb - 0.714136::DOUBLE * cr))) AS INTEGER) AS g, CAST(greatest(0, least(255, round(cy + 1.772::DOUBLE * cb))) AS INTEGER) AS b FROM p""",
+)
+def q22(spark, sf):
+    px = _ycc_pixels(spark, sf)
+    factors = px.select("image_id").distinct().select("image_id", F.lit(2).alias("div_x"), F.lit(2).alias("div_y"))
+    return color.to_rgb(color.upsample(px, factors))
+
+
+@query(
+    "q35_gray_rgb",
+    """SELECT CAST(vec_id // 3 AS VARCHAR) AS image_id, i // 8 AS y, i % 8 AS x, v AS r, v AS g, v AS b FROM
+    (SELECT vec_id, unnest(range(64)) AS i, CAST(greatest(0, least(255, floor((unnest(embedding)::DOUBLE + 0.5) * 256))) AS INTEGER) AS v FROM embeddings WHERE vec_id % 3 = 0)""",
+)
+def q35(spark, sf):
+    return color.gray_to_rgb(_ycc_pixels(spark, sf).where("component_idx = 0"))
+
+
+@query(
+    "q36_convertible",
+    f"""WITH {_PART}, s AS (SELECT image_id, count(*) AS n, max(sx) FILTER (component_idx = 0) AS x0, max(sy) FILTER (component_idx = 0) AS y0, max(sx) FILTER (component_idx = 1) AS x1, max(sy) FILTER (component_idx = 1) AS y1,
+      max(sx) FILTER (component_idx = 2) AS x2, max(sy) FILTER (component_idx = 2) AS y2 FROM c GROUP BY image_id)
+    SELECT image_id, n AS num_components, n = 1 OR (n = 3 AND coalesce(x1 = x2 AND y1 = y2 AND x0 >= x1 AND y0 >= y1, false)) AS ok FROM s""",
+)
+def q36(spark, sf):
+    return color.convertible(part_components(spark, sf)[0].select("image_id", "component_idx", "ss_x", "ss_y"))
+
+
+@query(
+    "q23_mse",
+    """WITH u AS (SELECT label, vec_id, unnest(range(64)) AS i, CAST(floor(unnest(embedding)::DOUBLE * 1024) AS BIGINT) AS c FROM embeddings), p AS (SELECT label, greatest(0, least(255, c + 128)) AS a, greatest(0, least(255, (c // 8) * 8 + 128)) AS b FROM (SELECT label, c, c // 8 FROM (SELECT label, c FROM u)))
+    SELECT CAST(label AS VARCHAR) AS image_id, CAST(sum((a - b) * (a - b)) AS DOUBLE) / count(*) AS mse FROM p GROUP BY label""",
+)
+def q23(spark, sf):
+    e = blocks(spark, sf).select(F.col("label").cast("string").alias("image_id"), F.lit(0).alias("component_idx"), F.col("vec_id").alias("y"), F.posexplode("coef").alias("x", "c"))
+    px = lambda c: F.greatest(F.lit(0), F.least(F.lit(255), c + 128)).alias("v")
+    coarse = F.expr("(c div 8) * 8")
+    return compare.mse(e.select("image_id", "component_idx", "y", "x", px(F.col("c"))), e.select("image_id", "component_idx", "y", "x", px(coarse))).select("image_id", "mse")
+
+
+@query(
+    "q25_latency_stats",
+    "SELECT event_type, count(value) AS n, round(avg(value), 4) AS avg_ms, round(max(value), 4) AS max_ms, round(count(value) / (sum(value) / 1000), 4) AS per_second FROM events GROUP BY event_type",
+)
+def q25(spark, sf):
+    s = compare.latency_stats(_table(spark, sf, "events"), ["event_type"], "value")
+    return s.select("event_type", "n", *[F.round(c, 4).alias(c) for c in ("avg_ms", "max_ms", "per_second")])
+
+
+@query(
+    "q28_status_text",
+    """SELECT event_id, CASE event_id % 8 WHEN 0 THEN 'success' WHEN 1 THEN 'invalid argument' WHEN 2 THEN 'invalid jpeg' WHEN 3 THEN 'internal error' WHEN 4 THEN 'jpeg is not supported'
+    WHEN 5 THEN 'out of host memory' WHEN 6 THEN 'incomplete bitstream' ELSE 'unknown status' END AS message FROM events""",
+)
+def q28(spark, sf):
+    names = F.array(*[F.lit(n) for n in ("SUCCESS", "INVALID_ARGUMENT", "INVALID_JPEG", "INTERNAL_ERROR", "NOT_SUPPORTED", "OUT_OF_HOST_MEMORY", "INCOMPLETE_BITSTREAM", "?")])
+    e = _table(spark, sf, "events").select("event_id", F.get(names, (F.col("event_id") % 8).cast("int")).alias("status"))
+    return lookups.with_status_text(e).select("event_id", "message")
+
+
+# ---------------------------------------------------------------- whole images, encoded in the query
+
+
+def encoded(spark: SparkSession, sf: str) -> RasterCollection:
+    """Each vector's block as a JPEG stream of its own."""
+    b = blocks(spark, sf).join(tables(spark, sf), "label").select(F.col("vec_id").cast("string").alias("image_id"), "coef", "q")
+    return RasterCollection(jpeg.encode_blocks(b))
+
+
+@query("q29_header_scan", "SELECT CAST(vec_id AS VARCHAR) AS image_id, 'SUCCESS' AS status, 8 AS width, 8 AS height, 1 AS num_components, 7 AS num_markers, 1 AS num_segments FROM embeddings")
+def q29(spark, sf):
+    h = encoded(spark, sf).headers
+    return h.select("image_id", "status", "width", "height", "num_components", F.size("markers").alias("num_markers"), F.size(F.get("scans", F.lit(0))["segments"]).alias("num_segments"))
+
+
+@query("q30_decode_e2e", _PX_SQL)
+def q30(spark, sf):
+    return _px_stats(encoded(spark, sf).pixel_blocks().select(F.col("image_id").cast("bigint").alias("vec_id"), "px"))
+
+
+@query("q31_png", "SELECT CAST(vec_id AS VARCHAR) AS image_id, true AS is_png, 8 AS width, 8 AS height FROM embeddings")
+def q31(spark, sf):
+    p = png.encode_png(encoded(spark, sf).rgb())
+    size = lambda at: F.conv(F.hex(F.substr("png", F.lit(at), F.lit(4))), 16, 10).cast("int")
+    return p.select("image_id", (F.hex(F.substr("png", F.lit(1), F.lit(8))) == "89504E470D0A1A0A").alias("is_png"), size(17).alias("width"), size(21).alias("height"))
+
+
+@query(
+    "q37_mean_luma",
+    f"WITH {_PIXELS} SELECT CAST(vec_id AS VARCHAR) AS image_id, CAST(sum(px) AS DOUBLE) / count(*) AS mean_luma FROM px GROUP BY vec_id",
+)
+def q37(spark, sf):
+    return encoded(spark, sf).pixels().groupBy("image_id").agg((F.sum(F.col("v").cast("bigint")) / F.count("*")).alias("mean_luma"))
+
+
+@query("q38_decode_cost", "SELECT CAST(vec_id AS VARCHAR) AS image_id, 1::BIGINT AS units, 64::BIGINT AS samples FROM embeddings")
+def q38(spark, sf):
+    return encoded(spark, sf).cost().select("image_id", "units", "samples")
