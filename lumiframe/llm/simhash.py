@@ -179,11 +179,12 @@ def links(fps: DataFrame, *, radius: int = 2, crowded: int = 64) -> DataFrame:
         return fps.select(F.col("fp").alias("a"), F.col("fp").alias("b")).where("false")
     parts = [(k, bits, t) for k, (bits, t) in enumerate(plan(n, both, radius)) if t >= 0]
     own = F.array(*[F.struct(F.lit(k).alias("part"), F.col("fp").bitwiseAND(F.lit(_mask(bits))).alias("v"), F.lit(True).alias("index")) for k, bits, _ in parts])
-    near = [
-        F.transform(F.array(*[F.lit(x).cast("long") for x in _flips(bits, t)]), lambda x, k=k, bits=bits: F.struct(F.lit(k).alias("part"), F.col("fp").bitwiseAND(F.lit(_mask(bits))).bitwiseXOR(x).alias("v"), F.lit(False).alias("index")))
-        for k, bits, t in parts
-        if t > 0
-    ]
+    def around(k: int, bits: list[int], t: int):
+        """The values within ``t`` bits of a fingerprint's own in partition ``k``."""
+        value = F.col("fp").bitwiseAND(F.lit(_mask(bits)))
+        return F.transform(F.array(*[F.lit(x).cast("long") for x in _flips(bits, t)]), lambda x: F.struct(F.lit(k).alias("part"), value.bitwiseXOR(x).alias("v"), F.lit(False).alias("index")))
+
+    near = [around(k, bits, t) for k, bits, t in parts if t > 0]
     keys = fps.select("fp", F.explode(F.concat(own, *near) if near else own).alias("k")).select("fp", "k.*")
     count = keys.groupBy("part", "v").agg(F.sum(F.col("index").cast("long")).alias("n"), F.count("*").alias("all")).where("n >= 1 and all >= 2")
     met = materialize(keys.join(count, ["part", "v"]).select("fp", "part", "v", "index", "n"), "met")
