@@ -49,14 +49,14 @@ def shingles_of(words: Column, size: int) -> Column:
 def simhash(shingles: str) -> Column:
     """64-bit SimHash of an array of hashes: a bit is set if it is set in over half of them."""
     return F.expr(
-        f"""aggregate(sequence(0, 63), 0L, (acc, b) ->
-            acc | if(2 * aggregate({shingles}, 0L, (n, h) -> n + (shiftright(h, b) & 1L)) > size({shingles}), shiftleft(1L, b), 0L))"""
+        f"""aggregate(sequence(0, 63), 0L, (_sum, _bit) ->
+            _sum | if(2 * aggregate({shingles}, 0L, (_n, _h) -> _n + (shiftright(_h, _bit) & 1L)) > size({shingles}), shiftleft(1L, _bit), 0L))"""
     )
 
 
 def weighted_jaccard(a: str, b: str) -> Column:
     """Of two arrays as multisets: sum of the smaller counts over sum of the larger."""
-    common = f"aggregate(array_intersect({a}, {b}), 0L, (n, x) -> n + least(size(filter({a}, y -> y = x)), size(filter({b}, y -> y = x))))"
+    common = f"aggregate(array_intersect({a}, {b}), 0L, (_n, _x) -> _n + least(size(filter({a}, _y -> _y = _x)), size(filter({b}, _y -> _y = _x))))"
     return F.expr(f"{common} / (size({a}) + size({b}) - {common})")
 
 
