@@ -14,11 +14,11 @@ from pyspark.sql.types import StructType
 from .. import schemas
 from ..functions.fixed import SUBSEQUENCE_BYTES, SUCCESS
 from ..sources.header import parse
-from .huffman import decode_segment, lookup_table
+from .huffman import decode_lanes
 from .reconstruct import reconstruct
 
-#: Rows of segments hold their bytes and tables; few of them make a batch.
-_ROWS = 256
+#: Segments that make a batch of rows, and that are decoded side by side.
+_ROWS = 1024
 
 
 def segments(images: DataFrame) -> DataFrame:
@@ -75,10 +75,15 @@ def spread(segs: DataFrame, partitions: int | None = None) -> DataFrame:
 
 
 def _decoded(b: pa.RecordBatch, predict: bool) -> Iterator[tuple[dict, np.ndarray]]:
-    for r in b.to_pylist():
-        tables = {t["slot"]: lookup_table(tuple(t["counts"]), tuple(t["huffval"])) for t in r["huff_tables"]}
-        layout = [(m["component_idx"], tables[2 * m["dc_idx"]], tables[2 * m["ac_idx"] + 1]) for m in r["mcu"]]
-        yield r, decode_segment(r["data"], r["num_mcus"] * len(layout), layout, predict=predict)
+    """The rows of a batch with their blocks; the batch's segments are decoded side by side."""
+    rows = b.to_pylist()
+    for lo in range(0, len(rows), _ROWS):
+        part, lanes = rows[lo : lo + _ROWS], []
+        for r in part:
+            tables = {t["slot"]: (tuple(t["counts"]), tuple(t["huffval"])) for t in r["huff_tables"]}
+            layout = [(m["component_idx"], tables[2 * m["dc_idx"]], tables[2 * m["ac_idx"] + 1]) for m in r["mcu"]]
+            lanes.append((r["data"], r["num_mcus"] * len(layout), layout))
+        yield from zip(part, decode_lanes(lanes, predict=predict))
 
 
 def _places(r: dict, units: int) -> tuple[np.ndarray, ...]:

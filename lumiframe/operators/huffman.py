@@ -33,20 +33,27 @@ def canonical_codes(tables: DataFrame) -> DataFrame:
     return tables.select(*keys, F.explode(codes).alias("c")).select(*keys, "c.len", "c.code", "c.val")
 
 
-@lru_cache(maxsize=64)
-def lookup_table(counts: tuple[int, ...], values: tuple[int, ...]) -> tuple[list[int], list[int]]:
+@lru_cache(maxsize=256)
+def lookup_arrays(counts: tuple[int, ...], values: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
     """Code length (0: no such code) and value for each 16-bit window."""
-    size, value = np.zeros(65536, np.int64), np.zeros(65536, np.int64)
+    size, value = np.zeros(65536, np.uint8), np.zeros(65536, np.uint8)
     code = k = 0
     for n, count in enumerate(counts, 1):
         for _ in range(count):
             lo = code << (16 - n)
             if lo >= 65536:
-                return size.tolist(), value.tolist()
+                return size, value
             size[lo : lo + (1 << (16 - n))] = n
             value[lo : lo + (1 << (16 - n))] = values[k]
             code, k = code + 1, k + 1
         code <<= 1
+    return size, value
+
+
+@lru_cache(maxsize=32)
+def lookup_table(counts: tuple[int, ...], values: tuple[int, ...]) -> tuple[list[int], list[int]]:
+    """The same as lists, which a loop over symbols reads faster."""
+    size, value = lookup_arrays(counts, values)
     return size.tolist(), value.tolist()
 
 
@@ -56,7 +63,7 @@ def decode_segment(data: bytes, units: int, layout: list[tuple[int, tuple, tuple
     ``data`` is destuffed; bits past its end read as 0.  ``layout`` has (component,
     DC lookup, AC lookup) of each unit of an MCU.  With ``predict`` the DC values
     are sums from the segment's start (OP-49), kept to 16 bits.  After a bit
-    pattern that is no code the rest stays zero.
+    pattern that is no code, or 64 bytes past the end, the rest stays zero.
     """
     out = np.zeros((units, 64), np.int16)
     bits, have, at, end = 0, 0, 0, len(data)
@@ -77,7 +84,9 @@ def decode_segment(data: bytes, units: int, layout: list[tuple[int, tuple, tuple
                 have += 64
             window = (bits >> (have - 16)) & 0xFFFF
             n = ac_len[window] if z else dc_len[window]
-            if not n or at - (have >> 3) > end + 64:
+            if not n or (8 * at - have) >> 3 > end + 64:
+                for i, v in row.items():
+                    out[u, i] = v
                 return out
             s = ac_val[window] if z else dc_val[window]
             have -= n
@@ -101,8 +110,101 @@ def decode_segment(data: bytes, units: int, layout: list[tuple[int, tuple, tuple
             if z == 0 and predict:
                 v = dc_sum[comp] = ((dc_sum.get(comp, 0) + v + 32768) & 65535) - 32768
             if z < 64 and v:
-                row[place[z]] = v
+                row[place[z]] = ((v + 32768) & 65535) - 32768
             z += 1
         if row:
             out[u, list(row)] = np.array(list(row.values())).astype(np.int16)
     return out
+
+
+_NATURAL = np.array(NATURAL_ORDER)
+
+
+def decode_lanes(lanes: list[tuple[bytes, int, list[tuple[int, tuple, tuple]]]], *, predict: bool = True) -> list[np.ndarray]:
+    """Many segments at once: :func:`decode_segment` of each, one symbol of every segment a step.
+
+    ``lanes``: data, units, and (component, DC table, AC table) of each unit of an
+    MCU, a table being its (counts, values).  The work of a step is spread over all
+    segments of a batch, so collections of many images or restart intervals decode
+    several times faster than one after another; a few lanes that are much longer
+    than the others are finished one by one.
+    """
+    if len(lanes) < 12:
+        return [_alone(*lane, predict) for lane in lanes]
+    keys = sorted({t for _, _, layout in lanes for _, *ts in layout for t in ts})
+    if len(keys) > 64 and len(lanes) > 24:  # each table is 128 KB
+        half = len(lanes) // 2
+        return decode_lanes(lanes[:half], predict=predict) + decode_lanes(lanes[half:], predict=predict)
+    number = {t: k for k, t in enumerate(keys)}
+    size = np.stack([lookup_arrays(*t)[0] for t in keys])
+    value = np.stack([lookup_arrays(*t)[1] for t in keys])
+    widest = max(len(layout) for _, _, layout in lanes)
+    tables = np.zeros((2, len(lanes), widest), np.int64)
+    for k, (_, _, layout) in enumerate(lanes):
+        for c, (_, dc, ac) in enumerate(layout):
+            tables[:, k, c] = number[dc], number[ac]
+    length = np.array([len(d) for d, _, _ in lanes])
+    base = np.cumsum(length + 96) - (length + 96)
+    raw = np.zeros(int(base[-1] + length[-1]) + 104, np.uint64)
+    for at, (d, _, _) in zip(base, lanes):
+        raw[at : at + len(d)] = np.frombuffer(d, np.uint8)
+    word = np.zeros(len(raw) - 8, np.uint64)  # the 64 bits from each byte on
+    for k in range(8):
+        word |= raw[k : len(raw) - 8 + k] << np.uint64(56 - 8 * k)
+    total = np.array([n for _, n, _ in lanes])
+    first = np.cumsum(total) - total
+    per = np.array([len(layout) for _, _, layout in lanes])
+    out = np.zeros((int(total.sum()), 64), np.int16)
+    flat = out.reshape(-1)
+    reached = np.zeros(len(lanes), np.int64)
+
+    lane = np.flatnonzero(total > 0)  # lanes still at work, and their state
+    p, u, c, z = (np.zeros(len(lane), np.int64) for _ in range(4))
+    slow: list[int] = []
+    while len(lane):
+        byte = p >> 3
+        ac = z > 0
+        w = word[base[lane] + byte] << (p & 7).astype(np.uint64)
+        t = tables[ac.astype(np.int64), lane, c]
+        window = (w >> np.uint64(48)).astype(np.int64)
+        n, s = size[t, window].astype(np.int64), value[t, window].astype(np.int64)
+        ok = (n > 0) & (byte <= length[lane] + 64)
+        run, cat = np.where(ac, s >> 4, 0), s & 15
+        bits = ((w << n.astype(np.uint64)) >> np.uint64(1) >> (63 - cat).astype(np.uint64)).astype(np.int64)
+        v = np.where(bits < (1 << np.maximum(cat - 1, 0)), bits + 1 - (1 << cat), bits)
+        at = z + run
+        put = ok & (cat > 0) & (at < 64)
+        where = np.flatnonzero(put)
+        flat[(first[lane[where]] + u[where]) * 64 + _NATURAL[at[where]]] = (((v[where] + 32768) & 65535) - 32768).astype(np.int16)
+        skip = ac & (cat == 0)
+        z = np.where(skip, np.where(run == 15, z + 16, 64), at + 1)
+        p = p + n + cat
+        over = ok & (z >= 64)
+        z[over] = 0
+        u = u + over
+        c = np.where(over, c + 1, c)
+        c[c == per[lane]] = 0
+        go = ok & (u < total[lane])
+        if not go.all():
+            gone = np.flatnonzero(~go)
+            # a segment that breaks off within a unit has reached it
+            reached[lane[gone]] = u[gone] + (~ok[gone] & ac[gone])
+            lane, p, u, c, z = lane[go], p[go], u[go], c[go], z[go]
+            if len(lane) < 12 and len(lane) and (u / total[lane]).mean() < 0.5:
+                slow = lane.tolist()
+                break
+    if predict:
+        for k, (_, units, layout) in enumerate(lanes):
+            own = out[first[k] : first[k] + reached[k], 0]
+            comps = np.array([x for x, _, _ in layout])[np.arange(len(own)) % len(layout)]
+            for x in set(comps.tolist()):
+                sums = np.cumsum(own[comps == x].astype(np.int64))
+                own[comps == x] = ((sums + 32768) & 65535) - 32768
+    result = [out[f : f + n] for f, n in zip(first, total)]
+    for k in slow:
+        result[k] = _alone(*lanes[k], predict)
+    return result
+
+
+def _alone(data: bytes, units: int, layout: list[tuple[int, tuple, tuple]], predict: bool) -> np.ndarray:
+    return decode_segment(data, units, [(c, lookup_table(*dc), lookup_table(*ac)) for c, dc, ac in layout], predict=predict)

@@ -6,8 +6,10 @@ from fixtures import image, table
 from pyspark.sql import functions as F
 
 from lumiframe.operators import decode
+from lumiframe.operators.huffman import decode_lanes, decode_segment, lookup_table
 from lumiframe.operators.reconstruct import reconstruct
 from lumiframe.plans.api import RasterCollection
+from lumiframe.sources.header import parse
 
 CASES = {
     "420": {},
@@ -141,8 +143,39 @@ def test_corrupt_entropy_bits_give_zeros(spark):
     assert n == RasterCollection(table(spark, {"a": image(width=60, height=40)[0]})).coefficients().count()
 
 
-@pytest.mark.parametrize("fused", [False, True])
-def test_segments_match_their_bytes(spark, fused):
+def lanes_of(data):
+    h = parse(data)
+    for s in h.scans:
+        tables = {t["slot"]: (tuple(t["counts"]), tuple(t["huffval"])) for t in s["huff_tables"]}
+        layout = [(c["component_idx"], tables[2 * c["dc_idx"]], tables[2 * c["ac_idx"] + 1]) for c in s["components"] for _ in range(c["mcu_x"] * c["mcu_y"] // 64)]
+        total = s["num_mcus_x"] * s["num_mcus_y"]
+        each = h.restart_interval or total
+        for k, g in enumerate(s["segments"]):
+            yield data[g["begin"] : g["end"]].replace(b"\xff\x00", b"\xff"), min(each, total - k * each) * len(layout), layout
+
+
+@pytest.mark.parametrize("predict", [False, True])
+def test_side_by_side_equals_one_by_one(predict):
+    """Whole, cut, corrupt and very uneven segments."""
+    rng = np.random.default_rng(12)
+    lanes = []
+    for n, o in enumerate(CASES.values()):
+        lanes += lanes_of(image(seed=n, **o)[0])
+    lanes += lanes_of(image(width=400, height=300, seed=99)[0])
+    for d, u, layout in lanes[:40]:
+        lanes.append((d[: len(d) // 2], u, layout))
+        noise = bytearray(d)
+        for k in rng.integers(0, len(d), 5):
+            noise[k] = int(rng.integers(256))
+        lanes.append((bytes(noise), u, layout))
+    lanes += [(b"", 4, lanes[0][2]), (b"\xff" * 50, 9, lanes[0][2]), (bytes(rng.integers(0, 256, 3000, dtype=np.uint8)), 500, lanes[0][2])]
+    got = decode_lanes(lanes, predict=predict)
+    for k, (d, u, layout) in enumerate(lanes):
+        want = decode_segment(d, u, [(c, lookup_table(*dc), lookup_table(*ac)) for c, dc, ac in layout], predict=predict)
+        assert (got[k] == want).all(), k
+
+
+def test_segments_match_their_bytes(spark):
     data = image(width=100, height=60, restart=3)[0]
     segs = decode.segments(table(spark, {"a": data})).orderBy("segment_idx").collect()
     at = 0
