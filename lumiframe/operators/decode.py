@@ -17,8 +17,8 @@ from ..sources.header import parse
 from .huffman import decode_lanes
 from .reconstruct import reconstruct
 
-#: Segments that make a batch of rows, and that are decoded side by side.
-_ROWS = 1024
+#: Segments that are decoded side by side: at most so many, of so many bytes and units.
+_LANES, _BYTES, _UNITS = 2048, 8 << 20, 100_000
 
 
 def segments(images: DataFrame) -> DataFrame:
@@ -56,12 +56,14 @@ def segments(images: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             some: list[dict] = []
+            size = 0
             for image_id, data in zip(b.column("image_id").to_pylist(), b.column("content")):
                 for r in rows(image_id, data.as_py()):
                     some.append(r)
-                    if len(some) == _ROWS:
+                    size += len(r["data"])
+                    if len(some) == _LANES or size >= _BYTES:
                         yield pa.RecordBatch.from_pylist(some, schema=arrow)
-                        some = []
+                        some, size = [], 0
             if some:
                 yield pa.RecordBatch.from_pylist(some, schema=arrow)
 
@@ -74,45 +76,65 @@ def spread(segs: DataFrame, partitions: int | None = None) -> DataFrame:
     return segs.repartition(partitions, *keys) if partitions else segs.repartition(*keys)
 
 
-def _decoded(b: pa.RecordBatch, predict: bool) -> Iterator[tuple[dict, np.ndarray]]:
-    """The rows of a batch with their blocks; the batch's segments are decoded side by side."""
-    rows = b.to_pylist()
-    for lo in range(0, len(rows), _ROWS):
-        part, lanes = rows[lo : lo + _ROWS], []
-        for r in part:
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    """Rows of segments, gathered over batches up to the bounds of one decoding."""
+    rows: list[dict] = []
+    size = units = 0
+    for b in batches:
+        for k in range(b.num_rows):
+            r = b.slice(k, 1).to_pylist()[0]
+            rows.append(r)
+            size += len(r["data"])
+            units += r["num_mcus"] * len(r["mcu"])
+            if len(rows) == _LANES or size >= _BYTES or units >= _UNITS:
+                yield rows
+                rows, size, units = [], 0, 0
+    if rows:
+        yield rows
+
+
+def _decoded(batches: Iterator[pa.RecordBatch], predict: bool) -> Iterator[tuple[list[dict], np.ndarray, dict[str, np.ndarray]]]:
+    """Groups of rows, their blocks in one array, and of each block: its row, component, place and unit (OP-52)."""
+    for rows in _groups(batches):
+        lanes = []
+        for r in rows:
             tables = {t["slot"]: (tuple(t["counts"]), tuple(t["huffval"])) for t in r["huff_tables"]}
             layout = [(m["component_idx"], tables[2 * m["dc_idx"]], tables[2 * m["ac_idx"] + 1]) for m in r["mcu"]]
             lanes.append((r["data"], r["num_mcus"] * len(layout), layout))
-        yield from zip(part, decode_lanes(lanes, predict=predict))
-
-
-def _places(r: dict, units: int) -> tuple[np.ndarray, ...]:
-    """Component, block row and block column of each unit of a segment (OP-52)."""
-    of = lambda f: np.array([m[f] for m in r["mcu"]])[np.arange(units) % len(r["mcu"])]
-    mcu = r["first_mcu"] + np.arange(units) // len(r["mcu"])
-    return of("component_idx"), mcu // r["num_mcus_x"] * of("ss_y") + of("y_in"), mcu % r["num_mcus_x"] * of("ss_x") + of("x_in")
+        coef = decode_lanes(lanes, predict=predict)
+        at: dict[str, list[np.ndarray]] = {k: [] for k in ("row", "component", "y", "x", "unit")}
+        for k, (r, c) in enumerate(zip(rows, coef)):
+            i, n = np.arange(len(c)), len(r["mcu"])
+            of = lambda f, r=r, i=i, n=n: np.array([m[f] for m in r["mcu"]])[i % n]
+            mcu = r["first_mcu"] + i // n
+            at["row"].append(np.full(len(c), k))
+            at["component"].append(of("component_idx"))
+            at["y"].append(mcu // r["num_mcus_x"] * of("ss_y") + of("y_in"))
+            at["x"].append(mcu % r["num_mcus_x"] * of("ss_x") + of("x_in"))
+            at["unit"].append(r["first_mcu"] * n + i)
+        yield rows, np.concatenate(coef), {k: np.concatenate(v) for k, v in at.items()}
 
 
 def _lists(x: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel(), kind))
 
 
+def _of_rows(rows: list[dict], field: str, index: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.array([r[field] for r in rows], kind).take(pa.array(index))
+
+
 def units(segs: DataFrame, *, predict: bool = True) -> DataFrame:
     """OP-39, OP-44, OP-45: decoded units in stream order, with their blocks' places."""
     schema = StructType.fromDDL(schemas.UNITS)
     names = [f.name for f in schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r, coef in _decoded(b, predict):
-                n = len(coef)
-                c, y, x = _places(r, n)
-                unit = r["first_mcu"] * len(r["mcu"]) + np.arange(n)
-                same = lambda v, t: pa.array([v] * n, t)
-                yield pa.RecordBatch.from_arrays(
-                    [same(r["image_id"], pa.string()), same(r["scan_idx"], pa.int32()), pa.array(unit, pa.int64()), same(r["segment_idx"], pa.int32()), pa.array(c, pa.int32()), pa.array(y, pa.int32()), pa.array(x, pa.int32()), _lists(coef, pa.int16())],
-                    names=names,
-                )
+        for rows, coef, at in _decoded(batches, predict):
+            one = lambda f, t: _of_rows(rows, f, at["row"], t)
+            yield pa.RecordBatch.from_arrays(
+                [one("image_id", pa.string()), one("scan_idx", pa.int32()), pa.array(at["unit"], pa.int64()), one("segment_idx", pa.int32()), *[pa.array(at[k], pa.int32()) for k in ("component", "y", "x")], _lists(coef, pa.int16())],
+                names=names,
+            )
 
     return segs.mapInArrow(run, schema)
 
@@ -128,20 +150,21 @@ def pixel_blocks(segs: DataFrame) -> DataFrame:
     names = [f.name for f in schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r, coef in _decoded(b, True):
-                c, y, x = _places(r, len(coef))
-                for q in r["quant"]:
-                    own = np.flatnonzero(c == q["component_idx"])
-                    n = len(own)
-                    if not n:
-                        continue
-                    px = reconstruct(coef[own], np.array(q["q"], np.int64))
-                    same = lambda v, t, n=n: pa.array([v] * n, t)
-                    yield pa.RecordBatch.from_arrays(
-                        [same(r["image_id"], pa.string()), same(q["component_idx"], pa.int32()), pa.array(y[own], pa.int32()), pa.array(x[own], pa.int32()), _lists(px, pa.int16()), same(q["width"], pa.int32()), same(q["height"], pa.int32())],
-                        names=names,
-                    )
+        for rows, coef, at in _decoded(batches, True):
+            # the table and size of each (row, component), by number
+            kinds = {(k, q["component_idx"]): n for n, (k, q) in enumerate((k, q) for k, r in enumerate(rows) for q in r["quant"])}
+            quant = [q for r in rows for q in r["quant"]]
+            tops = max(c for _, c in kinds) + 1
+            number = np.zeros((len(rows), tops), np.int64)
+            for (k, c), n in kinds.items():
+                number[k, c] = n
+            kind = number[at["row"], at["component"]]
+            px = reconstruct(coef, np.array([q["q"] for q in quant], np.int64)[kind])
+            size = lambda f: pa.array(np.array([q[f] for q in quant])[kind], pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [_of_rows(rows, "image_id", at["row"], pa.string()), *[pa.array(at[k], pa.int32()) for k in ("component", "y", "x")], _lists(px, pa.int16()), size("width"), size("height")],
+                names=names,
+            )
 
     return segs.mapInArrow(run, schema)
 

@@ -111,7 +111,7 @@ def _transform(v: list[np.ndarray]) -> list[np.ndarray]:
 
 
 def reconstruct(coef: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Quantised blocks [n, 64] and a table [64] to pixels [n, 64]."""
+    """Quantised blocks [n, 64] and a table [64], or one for each block [n, 64], to pixels [n, 64]."""
     x = _wrap(coef.astype(np.int64) * q).reshape(-1, 8, 8)
     x = np.stack(_transform([x[:, k, :] for k in range(8)]), axis=1)
     x = np.stack(_transform([x[:, :, k] for k in range(8)]), axis=2)
