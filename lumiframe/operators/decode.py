@@ -18,7 +18,7 @@ from .huffman import decode_lanes
 from .reconstruct import reconstruct
 
 #: Segments that are decoded side by side: at most so many, of so many bytes and units.
-_LANES, _BYTES, _UNITS = 2048, 8 << 20, 100_000
+_LANES, _BYTES, _UNITS = 2048, 8 << 20, 500_000
 
 
 def segments(images: DataFrame) -> DataFrame:

@@ -118,6 +118,8 @@ def decode_segment(data: bytes, units: int, layout: list[tuple[int, tuple, tuple
 
 
 _NATURAL = np.array(NATURAL_ORDER)
+#: Fewer segments than these are faster one by one.
+SIDE_BY_SIDE = 64
 
 
 def decode_lanes(lanes: list[tuple[bytes, int, list[tuple[int, tuple, tuple]]]], *, predict: bool = True) -> list[np.ndarray]:
@@ -129,10 +131,10 @@ def decode_lanes(lanes: list[tuple[bytes, int, list[tuple[int, tuple, tuple]]]],
     several times faster than one after another; a few lanes that are much longer
     than the others are finished one by one.
     """
-    if len(lanes) < 12:
+    if len(lanes) < SIDE_BY_SIDE:
         return [_alone(*lane, predict) for lane in lanes]
     keys = sorted({t for _, _, layout in lanes for _, *ts in layout for t in ts})
-    if len(keys) > 64 and len(lanes) > 24:  # each table is 128 KB
+    if len(keys) > 64:  # each table is 128 KB
         half = len(lanes) // 2
         return decode_lanes(lanes[:half], predict=predict) + decode_lanes(lanes[half:], predict=predict)
     number = {t: k for k, t in enumerate(keys)}
@@ -190,7 +192,7 @@ def decode_lanes(lanes: list[tuple[bytes, int, list[tuple[int, tuple, tuple]]]],
             # a segment that breaks off within a unit has reached it
             reached[lane[gone]] = u[gone] + (~ok[gone] & ac[gone])
             lane, p, u, c, z = lane[go], p[go], u[go], c[go], z[go]
-            if len(lane) < 12 and len(lane) and (u / total[lane]).mean() < 0.5:
+            if len(lane) < SIDE_BY_SIDE // 4 and len(lane) and (u / total[lane]).mean() < 0.5:
                 slow = lane.tolist()
                 break
     if predict:
