@@ -3,7 +3,6 @@ from __future__ import annotations
 import numpy as np
 import pytest
 from fixtures import image, table
-from pyspark.sql import functions as F
 
 from lumiframe.operators import decode
 from lumiframe.operators.huffman import decode_lanes, decode_segment, lookup_table
