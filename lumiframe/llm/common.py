@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _OWN_DIR: list[str] = []
+_SLICE = 1000
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,15 +31,23 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN_DIR[0]
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, *, batch_rows: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Cuts the lineage durably (a lost executor costs nothing) and gives Catalyst
     the true size, so that it broadcasts a side only if it is really small.
+    ``batch_rows``: rows of an Arrow batch in this job, for wide rows.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lumiframe/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_BATCH_ROWS, "10000")
+    if batch_rows:
+        spark.conf.set(_BATCH_ROWS, batch_rows)
+    try:
+        df.write.parquet(path)
+    finally:
+        if batch_rows:
+            spark.conf.set(_BATCH_ROWS, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -75,16 +85,20 @@ def append_columns(
     """All columns of ``df`` and ``fields``, computed batch by batch from ``source``.
 
     ``make`` runs once a task and gives the function from an Arrow array to the
-    new arrays.  Nothing but one batch is held.
+    new arrays.  Nothing but one batch is held.  A column of ``df`` that has the
+    name of a new one gives way to it.
     """
+    taken = {f.name.lower() for f in fields}
+    df = df.select(*[f"`{c}`" for c in df.columns if c == source or c.lower() not in taken])
     schema = T.StructType([*df.schema.fields, *fields])
     names, at = [f.name for f in schema.fields], df.columns.index(source)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for b in batches:
-            if b.num_rows:
-                yield pa.RecordBatch.from_arrays([*b.columns, *f(b.column(at))], names=names)
+            for lo in range(0, b.num_rows, _SLICE):  # Python objects of one slice at a time
+                part = b.slice(lo, _SLICE)
+                yield pa.RecordBatch.from_arrays([*part.columns, *f(part.column(at))], names=names)
 
     return df.mapInArrow(run, schema)
 

@@ -93,8 +93,6 @@ class _Lattice:
         last = first + np.array([len(w) + 1 for w in words], np.int64)
         alpha = np.zeros((int(last[-1]) + 1, weight.shape[1]))
         alpha[first] = 1.0
-        depth_of = np.zeros(len(alpha), np.int64)
-        depth_of[first[1:]] = -1
         depth = end - first[np.searchsorted(first, end - 1, "right") - 1]
         cuts = np.flatnonzero(np.diff(depth)) + 1
         for lo, hi in zip(np.append(0, cuts), np.append(cuts, len(end))):

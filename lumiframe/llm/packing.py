@@ -149,4 +149,4 @@ def pack(found: DataFrame, *, capacity: int = 1024, rows_per_rank_group: int = 1
 
 def pack_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, with_ids: bool = False, tokenizer: str | None = None) -> DataFrame:
     """Pieces of all documents and their places; with ``with_ids`` also the ids themselves."""
-    return pack(materialize(pieces(docs, id_col=id_col, text_col=text_col, capacity=capacity, with_ids=with_ids, tokenizer=tokenizer), "pieces"), capacity=capacity)
+    return pack(materialize(pieces(docs, id_col=id_col, text_col=text_col, capacity=capacity, with_ids=with_ids, tokenizer=tokenizer), "pieces", batch_rows=2000), capacity=capacity)
