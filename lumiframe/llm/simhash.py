@@ -28,10 +28,13 @@ id unless all of the component are null.
 
 from __future__ import annotations
 
+import itertools
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -309,7 +312,122 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.mapInArrow(run, T.StructType([both.schema["a"], both.schema["b"], T.StructField("ok", T.BooleanType())]))
 
 
-def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, rounds: int = 4) -> DataFrame:
+def _prefix_pairs(sets: list[np.ndarray], group: np.ndarray, left: np.ndarray, right: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of ``left`` and ``right`` (places in ``sets``) that can be similar and are of two groups, in parts.
+
+    Prefix filter: of the shingles by rising frequency, a text similar to another
+    has one in common with it among its first ``n - ceil(similarity * n) + 1``.
+    Shared template text is frequent, so it is in no prefix.
+    """
+    size = np.array([len(x) for x in sets])
+    _, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    text = np.repeat(np.arange(len(sets)), size)
+    order = np.lexsort((code, count[code], text))
+    place = np.arange(len(order)) - np.repeat(np.cumsum(size) - size, size)
+    short = size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1
+    code, text = code[order], text[order]
+    own = (place < short[text]) & (count[code] > 1)
+    code, text = code[own], text[own]
+    side = np.zeros((2, len(sets)), bool)
+    side[0, left], side[1, right] = True, True
+    by = np.argsort(code, kind="stable")
+    code, text = code[by], text[by]
+    heads = np.append(0, np.flatnonzero(code[1:] != code[:-1]) + 1) if len(code) else np.empty(0, np.int64)
+    seen = np.zeros((len(sets), len(sets)), bool)
+    for lo, hi in zip(heads, np.append(heads[1:], len(code))):
+        if hi - lo < 2:
+            continue
+        x = text[lo:hi]
+        one, b = x[side[0, x]], x[side[1, x]]
+        for at in range(0, len(one), 256):
+            a = one[at : at + 256]
+            low, high = np.minimum.outer(size[a], size[b]), np.maximum.outer(size[a], size[b])
+            i, j = np.nonzero(~seen[np.ix_(a, b)] & (group[a][:, None] != group[b]) & (low >= similarity * high - 1e-9))
+            i, j = a[i], b[j]
+            seen[i, j] = seen[j, i] = True
+            if len(i):
+                yield i, j
+
+
+def _rest_of_buckets(buckets: DataFrame, sets: DataFrame, similarity: float, *, block: int, block_bytes: int) -> DataFrame:
+    """Edges (a, b) that connect all similar texts of one sample that were in different groups.
+
+    ``buckets`` (t, s, id, root, samples): all texts of the samples in question.  A
+    bucket over ``block`` texts, or ``block_bytes`` of sets, is cut into blocks, and
+    each pair of blocks is a task's group; every pair of texts with different roots
+    is verified there unless the prefix filter rules it out, the texts met in an
+    earlier sample, or edges of the group connect them by then.  Only edges that
+    join two groups are returned, fewer than a group has rows.
+    """
+    bucket = ["t", "s"]
+    with_size = buckets.join(sets.select("id", F.octet_length("set").alias("bytes")), "id")
+    sizes = with_size.groupBy(*bucket).agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("bytes") / block_bytes)).cast("int").alias("nb"))
+    blocked = buckets.join(sizes, bucket).withColumn("own", F.pmod(F.xxhash64("id", F.lit("block")), F.col("nb")).cast("int"))
+    dealt = blocked.select("id", "root", "samples", *bucket, "own", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
+    dealt = dealt.select("id", "root", "samples", *bucket, "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    moved = dealt.join(sets, "id").select("id", "root", "samples", *bucket, "own", "i", "j", "set")
+    key = [*bucket, "i", "j"]
+
+    def joined(g: pa.Table) -> tuple[list, list]:
+        ids, at = g.column("id").to_pylist(), {}
+        group = np.array([at.setdefault(r, len(at)) for r in g.column("root").to_pylist()])
+        if len(at) < 2:
+            return [], []
+        t, i, j = (g.column(c)[0].as_py() for c in ("t", "i", "j"))
+        own = g.column("own").to_numpy()
+        samples = g.column("samples").combine_chunks().flatten().to_numpy().reshape(g.num_rows, -1)
+        shingles = [np.frombuffer(x.as_buffer(), np.uint64) for x in g.column("set")]
+        up = np.arange(len(at))
+
+        def top(x: int) -> int:
+            while up[x] != x:
+                up[x] = x = up[up[x]]
+            return x
+
+        a, b = [], []
+        for x, y in _prefix_pairs(shingles, group, np.flatnonzero(own == i), np.flatnonzero(own == j), similarity):
+            if t:  # met before, in an earlier sample
+                apart = ~(samples[x, :t] == samples[y, :t]).any(1)
+                x, y = x[apart], y[apart]
+            for p, q in zip(x.tolist(), y.tolist()):
+                m, n = top(group[p]), top(group[q])
+                if m == n:
+                    continue
+                u, v = shingles[p], shingles[q]
+                common = len(np.intersect1d(u, v, assume_unique=True))
+                if common >= similarity * (len(u) + len(v) - common):
+                    up[max(m, n)] = min(m, n)
+                    a.append(min(ids[p], ids[q]))
+                    b.append(max(ids[p], ids[q]))
+        return a, b
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = []  # the last group may go on in the next batch; it has two blocks' rows at most
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None and not batch.num_rows:
+                continue
+            now = pa.Table.from_batches([batch]) if batch is not None else None
+            if now is not None:
+                codes = np.stack([pc.rank(now.column(c).combine_chunks(), tiebreaker="dense").to_numpy().astype(np.int64) for c in key])
+                cuts = (np.flatnonzero((codes[:, 1:] != codes[:, :-1]).any(0)) + 1).tolist()
+                parts = [now.slice(lo, hi - lo) for lo, hi in zip([0, *cuts], [*cuts, now.num_rows])]
+                if rest and all(rest[0].column(c)[0] == parts[0].column(c)[0] for c in key):
+                    rest.append(parts.pop(0))
+                    if not parts:
+                        continue
+                whole, rest = [rest, *[[x] for x in parts[:-1]]] if rest else [[x] for x in parts[:-1]], [parts[-1]]
+            else:
+                whole, rest = [rest], []
+            got = [joined(pa.concat_tables(x)) for x in whole if sum(y.num_rows for y in x) > 1]
+            if any(x[0] for x in got):
+                yield pa.RecordBatch.from_arrays([pa.array(itertools.chain.from_iterable(x[k] for x in got), kind) for k in (0, 1)], names=["a", "b"])
+
+    kind = pa.string() if isinstance(sets.schema["id"].dataType, T.StringType) else pa.int32() if isinstance(sets.schema["id"].dataType, T.IntegerType) else pa.int64()
+    together = moved.repartition(*key).sortWithinPartitions(*key)
+    return together.mapInArrow(run, T.StructType([T.StructField("a", sets.schema["id"].dataType), T.StructField("b", sets.schema["id"].dataType)]))
+
+
+def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, rounds: int = 4, block: int = 2048, block_bytes: int = 8_000_000) -> DataFrame:
     """``(id, component_id)``: groups of texts linked by shingle similarity, with equal texts.
 
     At this similarity whole-text fingerprints differ in up to 18 bits, beyond any
@@ -320,8 +438,9 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     not connected to it go on: in further rounds they are compared in turn with
     another of the sample's texts (by hash, a different one in each sample) and with
     the heart of those that are left.  So a group of thousands of copies costs about
-    as many comparisons as it has members.  What this can miss is a text whose only
-    links lead to texts it was not dealt; the README has the measured rate.
+    as many comparisons as it has members.  What is left then is compared exactly, by
+    blocks: texts of one sample that are in different groups all meet
+    (:func:`_rest_of_buckets`), so every similar pair that shares a sample is linked.
     Ids must be there and name one row each.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -361,14 +480,20 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         good = materialize(_similar(likely, sets, similarity), "checked", batch_rows=300).where("ok").select("a", "b")
         found = good if found is None else found.unionByName(good)
         roots = materialize(connected_components(found), "roots")
-        if k == rounds - 1:
-            break
         # those not connected to the heart of a sample that they share go on
         at = roots.select(F.col("node").alias("id"), "root")
         rest = left.join(at, "id", "left").join(at.select(F.col("id").alias("heart"), F.col("root").alias("hr")), "heart", "left")
         left = materialize(rest.where(F.coalesce("root", "id") != F.coalesce("hr", "heart")).select("t", "s", "id", "w", "heart"), "left")
         if left.isEmpty():
             break
+    else:
+        # the exact rest: all texts of the samples that still hold more than one group
+        members = shared.join(left.select("t", "s").distinct(), ["t", "s"], "left_semi").select("t", "s", "id")
+        members = members.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").join(classes.select("id", "samples"), "id")
+        buckets = materialize(members.select("t", "s", "id", F.coalesce("root", "id").alias("root"), "samples"), "buckets")
+        more = materialize(_rest_of_buckets(buckets, sets, similarity, block=block, block_bytes=block_bytes), "rest", batch_rows=300)
+        if not more.isEmpty():
+            roots = materialize(connected_components(found.unionByName(more)), "roots")
     least = classes.join(roots, classes["id"] == roots["node"], "left").select("d1", "d2", F.coalesce("root", "id").alias("component_id"))
     return known.select("id", "d1", "d2").join(least, ["d1", "d2"]).select("id", "component_id")
 

@@ -256,6 +256,34 @@ def test_similar_texts_are_found_at_the_threshold(spark):
         assert (got[2 * g + 1] == 2 * g) == (jaccard(texts[2 * g], texts[2 * g + 1]) >= 0.8)
 
 
+@pytest.mark.parametrize("block", [300, 2048])
+def test_near_pairs_of_a_shared_template_are_all_found(spark, block):
+    """Thousands of texts, 72 % of each one template, so that every sample's bucket is full of strangers."""
+    rng = np.random.default_rng(12)
+    words = [f"w{k}" for k in range(5000)]
+    template, texts = list(rng.choice(words, 45)), []
+    for k in range(2000):
+        own = list(rng.choice(words, 16))
+        texts.append(" ".join(template + own))
+        if k % 10 == 0:
+            own[6 + k // 10 % 5] = "changed"
+            texts.append(" ".join(template + own))
+    texts = [texts[k] for k in rng.permutation(len(texts))]
+    place, rows = {}, []
+    for t in texts:
+        w = t.split()
+        rows.append(sorted({place.setdefault(tuple(w[k : k + 5]), len(place)) for k in range(len(w) - 4)}))
+    has = np.zeros((len(rows), len(place)), np.float32)
+    for k, r in enumerate(rows):
+        has[k, r] = 1
+    common, size = has @ has.T, has.sum(1)
+    near = np.argwhere(np.triu(common >= 0.8 * (size[:, None] + size - common), 1)).tolist()
+    assert len(near) >= 200
+    want = {k: k for k in range(len(texts))} | brute_components({x for e in near for x in e}, near)
+    got = {r.id: r.component_id for r in simhash.similar_groups(frame(spark, [(k, t, None) for k, t in enumerate(texts)]), block=block).collect()}
+    assert got == want
+
+
 # ---------------------------------------------------------------- packing
 
 
