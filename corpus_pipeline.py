@@ -38,7 +38,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents that are left, and their places in sequences of 1024 ids."""
-    return packing.pack_documents(docs, capacity=1024)
+    return packing.pack_documents(docs, capacity=1024, special=True)
 
 
 STAGES = [

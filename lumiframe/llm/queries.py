@@ -154,7 +154,7 @@ FROM o GROUP BY conv_id
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents and their places in sequences of 1024 ids."""
-    found = packing.pack_documents(table(spark, sf_dir, "documents"), capacity=1024)
+    found = packing.pack_documents(table(spark, sf_dir, "documents"), capacity=1024, special=True)
     return found.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 

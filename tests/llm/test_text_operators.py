@@ -298,6 +298,24 @@ def test_ids_equal_the_tokenizers_library():
         assert [*t.encode(text, add_special_tokens=False).ids, 0] == ids.tolist()
 
 
+def test_ids_of_the_queries_equal_the_plain_call(spark, tmp_path):
+    import corpus_pipeline
+    import public_tokenizers
+    from lumiframe.llm import queries
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [x for x in ODD if x] + ["hello <|endoftext|> world", "<|endoftext|>", "a<|endoftext|><|endoftext|>\n b", "<|endoftext |>", "  <|endoftext|>  x"]
+    want = {k: [*t.encode(x, add_special_tokens=False).ids, 0] for k, x in enumerate(texts)}
+    assert 50256 in want[len(texts) - 1]
+    assert [x.tolist() for x in packing.Tokenize(special=True)(texts)] == list(want.values())
+    docs = frame(spark, [(k, x, None) for k, x in enumerate(texts)])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    crcs = Counter((k, s, zlib.crc32(np.array(v[s : s + 1024], "<u4").tobytes()), len(v)) for k, v in want.items() for s in range(0, len(v), 1024))
+    for got in (queries.op6_packing(spark, str(tmp_path)), corpus_pipeline.pack(spark, docs, "")):
+        assert Counter((r.doc_id, r.start, r.ids_crc32, r.doc_tokens) for r in got.collect()) == crcs
+
+
 def test_shortest_pack_first_uses_each_length_once():
     rng = np.random.default_rng(8)
     for _ in range(20):
