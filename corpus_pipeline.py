@@ -27,8 +27,8 @@ def language_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id of each group of near-duplicates."""
-    return simhash.keep_one_of_each(docs)
+    """Keeps the document of the smallest id of each group of near-duplicates, row by row."""
+    return simhash.keep_one_row_of_each(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -69,6 +69,12 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def with_row_key(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df``, written with a long that is different in every row, and that column's name."""
+    key = fresh(df, "_row")
+    return materialize(df.withColumn(key, F.monotonically_increasing_id()), name), key
+
+
 def bounded_by_hash(df: DataFrame, key: str, bound: int, total: int) -> DataFrame:
     """About ``bound`` of the ``total`` rows, the same ones in every run, without a sort."""
     if total <= bound:

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, with_row_key
 
 BLOCKS, BLOCK_BITS, BLOCK_RADIUS = 8, 8, 2
 
@@ -130,6 +130,11 @@ def contaminated(
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` whose id holds no benchmark item, with the columns of ``docs``."""
-    held = contaminated(docs, items, id_col=id_col, **options).select(F.col("id").alias("held")).distinct()
-    return docs.join(held, docs[id_col].eqNullSafe(held["held"]), "left_anti")
+    """The rows of ``docs`` whose text holds no benchmark item, with the columns of ``docs``.
+
+    Each row is judged by its own text: rows without an id, or that share one
+    (``id_col``), do not stand for each other.
+    """
+    rows, key = with_row_key(docs, "rows")
+    held = contaminated(rows, items, id_col=key, **options).select(F.col("id").alias(key)).distinct()
+    return rows.join(held, key, "left_anti").select(*docs.columns)

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, fresh, materialize
+from .common import append_columns, fresh, materialize, with_row_key
 from .components import connected_components
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)  # byte -> its bits, high first
@@ -512,3 +512,16 @@ def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         named = materialize(named.join(firsts, tag, "left_semi").drop(tag), "rows")
     stay = similar_groups(named, id_col=id_col, text_col=text_col, words=words, similarity=similarity).where("id = component_id").select(F.col("id").alias(id_col))
     return named.join(stay, id_col, "left_semi").select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+
+
+def keep_one_row_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates, whatever its id.
+
+    Rows are told apart by a key of their own; ids only say which row stays: the
+    one of the smallest id, a null id last; of equal ids the first by a hash of the text.
+    """
+    rows, key = with_row_key(docs, "rows")
+    groups = similar_groups(rows, id_col=key, text_col=text_col, words=words, similarity=similarity).select(F.col("id").alias(key), "component_id")
+    order = F.struct(F.col(id_col).isNull(), F.col(id_col), F.xxhash64(text_col), F.col(key))
+    stay = rows.select(key, order.alias("at")).join(groups, key).groupBy("component_id").agg(F.min_by(key, "at").alias(key)).select(key)
+    return rows.join(stay, key, "left_semi").select(*docs.columns)

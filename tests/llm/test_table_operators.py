@@ -121,6 +121,17 @@ def test_decontamination_against_brute_force(spark):
     assert {(r.id, r.item) for r in shuffled} == set(got)
 
 
+def test_a_contaminated_row_takes_no_other_row_with_it(spark):
+    rng = np.random.default_rng(14)
+    text = lambda n: " ".join(rng.choice(WORDS, n))
+    item, clean = text(30), [text(60) for _ in range(3)]
+    held = text(20) + " " + item
+    docs = [(None, clean[0]), (None, held), (4, clean[1]), (4, held), (None, None), (6, clean[2]), (7, held)]
+    kept = decontam.drop_contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert kept.columns == ["doc_id", "text"]
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter(x for x in docs if x[1] != held)
+
+
 def test_fingerprint_radius_loses_nothing_at_the_threshold(spark):
     """Similar windows lie within the radius; the blocks hold all pairs within it."""
     rng = np.random.default_rng(3)

@@ -241,6 +241,20 @@ def test_one_of_each_group_of_copies_stays(spark):
     assert simhash.keep_one_of_each(docs.where("false")).count() == 0
 
 
+def test_rows_without_an_id_or_of_one_id_are_deduplicated_by_text(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(13)
+    a, b, c, d = (" ".join(rng.choice([f"w{k}" for k in range(4000)], 80)) for _ in range(4))
+    rows = [(None, a, "en"), (None, a, "en"), (None, a + " more", "en"), (5, b, "en"), (5, c, "en"), (5, b, "en"), (2, b + " end", "en"), (None, b, "en"), (None, d, "en"), (7, None, "en"), (7, "", "en")]
+    kept = corpus_pipeline.near_dedup(spark, frame(spark, rows), "")
+    assert kept.columns == frame(spark, rows).columns
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    assert len(got) == 5 and {(2, b + " end"), (5, c), (None, d)} <= set(got)
+    assert sum(i is None and t.startswith(a) for i, t in got if t) == 1 and sum(not t for _, t in got) == 1
+    assert corpus_pipeline.near_dedup(spark, frame(spark, rows).where("false"), "").count() == 0
+
+
 def test_similar_texts_are_found_at_the_threshold(spark):
     rng = np.random.default_rng(7)
     words = [f"w{k}" for k in range(4000)]
