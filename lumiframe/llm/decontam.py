@@ -1,18 +1,23 @@
 """Benchmark decontamination with DataFrame expressions only.
 
-A document holds a benchmark item if an *item-sized window* of its words, lined
-up with the item on a shared shingle, has a weighted-shingle (multiset) Jaccard
-similarity of ``similarity`` or more with it.
+A document holds a benchmark item if any *item-sized window* of its words has a
+weighted-shingle (multiset) Jaccard similarity of ``similarity`` or more with it.
 
 1. Words are runs of letters and digits, lower case; shingles are ``words`` of
    them in a row (items with fewer words: the whole item).
-2. Windows: an item's rarest shingles, as many as any similar window must share
-   one of (the prefix filter, which loses nothing), are looked up in all
-   documents' shingles; each hit gives a window as long as the item.
-3. Each window and each item gets a 64-bit SimHash.  Multi-index blocks: eight
+2. Documents: a similar window shares at least one of any ``m - ceil(similarity *
+   m) + 1`` of an item's ``m`` shingles.  So documents without such a shingle are
+   passed over (those that fewest items have are taken).  This filter only picks
+   documents; it says nothing about where their windows lie.
+3. Windows: moving a window on to the next shared shingle loses none that it
+   shares, so the windows that open with *any* shared shingle (or close the
+   document) hold a best one.  Those with too few shared shingles to be similar
+   are left out.  Positions are compared by rank in a join; documents are cut into
+   tiles of ``tile`` shingles, so that a very long one is not one row.
+4. Each window and each item gets a 64-bit SimHash.  Multi-index blocks: eight
    blocks of eight bits, each matched within two bits, hold every pair within
    ``radius`` (23 at most) by the pigeonhole principle.
-4. Candidates within the radius are verified by exact weighted-shingle similarity.
+5. Candidates within the radius are verified by exact weighted-shingle similarity.
 
 At the default similarity two fingerprints differ in 10 bits of 64 on average,
 standard deviation 3; the radius of 23 is over four of them away.
@@ -25,6 +30,7 @@ table on either side gives an empty result.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import materialize, with_row_key
@@ -60,14 +66,33 @@ def weighted_jaccard(a: str, b: str) -> Column:
     return F.expr(f"{common} / (size({a}) + size({b}) - {common})")
 
 
+def _by_size(column: str, sizes: list[int]) -> Column:
+    """Shingles of the words in ``column``, by the row's ``size``."""
+    s = F.when(F.lit(False), F.array().cast("array<bigint>"))
+    for k in sizes:
+        s = s.when(F.col("size") == k, shingles_of(F.col(column), k))
+    return s
+
+
 def benchmark_items(items: DataFrame, *, id_col: str = "item_id", text_col: str = "text", words: int = 5) -> DataFrame:
-    """``(item, n, size, s)``: word count, shingle size and shingles of each item that has words."""
+    """``(key, item, n, size, s)``: a row key, word count, shingle size and shingles of each item that has words."""
     split = items.select(F.col(id_col).alias("item"), words_of(F.col(text_col)).alias("w")).where("size(w) > 0")
     split = split.select("item", "w", F.size("w").alias("n"), F.least(F.size("w"), F.lit(words)).alias("size"))
-    s = F.when(F.lit(False), F.array().cast("array<bigint>"))
-    for k in range(1, words + 1):
-        s = s.when(F.col("size") == k, shingles_of(F.col("w"), k))
-    return split.select("item", "n", "size", s.alias("s"))
+    return split.select(F.monotonically_increasing_id().alias("key"), "item", "n", "size", _by_size("w", list(range(1, words + 1))).alias("s"))
+
+
+def _windows(tiles: DataFrame, items: DataFrame, similarity: float, tile: int, small: bool) -> DataFrame:
+    """``(doc, size, n, start)``: the windows that may be similar to an item of ``n`` words."""
+    at = tiles.select("doc", "size", "len", "tile", F.posexplode(F.slice("h", 1, tile)).alias("p", "h")).withColumn("pos", F.col("tile") * tile + F.col("p"))
+    known = items.select("key", "n", "size", F.size("s").alias("m"), F.explode(F.array_distinct("s")).alias("h"))
+    hits = at.join(F.broadcast(known) if small else known, ["size", "h"]).select("doc", "size", "len", "key", "n", "m", "pos")
+    ranked = hits.withColumn("r", F.row_number().over(W.partitionBy("doc", "size", "key").orderBy("pos")))
+    # of a window's a shingles and the item's m, at least that many are shared
+    need = F.greatest(F.lit(1), F.ceil(F.lit(similarity / (1 + similarity)) * (F.least("len", "m") + F.col("m")) - 1e-9)).cast("int")
+    first = ranked.select("doc", "size", "key", "n", "m", F.col("pos").alias("first"), F.greatest(F.lit(0), F.col("len") - F.col("m")).alias("latest"), (F.col("r") + need - 1).alias("r"))
+    last = ranked.select("doc", "size", "key", "r", F.col("pos").alias("last"))
+    both = first.join(last, ["doc", "size", "key", "r"]).withColumn("start", F.least("first", "latest"))
+    return both.where("last < start + m").select("doc", "size", "n", "m", "start").distinct()
 
 
 def contaminated(
@@ -82,51 +107,54 @@ def contaminated(
     similarity: float = 0.8,
     radius: int = 23,
     broadcast_rows: int = 200_000,
+    tile: int = 1024,
 ) -> DataFrame:
     """``(id, item, start, n_words, similarity, distance)``: the best window of each document and item."""
     if radius >= BLOCKS * (BLOCK_RADIUS + 1):
         raise ValueError(f"the blocks hold pairs within {BLOCKS * (BLOCK_RADIUS + 1) - 1} bits")
     bench = materialize(benchmark_items(items, id_col=item_col, text_col=item_text_col, words=words), "items")
-    per_size = {r["size"]: r["n"] for r in bench.groupBy("size").agg(F.sum(F.size("s")).alias("n")).collect()}  # ``words`` rows at most
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
-    windows = None
-    for size, n in sorted(per_size.items()):
-        # prefix filter: a similar window has at least similarity * |s| of the item's shingles
-        own = bench.where(F.col("size") == size).select("n", F.posexplode("s").alias("at", "h"), F.size("s").alias("m"), "item")
-        ranked = own.selectExpr("n", "at", "h", "row_number() over (partition by item order by h, at) as r", f"m - ceil({similarity} * m) + 1 as prefix")
-        anchors = ranked.where("r <= prefix").select("n", "at", "h").distinct()
-        hits = texts.select("id", F.posexplode(shingles_of(words_of(F.col("text")), size)).alias("pos", "h"))
-        met = hits.join(F.broadcast(anchors) if n <= broadcast_rows else anchors, "h")
-        met = met.select("id", F.greatest(F.lit(0), F.col("pos") - F.col("at")).alias("start"), "n", F.lit(size).alias("size"))
-        windows = met if windows is None else windows.unionByName(met)
-    if windows is None:
+    facts = {r["size"]: r for r in bench.groupBy("size").agg(F.sum(F.size("s")).alias("n"), F.max(F.size("s")).alias("longest")).collect()}  # ``words`` rows at most
+    if not facts:
         kinds = [f"id {docs.schema[id_col].dataType.simpleString()}", f"item {items.schema[item_col].dataType.simpleString()}"]
         return docs.sparkSession.createDataFrame([], ", ".join([*kinds, "start int, n_words int, similarity double, distance int"]))
-    # windows by document: at most one a word and item length
-    starts = materialize(windows.groupBy("id").agg(F.collect_set(F.struct("start", "n", "size")).alias("ws")), "windows")
-    again = texts.join(starts, texts["id"].eqNullSafe(starts["id"])).select(texts["id"], words_of(F.col("text")).alias("w"), "ws")
-    cut = again.select("id", "w", F.explode("ws").alias("x")).select("id", F.col("x.start").alias("start"), F.col("x.n").alias("n"), F.col("x.size").alias("size"), F.expr("slice(w, greatest(1, least(x.start, size(w) - x.n) + 1), x.n)").alias("w"))
-    s = F.when(F.lit(False), F.array().cast("array<bigint>"))
-    for k in sorted(per_size):
-        s = s.when(F.col("size") == k, shingles_of(F.col("w"), k))
-    shingled = cut.select("id", "start", "n", "size", s.alias("s")).where("size(s) > 0")
-    marked = materialize(shingled.select("*", simhash("s").alias("fp")), "fingerprints")
+    sizes, small = sorted(facts), sum(r["n"] for r in facts.values()) <= broadcast_rows
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
+    likely = None
+    for size in sizes:
+        own = bench.where(F.col("size") == size).select("key", F.size("s").alias("m"), F.explode("s").alias("h"))
+        shared = own.groupBy("h").agg(F.count("*").alias("items"))
+        ranked = own.join(shared, "h").selectExpr("h", "row_number() over (partition by key order by items, h) as r", f"m - ceil({similarity} * m - 1e-9) + 1 as prefix")
+        anchors = ranked.where("r <= prefix").select("h").distinct()
+        hits = texts.select("id", F.explode(shingles_of(words_of(F.col("text")), size)).alias("h"))
+        met = hits.join(F.broadcast(anchors) if small else anchors, "h", "left_semi").select("id")
+        likely = met if likely is None else likely.unionByName(met)
+    likely = materialize(likely.distinct(), "likely").withColumnRenamed("id", "likely_id")
+    # each text of such an id is a document of its own until the end; it is cut into overlapping tiles
+    chosen = materialize(texts.join(likely, F.col("id").eqNullSafe(F.col("likely_id")), "left_semi").select(F.monotonically_increasing_id().alias("doc"), "id", "text"), "chosen")
+    split = chosen.select("doc", words_of(F.col("text")).alias("w"), F.explode(F.array(*[F.lit(k) for k in sizes])).alias("size")).select("doc", "size", _by_size("w", sizes).alias("s")).where("size(s) > 0")
+    reach = tile + max(r["longest"] for r in facts.values())
+    cut = F.transform(F.sequence(F.lit(0), F.expr(f"(size(s) - 1) div {tile}").cast("int")), lambda t: F.struct(t.alias("tile"), F.slice("s", t * tile + 1, F.lit(reach)).alias("h")))
+    tiles = materialize(split.select("doc", "size", F.size("s").alias("len"), F.explode(cut).alias("t")).select("doc", "size", "len", "t.tile", "t.h"), "tiles")
+    found = _windows(tiles, bench, similarity, tile, small).withColumn("tile", F.expr(f"start div {tile}").cast("int"))
+    per_tile = found.groupBy("doc", "size", "tile").agg(F.collect_list(F.struct("start", "n", "m")).alias("ws"))  # ``tile`` starts at most, each of few lengths
+    sliced = F.transform("ws", lambda x: F.struct(x["start"].alias("start"), x["n"].alias("n"), F.slice("h", x["start"] - F.col("tile") * tile + 1, x["m"]).alias("s")))
+    windows = tiles.join(per_tile, ["doc", "size", "tile"]).select("doc", "size", F.explode(sliced).alias("x")).select("doc", "size", "x.start", "x.n", "x.s")
+    marked = materialize(windows.select("*", simhash("s").alias("fp")), "fingerprints")
     block = lambda k: F.shiftrightunsigned(F.col("fp"), BLOCK_BITS * k).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1).cast("long"))
     blocks = F.array(*[F.struct(F.lit(k).alias("block"), block(k).alias("v")) for k in range(BLOCKS)])
-    index = bench.select("item", "n", "size", F.col("s").alias("item_s"), simhash("s").alias("fp"))
-    index = index.select("item", "n", "size", F.col("fp").alias("item_fp"), F.explode(blocks).alias("b")).select(
-        "item", "n", "size", "item_fp", F.col("b.block").alias("block"),
+    index = bench.select("key", "n", "size", simhash("s").alias("fp"))
+    index = index.select("key", "n", "size", F.col("fp").alias("item_fp"), F.explode(blocks).alias("b")).select(
+        "key", "n", "size", "item_fp", F.col("b.block").alias("block"),
         F.explode(F.filter(F.sequence(F.lit(0).cast("long"), F.lit(255).cast("long")), lambda v: F.bit_count(v.bitwiseXOR(F.col("b.v"))) <= BLOCK_RADIUS)).alias("v"),
     )
-    probes = marked.select("id", "start", "n", "size", "fp", F.explode(blocks).alias("b")).select("id", "start", "n", "size", "fp", "b.block", "b.v")
+    probes = marked.select("doc", "start", "n", "size", "fp", F.explode(blocks).alias("b")).select("doc", "start", "n", "size", "fp", "b.block", "b.v")
     close = probes.join(index, ["n", "size", "block", "v"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
-    pairs = close.select("id", "start", "n", "size", "item", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))).alias("distance")).distinct()
-    p, m = pairs.alias("p"), marked.alias("m")
-    whole = p.join(m, F.col("p.id").eqNullSafe(F.col("m.id")) & (F.col("p.start") == F.col("m.start")) & (F.col("p.n") == F.col("m.n")) & (F.col("p.size") == F.col("m.size")))
-    whole = whole.select("p.*", F.col("m.s").alias("a")).join(bench.select("item", F.col("s").alias("b")), "item")
-    checked = whole.select("id", "item", "start", F.col("n").alias("n_words"), weighted_jaccard("a", "b").alias("similarity"), F.col("distance").cast("int").alias("distance")).where(F.col("similarity") >= similarity)
+    pairs = close.select("doc", "start", "n", "size", "key", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))).alias("distance")).distinct()
+    whole = pairs.join(marked.select("doc", "start", "n", "size", F.col("s").alias("a")), ["doc", "start", "n", "size"]).join(bench.select("key", "item", F.col("s").alias("b")), "key")
+    checked = whole.select("doc", "item", "start", F.col("n").alias("n_words"), weighted_jaccard("a", "b").alias("similarity"), F.col("distance").cast("int").alias("distance")).where(F.col("similarity") >= similarity)
+    named = checked.join(chosen.select("doc", "id"), "doc")
     best = F.max(F.struct("similarity", (-F.col("start")).alias("s"), "n_words", "distance"))
-    return checked.groupBy("id", "item").agg(best.alias("x")).select("id", "item", (-F.col("x.s")).alias("start"), "x.n_words", "x.similarity", "x.distance")
+    return named.groupBy("id", "item").agg(best.alias("x")).select("id", "item", (-F.col("x.s")).alias("start"), "x.n_words", "x.similarity", "x.distance")
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:

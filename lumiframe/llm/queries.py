@@ -108,7 +108,7 @@ dh AS (SELECT id, m, pos, array_to_string(w[pos + 1 : pos + 5], ' ') AS s FROM d
 bs AS (SELECT item, len(w) AS n, unnest(range(0, len(w) - 4)) AS at_, w FROM b WHERE len(w) >= 5),
 bh AS (SELECT item, n, at_, array_to_string(w[at_ + 1 : at_ + 5], ' ') AS s FROM bs),
 bc AS (SELECT item, n, s, count(*) AS c FROM bh GROUP BY ALL),
-wnd AS (SELECT DISTINCT id, item, n, greatest(0, least(pos - at_, m - n)) AS start FROM dh JOIN bh USING (s)),
+wnd AS (SELECT DISTINCT id, item, n, greatest(0, least(s0, m - n)) AS start FROM (SELECT id, item, n, m, unnest(range(pos - (n - 5), pos + 1)) AS s0 FROM dh JOIN bh USING (s))),
 wc AS (SELECT wnd.id, wnd.item, wnd.n, wnd.start, dh.s, count(*) AS c FROM wnd JOIN dh ON dh.id = wnd.id AND dh.pos >= wnd.start AND dh.pos <= wnd.start + wnd.n - 5 GROUP BY ALL),
 tot AS (SELECT id, item, n, start, sum(c) AS size FROM wc GROUP BY ALL),
 com AS (SELECT wc.id, wc.item, wc.start, sum(least(wc.c, bc.c)) AS common FROM wc JOIN bc ON wc.item = bc.item AND wc.s = bc.s GROUP BY ALL),

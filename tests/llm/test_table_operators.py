@@ -121,6 +121,39 @@ def test_decontamination_against_brute_force(spark):
     assert {(r.id, r.item) for r in shuffled} == set(got)
 
 
+def test_windows_are_not_bound_to_an_alignment(spark):
+    """Words put in near the start and taken out near the end: the two ends of a copy line up differently."""
+    rng = np.random.default_rng(15)
+    text = lambda n: " ".join(rng.choice(WORDS, n))
+    items = [(k, text(104)) for k in range(60)]
+    docs = []
+    for k, t in items:
+        w = t.split()
+        at, cut = int(rng.integers(6, 12)), int(rng.integers(90, 96))
+        docs.append((k, " ".join([text(30), *w[:at], "x1 x2 x3", *w[at:cut], *w[cut + 3 :], text(30)])))
+    want = brute_held(docs, items)
+    assert {(k, k) for k in range(60)} <= want
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.id, r.item) for r in decontam.contaminated(d, b).collect()} == want
+    assert {(r.id, r.item) for r in decontam.contaminated(d, b, tile=16).collect()} == want
+
+
+def test_items_without_an_id_or_of_one_id(spark):
+    rng = np.random.default_rng(16)
+    text = lambda n: " ".join(rng.choice(WORDS, n))
+    items = [(None, text(20)), (4, text(30)), (4, text(25))]
+    docs = [(k, text(9) + " " + t + " " + text(9)) for k, (_, t) in enumerate(items)] + [(9, text(50))]
+    found = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.id, r.item) for r in found.collect()} == {(0, None), (1, 4), (2, 4)}
+
+
+def test_decontamination_uses_no_python(spark):
+    d = spark.createDataFrame([(1, "a b c d e f g h")], "doc_id long, text string")
+    b = spark.createDataFrame([(1, "b c d e f g h")], "item_id long, text string")
+    plan = decontam.contaminated(d, b)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
 def test_a_contaminated_row_takes_no_other_row_with_it(spark):
     rng = np.random.default_rng(14)
     text = lambda n: " ".join(rng.choice(WORDS, n))
