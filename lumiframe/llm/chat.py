@@ -18,10 +18,13 @@ conversation of its own; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 START, END, SEP = "<|im_start|>", "<|im_end|>", "<|im_sep|>"
+CHUNK = 64
 
 
 def escape(c: Column) -> Column:
@@ -40,6 +43,29 @@ def unescape_role(c: Column) -> Column:
     return unescape(F.replace(c, F.lit("&nl;"), F.lit("\n")))
 
 
+def _chunks(array: Column) -> Column:
+    """An array cut into arrays of ``CHUNK``."""
+    starts = F.sequence(F.lit(0), F.floor(F.greatest(F.lit(0), F.size(array) - 1) / CHUNK).cast("int"))
+    return F.transform(starts, lambda k: F.slice(array, k * CHUNK + 1, F.lit(CHUNK)))
+
+
+def _bind(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with ``value`` as a lambda variable: it is made once a row, however often ``f`` names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _total(array: Column) -> Column:
+    return F.aggregate(array, F.lit(0).cast("long"), lambda s, v: s + v)
+
+
+def running_sums(numbers: Column) -> Column:
+    """Of an array of longs: the sum of all before each, by chunks, so that no step copies the whole array."""
+    parts = lambda x: F.transform(_chunks(x), lambda c: F.struct(c.alias("own"), _total(c).alias("sum")))
+    placed = lambda p: F.transform(p, lambda c, k: F.struct(c["own"].alias("own"), _total(F.transform(F.slice(p, F.lit(1), k), lambda b: b["sum"])).alias("before")))
+    each = lambda c: F.transform(c["own"], lambda v, j: c["before"] + _total(F.slice(c["own"], F.lit(1), j)))
+    return F.flatten(F.transform(_bind(_bind(numbers, parts), placed), each))
+
+
 def format_conversations(turns: DataFrame, *, assistant: str = "assistant") -> DataFrame:
     """``(conv_id, formatted, loss_spans)`` from ``turns`` (conv_id, turn, role, text)."""
     one = turns.select(
@@ -58,16 +84,13 @@ def format_conversations(turns: DataFrame, *, assistant: str = "assistant") -> D
         ),
     )
     marked = ordered.select("conv_id", edges.alias("p"))
-    # start of each text: lengths of what stands before it, added up in one pass over an array of longs
-    spans = F.expr(
-        f"""aggregate(p, named_struct('at', 0L, 'spans', cast(array() as array<struct<start: bigint, length: bigint>>)),
-            (acc, x) -> named_struct(
-                'at', acc.at + length(x.before) + length(x.body) + length(x.after),
-                'spans', if(x.role = '{assistant}', array_append(acc.spans, named_struct('start', acc.at + length(x.before), 'length', cast(length(x.body) as bigint))), acc.spans)),
-            acc -> acc.spans)"""
-    )
+    # start of each text: what stands before it, added up
+    sizes = F.transform("p", lambda x: (F.length(x["before"]) + F.length(x["body"]) + F.length(x["after"])).cast("long"))
+    measured = marked.select("conv_id", "p", running_sums(sizes).alias("at"))
+    every = F.zip_with("p", "at", lambda x, at: F.struct(x["role"].alias("role"), (at + F.length(x["before"])).alias("start"), F.length(x["body"]).cast("long").alias("length")))
+    spans = F.transform(F.filter(every, lambda x: x["role"] == F.lit(assistant)), lambda x: F.struct(x["start"].alias("start"), x["length"].alias("length")))
     text = F.array_join(F.transform("p", lambda x: F.concat(x["before"], x["body"], x["after"])), "")
-    return marked.select("conv_id", text.alias("formatted"), spans.alias("loss_spans"))
+    return measured.select("conv_id", text.alias("formatted"), spans.alias("loss_spans"))
 
 
 def read_back(formatted: DataFrame, *keep: str) -> DataFrame:
@@ -82,5 +105,12 @@ def read_back(formatted: DataFrame, *keep: str) -> DataFrame:
             ),
         )
     )
-    loss = F.array_join(F.transform("loss_spans", lambda s: unescape(F.substr("formatted", s["start"] + 1, s["length"]))), "")
+    # pieces of the text that hold CHUNK spans each, and the spans within them: no span is looked for in the whole text
+    last = lambda c: F.element_at(c, -1)
+    pieces = F.transform(
+        F.filter(_bind(F.col("loss_spans"), _chunks), lambda c: F.size(c) > 0),
+        lambda c: F.struct(c.alias("spans"), F.get(c, F.lit(0))["start"].alias("from"), F.substr("formatted", F.get(c, F.lit(0))["start"] + 1, last(c)["start"] + last(c)["length"] - F.get(c, F.lit(0))["start"]).alias("text")),
+    )
+    each = lambda p: F.transform(p["spans"], lambda s: unescape(F.substr(p["text"], s["start"] - p["from"] + 1, s["length"])))
+    loss = F.array_join(F.flatten(F.transform(pieces, each)), "")
     return formatted.select("conv_id", turns.alias("turns"), loss.alias("loss_text"), *keep)
