@@ -7,13 +7,22 @@ its segmentations* of the product of its pieces' probabilities, which the
 forward algorithm computes for all languages at once.  A text is the run of its
 words (letters only, lower case, each opened by the word mark).
 
-Training takes a bounded sample of labelled texts (``max_train_docs``); every
-text is scored whole.
+A piece's probability is ``1 - background`` of its learnt share and ``background``
+of a uniform one, so a piece that training never saw is worth the same in every
+language.  Words without any letter that training saw are evidence for none.
+
+Training takes a bounded sample of each language's labelled texts
+(``max_train_docs`` a language, of the ``max_languages`` most frequent labels, so
+that the model has a fixed size whatever the labels hold); every text is scored
+whole.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; so
-is every text if nothing could be learnt.  A run of over 64 letters is read as
-runs of 64.  Letters outside the vocabulary go through one unknown piece of
-fixed probability.  Ties go to the first language by name.
+is every text if nothing could be learnt.  A text with letters but no evidence
+(unlearnt scripts) gets the first language with score 1 / number of languages;
+:func:`keep_known_language` rejects texts most of whose words are no evidence.  A run of over 32 letters is read as
+runs of 32: each letter of a run is worth at least the background share, so no
+product underflows.  Letters outside the vocabulary go through one unknown piece
+of fixed probability.  Ties go to the first language by name.
 """
 
 from __future__ import annotations
@@ -30,11 +39,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, bounded_by_hash, fresh, materialize, tokenizer_path
+from .common import append_columns, discard, fresh, materialize, tokenizer_path
 
 _RUN = re.compile(r"[^\W\d_]+")
 _MARK = "▁"
-_LONGEST = 64
+_LONGEST = 32
 _UNKNOWN = 1e-7
 _PER_CHAR = 5.0  # each letter is worth e**-5 or so; taken out so that no product underflows
 
@@ -44,6 +53,7 @@ class LanguageModel:
     languages: list[str]
     pieces: list[str]
     probs: np.ndarray  # [piece, language]
+    letters: frozenset[str]  # that training saw
 
 
 def vocabulary(path: str | None = None) -> list[str]:
@@ -152,19 +162,25 @@ def fit(
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
-    max_train_docs: int = 16_000,
+    max_train_docs: int = 4_000,
+    max_languages: int = 256,
     rounds: int = 3,
-    smoothing: float = 0.05,
+    background: float = 1e-3,
     vocabulary_path: str | None = None,
 ) -> LanguageModel:
     """Learn piece probabilities from texts whose ``lang_col`` is not null.
 
-    At most about ``max_train_docs`` texts, chosen by a hash of the id.
+    Of each language about ``max_train_docs`` texts at most, chosen by a hash of id
+    and text; of over ``max_languages`` labels the most frequent are learnt.
     """
     spark = docs.sparkSession
     pieces = vocabulary(vocabulary_path)
     rows = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and k is not null")
-    rows = bounded_by_hash(rows, "k", max_train_docs, rows.select("k").count())
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()  # max_languages rows
+    keep = F.lit(False)
+    for r in sizes:
+        keep = keep | ((F.col("lang") == r["lang"]) & (F.col("at") < min(1 << 30, int(max_train_docs / r["n"] * (1 << 30)))))
+    rows = rows.withColumn("at", F.pmod(F.xxhash64("k", "t", F.lit("sample")), F.lit(1 << 30))).where(keep).drop("at")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -176,7 +192,9 @@ def fit(
 
     counts = rows.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     counts = materialize(counts, "words")
-    languages = sorted(r[0] for r in counts.select("lang").distinct().collect())  # as many as there are languages
+    languages = sorted(r["lang"] for r in counts.select("lang").distinct().collect())  # max_languages rows at most
+    # as many rows as there are letters at most
+    letters = frozenset(r[0] for r in counts.select(F.explode(F.split("word", ""))).distinct().collect())
     probs = {lang: np.full(len(pieces), 1 / len(pieces)) for lang in languages}
     for _ in range(rounds if languages else 0):
         sent = spark.sparkContext.broadcast((pieces, probs))
@@ -202,11 +220,13 @@ def fit(
         got = counts.mapInArrow(expect, "lang string, piece long, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toPandas()
         for lang in languages:
             own = got[got["lang"] == lang]
-            c = np.full(len(pieces), smoothing)
+            c = np.zeros(len(pieces))
             c[own["piece"].to_numpy()] += own["n"].to_numpy()
-            probs[lang] = c / c.sum()
+            share = c / c.sum() if c.any() else np.full(len(pieces), 1 / len(pieces))
+            probs[lang] = (1 - background) * share + background / len(pieces)
         sent.unpersist()
-    return LanguageModel(languages, pieces, np.array([probs[x] for x in languages]).T if languages else np.zeros((len(pieces), 0)))
+    discard(counts)
+    return LanguageModel(languages, pieces, np.array([probs[x] for x in languages]).T if languages else np.zeros((len(pieces), 0)), letters)
 
 
 class _Scores(dict):
@@ -224,11 +244,12 @@ class _Scores(dict):
         self.new: list[str] = []
         self.log = np.zeros((0, k))
 
-    def fill(self, lattice: _Lattice, probs: np.ndarray) -> None:
+    def fill(self, lattice: _Lattice, model: LanguageModel) -> None:
         if self.new:
             words = [_letters(w) for w in self.new]
+            probs = model.probs
             log = np.zeros((len(words), probs.shape[1]))
-            full = [k for k, w in enumerate(words) if w]
+            full = [k for k, w in enumerate(words) if not model.letters.isdisjoint(w)]
             for k in range(0, len(full), 20_000):
                 own = full[k : k + 20_000]
                 log[own] = lattice.forward([words[i] for i in own], probs)
@@ -236,9 +257,13 @@ class _Scores(dict):
             self.new = []
 
 
-def predict(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
-    """``docs`` and two columns: the language of each whole text and its posterior probability."""
+def predict(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score", evidence_out: str | None = None) -> DataFrame:
+    """``docs`` and two columns: the language of each whole text and its posterior probability.
+
+    ``evidence_out`` adds a third: the share of its words that have a learnt letter.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    fields = [T.StructField(lang_out, T.StringType()), T.StructField(score_out, T.DoubleType()), *([T.StructField(evidence_out, T.DoubleType())] if evidence_out else [])]
 
     def make():
         m = sent.value
@@ -248,32 +273,41 @@ def predict(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", la
         def run(texts: pa.Array) -> list[pa.Array]:
             langs: list[str] = []
             scores: list[float] = []
+            shares: list[float] = []
             texts = texts.to_pylist()
             for lo in range(0, len(texts), 500):
                 if len(cache) > _Scores.LIMIT:
                     cache.start(len(m.languages))
                 ids = []
                 for t in texts[lo : lo + 500]:
-                    w = words_of(t)
-                    ids.append(np.fromiter(map(cache.__getitem__, w), np.int64, len(w)))
-                cache.fill(lattice, m.probs)
+                    w = words_of(t) if m.languages else []
+                    lettered = any(map(_letters, w))
+                    ids.append(np.fromiter(map(cache.__getitem__, w), np.int64, len(w)) if lettered else None)
+                cache.fill(lattice, m)
                 for i in ids:
-                    total = cache.log[i].sum(0)
-                    if not len(total) or not total.any():
+                    if i is None:
                         langs.append("und")
                         scores.append(0.0)
+                        shares.append(0.0)
                         continue
+                    log = cache.log[i]
+                    total = log.sum(0)
+                    shares.append(float((log[:, 0] != 0).mean()))
                     best = int(total.argmax())
                     langs.append(m.languages[best])
                     scores.append(float(1 / np.exp(np.maximum(total - total[best], -700)).sum()))
-            return [pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
+            return [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(shares, pa.float64())][: len(fields)]
 
         return run
 
-    return append_columns(docs, text_col, [T.StructField(lang_out, T.StringType()), T.StructField(score_out, T.DoubleType())], make)
+    return append_columns(docs, text_col, fields, make)
 
 
-def keep_known_language(docs: DataFrame, model: LanguageModel, *, min_score: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows whose language is known with ``min_score`` or more, with the columns of ``docs``."""
-    lang, prob = fresh(docs, "_lang"), fresh(docs, "_prob")
-    return predict(docs, model, text_col=text_col, lang_out=lang, score_out=prob).where((F.col(lang) != "und") & (F.col(prob) >= min_score)).drop(lang, prob)
+def keep_known_language(docs: DataFrame, model: LanguageModel, *, min_score: float = 0.5, min_evidence: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows whose language is known with ``min_score`` or more, with the columns of ``docs``.
+
+    ``min_evidence`` of a text's words have a letter that training saw.
+    """
+    lang, prob, share = (fresh(docs, n) for n in ("_lang", "_prob", "_share"))
+    found = predict(docs, model, text_col=text_col, lang_out=lang, score_out=prob, evidence_out=share)
+    return found.where((F.col(lang) != "und") & (F.col(prob) >= min_score) & (F.col(share) >= min_evidence)).drop(lang, prob, share)
