@@ -4,9 +4,10 @@ A text's words (split at white space) and their shapes (letter case, digits and
 marks, runs collapsed) give unigrams and bigrams, hashed into ``2**bits``
 slots; a bigram of one word twice is a slot of its own.  Each of the four
 families counts as a distribution, so that length does not matter.  Training is
-follow-the-regularised-leader over a bounded sample of labelled rows
-(``max_train_rows``); scoring is a sparse dot product, broadcast weights of
-fixed size.
+follow-the-regularised-leader over a bounded sample of labelled rows (at most
+``max_train_rows`` of them and ``max_train_slots`` slots of features, so that the
+one task that makes the sequential updates has bounded memory whatever the texts'
+lengths); scoring is a sparse dot product, broadcast weights of fixed size.
 
 Defined cases: a null, empty or blank text has no features and gets the score
 of the bias alone; null labels are not learnt from; a document labelled twice
@@ -105,6 +106,7 @@ def fit(
     text_col: str = "text",
     label_col: str = "quality",
     max_train_rows: int = 16_000,
+    max_train_slots: int = 30_000_000,
     bits: int = 18,
     alpha: float = 0.3,
     beta: float = 0.05,
@@ -112,14 +114,16 @@ def fit(
     l2: float = 0.01,
     epochs: int = 3,
 ) -> QualityModel:
-    """Learn from the rows of ``labels``, of at most about ``max_train_rows`` of them.
+    """Learn from the rows of ``labels``, in the order of a hash, up to the two bounds.
 
     Features are made where the texts are; one task of bounded input runs the
-    sequential updates.
+    sequential updates.  Rows that share an id count each, up to the bounds.
     """
     known = labels.select(F.col(id_col).alias("k"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1) and k is not null")
-    known = bounded_by_hash(known, "k", max_train_rows, known.count())
-    rows = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).join(known, "k").select("k", "y", "t")
+    known = bounded_by_hash(known, ["k", "y"], max_train_rows, known.count())
+    rows = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).join(known, "k")
+    # an id that many rows share is thinned by its texts, so that the task's input is bounded as well
+    rows = bounded_by_hash(rows, ["k", "t", "y"], 2 * max_train_rows, rows.select("k").count()).select("k", "y", "t")
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
@@ -132,9 +136,12 @@ def fit(
 
     def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         z, n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
-        data = []
+        data, slots = [], 0
         for b in batches:
             for y, i, v in zip(b["y"], b["i"], b["v"]):
+                slots += len(i) // 4
+                if len(data) == max_train_rows or slots > max_train_slots:
+                    break
                 # the last slot is the bias
                 data.append((y, np.append(np.frombuffer(i, np.int32), np.int32(1 << bits)), np.append(np.frombuffer(v, np.float32), np.float32(1))))
         bias = np.int32(1 << bits)
