@@ -12,14 +12,24 @@ two).  They are learnt by expectation-maximisation on held-out counts: a tenth
 of the training texts is scored with the counts of the others.  Final scores
 use the counts of all training texts.
 
-How it runs.  Documents are dealt by a hash to blocks of bounded size.  Each
-block sends its distinct n-grams, as packed arrays of hashes and counts, to
+How it runs.  Documents are dealt by a hash to blocks of ``block_bytes`` of text.
+Each block sends its distinct n-grams, as packed arrays of hashes and counts, to
 shards of the hash space (a frequent n-gram comes once from each block); the
 shards add up and answer each block's question with the counts.  Blocks and
-answers then meet once more.  No n-gram table and no document is ever in one
-place, and the number of shuffled rows is that of blocks times shards.
+answers then meet once more, so texts are shuffled twice (a tenth of them, the
+held-out ones, a third time).  No n-gram table and no document is ever in one
+place.
 
-N-grams are told apart by 64-bit hashes (the shard and 48 bits travel).
+What travels is linear in the input: each block's distinct n-grams once, 7 bytes
+and a count each, and as many counts back.  They are packed in one row for each
+block and shard.  A shard is sized by what it can hold (``shard_bytes`` of
+packed n-grams), so there are fewer shards than blocks, and a row is only ever a
+wrapper: it never carries nothing, and there are never more rows than n-grams.
+Both bounds are memory bounds; larger executors take larger blocks and shards
+(rows fall with the product of the two).
+
+N-grams are told apart by 64-bit hashes, of which 56 bits and the shard travel.
+All counts are 64-bit where they need it.
 
 Defined cases: a null text is an empty one (the end token alone); a null id is
 never learnt from and not held out; repeated rows are texts of their own; with
@@ -86,18 +96,27 @@ def _cuts(hashes: np.ndarray, shards: int) -> np.ndarray:
     return np.searchsorted(shard, np.arange(shards + 1, dtype=np.uint64))
 
 
+_WIDTH = 7  # bytes of a hash that travel; the shard stands for its highest bits
+
+
 def _pack(hashes: np.ndarray) -> bytes:
-    return hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    return hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_WIDTH].tobytes()
 
 
 def _unpack(packed: bytes) -> np.ndarray:
-    out = np.zeros((len(packed) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(packed, np.uint8).reshape(-1, 6)
+    out = np.zeros((len(packed) // _WIDTH, 8), np.uint8)
+    out[:, :_WIDTH] = np.frombuffer(packed, np.uint8).reshape(-1, _WIDTH)
     return out.view("<u8").ravel()
 
 
+def _counts(x: np.ndarray) -> bytes:
+    """Counts as four bytes each, or eight if one needs them; the first byte says which."""
+    width = 8 if len(x) and x.max() >= 1 << 32 else 4
+    return bytes([width]) + x.astype(f"<u{width}").tobytes()
+
+
 def _numbers(b: bytes) -> np.ndarray:
-    return np.frombuffer(b, "<u4").astype(np.int64)
+    return np.frombuffer(b, f"<u{b[0]}", offset=1).astype(np.int64) if b else np.empty(0, np.int64)
 
 
 _ASKED = "shard int, block int, role int, words binary, word_n binary, pairs binary, pair_n binary"
@@ -119,7 +138,7 @@ def _ask(shards: int) -> Callable[[pa.Table], pa.Table]:
         for s in range(shards):
             w, p = slice(cw[s], cw[s + 1]), slice(cp[s], cp[s + 1])
             if w.stop > w.start or p.stop > p.start:
-                rows.append((s, block, role, _pack(b.words[w]), b.word_count[w].astype("<u4").tobytes(), _pack(b.pairs[p]), b.pair_count[p].astype("<u4").tobytes()))
+                rows.append((s, block, role, _pack(b.words[w]), _counts(b.word_count[w]), _pack(b.pairs[p]), _counts(b.pair_count[p])))
         return _batch(rows, _ASKED)
 
     return run
@@ -140,8 +159,8 @@ def _tell(t: pa.Table) -> pa.Table:
         _, back = np.unique(np.concatenate(asked), return_inverse=True)
         ends = np.cumsum(size)
         for key, known in ((name, each != OTHER), (f"{name}_main", each == MAIN)):
-            count = np.bincount(back, np.where(known, n, 0)).astype(np.int64)
-            answers[key] = [count[back[e - s : e]].astype("<u4").tobytes() if key == name or role[k] == HELD else b"" for k, (s, e) in enumerate(zip(size, ends))]
+            count = np.bincount(back, np.where(known, n, 0)).astype(np.int64)  # exact up to 2**53
+            answers[key] = [_counts(count[back[e - s : e]]) if key == name or role[k] == HELD else b"" for k, (s, e) in enumerate(zip(size, ends))]
             if name == "words":
                 totals += [int(count.sum()), int((count > 0).sum())]
     rows = [(b, shard, answers["words"][k], answers["pairs"][k], answers["words_main"][k], answers["pairs_main"][k], 0, 0, 0, 0) for k, b in enumerate(blocks)]
@@ -160,6 +179,11 @@ def bucket(context_count: np.ndarray) -> np.ndarray:
     return np.where(context_count > 0, np.minimum(np.frexp(np.maximum(context_count, 1).astype(float))[1], BUCKETS - 1), 0)
 
 
+def mixture(weights: np.ndarray, p2: np.ndarray, p1: np.ndarray, vocabulary: int) -> np.ndarray:
+    """P(word | context), from the context's weights and the two estimates."""
+    return weights[:, 0] * p2 + weights[:, 1] * p1 + weights[:, 2] / (vocabulary + 1)
+
+
 def _parts(context: np.ndarray, word: np.ndarray, pair: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return bucket(context), pair / np.maximum(context, 1), word / max(n, 1)
 
@@ -198,12 +222,16 @@ def score(
     id_col: str = "doc_id",
     text_col: str = "text",
     block_bytes: int = 20_000_000,
+    shard_bytes: int = 32_000_000,
     rounds: int = 8,
 ) -> DataFrame:
     """``(id, n_tokens, n_known, train_tokens, base_score, score)`` of each row; counts from rows where ``learn`` holds."""
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length(text_col)).alias("s")).first()["s"] or 0
-    count = max(-(-size // block_bytes), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    count = max(-(-size // block_bytes), least)
+    # packed n-grams are about as large as the texts
+    shards = max(-(-size // shard_bytes), min(least, 12))
     held = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("held")), F.lit(10)) == 0
     role = F.when(~F.coalesce(learn, F.lit(False)), OTHER).when(held, HELD).otherwise(MAIN)
     each = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), role.alias("role"), F.pmod(F.xxhash64(id_col, text_col), F.lit(count)).cast("int").alias("b"))
@@ -211,7 +239,7 @@ def score(
     some = max(1, count // 8)
     block = F.when(F.col("role") == MAIN, F.col("b")).otherwise(F.lit(count) + (F.col("role") - 1) * some + F.col("b") % some).cast("int")
     blocks = each.select("id", "text", "role", block.alias("block"))
-    asked = blocks.groupBy("block").applyInArrow(_ask(count), _ASKED)
+    asked = blocks.groupBy("block").applyInArrow(_ask(shards), _ASKED)
     told = materialize(asked.groupBy("shard").applyInArrow(_tell, _TOLD), "counts")
     n, v, n_main, v_main = (x or 0 for x in told.where("block = -1").agg(*[F.sum(c) for c in ("n", "v", "n_main", "v_main")]).first())
     answers = told.where("block >= 0").select("block", "shard", "words", "pairs")
@@ -232,8 +260,7 @@ def score(
         b = Block(t.column("text").to_pylist())
         words, pairs = _joined(a, "words"), _joined(a, "pairs")
         k, p2, p1 = _parts(words[b.v[b.first]], words[b.w[b.first]], pairs, n)
-        l = weights[k]
-        of_pair = np.log10(l[:, 0] * p2 + l[:, 1] * p1 + l[:, 2] / (v + 1))
+        of_pair = np.log10(mixture(weights[k], p2, p1, v))
         of_word = np.log10((words + 0.1) / (n + 0.1 * (v + 1)))
         starts = np.cumsum(b.sizes) - b.sizes
         add = lambda x: np.add.reduceat(x, starts) if len(starts) else x
