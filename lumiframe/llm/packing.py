@@ -1,8 +1,8 @@
 """Packing of tokenised documents by shortest-pack-first over the length histogram.
 
-1. Each text is tokenised (public byte-level BPE; special strings as ordinary
-   text, or with ``special`` as their ids), closed by id 0, and cut into pieces of
-   at most ``capacity`` ids.
+1. Each text is tokenised (public byte-level BPE; the vocabulary's added token is
+   matched in texts unless ``special`` is false), closed by id 0, and cut into
+   pieces of at most ``capacity`` ids.
 2. The histogram of piece lengths, at most ``capacity`` numbers whatever the
    corpus, is packed: lengths longest first, each into the pattern with the most
    room (the shortest pack) that still fits, updating the patterns' counts.
@@ -35,13 +35,13 @@ class Tokenize:
 
     The ranks of ``byte_bpe_50k.tiktoken`` are the vocabulary and the merges of
     ``byte_bpe_50k.json``; the ids are equal (tests compare them), and this reader
-    takes a quarter of the time.  ``special``: the file's added token is matched in
-    texts, as ``tokenizers`` does unless ``encode_special_tokens`` is set.
+    takes a quarter of the time.  The file's added token is matched in texts, as
+    ``tokenizers`` does; ``special=False`` reads it as ordinary text.
     """
 
     SPECIAL = {"<|endoftext|>": 50256}
 
-    def __init__(self, path: str | None = None, special: bool = False) -> None:
+    def __init__(self, path: str | None = None, special: bool = True) -> None:
         import public_tokenizers
         import tiktoken
 
@@ -61,7 +61,7 @@ def pieces(
     capacity: int = 1024,
     with_ids: bool = True,
     tokenizer: str | None = None,
-    special: bool = False,
+    special: bool = True,
 ) -> DataFrame:
     """``(doc_id, start, length, ids_crc32, doc_tokens[, ids])``, a row per piece."""
     fields = [T.StructField("doc_id", docs.schema[id_col].dataType), *[T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32", "doc_tokens")]]
@@ -152,6 +152,6 @@ def pack(found: DataFrame, *, capacity: int = 1024, rows_per_rank_group: int = 1
     return at.select(*found.columns, (F.col("slot.first") + F.col("rank") - F.col("slot.rank0")).alias("sequence_id"), F.col("slot.offset").alias("offset"))
 
 
-def pack_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, with_ids: bool = False, tokenizer: str | None = None, special: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, with_ids: bool = False, tokenizer: str | None = None, special: bool = True) -> DataFrame:
     """Pieces of all documents and their places; with ``with_ids`` also the ids themselves."""
     return pack(materialize(pieces(docs, id_col=id_col, text_col=text_col, capacity=capacity, with_ids=with_ids, tokenizer=tokenizer, special=special), "pieces", batch_rows=2000), capacity=capacity)
