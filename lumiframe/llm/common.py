@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from weakref import WeakKeyDictionary
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,19 +14,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _OWN_DIR: list[str] = []
+_WRITTEN: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 _SLICE = 1000
 _BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``.
+    """The folder that all executors share: ``spark.checkpoint.dir``, else the context's checkpoint folder.
 
-    Only where the session leaves it unset (tests, local mode) is a temporary
-    folder made and used.
+    Only where the session leaves both unset *and* runs in local mode (tests) is a
+    temporary folder made and used; on a cluster that is an error.
     """
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if at:
         return at.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _OWN_DIR:
         _OWN_DIR.append(tempfile.mkdtemp(prefix="spark-lumiframe-"))
     return _OWN_DIR[0]
@@ -48,7 +52,23 @@ def materialize(df: DataFrame, name: str, *, batch_rows: int | None = None) -> D
     finally:
         if batch_rows:
             spark.conf.set(_BATCH_ROWS, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[out] = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables that :func:`materialize` wrote, once nothing that is still to run reads them.
+
+    Other frames, and None, are left alone.  Deletion goes through the file system
+    of the path, wherever it is.
+    """
+    for df in tables:
+        path = _WRITTEN.pop(df, None) if df is not None else None
+        if path:
+            spark = df.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,11 +95,12 @@ def with_row_key(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return materialize(df.withColumn(key, F.monotonically_increasing_id()), name), key
 
 
-def bounded_by_hash(df: DataFrame, key: str, bound: int, total: int) -> DataFrame:
+def bounded_by_hash(df: DataFrame, key: str | list[str], bound: int, total: int) -> DataFrame:
     """About ``bound`` of the ``total`` rows, the same ones in every run, without a sort."""
     if total <= bound:
         return df
-    return df.where(F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1 << 30)) < int(bound / total * (1 << 30)))
+    keys = [key] if isinstance(key, str) else key
+    return df.where(F.pmod(F.xxhash64(*keys, F.lit("sample")), F.lit(1 << 30)) < int(bound / total * (1 << 30)))
 
 
 def append_columns(

@@ -3,15 +3,29 @@
 Each step is one aggregation (min of the neighbours, combined before the
 shuffle) and one join, so a hub with a third of all edges is only a skewed join,
 which adaptive execution splits.  Nothing is collected; each round's edges are
-written to the shared folder.
+written to the shared folder, and deleted when the next round's are there.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
+
+
+def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """For each of ``n`` nodes the smallest node that edges a-b reach."""
+    label = np.arange(n)
+    while True:
+        new = label.copy()
+        np.minimum.at(new, a, label[b])
+        np.minimum.at(new, b, label[a])
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -34,10 +48,12 @@ def connected_components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame
     are allowed; an empty table gives an empty result; null ends are left out.
     """
     edges = materialize(edges.select("a", "b").where("a is not null and b is not null"), "edges")
-    nodes_alone = edges.where("a = b").select(F.col("a").alias("node")).distinct()
-    now, before = edges.where("a <> b").distinct(), None
+    alone = edges.where("a = b").select(F.col("a").alias("node"), F.col("b").alias("root"))
+    now, written, before = edges.where("a <> b").distinct(), None, None
     for _ in range(max_rounds):
-        now = materialize(_small_star(_large_star(now).distinct()).distinct(), "star")
+        last, now = written, materialize(_small_star(_large_star(now).distinct()).distinct(), "star")
+        written = now
+        discard(last)
         mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
         if mark == before or mark[0] == 0:
             break
@@ -47,5 +63,4 @@ def connected_components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame
     # a node may appear in several edges only until the star is reached; min() is then exact
     members = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("root"))
-    alone = nodes_alone.select("node", F.col("node").alias("root"))
     return members.unionByName(roots).unionByName(alone).groupBy("node").agg(F.min("root").alias("root"))

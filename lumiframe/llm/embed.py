@@ -5,8 +5,9 @@
    tables (fixed seed).  Rows share a bucket if label, table and signature agree.
    Buckets of one row are dropped before any vector is moved.
 3. Vectors of a bucket are compared by exact double-precision cosine.  A bucket
-   over ``block`` rows is cut into blocks, and each pair of blocks is a task of
-   its own, so no bucket has to fit in one task and no pair is left out.
+   over ``block`` rows is cut into blocks, and each pair of blocks is a task's group
+   of its own, so no bucket has to fit in one task and no pair is left out.  A
+   row moves once for each block of its bucket.
 4. A pair that shares several buckets counts in the first table it shares only;
    tasks return each vector's number of links, and as edges only a spanning
    forest of what they linked, never all pairs.
@@ -33,8 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
-from .components import connected_components
+from .common import discard, materialize
+from .components import connected_components, forest
 
 
 def _planes(dim: int, bits: int, tables: int, seed: int) -> np.ndarray:
@@ -69,19 +70,6 @@ def table_shape(n: int, threshold: float, miss: float = 0.003) -> tuple[int, int
     return bits, int(np.ceil(np.log(miss) / np.log(1 - agree)))
 
 
-def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """For each of ``n`` nodes the smallest node that edges a-b reach."""
-    label = np.arange(n)
-    while True:
-        new = label.copy()
-        np.minimum.at(new, a, label[b])
-        np.minimum.at(new, b, label[a])
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def near_duplicates(
     vectors: DataFrame,
     *,
@@ -91,7 +79,7 @@ def near_duplicates(
     threshold: float = 0.98,
     bits: int | None = None,
     tables: int | None = None,
-    block: int = 1024,
+    block: int = 4096,
 ) -> DataFrame:
     """``(id, n_links, component_id, kept)`` for each row.
 
@@ -140,7 +128,7 @@ def near_duplicates(
             a, b = np.nonzero(ok)
             if len(a):  # each node to the first of its component here: as many edges as nodes
                 node = np.concatenate([l, right])
-                root = node[_forest(a, len(l) + b, len(node))]
+                root = node[forest(a, len(l) + b, len(node))]
                 met = np.unique(np.concatenate([a, len(l) + b]))
                 edges.append((rep[node[met]], rep[root[met]]))
         some = np.flatnonzero(n)

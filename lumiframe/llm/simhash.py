@@ -14,10 +14,14 @@ Search, over the *distinct* fingerprints only:
    ``radius - m + 1`` (-1: not probed), for each ``m``; the cheapest plan is used;
 3. each fingerprint is indexed under its value in each partition and probes all
    values within the threshold; candidates are verified by their Hamming distance;
-4. a value that over ``crowded`` fingerprints share is not expanded into pairs:
-   its members meet, exactly, in the centres of radius ``radius / 2`` around
-   them (two fingerprints within 2 bits have a common neighbour within 1 bit), so
-   the cost is linear in the group.
+4. a value that over ``crowded`` fingerprints share is not expanded into pairs.
+   At radius 2 its members meet, exactly, in the centres around them (two
+   fingerprints within 2 bits have a common neighbour within 1 bit), so the cost is
+   linear in the group.  At any other radius they are compared by blocks, and each
+   pair of blocks returns only a spanning forest of its links.
+
+The plan keeps values uncrowded as the table grows: beyond some 40 million
+fingerprints it takes two partitions of 32 bits, one probed within one bit.
 
 Then connected components.  Copies never meet: they share a fingerprint.
 
@@ -41,7 +45,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import append_columns, fresh, materialize, with_row_key
-from .components import connected_components
+from .components import connected_components, forest
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)  # byte -> its bits, high first
 
@@ -168,15 +172,40 @@ def _flips(bits: list[int], t: int) -> list[int]:
     return [_mask(list(c)) for k in range(1, t + 1) for c in combinations(bits, k)]
 
 
-def links(fps: DataFrame, *, radius: int = 2, crowded: int = 64) -> DataFrame:
+def _crowd_links(met: DataFrame, radius: int, block: int) -> DataFrame:
+    """Edges (a, b) among the fingerprints of crowded values (rows fp, part, v, index), in blocks."""
+    sizes = met.groupBy("part", "v").agg(F.ceil(F.count("*") / block).cast("int").alias("ni"), F.ceil(F.sum(F.col("index").cast("int")) / block).cast("int").alias("nj"))
+    both = met.join(sizes, ["part", "v"])
+    at = lambda n: F.pmod(F.xxhash64("fp", F.lit("block")), F.col(n)).cast("int")
+    probes = both.select("part", "v", "fp", F.lit(False).alias("index"), at("ni").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nj") - 1)).alias("j"))
+    known = both.where("index").select("part", "v", "fp", "index", F.explode(F.sequence(F.lit(0), F.col("ni") - 1)).alias("i"), at("nj").alias("j"))
+
+    def run(t: pa.Table) -> pa.Table:
+        fp, index = t.column("fp").to_numpy(), t.column("index").to_numpy()
+        node, place = np.unique(fp, return_inverse=True)
+        left, right = np.unique(place[~index]), np.unique(place[index])
+        a, b = [], []
+        for lo in range(0, len(left), 512):
+            own = left[lo : lo + 512]
+            i, j = np.nonzero(np.bitwise_count(node[own].view(np.uint64)[:, None] ^ node[right].view(np.uint64)) <= radius)
+            a.append(own[i])
+            b.append(right[j])
+        root = forest(np.concatenate(a), np.concatenate(b), len(node)) if a else np.arange(len(node))
+        far = np.flatnonzero(root != np.arange(len(node)))
+        return pa.table({"a": node[root[far]], "b": node[far]})
+
+    return probes.unionByName(known).groupBy("part", "v", "i", "j").applyInArrow(run, "a long, b long")
+
+
+def links(fps: DataFrame, *, radius: int = 2, crowded: int = 64, block: int = 4096) -> DataFrame:
     """Edges (a, b) among the distinct fingerprints of ``fps`` (column fp).
 
-    All are true links (``radius`` or fewer bits differ), and they connect exactly
-    what all links connect: where over ``crowded`` share a value, the centres they
-    have in common stand for the pairs.
+    They connect exactly what all links (``radius`` or fewer bits differ) connect:
+    where over ``crowded`` share a value, the centres that they have in common, or a
+    spanning forest of their links, stand for the pairs.  At radius 2 all are links.
     """
-    if radius != 2:
-        raise ValueError("centres of one bit stand for links of two bits: radius is 2")
+    if radius < 1:
+        raise ValueError("distinct fingerprints differ in one bit at least")
     n, both = bit_moments(fps)
     if n < 2:
         return fps.select(F.col("fp").alias("a"), F.col("fp").alias("b")).where("false")
@@ -196,7 +225,10 @@ def links(fps: DataFrame, *, radius: int = 2, crowded: int = 64) -> DataFrame:
     b = few.where("index").select("part", "v", F.col("fp").alias("b"))
     pairs = a.join(b, ["part", "v"]).where("a <> b and (a < b or not ai)").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    many = met.where(F.col("n") > crowded).select("fp").distinct()
+    many = met.where(F.col("n") > crowded)
+    if radius != 2:
+        return pairs.unionByName(_crowd_links(many.select("fp", "part", "v", "index"), radius, block)).distinct()
+    many = many.select("fp").distinct()
     centre = many.select("fp", F.explode(F.concat(F.array("fp"), F.transform(F.array(*[F.lit(x).cast("long") for x in _flips(list(range(64)), 1)]), lambda x: F.col("fp").bitwiseXOR(x)))).alias("c"))
     least = centre.groupBy("c").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
     through = centre.join(least, "c").where("fp <> a").select("a", F.col("fp").alias("b"))
@@ -242,13 +274,12 @@ def shingle_hashes(text: str | None, hashes: _WordHashes, words: int) -> np.ndar
     return out
 
 
-def sketch(shingles: np.ndarray) -> tuple[int, np.ndarray]:
-    """SimHash of all distinct shingles, and of twelve min-wise samples of three of them.
+def sketch(u: np.ndarray) -> tuple[int, np.ndarray]:
+    """Of distinct shingles: SimHash of all, and of twelve min-wise samples of three of them.
 
     Two texts of Jaccard similarity 0.8 take the same sample with probability 0.51
     each, and then agree in its fingerprint.
     """
-    u = np.unique(shingles)
     ones = np.unpackbits(u.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
     whole = int.from_bytes(np.packbits(ones * 2 > len(u)).tobytes(), "big")
     samples = np.zeros(len(_SEEDS), np.uint64)
@@ -262,7 +293,7 @@ def sketch(shingles: np.ndarray) -> tuple[int, np.ndarray]:
 
 
 def _sketches(docs: DataFrame, words: int) -> DataFrame:
-    """(id, d1, d2, n, fp, samples): digest of the text, number of shingles, fingerprints."""
+    """(id, d1, d2, n, fp, samples): digest of the text, number of distinct shingles, fingerprints."""
     fields = [T.StructField("d1", T.LongType()), T.StructField("d2", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("fp", T.LongType()), T.StructField("samples", T.ArrayType(T.LongType()))]
 
     def make():
@@ -274,6 +305,7 @@ def _sketches(docs: DataFrame, words: int) -> DataFrame:
                 raw = (t or "").encode("utf-8", "replace")
                 d.append(xxhash.xxh3_128_digest(raw))
                 h = shingle_hashes(t, hashes, words)
+                h = np.unique(h)
                 n.append(len(h))
                 whole, samples = sketch(h) if len(h) else (0, None)
                 f.append(whole)
@@ -474,9 +506,9 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             met = left.join(own, ["t", "s"]).select("id", "c")
         new = met.select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b"))
         new = (new.unionByName(pairs) if k == 0 else new).where("a <> b").distinct()
-        sized = new.join(facts.select(F.col("id").alias("a"), F.col("fp").alias("fa")), "a").join(facts.select(F.col("id").alias("b"), F.col("fp").alias("fb")), "b")
-        # shingle sets of that similarity have fingerprints within 24 bits: 12 on average, standard deviation 3
-        likely = sized.where(F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= 24).select("a", "b")
+        sized = new.join(facts.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(facts.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
+        # sets of that similarity are of sizes within it: nothing similar is passed over
+        likely = sized.where(F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-9).select("a", "b")
         good = materialize(_similar(likely, sets, similarity), "checked", batch_rows=300).where("ok").select("a", "b")
         found = good if found is None else found.unionByName(good)
         roots = materialize(connected_components(found), "roots")
