@@ -66,6 +66,28 @@ def test_revisits_against_brute_force(spark, chunk):
     assert warc.resolve_revisits(df.where("false")).count() == 0
 
 
+def test_repeated_responses_do_not_multiply_revisits(spark):
+    rows = [
+        (1, "response", "http://a.com/x", 10, {"etag": '"1"', "x": "a"}), (1, "response", "http://a.com/x", 10, {"etag": '"1"', "x": "a"}), (1, "response", "http://a.com/x", 10, {"etag": '"1"', "x": "b"}),
+        (1, "response", "http://b.com/", 5, None), (2, "revisit", "http://a.com/x", 11, {"etag": '"1"'}), (3, "revisit", "http://a.com/x", 11, {"etag": '"1"'}),
+    ]
+    df = spark.createDataFrame(rows, "record_id long, type string, url string, time long, headers map<string,string>")
+    got = sorted((r.record_id, r.status, r.response_id, r.headers["x"]) for r in warc.resolve_revisits(df).collect())
+    assert got == [(2, "resolved", 1, "b"), (3, "resolved", 1, "b")]
+
+
+def test_a_url_of_any_size_is_cut(spark):
+    """Times that crowd together: the parts of a hot URL are cut again until all are small."""
+    t = F.when(F.col("id") < 100, F.col("id") * 1_000_000).otherwise(F.col("id"))
+    points = spark.range(30_000).select(F.lit("k").alias("k"), t.alias("t"), F.col("id").alias("r"))
+    cut = warc._cut(points, 50)
+    sizes = cut.groupBy("k", "c").count().agg(F.max("count"), F.count("*")).first()
+    assert sizes[0] <= 50 and sizes[1] < 6000 and cut.count() == 30_000
+    assert cut.where("c > t").count() == 0
+    spans = cut.groupBy("c").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).orderBy("c").collect()
+    assert all(a.hi < b.lo for a, b in zip(spans, spans[1:]))
+
+
 # ---------------------------------------------------------------- decontamination
 
 WORDS = [f"w{k}" for k in range(500)]
@@ -208,6 +230,16 @@ def test_chat_round_trip(spark):
     assert chat.format_conversations(df.where("false")).count() == 0
 
 
+def test_chat_of_many_turns(spark):
+    """Sums and spans by chunks: exact at every size around a chunk's, and far from quadratic."""
+    for n in (1, 63, 64, 65, 128, 129, 20_000):
+        one = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "us'er").otherwise("assi'stant").alias("role"), F.concat(F.lit("é<|"), F.col("id")).alias("text"))
+        made = chat.format_conversations(one, assistant="assi'stant")
+        r = chat.read_back(made, "formatted", "loss_spans").first()
+        assert r.loss_text == "".join(f"é<|{k}" for k in range(1, n, 2)) and len(r.turns) == n
+        assert [r.formatted[s.start : s.start + s.length] for s in r.loss_spans] == [f"é&lt;|{k}" for k in range(1, n, 2)]
+
+
 def test_chat_uses_no_python(spark):
     df = spark.createDataFrame([(1, 1, "user", "x")], "conv_id long, turn long, role string, text string")
     for d in (chat.read_back(chat.format_conversations(df)),):

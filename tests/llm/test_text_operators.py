@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -97,6 +98,62 @@ def test_language_of_nothing(spark):
     assert langid.predict(docs.where("false"), model, lang_out="guess", score_out="prob").count() == 0
 
 
+def test_posterior_of_whole_texts(spark):
+    """The score is the share of exp(sum of log P(word | language)) among the languages."""
+    rng = np.random.default_rng(17)
+    de = ["der", "haus", "und", "grün", "wasser", "nicht"]
+    docs = frame(spark, [(k, sentence(rng, 3, de if k % 2 else WORDS), "de" if k % 2 else "en") for k in range(30)])
+    model = langid.fit(docs)
+    asked = ["der house und nicht", "the wasser", "grün green", "haus " * 3 + "the near", "x1y2z the"]
+    at = {p: k for k, p in enumerate(model.pieces)}
+
+    def word(s, k):
+        if not s:
+            return 1.0
+        total = sum(model.probs[at[s[:n]], k] * word(s[n:], k) for n in range(1, len(s) + 1) if s[:n] in at)
+        return total + (0 if s[0] in at else langid._UNKNOWN * word(s[1:], k))
+
+    for r in langid.predict(frame(spark, [(k, t, None) for k, t in enumerate(asked)]), model, lang_out="guess", score_out="prob").collect():
+        log = [sum(math.log(word("▁" + w, k)) for w in langid.words_of(r.text) if model.letters & set(w)) for k in range(2)]
+        post = np.exp(np.array(log) - max(log))
+        assert r.guess == model.languages[int(np.argmax(log))] and r.prob == pytest.approx(max(post) / post.sum(), rel=1e-9)
+
+
+def test_unlearnt_scripts_are_no_evidence(spark):
+    rng = np.random.default_rng(18)
+    de = ["der", "haus", "und", "grün", "bäume", "stehen", "wasser", "jeden"]
+    docs = frame(spark, [(k, sentence(rng, 30, de if k % 3 else WORDS), "de" if k % 3 else "en") for k in range(90)])
+    model = langid.fit(docs)
+    texts = ["Все люди рождаются свободными и равными", "漢字" * 100, "ж" * 64, "ж" * 5000, "ψ" * 64 + " λ" * 70, "q" * 64, "x" * 100_000]
+    got = {r.text: r for r in langid.predict(frame(spark, [(k, t, None) for k, t in enumerate(texts)]), model, lang_out="guess", score_out="prob").collect()}
+    for t in texts:
+        assert got[t].guess in model.languages and math.isfinite(got[t].prob)
+        if t[0] not in "qx":
+            assert (got[t].guess, got[t].prob) == ("de", pytest.approx(0.5))
+    kept = langid.keep_known_language(frame(spark, [(k, t, None) for k, t in enumerate(texts)] + [(9, "the house is red and the trees are green", None)]), model)
+    assert {r.doc_id for r in kept.collect()} <= {5, 6, 9} and kept.where("doc_id = 9").count() == 1
+
+
+def test_no_product_underflows():
+    """A run of the least likely letters, under a model of many pieces, stays finite."""
+    pieces = langid.vocabulary()
+    floor = np.full((len(pieces), 2), 1e-3 / len(pieces))
+    words = langid.words_of("ж" * 64 + " " + "z" * 5000 + " 漢" * 3)
+    assert np.isfinite(langid._Lattice(pieces).forward(words, floor)).all()
+
+
+def test_rare_languages_and_dirty_labels(spark):
+    """A rare language is learnt from all of its texts; labels beyond the most frequent are not learnt."""
+    rng = np.random.default_rng(19)
+    it = ["casa", "rossa", "alberi", "acqua", "ogni", "mattina"]
+    rows = [(k, sentence(rng, 20), "en") for k in range(400)] + [(1000 + k, sentence(rng, 20, it), "it") for k in range(3)]
+    rows += [(2000 + k, "zz", f"label {k}") for k in range(50)]
+    model = langid.fit(frame(spark, rows), max_train_docs=20, max_languages=2)
+    assert model.languages == ["en", "it"] and model.probs.shape[1] == 2
+    got = langid.predict(frame(spark, [(1, sentence(rng, 20, it), None)]), model, lang_out="guess", score_out="prob").first()
+    assert got.guess == "it" and got.prob > 0.9
+
+
 # ---------------------------------------------------------------- quality
 
 
@@ -114,6 +171,68 @@ def test_quality_learns_junk_and_keeps_columns(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.where("doc_id < 150").collect()} == {k for k in range(150) if k % 3}
 
 
+def plain_ftrl(rows, bits, alpha=0.3, beta=0.05, l1=0.002, l2=0.01, epochs=3):
+    """FTRL-proximal, slot by slot; a missing slot counts as zero."""
+    z, n = defaultdict(float), defaultdict(float)
+
+    def w(i):
+        if i != "bias" and abs(z[i]) <= l1:
+            return 0.0
+        return -(z[i] - math.copysign(l1, z[i]) * (z[i] != 0)) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    for _ in range(epochs):
+        for x, y in rows:
+            x = x | {"bias": 1.0}
+            now = {i: w(i) for i in x}
+            p = 1 / (1 + math.exp(-sum(now[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (p - y) * v
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha * now[i]
+                n[i] += g * g
+    return {i: w(i) for i in [*range(1 << bits), "bias"]}
+
+
+def test_training_and_scores_against_plain_ftrl(spark):
+    rng = np.random.default_rng(20)
+    rows = [(k, sentence(rng, int(rng.integers(0, 30)), WORDS if k % 2 else ["Buy", "NOW", "the", "house", "9.99", "now!!"]), "en") for k in range(60)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int")
+    model = quality.fit(frame(spark, rows), labels, bits=10)
+    order = [r.k for r in labels.select(F.col("doc_id").alias("k")).orderBy(F.xxhash64("k"), "k").collect()]
+    texts, words = {k: t for k, t, _ in rows}, quality._Words()
+
+    def vector(text):
+        out = defaultdict(float)
+        for family in quality.features(text, words, 10):
+            for slot in family.tolist():
+                out[slot] += 8.0 / len(family)
+        return dict(out)
+
+    want = plain_ftrl([(vector(texts[k]), k % 2) for k in order], 10)
+    assert model.bias == pytest.approx(want["bias"], rel=1e-4)
+    assert np.allclose(model.weights, [want[k] for k in range(1 << 10)], rtol=1e-3, atol=1e-5) and (model.weights == 0).any()
+    for r in quality.score(frame(spark, rows), model, out="q").collect():
+        assert r.q == pytest.approx(1 / (1 + math.exp(-want["bias"] - sum(want[i] * v for i, v in vector(r.text).items()))), abs=1e-4)
+
+
+def test_features_are_words_and_their_shapes():
+    """Four families: words, shapes, and pairs of both; all pairs of one word twice share a slot."""
+    words = quality._Words()
+    one, two = quality.features("The the Red red 7 77", words, 18), quality.features("the THE reD", words, 18)
+    assert [len(f) for f in one] == [6, 6, 5, 5] and one[0][0] == one[0][1] == two[0][0] == two[0][1] and one[0][2] == two[0][2]
+    assert one[2][0] == one[2][2] == two[2][0] and quality._shape("Abc12-x") == "Aa9-a"
+    assert one[1][4] == one[1][5] and quality.features(" \n", words, 18) == []
+
+
+def test_training_is_bounded_by_rows_and_slots(spark):
+    """Very long texts, and an id that a third of all rows share."""
+    rng = np.random.default_rng(21)
+    long = " ".join(f"w{k}" for k in range(20_000))
+    rows = [(k, sentence(rng, 20), "en") for k in range(40)] + [(50, f"{long} {k}", "en") for k in range(20)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)] + [(50, 1)], "doc_id long, quality int")
+    model = quality.fit(frame(spark, rows), labels, max_train_rows=30, max_train_slots=100_000)
+    assert np.isfinite(model.weights).all() and math.isfinite(model.bias)
+
+
 def test_quality_without_labels(spark):
     docs = frame(spark, [(1, "a b", None), (2, None, None)])
     model = quality.fit(docs, spark.createDataFrame([], "doc_id long, quality int"))
@@ -177,6 +296,30 @@ def test_links_connect_what_brute_force_connects(spark, crowded, kind):
     assert brute_components(fps, [(r.a, r.b) for r in got]) == brute_components(fps, edges)
 
 
+@pytest.mark.parametrize("radius", [1, 3, 5])
+def test_links_at_other_radii(spark, radius):
+    rng = np.random.default_rng(24)
+    fps = {0, 1, 7}
+    for k in range(250):
+        x = int(rng.integers(0, 2**63)) * (k % 2)
+        for b in rng.integers(0, 64 if k % 2 else 14, rng.integers(0, 7)):
+            x ^= 1 << int(b)
+        for y in (x, x ^ (0b111 << (k % 50))):
+            fps.add(y - 2**64 if y >> 63 else y)
+    fps = sorted(fps)
+    edges = [(a, b) for a, b in itertools.combinations(fps, 2) if bin((a ^ b) & (2**64 - 1)).count("1") <= radius]
+    frame_ = spark.createDataFrame([(x,) for x in fps], "fp long")
+    for crowded, block in ((2, 16), (64, 4096)):
+        got = simhash.links(frame_, radius=radius, crowded=crowded, block=block).collect()
+        assert brute_components(fps, [(r.a, r.b) for r in got]) == brute_components(fps, edges)
+
+
+def test_plan_keeps_values_uncrowded():
+    for n in (10**6, 10**8, 10**9):
+        parts = simhash.plan(n, np.full((64, 64), n / 4) + np.eye(64) * n / 4, 2)
+        assert all(n / 2 ** len(bits) <= 64 for bits, t in parts if t >= 0)
+
+
 def test_plan_gives_thresholds_that_sum_to_the_pigeonhole_bound():
     for n in (2, 1000, 10**7, 10**9):
         both = np.full((64, 64), n / 4) + np.eye(64) * n / 4
@@ -306,8 +449,7 @@ def test_ids_equal_the_tokenizers_library():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    texts = [x for x in ODD if x] + [" a", "a  b", "a \n\n b", "it's we'll", "日本 語　x", "a  b", "﻿x", "é", "👩‍👩‍👧 ok", "x" * 700]
+    texts = [x for x in ODD if x] + [" a", "a<|endoftext|>b", "<|endoftext|>", "a  b", "a \n\n b", "it's we'll", "日本 語　x", "a  b", "﻿x", "é", "👩‍👩‍👧 ok", "x" * 700]
     for text, ids in zip(texts, packing.Tokenize()(texts)):
         assert [*t.encode(text, add_special_tokens=False).ids, 0] == ids.tolist()
 
@@ -395,17 +537,84 @@ def test_lm_scores_against_brute_force(spark):
     assert two[b"the", b"house"] > 0
 
 
-def test_lm_probabilities_sum_to_one(spark):
-    """Over all words that can follow a context, and one unknown word."""
-    docs = frame(spark, [(k, t, None) for k, t in enumerate(["a b c", "a b b", "c a", "b", "a c c"] * 6)])
-    follow = ["a", "b", "c", "zz"]
-    learn = docs.select("doc_id", "text", F.lit(True).alias("own"))
-    asked = spark.createDataFrame([(1000 + k, f"a {w}", False) for k, w in enumerate(follow)] + [(2000, "a", False)], "doc_id long, text string, own boolean")
-    got = {r.id: r.score for r in lm.score(learn.unionByName(asked), F.col("own")).collect()}
-    parts = lm.score(learn.unionByName(asked), F.col("own"))
-    assert parts.count() == 35
-    # P(a) P(w | a) P(end | w): with P(a) P(end | a) known, P(end | a) + sum of P(w | a) cannot pass 1
-    assert all(v < 0 for v in got.values())
+class PlainModel:
+    """Deleted interpolation in plain Python: counts in dictionaries, EM token by token."""
+
+    def __init__(self, texts, held, rounds=8):
+        self.w = [self.tokens(t) for t in texts]
+        one, two, n, v = self.count([t for t, h in zip(self.w, held) if not h])
+        self.weights = {b: [1 / 3] * 3 for b in range(lm.BUCKETS)} | {0: [0, 0.5, 0.5]}
+        out = Counter(p for t, h in zip(self.w, held) if h for p in zip([b"", *t], t))
+        for _ in range(rounds):
+            seen = {b: list(x) for b, x in self.weights.items()}
+            for (a, b), times in out.items():
+                k = self.bucket(one[a])
+                each = [x * p for x, p in zip(self.weights[k], (two[a, b] / max(one[a], 1), one[b] / max(n, 1), 1 / (v + 1)))]
+                for c in range(3):
+                    seen[k][c] += times * each[c] / sum(each)
+            self.weights = {b: [y / sum(x) for y in x] for b, x in seen.items()}
+        self.one, self.two, self.n, self.v = self.count(self.w)
+
+    @staticmethod
+    def tokens(t):
+        return (t or "").encode("utf-8").lower().split() + [b""]
+
+    @staticmethod
+    def count(texts):
+        one = Counter(x for t in texts for x in t)
+        return one, Counter(p for t in texts for p in zip([b"", *t], t)), sum(one.values()), len(one)
+
+    @staticmethod
+    def bucket(c):
+        return 0 if c == 0 else min(1 + int(math.log2(c)), lm.BUCKETS - 1)
+
+    def p(self, a, b):
+        x = self.weights[self.bucket(self.one[a])]
+        return x[0] * self.two[a, b] / max(self.one[a], 1) + x[1] * self.one[b] / self.n + x[2] / (self.v + 1)
+
+    def score(self, text):
+        t = self.tokens(text)
+        return sum(math.log10(self.p(a, b)) for a, b in zip([b"", *t], t))
+
+
+@pytest.mark.parametrize("sizes", [{}, {"block_bytes": 300, "shard_bytes": 150}])
+def test_lm_score_is_the_plain_model_and_its_probabilities_sum_to_one(spark, sizes):
+    rng = np.random.default_rng(22)
+    rows = [(k, sentence(rng, int(rng.integers(0, 25))) + (" rare%d" % k if k % 3 == 0 else ""), None) for k in range(150)]
+    docs = frame(spark, rows).withColumn("mine", F.col("doc_id") % 10 != 0)
+    held = {r.doc_id: r.h for r in docs.select("doc_id", (F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("held")), F.lit(10)) == 0).alias("h")).collect()}
+    own = [(i, t) for i, t, _ in rows if i % 10]
+    assert any(held[i] for i, _ in own)
+    plain = PlainModel([t for _, t in own], [held[i] for i, _ in own])
+    got = {r.id: r.score for r in lm.score(docs, F.col("mine"), **sizes).collect()}
+    assert all(got[i] == pytest.approx(plain.score(t), abs=2e-4) for i, t, _ in rows)
+    for context in [b"", b"the", b"house", b"rare3", b"never seen"]:
+        assert sum(plain.p(context, w) for w in plain.one) + plain.p(context, b"never seen") == pytest.approx(1)
+    weights = np.array([[0.6, 0.3, 0.1]] * 3)
+    assert lm.mixture(weights, np.array([0.5, 0.5, 0.0]), np.array([0.7, 0.3, 0.0]), 2).sum() == pytest.approx(1)
+
+
+def test_counts_keep_64_bits():
+    for x in ([], [0, 1, 2**32 - 1], [5, 2**32, 2**40 + 3]):
+        assert lm._numbers(lm._counts(np.array(x, np.int64))).tolist() == x
+    assert lm._numbers(b"").tolist() == []
+    h = np.array([0, 1, 2**56 - 1, 2**64 - 1], np.uint64)
+    assert (lm._unpack(lm._pack(h)) == h & np.uint64(2**56 - 1)).all()
+
+
+def test_lm_rows_are_linear_in_the_input(spark):
+    """Twice the texts: about twice the packed n-grams; never more rows than blocks and shards make, or than n-grams."""
+    rng = np.random.default_rng(23)
+    sent = []
+    for n in (200, 400):
+        texts = [sentence(rng, 40, [f"w{k}" for k in range(500)]) for _ in range(n)]
+        blocks = [texts[k : k + 50] for k in range(0, n, 50)]
+        shards = n // 100
+        t = [lm._ask(shards)(pa.table({"text": b, "block": [k] * len(b), "role": [0] * len(b)})) for k, b in enumerate(blocks)]
+        rows = sum(x.num_rows for x in t)
+        assert rows <= min(len(blocks) * shards, sum(len(lm.Block(b).pairs) + len(lm.Block(b).words) for b in blocks))
+        sent.append(sum(len(y) for x in t for c in ("words", "pairs") for y in x.column(c).to_pylist()))
+    assert 1.8 < sent[1] / sent[0] < 2.2
 
 
 def test_em_finds_the_mixture(spark):
