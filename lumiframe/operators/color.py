@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -10,6 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..functions import expr, fixed
+from .decode import Step, runs
 
 
 def gray_to_rgb(luma: DataFrame) -> DataFrame:
@@ -53,26 +56,38 @@ def to_rgb(upsampled: DataFrame) -> DataFrame:
 RGB_IMAGES = "image_id string, status string, width int, height int, rgb binary"
 
 
+def _rgb(rows: list[dict]) -> dict:
+    """The planes of one image as interleaved RGB; what cannot be converted gets a status and no bytes."""
+    rows = sorted(rows, key=lambda r: r["component_idx"])
+    y, n = rows[0], len(rows)
+    out = {"image_id": y["image_id"], "status": fixed.SUCCESS, "width": y["width"], "height": y["height"], "rgb": None}
+    p = [np.frombuffer(r["data"], np.uint8).reshape(r["height"], r["width"]) for r in rows]
+    if n == 1:
+        out["rgb"] = np.repeat(p[0][:, :, None], 3, axis=2).tobytes()
+    elif n == 3 and p[1].shape == p[2].shape and p[1].shape[0] <= p[0].shape[0] and p[1].shape[1] <= p[0].shape[1]:
+        step = [-(-p[0].shape[a] // p[1].shape[a]) for a in (0, 1)]
+        at = [np.minimum(np.arange(p[0].shape[a]) // step[a], p[1].shape[a] - 1) for a in (0, 1)]
+        cb, cr = (c[np.ix_(*at)].astype(float) - 128 for c in p[1:])
+        c = np.stack([p[0] + 1.402 * cr, p[0] - 0.344136 * cb - 0.714136 * cr, p[0] + 1.772 * cb], axis=2)
+        out["rgb"] = np.clip(np.floor(np.abs(c) + 0.5) * np.sign(c), 0, 255).astype(np.uint8).tobytes()
+    else:
+        out["status"] = fixed.NOT_SUPPORTED
+    return out
+
+
+def rgb_step() -> Step:
+    """Batches of planes, an image's one after another, to batches of RGB images."""
+    arrow = to_arrow_schema(StructType.fromDDL(RGB_IMAGES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in runs(batches):
+            yield pa.RecordBatch.from_pylist([_rgb(t.to_pylist())], schema=arrow)
+
+    return run
+
+
 def rgb_images(planes: DataFrame) -> DataFrame:
-    """Whole images as interleaved RGB, one row each; what cannot be converted gets a status and no bytes."""
+    """Whole images as interleaved RGB, one row each, from planes in any order."""
     schema = StructType.fromDDL(RGB_IMAGES)
     arrow = to_arrow_schema(schema)
-
-    def run(t: pa.Table) -> pa.Table:
-        rows = sorted(t.to_pylist(), key=lambda r: r["component_idx"])
-        y, n = rows[0], len(rows)
-        out = {"image_id": y["image_id"], "status": fixed.SUCCESS, "width": y["width"], "height": y["height"], "rgb": None}
-        p = [np.frombuffer(r["data"], np.uint8).reshape(r["height"], r["width"]) for r in rows]
-        if n == 1:
-            out["rgb"] = np.repeat(p[0][:, :, None], 3, axis=2).tobytes()
-        elif n == 3 and p[1].shape == p[2].shape and p[1].shape[0] <= p[0].shape[0] and p[1].shape[1] <= p[0].shape[1]:
-            step = [-(-p[0].shape[a] // p[1].shape[a]) for a in (0, 1)]
-            at = [np.minimum(np.arange(p[0].shape[a]) // step[a], p[1].shape[a] - 1) for a in (0, 1)]
-            cb, cr = (c[np.ix_(*at)].astype(float) - 128 for c in p[1:])
-            c = np.stack([p[0] + 1.402 * cr, p[0] - 0.344136 * cb - 0.714136 * cr, p[0] + 1.772 * cb], axis=2)
-            out["rgb"] = np.clip(np.floor(np.abs(c) + 0.5) * np.sign(c), 0, 255).astype(np.uint8).tobytes()
-        else:
-            out["status"] = fixed.NOT_SUPPORTED
-        return pa.Table.from_pylist([out], schema=arrow)
-
-    return planes.groupBy("image_id").applyInArrow(run, schema)
+    return planes.groupBy("image_id").applyInArrow(lambda t: pa.Table.from_pylist([_rgb(t.to_pylist())], schema=arrow), schema)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,44 +22,53 @@ from .reconstruct import reconstruct
 _LANES, _BYTES, _UNITS = 2048, 8 << 20, 500_000
 
 
-def segments(images: DataFrame) -> DataFrame:
-    """OP-22, OP-23, OP-33: one row per restart segment, destuffed, with all that decoding it needs."""
-    schema = StructType.fromDDL(schemas.SEGMENTS)
-    arrow = to_arrow_schema(schema)
-
-    def rows(image_id: str, data: bytes) -> Iterator[dict]:
-        h = parse(data)
-        if h.status != SUCCESS:
-            return
-        data = bytes(data)
-        for s in h.scans:
-            by_idx = {p["component_idx"]: p for p in h.components}
-            mcu, quant = [], []
-            for c in s["components"]:
-                x, y = c["mcu_x"] // 8, c["mcu_y"] // 8
-                p = by_idx[c["component_idx"]]
-                mcu += [{"component_idx": c["component_idx"], "x_in": k % x, "y_in": k // x, "ss_x": x, "ss_y": y, "dc_idx": c["dc_idx"], "ac_idx": c["ac_idx"]} for k in range(x * y)]
-                quant.append({"component_idx": c["component_idx"], "q": next(q["q"] for q in s["qtables"] if q["table_id"] == p["qtable_idx"]), "width": p["width"], "height": p["height"]})
-            total = s["num_mcus_x"] * s["num_mcus_y"]
-            each = h.restart_interval or total
-            at = 0
-            for g in s["segments"]:
-                count = -(-g["num_bytes"] // SUBSEQUENCE_BYTES)
-                first = g["segment_idx"] * each
-                if first < total:
-                    yield {
-                        "image_id": image_id, "scan_idx": s["scan_idx"], "segment_idx": g["segment_idx"], "subseq_offset": at, "subseq_count": count,
-                        "data": data[g["begin"] : g["end"]].replace(b"\xff\x00", b"\xff"), "num_mcus_x": s["num_mcus_x"], "first_mcu": first,
-                        "num_mcus": min(each, total - first), "mcu": mcu, "huff_tables": s["huff_tables"], "quant": quant,
-                    }
-                at += count
+#: A step from Arrow batches to Arrow batches; steps made on the driver can be chained in one task.
+Step = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def _arrow(ddl: str) -> tuple[StructType, pa.Schema]:
+    schema = StructType.fromDDL(ddl)
+    return schema, to_arrow_schema(schema)
+
+
+def _segment_rows(image_id: str, data: bytes) -> Iterator[dict]:
+    h = parse(data)
+    if h.status != SUCCESS:
+        return
+    data = bytes(data)
+    for s in h.scans:
+        by_idx = {p["component_idx"]: p for p in h.components}
+        mcu, quant = [], []
+        for c in s["components"]:
+            x, y = c["mcu_x"] // 8, c["mcu_y"] // 8
+            p = by_idx[c["component_idx"]]
+            mcu += [{"component_idx": c["component_idx"], "x_in": k % x, "y_in": k // x, "ss_x": x, "ss_y": y, "dc_idx": c["dc_idx"], "ac_idx": c["ac_idx"]} for k in range(x * y)]
+            quant.append({"component_idx": c["component_idx"], "q": next(q["q"] for q in s["qtables"] if q["table_id"] == p["qtable_idx"]), "width": p["width"], "height": p["height"]})
+        total = s["num_mcus_x"] * s["num_mcus_y"]
+        each = h.restart_interval or total
+        at = 0
+        for g in s["segments"]:
+            count = -(-g["num_bytes"] // SUBSEQUENCE_BYTES)
+            first = g["segment_idx"] * each
+            if first < total:
+                yield {
+                    "image_id": image_id, "scan_idx": s["scan_idx"], "segment_idx": g["segment_idx"], "subseq_offset": at, "subseq_count": count,
+                    "data": data[g["begin"] : g["end"]].replace(b"\xff\x00", b"\xff"), "num_mcus_x": s["num_mcus_x"], "first_mcu": first,
+                    "num_mcus": min(each, total - first), "mcu": mcu, "huff_tables": s["huff_tables"], "quant": quant,
+                }
+            at += count
+
+
+def segment_step() -> Step:
+    """Batches of images (image_id, content) to batches of segments, bounded in rows and bytes."""
+    arrow = _arrow(schemas.SEGMENTS)[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             some: list[dict] = []
             size = 0
             for image_id, data in zip(b.column("image_id").to_pylist(), b.column("content")):
-                for r in rows(image_id, data.as_py()):
+                for r in _segment_rows(image_id, data.as_py()):
                     some.append(r)
                     size += len(r["data"])
                     if len(some) == _LANES or size >= _BYTES:
@@ -67,7 +77,12 @@ def segments(images: DataFrame) -> DataFrame:
             if some:
                 yield pa.RecordBatch.from_pylist(some, schema=arrow)
 
-    return images.select("image_id", "content").mapInArrow(run, schema)
+    return run
+
+
+def segments(images: DataFrame) -> DataFrame:
+    """OP-22, OP-23, OP-33: one row per restart segment, destuffed, with all that decoding it needs."""
+    return images.select("image_id", "content").mapInArrow(segment_step(), _arrow(schemas.SEGMENTS)[0])
 
 
 def spread(segs: DataFrame, partitions: int | None = None) -> DataFrame:
@@ -76,13 +91,25 @@ def spread(segs: DataFrame, partitions: int | None = None) -> DataFrame:
     return segs.repartition(partitions, *keys) if partitions else segs.repartition(*keys)
 
 
+_ONCE = ["mcu", "huff_tables", "quant"]  # the same in all segments of a scan
+
+
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
-    """Rows of segments, gathered over batches up to the bounds of one decoding."""
+    """Rows of segments, gathered over batches up to the bounds of one decoding.
+
+    Layout and tables are read once for each run of segments of one scan.
+    """
     rows: list[dict] = []
     size = units = 0
     for b in batches:
-        for k in range(b.num_rows):
-            r = b.slice(k, 1).to_pylist()[0]
+        each = {f: b.column(f).to_pylist() for f in b.schema.names if f not in _ONCE}
+        scan = list(zip(each["image_id"], each["scan_idx"]))
+        heads = [k for k in range(len(scan)) if not k or scan[k] != scan[k - 1]]
+        once = {f: b.column(f).take(pa.array(heads, pa.int64())).to_pylist() for f in _ONCE}
+        at = -1
+        for k, values in enumerate(zip(*each.values())):
+            at += not k or scan[k] != scan[k - 1]
+            r = dict(zip(each, values)) | {f: once[f][at] for f in _ONCE}
             rows.append(r)
             size += len(r["data"])
             units += r["num_mcus"] * len(r["mcu"])
@@ -144,10 +171,9 @@ def coefficient_blocks(segs: DataFrame) -> DataFrame:
     return units(segs).select("image_id", "component_idx", "block_y", "block_x", "coef")
 
 
-def pixel_blocks(segs: DataFrame) -> DataFrame:
-    """OP-39 to OP-57 in one pass over segments: no shuffle between bits and pixels."""
-    schema = StructType.fromDDL(schemas.PIXEL_BLOCKS)
-    names = [f.name for f in schema.fields]
+def pixel_step() -> Step:
+    """Batches of segments to batches of pixel blocks; the blocks of an image follow each other as its segments do."""
+    names = [f.name for f in _arrow(schemas.PIXEL_BLOCKS)[0].fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, coef, at in _decoded(batches, True):
@@ -166,30 +192,85 @@ def pixel_blocks(segs: DataFrame) -> DataFrame:
                 names=names,
             )
 
-    return segs.mapInArrow(run, schema)
+    return run
 
 
-def planes(blocks: DataFrame) -> DataFrame:
-    """OP-58, OP-69: one row per image and component, cropped, rows packed without padding.
+def pixel_blocks(segs: DataFrame) -> DataFrame:
+    """OP-39 to OP-57 in one pass over segments: no shuffle between bits and pixels."""
+    return segs.mapInArrow(pixel_step(), _arrow(schemas.PIXEL_BLOCKS)[0])
 
-    A plane is one value by definition; its blocks meet in one group.
-    """
-    schema = StructType.fromDDL(schemas.PLANES)
-    arrow = to_arrow_schema(schema)
-
-    def run(t: pa.Table) -> pa.Table:
-        one = lambda c: t.column(c)[0].as_py()
-        w, h = one("width"), one("height")
-        y, x = t.column("block_y").to_numpy(), t.column("block_x").to_numpy()
-        px = t.column("px").combine_chunks().flatten().to_numpy().reshape(-1, 8, 8).astype(np.uint8)
-        canvas = np.zeros((int(y.max()) + 1, 8, int(x.max()) + 1, 8), np.uint8)
-        canvas[y, :, x, :] = px
-        canvas = canvas.reshape(canvas.shape[0] * 8, -1)
+
+def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """One table for each run of rows of one image; a run may go on over batches."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        codes = b.column("image_id").dictionary_encode().indices.to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), len(codes)] if len(codes) else []
+        for lo, hi in zip(cuts, cuts[1:]):
+            part = b.slice(lo, hi - lo)
+            if held and held[0].column("image_id")[0] != part.column("image_id")[0]:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(part)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _planes(t: pa.Table) -> list[dict]:
+    """The planes of the blocks of one image."""
+    out = []
+    component, y, x = (t.column(c).to_numpy() for c in ("component_idx", "block_y", "block_x"))
+    px = t.column("px").combine_chunks().flatten().to_numpy().reshape(-1, 8, 8).astype(np.uint8)
+    for c in np.unique(component):
+        own = np.flatnonzero(component == c)
+        w, h = (t.column(f)[int(own[0])].as_py() for f in ("width", "height"))
+        canvas = np.zeros((int(y[own].max()) + 1, 8, int(x[own].max()) + 1, 8), np.uint8)
+        canvas[y[own], :, x[own], :] = px[own]
+        part = canvas.reshape(canvas.shape[0] * 8, -1)[:h, :w]
         full = np.zeros((h, w), np.uint8)
-        part = canvas[:h, :w]
         full[: part.shape[0], : part.shape[1]] = part
-        return pa.Table.from_pylist([{"image_id": one("image_id"), "component_idx": one("component_idx"), "width": w, "height": h, "data": full.tobytes()}], schema=arrow)
+        out.append({"image_id": t.column("image_id")[0].as_py(), "component_idx": int(c), "width": w, "height": h, "data": full.tobytes()})
+    return out
+
+
+def plane_step() -> Step:
+    """Batches of pixel blocks, an image's one after another, to batches of its planes."""
+    arrow = _arrow(schemas.PLANES)[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in runs(batches):
+            yield pa.RecordBatch.from_pylist(_planes(t), schema=arrow)
+
+    return run
+
+
+def timed(images: DataFrame) -> DataFrame:
+    """OP-66: (image_id, milliseconds, samples), each image decoded by itself; images that cannot be decoded have no row."""
+    to_segments, to_pixels = segment_step(), pixel_step()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, took, samples = [], [], []
+            for k in range(b.num_rows):
+                began = time.perf_counter()
+                made = [len(p["data"]) for t in runs(to_pixels(to_segments(iter([b.slice(k, 1)])))) for p in _planes(t)]
+                if made:
+                    ids.append(b.column("image_id")[k].as_py())
+                    took.append(1000 * (time.perf_counter() - began))
+                    samples.append(sum(made))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(took, pa.float64()), pa.array(samples, pa.int64())], names=["image_id", "milliseconds", "samples"])
+
+    return images.select("image_id", "content").mapInArrow(run, "image_id string, milliseconds double, samples long")
+
+
+def planes(blocks: DataFrame) -> DataFrame:
+    """OP-58, OP-69: one row per image and component, cropped, rows packed without padding.
+
+    For blocks in any order: a plane is one value by definition, so its blocks meet
+    in one group.  Where an image's blocks follow each other, :func:`plane_step`
+    needs no shuffle.
+    """
+    schema, arrow = _arrow(schemas.PLANES)
     # blocks that lie wholly in the padding never travel
     inside = blocks.where((F.col("block_x") * 8 < F.col("width")) & (F.col("block_y") * 8 < F.col("height")))
-    return inside.groupBy("image_id", "component_idx").applyInArrow(run, schema)
+    return inside.groupBy("image_id", "component_idx").applyInArrow(lambda t: pa.Table.from_pylist(_planes(t), schema=arrow), schema)

@@ -2,17 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import cached_property
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import color, compare, decode, lookups
+from .. import schemas
+from ..operators import color, compare, decode, huffman, lookups
 from ..operators.reconstruct import to_pixel_rows
 from ..sinks import png
 from ..sources import header, images
 
 
+#: The methods that :meth:`RasterCollection.register` makes views of.
+TABLES = [
+    "frames", "markers", "components", "scans", "scan_components", "qtables", "huff_tables", "huff_codes", "image_info", "cost",
+    "segments", "coefficients", "pixel_blocks", "pixels", "planes", "rgb",
+]
+
+
 class RasterCollection:
     """Images and what can be asked of them.
 
@@ -25,7 +35,8 @@ class RasterCollection:
 
     @classmethod
     def read(cls, spark: SparkSession, path: str | list[str], **options) -> RasterCollection:
-        return cls(images.read_images(spark, path), **options)
+        reading = {k: options.pop(k) for k in ("pattern", "batch_rows") if k in options}
+        return cls(images.read_images(spark, path, **reading), **options)
 
     @cached_property
     def headers(self) -> DataFrame:
@@ -43,6 +54,19 @@ class RasterCollection:
     def scans(self) -> DataFrame:
         return header.scans(self.headers)
 
+    def scan_components(self) -> DataFrame:
+        return header.scan_components(self.headers)
+
+    def qtables(self) -> DataFrame:
+        return header.qtables(self.headers)
+
+    def huff_tables(self) -> DataFrame:
+        return header.huff_tables(self.headers)
+
+    def huff_codes(self) -> DataFrame:
+        """OP-10: a row for each code of each table."""
+        return huffman.canonical_codes(self.huff_tables())
+
     def image_info(self) -> DataFrame:
         return lookups.with_is_444(header.image_info(self.headers))
 
@@ -64,10 +88,28 @@ class RasterCollection:
         return rows.where((F.col("x") < F.col("width")) & (F.col("y") < F.col("height"))).drop("width", "height")
 
     def planes(self) -> DataFrame:
-        return decode.planes(self.pixel_blocks())
+        """Without ``partitions`` an image stays in its task from bits to planes; nothing is shuffled."""
+        if self.partitions:
+            return decode.planes(self.pixel_blocks())
+        return self._in_one_pass(schemas.PLANES, decode.segment_step(), decode.pixel_step(), decode.plane_step())
 
     def rgb(self) -> DataFrame:
-        return color.rgb_images(self.planes())
+        if self.partitions:
+            return color.rgb_images(self.planes())
+        return self._in_one_pass(color.RGB_IMAGES, decode.segment_step(), decode.pixel_step(), decode.plane_step(), color.rgb_step())
+
+    def png(self) -> DataFrame:
+        if self.partitions:
+            return png.encode_png(self.rgb())
+        return self._in_one_pass(png.PNG, decode.segment_step(), decode.pixel_step(), decode.plane_step(), color.rgb_step(), png.png_step())
+
+    def _in_one_pass(self, ddl: str, *steps: decode.Step) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for step in steps:
+                batches = step(batches)
+            return batches
+
+        return self.images.select("image_id", "content").mapInArrow(run, ddl)
 
     def mse(self, other: RasterCollection) -> DataFrame:
         return compare.mse(self.pixels(), other.pixels())
@@ -76,9 +118,13 @@ class RasterCollection:
         return compare.structure_diff(self.components(), other.components())
 
     def write_png(self, folder: str) -> DataFrame:
-        return png.write_png(self.rgb(), folder)
+        return png.write_png(self.png(), folder)
+
+    def latency(self) -> DataFrame:
+        """(image_id, milliseconds, samples): what decoding each image took, from bytes to planes, in its task."""
+        return decode.timed(self.images)
 
     def register(self, prefix: str = "") -> None:
-        """The metadata tables as temporary views, for SQL."""
-        for name in ("frames", "markers", "components", "scans"):
+        """All tables as temporary views, for SQL; each is computed only when a query reads it."""
+        for name in TABLES:
             getattr(self, name)().createOrReplaceTempView(prefix + name)

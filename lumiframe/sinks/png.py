@@ -10,7 +10,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from ..operators.decode import Step
+from .files import write_files
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
@@ -27,36 +29,48 @@ def png_bytes(width: int, height: int, rgb: bytes, level: int = 6) -> bytes:
     return SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(lines.tobytes(), level)) + _chunk(b"IEND", b"")
 
 
-def encode_png(images: DataFrame) -> DataFrame:
-    """(image_id, width, height, rgb) to (image_id, png); rows without pixels have none."""
+PNG = "image_id string, png binary"
+
+
+def png_step() -> Step:
+    """Batches of RGB images to batches of PNG files; images without pixels have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             png = [None if r["rgb"] is None else png_bytes(r["width"], r["height"], r["rgb"]) for r in b.to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("image_id"), pa.array(png, pa.binary())], names=["image_id", "png"])
 
-    return images.select("image_id", "width", "height", "rgb").mapInArrow(run, T.StructType([images.schema["image_id"], T.StructField("png", T.BinaryType())]))
+    return run
 
 
-def write_png(images: DataFrame, folder: str) -> DataFrame:
-    """Writes ``folder/<sha1 of image_id>.png`` from the executors, through Spark's own file systems.
+def encode_png(images: DataFrame) -> DataFrame:
+    """(image_id, width, height, rgb) to (image_id, png)."""
+    return images.select("image_id", "width", "height", "rgb").mapInArrow(png_step(), PNG)
 
-    Gives (image_id, file).  A file is first written under another name, so that a
-    task that runs twice leaves one whole file.
-    """
-    named = encode_png(images).where("png is not null").select("image_id", F.concat(F.sha1("image_id"), F.lit(".png")).alias("file"), "png")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
+def read_png(files: DataFrame) -> DataFrame:
+    """(image_id, width, height, samples) of PNG files as :func:`png_bytes` makes them: r, g, b by row."""
 
-        at, base = fs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder)
-        at.create_dir(base, recursive=True)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for r in b.to_pylist():
-                part = f"{base}/.{r['file']}.{np.random.default_rng().integers(1 << 62)}"
-                with at.open_output_stream(part) as f:
-                    f.write(r["png"])
-                at.move(part, f"{base}/{r['file']}")
-            yield pa.RecordBatch.from_arrays([b.column("image_id"), b.column("file")], names=["image_id", "file"])
-
-    return named.mapInArrow(run, "image_id string, file string")
+            out = []
+            for image_id, data in zip(b.column("image_id").to_pylist(), b.column("png").to_pylist()):
+                width, height = struct.unpack(">II", data[16:24])
+                at, body = 8, b""
+                while at < len(data):
+                    size = int.from_bytes(data[at : at + 4], "big")
+                    if zlib.crc32(data[at + 4 : at + 8 + size]) != int.from_bytes(data[at + 8 + size : at + 12 + size], "big"):
+                        raise ValueError(f"{image_id}: a chunk of the file is corrupt")
+                    body += data[at + 8 : at + 8 + size] if data[at + 4 : at + 8] == b"IDAT" else b""
+                    at += 12 + size
+                lines = np.frombuffer(zlib.decompress(body), np.uint8).reshape(height, 1 + 3 * width)
+                out.append({"image_id": image_id, "width": width, "height": height, "samples": lines[:, 1:].ravel().astype(np.int16)})
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("image_id", pa.string()), ("width", pa.int32()), ("height", pa.int32()), ("samples", pa.list_(pa.int16()))]))
+
+    return files.where("png is not null").select("image_id", "png").mapInArrow(run, "image_id string, width int, height int, samples array<smallint>")
+
+
+def write_png(files: DataFrame, folder: str) -> DataFrame:
+    """Writes ``folder/<sha1 of image_id>.png`` from (image_id, png); gives (image_id, file)."""
+    named = files.where("png is not null").select("image_id", F.concat(F.sha1("image_id"), F.lit(".png")).alias("file"), "png")
+    return write_files(named, folder, content_col="png")

@@ -3,6 +3,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 from fixtures import image, table
+from pyspark.sql import functions as F
 
 from lumiframe.operators import decode
 from lumiframe.operators.huffman import decode_lanes, decode_segment, lookup_table
@@ -182,3 +183,46 @@ def test_segments_match_their_bytes(spark):
         assert (s.segment_idx, s.subseq_offset, s.subseq_count) == (k, at, -(-len(s.data) // 128))
         at += s.subseq_count
     assert sum(s.num_mcus for s in segs) == 7 * 4
+
+
+def test_one_pass_and_grouping_give_the_same(spark):
+    """Planes and RGB of images that stay in their task, and of segments that were dealt out."""
+    made = {k: image(seed=n, **o)[0] for n, (k, o) in enumerate(CASES.items())} | {"bad": b"x"}
+    images = table(spark, made).coalesce(2)
+    one, dealt = RasterCollection(images), RasterCollection(images, partitions=3)
+    key = lambda df: sorted(tuple(r) for r in df.collect())
+    assert key(one.planes()) == key(dealt.planes())
+    assert key(one.rgb().fillna("")) == key(dealt.rgb().fillna("")) and one.rgb().count() == len(made) - 1
+    assert "Exchange" not in one.png()._jdf.queryExecution().executedPlan().toString()
+
+
+def test_all_tables_can_be_queried_with_sql(spark):
+    data = image(width=37, height=29, restart=2)[0]
+    c = RasterCollection(table(spark, {"a": data}))
+    c.register("all_")
+    one = lambda q: spark.sql(q).first()[0]
+    assert one("select sum(num_segments) from all_scans") == one("select count(*) from all_segments") == 3
+    assert one("select count(*) from all_pixels") == one("select sum(length(data)) from all_planes") == 29 * 37 + 2 * 15 * 19
+    assert one("select count(*) from all_huff_codes where len = 4 and class = 0") == 12
+    assert one("select count(distinct table_id) from all_qtables") == 3 and one("select count(*) from all_scan_components") == 3
+    assert one("select sum(size(counts)) from all_huff_tables") == 32 and one("select length(rgb) from all_rgb") == 3 * 29 * 37
+    assert one("select count(*) from all_coefficients") == one("select count(*) from all_pixel_blocks") == one("select units from all_cost")
+
+
+def test_latency_of_real_decodes(spark):
+    from lumiframe.operators.compare import latency_stats
+
+    c = RasterCollection(table(spark, {"a": image(width=60, height=40)[0], "b": image()[0], "bad": b"x"}))
+    got = {r.image_id: r for r in c.latency().collect()}
+    assert set(got) == {"a", "b"} and all(r.milliseconds > 0 for r in got.values()) and got["a"].samples == 60 * 40 + 2 * 30 * 20
+    s = latency_stats(c.latency().withColumn("all", F.lit(1)), ["all"], "milliseconds").first()
+    assert s.n == 2 and s.max_ms >= s.avg_ms > 0 and s.per_second > 0
+
+
+def test_a_path_without_a_scheme_is_on_the_default_file_system(spark, tmp_path):
+    from lumiframe.sinks.files import qualified, write_files
+
+    assert qualified(spark, str(tmp_path)) == f"file://{tmp_path}" and qualified(spark, "file:///x/y").startswith("file:///x")
+    rows = spark.createDataFrame([("a.bin", b"\x00\xff"), ("b.bin", b"")], "file string, content binary")
+    assert sorted(r.file for r in write_files(rows, str(tmp_path / "o")).collect()) == ["a.bin", "b.bin"]
+    assert sorted(p.name for p in (tmp_path / "o").iterdir() if not p.name.startswith(".")) == ["a.bin", "b.bin"] and (tmp_path / "o" / "a.bin").read_bytes() == b"\x00\xff"
