@@ -8,14 +8,16 @@ decode real images.  Each query reads its whole table.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expr
 from ..operators import color, compare, destuff, huffman, lookups, reconstruct
-from ..sinks import jpeg, png
+from ..sinks import files, jpeg, png
 from .api import RasterCollection
 
 FLAGSHIP = "q17_idct_block"
@@ -260,9 +262,11 @@ def q15(spark, sf):
     return reconstruct.dequantize(blocks(spark, sf), tables(spark, sf), ["label"]).select("vec_id", F.posexplode("coef").alias("i", "v"))
 
 
-@query("q16_idct_1d", f"WITH {_COEF}, x AS (SELECT vec_id, i AS k, 0 AS r, c AS v FROM u WHERE i < 8), y AS {_pass('x', 'vec_id', 'k', 'r')} SELECT vec_id, CAST(k AS INTEGER) AS i, CAST(v AS BIGINT) AS v FROM y")
+@query("q16_idct_1d", f"WITH {_COEF}, x AS (SELECT vec_id, i // 8 AS r, i % 8 AS k, c AS v FROM u), y AS {_pass('x', 'vec_id', 'k', 'r')} SELECT vec_id, CAST(r AS INTEGER) AS r, CAST(k AS INTEGER) AS i, CAST(v AS BIGINT) AS v FROM y")
 def q16(spark, sf):
-    return blocks(spark, sf).select("vec_id", F.posexplode(expr.idct_1d("slice(coef, 1, 8)")).alias("i", "v"))
+    """The 1-D transform of all eight rows of each block."""
+    rows = blocks(spark, sf).select("vec_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda r: F.slice("coef", r * 8 + 1, F.lit(8)))).alias("r", "c"))
+    return rows.select("vec_id", "r", F.posexplode(expr.idct_1d("c")).alias("i", "v"))
 
 
 @query("q17_idct_block", _PX_SQL)
@@ -361,34 +365,38 @@ def q34(spark, sf):
 
 
 def _ycc_pixels(spark, sf):
-    """Three vectors an image: luma 8x8, chroma 4x4."""
+    """Four vectors an image: luma 16x8 of two, chroma 8x8 of one each; every value is a sample."""
     e = _table(spark, sf, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "e"))
     v = F.greatest(F.lit(0), F.least(F.lit(255), F.floor((F.col("e").cast("double") + 0.5) * 256))).cast("int")
-    p = e.select(F.expr("cast(vec_id div 3 as string)").alias("image_id"), F.expr("cast(vec_id % 3 as int)").alias("component_idx"), "i", v.alias("v"))
-    side = F.when(F.col("component_idx") == 0, 8).otherwise(4)
-    return p.where("component_idx = 0 or i < 16").select("image_id", "component_idx", expr.idiv(F.col("i"), side).alias("y"), (F.col("i") % side).cast("bigint").alias("x"), "v")
+    part = F.col("vec_id") % 4
+    x = (F.col("i") % 8 + F.when(part == 1, 8).otherwise(0)).cast("bigint")
+    return e.select(F.expr("cast(vec_id div 4 as string)").alias("image_id"), F.greatest(F.lit(0), part - 1).cast("int").alias("component_idx"), expr.idiv(F.col("i"), 8).alias("y"), x.alias("x"), v.alias("v"))
 
 
 @query(
     "q22_upsample_rgb",
-    """WITH u AS (SELECT vec_id // 3 AS g, vec_id % 3 AS c, unnest(range(64)) AS i, greatest(0, least(255, floor((unnest(embedding)::DOUBLE + 0.5) * 256))) AS v FROM embeddings),
-    p AS (SELECT a.g, a.i // 8 AS y, a.i % 8 AS x, a.v AS cy, b.v - 128 AS cb, r.v - 128 AS cr FROM u a JOIN u b ON b.g = a.g AND b.c = 1 AND b.i = (a.i // 16) * 4 + (a.i % 8) // 2 JOIN u r ON r.g = a.g AND r.c = 2 AND r.i = b.i WHERE a.c = 0)
+    """WITH u AS (SELECT vec_id // 4 AS g, vec_id % 4 AS part, unnest(range(64)) AS i, greatest(0, least(255, floor((unnest(embedding)::DOUBLE + 0.5) * 256))) AS v FROM embeddings),
+    l AS (SELECT g, i // 8 AS y, i % 8 + 8 * part AS x, v FROM u WHERE part < 2),
+    p AS (SELECT l.g, l.y, l.x, l.v AS cy, b.v - 128 AS cb, r.v - 128 AS cr FROM l JOIN u b ON b.g = l.g AND b.part = 2 AND b.i = l.y * 8 + l.x // 2 JOIN u r ON r.g = l.g AND r.part = 3 AND r.i = b.i)
     SELECT CAST(g AS VARCHAR) AS image_id, y, x, CAST(greatest(0, least(255, round(cy + 1.402::DOUBLE * cr))) AS INTEGER) AS r,
       CAST(greatest(0, least(255, round(cy - 0.344136::DOUBLE * cb - 0.714136::DOUBLE * cr))) AS INTEGER) AS g, CAST(greatest(0, least(255, round(cy + 1.772::DOUBLE * cb))) AS INTEGER) AS b FROM p""",
 )
 def q22(spark, sf):
     px = _ycc_pixels(spark, sf)
-    factors = px.select("image_id").distinct().select("image_id", F.lit(2).alias("div_x"), F.lit(2).alias("div_y"))
+    factors = px.select("image_id").distinct().select("image_id", F.lit(2).alias("div_x"), F.lit(1).alias("div_y"))
     return color.to_rgb(color.upsample(px, factors))
 
 
 @query(
     "q35_gray_rgb",
-    """SELECT CAST(vec_id // 3 AS VARCHAR) AS image_id, i // 8 AS y, i % 8 AS x, v AS r, v AS g, v AS b FROM
-    (SELECT vec_id, unnest(range(64)) AS i, CAST(greatest(0, least(255, floor((unnest(embedding)::DOUBLE + 0.5) * 256))) AS INTEGER) AS v FROM embeddings WHERE vec_id % 3 = 0)""",
+    """SELECT CAST(vec_id AS VARCHAR) AS image_id, i // 8 AS y, i % 8 AS x, v AS r, v AS g, v AS b FROM
+    (SELECT vec_id, unnest(range(64)) AS i, CAST(greatest(0, least(255, floor((unnest(embedding)::DOUBLE + 0.5) * 256))) AS INTEGER) AS v FROM embeddings)""",
 )
 def q35(spark, sf):
-    return color.gray_to_rgb(_ycc_pixels(spark, sf).where("component_idx = 0"))
+    """Each vector as a grey image of its own."""
+    e = _table(spark, sf, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "e"))
+    v = F.greatest(F.lit(0), F.least(F.lit(255), F.floor((F.col("e").cast("double") + 0.5) * 256))).cast("int")
+    return color.gray_to_rgb(e.select(F.col("vec_id").cast("string").alias("image_id"), expr.idiv(F.col("i"), 8).alias("y"), (F.col("i") % 8).cast("bigint").alias("x"), v.alias("v")))
 
 
 @query(
@@ -442,24 +450,11 @@ def encoded(spark: SparkSession, sf: str) -> RasterCollection:
     return RasterCollection(jpeg.encode_blocks(b))
 
 
-@query("q29_header_scan", "SELECT CAST(vec_id AS VARCHAR) AS image_id, 'SUCCESS' AS status, 8 AS width, 8 AS height, 1 AS num_components, 7 AS num_markers, 1 AS num_segments FROM embeddings")
-def q29(spark, sf):
-    h = encoded(spark, sf).headers
-    return h.select("image_id", "status", "width", "height", "num_components", F.size("markers").alias("num_markers"), F.size(F.get("scans", F.lit(0))["segments"]).alias("num_segments"))
-
-
 @query("q30_decode_e2e", _PX_SQL)
 def q30(spark, sf):
     return _px_stats(encoded(spark, sf).pixel_blocks().select(F.col("image_id").cast("bigint").alias("vec_id"), "px"))
 
 
-@query("q31_png", "SELECT CAST(vec_id AS VARCHAR) AS image_id, true AS is_png, 8 AS width, 8 AS height FROM embeddings")
-def q31(spark, sf):
-    p = png.encode_png(encoded(spark, sf).rgb())
-    size = lambda at: F.conv(F.hex(F.substr("png", F.lit(at), F.lit(4))), 16, 10).cast("int")
-    return p.select("image_id", (F.hex(F.substr("png", F.lit(1), F.lit(8))) == "89504E470D0A1A0A").alias("is_png"), size(17).alias("width"), size(21).alias("height"))
-
-
 @query(
     "q37_mean_luma",
     f"WITH {_PIXELS} SELECT CAST(vec_id AS VARCHAR) AS image_id, CAST(sum(px) AS DOUBLE) / count(*) AS mean_luma FROM px GROUP BY vec_id",
@@ -468,6 +463,206 @@ def q37(spark, sf):
     return encoded(spark, sf).pixels().groupBy("image_id").agg((F.sum(F.col("v").cast("bigint")) / F.count("*")).alias("mean_luma"))
 
 
-@query("q38_decode_cost", "SELECT CAST(vec_id AS VARCHAR) AS image_id, 1::BIGINT AS units, 64::BIGINT AS samples FROM embeddings")
+#: Six kinds of images, by turns: luma factors, MCU columns and rows, components.  All hold 24 blocks.
+_KINDS = [(1, 1, 6, 4, 1), (1, 1, 4, 2, 3), (2, 1, 3, 2, 3), (2, 2, 2, 2, 3), (1, 2, 3, 2, 3), (4, 1, 2, 2, 3)]
+
+
+def collage(spark: SparkSession, sf: str) -> RasterCollection:
+    """24 vectors an image: grey, 4:4:4, 4:2:2, 4:2:0, 4:4:0 and 4:1:1, of odd sizes.
+
+    Restart intervals of none to three MCUs; every other run of six images has luma
+    and chroma in scans of their own.  Blocks beyond the last vector are zero.
+    """
+    of = lambda n: F.get(F.array(*[F.lit(k[n]) for k in _KINDS]), (F.col("g") % 6).cast("int"))
+    b = blocks(spark, sf).select(F.expr("vec_id div 24").alias("g"), F.expr("cast(vec_id % 24 as int)").alias("unit"), F.transform("coef", lambda c: c.cast("int")).alias("coef"))
+    b = b.select("*", of(0).alias("sx"), of(1).alias("sy"), of(2).alias("cx"), of(3).alias("cy"), of(4).alias("components")).withColumn("n", F.expr("sx * sy + components - 1"))
+    b = b.selectExpr("*", "unit div n as mcu", "unit % n as k").withColumn("c", F.expr("greatest(0, k - sx * sy + 1)"))
+    place = F.expr(
+        "named_struct('component_idx', cast(c as int), 'block_y', cast(if(c = 0, mcu div cx * sy + k div sx, mcu div cx) as int), 'block_x', cast(if(c = 0, mcu % cx * sx + k % sx, mcu % cx) as int), 'coef', coef)"
+    )
+    images = b.groupBy("g", "sx", "sy", "cx", "cy", "components").agg(F.collect_list(place).alias("blocks"))
+    factors = F.transform(F.sequence(F.lit(0), F.col("components") - 1), lambda c: F.struct(F.when(c == 0, F.col("sx")).otherwise(1).alias("x"), F.when(c == 0, F.col("sy")).otherwise(1).alias("y")))
+    tables_ = F.transform(F.sequence(F.lit(0), F.col("components") - 1), lambda c: F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: 1 + (c * 7 + i) % 31))
+    apart = F.array(F.array(F.lit(0)), F.array(F.lit(1), F.lit(2)))
+    return RasterCollection(jpeg.encode_images(images.select(
+        F.col("g").cast("string").alias("image_id"), F.expr("cast(8 * sx * cx - g % 7 as int)").alias("width"), F.expr("cast(8 * sy * cy - g % 5 as int)").alias("height"), factors.alias("sampling"), tables_.alias("tables"),
+        F.expr("cast(g % 4 as int)").alias("restart"), F.when((F.col("components") == 3) & (F.expr("g div 6") % 2 == 1), apart).alias("scans"), "blocks",
+    )))
+
+
+_IMAGES = f"""kinds(kind, sx, sy, cx, cy, components) AS (VALUES {', '.join(str((n, *k)) for n, k in enumerate(_KINDS))}),
+im AS (SELECT g, kinds.*, 8 * sx * cx - g % 7 AS w, 8 * sy * cy - g % 5 AS h, g % 4 AS restart, CASE WHEN components = 3 AND (g // 6) % 2 = 1 THEN 2 ELSE 1 END AS scans, sx * sy + components - 1 AS n
+  FROM (SELECT DISTINCT vec_id // 24 AS g FROM embeddings) JOIN kinds ON g % 6 = kind),
+sc AS (SELECT im.*, 0 AS scan_idx, CASE WHEN scans = 2 THEN sx * cx ELSE cx END AS mx, CASE WHEN scans = 2 THEN sy * cy ELSE cy END AS my, CASE WHEN scans = 2 OR components = 1 THEN 1 ELSE n END AS units FROM im
+  UNION ALL SELECT im.*, 1, cx, cy, 2 FROM im WHERE scans = 2),
+sg AS (SELECT *, CASE WHEN restart = 0 THEN 1 ELSE (mx * my + restart - 1) // restart END AS segs FROM sc)"""
+_IMAGE_PX = f"""{_COEF}, {_IMAGES},
+un AS (SELECT im.*, unnest(range(24)) AS unit FROM im),
+pl AS (SELECT *, unit // n AS mcu, unit % n AS kk, greatest(0, unit % n - sx * sy + 1) AS comp FROM un),
+bl AS (SELECT g, comp, g * 24 + unit AS vec_id, CASE WHEN comp = 0 THEN (mcu // cx) * sy + kk // sx ELSE mcu // cx END AS block_y, CASE WHEN comp = 0 THEN (mcu % cx) * sx + kk % sx ELSE mcu % cx END AS block_x,
+  CASE WHEN comp = 0 THEN w ELSE (w + sx - 1) // sx END AS cw, CASE WHEN comp = 0 THEN h ELSE (h + sy - 1) // sy END AS ch, w, h, sx, sy, components FROM pl),
+x AS (SELECT u.vec_id, i // 8 AS r, i % 8 AS k, {_WRAP.format('c * (1 + (comp * 7 + i) % 31)')} AS v FROM u JOIN bl USING (vec_id)),
+y AS {_pass('x', 'vec_id', 'r', 'k')}, z AS {_pass('y', 'vec_id', 'k', 'r')},
+px AS (SELECT vec_id, r, k, greatest(0, least(255, {_WRAP.format('v + 128')})) AS px FROM z),
+cells AS (SELECT a.r, b.k FROM range(8) a(r), range(8) b(k)),
+bp AS (SELECT bl.*, cells.r, cells.k, coalesce(px, 128) AS px FROM bl CROSS JOIN cells LEFT JOIN px ON px.vec_id = bl.vec_id AND px.r = cells.r AND px.k = cells.k),
+sm AS (SELECT g, comp, block_y * 8 + r AS y, block_x * 8 + k AS x, px AS v, cw, ch, sx, sy, w, h, components FROM bp WHERE block_y * 8 + r < ch AND block_x * 8 + k < cw)"""
+
+
+@query(
+    "q29_header_scan",
+    f"WITH {_IMAGES} SELECT CAST(g AS VARCHAR) AS image_id, 'SUCCESS' AS status, CAST(max(w) AS INTEGER) AS width, CAST(max(h) AS INTEGER) AS height, CAST(max(components) AS INTEGER) AS num_components, CAST(max(restart) AS INTEGER) AS restart_interval, "
+    "CAST(5 + max(components) + max(CASE WHEN restart > 0 THEN 1 ELSE 0 END) + count(*) AS INTEGER) AS num_markers, CAST(count(*) AS INTEGER) AS num_scans, CAST(sum(segs) AS INTEGER) AS num_segments FROM sg GROUP BY g",
+)
+def q29(spark, sf):
+    segments = F.aggregate("scans", F.lit(0), lambda n, s: n + F.size(s["segments"]))
+    return collage(spark, sf).headers.select("image_id", "status", "width", "height", "num_components", "restart_interval", F.size("markers").alias("num_markers"), F.size("scans").alias("num_scans"), segments.alias("num_segments"))
+
+
+@query(
+    "q38_decode_cost",
+    f"WITH {_IMAGES} SELECT CAST(g AS VARCHAR) AS image_id, CAST(sum(mx * my * units) AS BIGINT) AS units, CAST(sum(mx * my * units) * 64 AS BIGINT) AS samples FROM sg GROUP BY g",
+)
 def q38(spark, sf):
-    return encoded(spark, sf).cost().select("image_id", "units", "samples")
+    return collage(spark, sf).cost().select("image_id", "units", "samples")
+
+
+@query(
+    "q39_image_blocks",
+    f"WITH {_IMAGE_PX} SELECT CAST(g AS VARCHAR) AS image_id, CAST(comp AS INTEGER) AS component_idx, CAST(block_y AS INTEGER) AS block_y, CAST(block_x AS INTEGER) AS block_x, CAST(max(cw) AS INTEGER) AS width, CAST(max(ch) AS INTEGER) AS height, "
+    "CAST(sum(px) AS BIGINT) AS px_sum, CAST(sum(px * (r * 8 + k + 1)) AS BIGINT) AS px_check FROM bp GROUP BY ALL",
+)
+def q39(spark, sf):
+    """Bits to pixel blocks: several components, scans and restart segments."""
+    zero = F.lit(0).cast("bigint")
+    check = F.aggregate(F.transform("px", lambda v, i: v * (i + 1)), zero, lambda a, v: a + v)
+    return collage(spark, sf).pixel_blocks().select("image_id", "component_idx", "block_y", "block_x", "width", "height", F.aggregate("px", zero, lambda a, v: a + v).alias("px_sum"), check.alias("px_check"))
+
+
+@query(
+    "q40_planes",
+    f"WITH {_IMAGE_PX} SELECT CAST(g AS VARCHAR) AS image_id, CAST(comp AS INTEGER) AS component_idx, CAST(max(cw) AS INTEGER) AS width, CAST(max(ch) AS INTEGER) AS height, CAST(count(*) AS INTEGER) AS samples, "
+    "CAST(sum(v * (1 + (y * cw + x) % 997)) AS BIGINT) AS sample_check FROM sm GROUP BY g, comp",
+)
+def q40(spark, sf):
+    """Whole planes, cropped and packed."""
+    sample = lambda i: F.conv(F.hex(F.substr("data", i + 1, F.lit(1))), 16, 10).cast("bigint") * (1 + i % 997)
+    check = F.aggregate(F.sequence(F.lit(0), F.octet_length("data") - 1), F.lit(0).cast("bigint"), lambda a, i: a + sample(i))
+    return collage(spark, sf).planes().select("image_id", "component_idx", "width", "height", F.octet_length("data").alias("samples"), check.alias("sample_check"))
+
+
+@query(
+    "q31_png",
+    f"""WITH {_IMAGE_PX}, l AS (SELECT * FROM sm WHERE comp = 0),
+    t AS (SELECT l.g, l.w, l.h, l.y, l.x, CASE WHEN l.components = 1 THEN l.v ELSE greatest(0, least(255, round(l.v + 1.402::DOUBLE * (r.v - 128)))) END AS r,
+      CASE WHEN l.components = 1 THEN l.v ELSE greatest(0, least(255, round(l.v - 0.344136::DOUBLE * (b.v - 128) - 0.714136::DOUBLE * (r.v - 128)))) END AS gr,
+      CASE WHEN l.components = 1 THEN l.v ELSE greatest(0, least(255, round(l.v + 1.772::DOUBLE * (b.v - 128)))) END AS b
+      FROM l LEFT JOIN sm b ON b.g = l.g AND b.comp = 1 AND b.y = l.y // l.sy AND b.x = l.x // l.sx LEFT JOIN sm r ON r.g = l.g AND r.comp = 2 AND r.y = b.y AND r.x = b.x),
+    i AS (SELECT *, 3 * (y * w + x) AS i FROM t)
+    SELECT CAST(g AS VARCHAR) AS image_id, true AS is_png, CAST(max(w) AS INTEGER) AS width, CAST(max(h) AS INTEGER) AS height, CAST(sum(r + gr + b) AS BIGINT) AS rgb_sum,
+      CAST(sum(r * (1 + i % 997) + gr * (1 + (i + 1) % 997) + b * (1 + (i + 2) % 997)) AS BIGINT) AS rgb_check FROM i GROUP BY g""",
+)
+def q31(spark, sf):
+    """Bits to PNG files, and the samples that are read back from the files."""
+    files = collage(spark, sf).png()
+    zero = F.lit(0).cast("bigint")
+    check = F.aggregate(F.transform("samples", lambda v, i: v * (1 + i % 997)), zero, lambda a, v: a + v)
+    back = png.read_png(files).select("image_id", F.lit(True).alias("is_png"), "width", "height", F.aggregate("samples", zero, lambda a, v: a + v).alias("rgb_sum"), check.alias("rgb_check"))
+    return back
+
+
+@query(
+    "q41_markers",
+    f"""WITH {_IMAGES}, m(code, name, place) AS (VALUES (216, 'Start of image', 0), (219, 'Define quantization table(s)', 1), (192, 'Baseline DCT', 2), (196, 'Define Huffman table(s)', 3), (221, 'Define restart interval', 4), (218, 'Start of scan', 5), (217, 'End of image', 6)),
+    e AS (SELECT g, m.*, unnest(range(CASE code WHEN 219 THEN components WHEN 196 THEN 2 WHEN 221 THEN CASE WHEN restart > 0 THEN 1 ELSE 0 END WHEN 218 THEN scans ELSE 1 END)) AS k FROM im, m)
+    SELECT CAST(g AS VARCHAR) AS image_id, CAST(row_number() OVER (PARTITION BY g ORDER BY place, k) - 1 AS INTEGER) AS ord, code, name FROM e""",
+)
+def q41(spark, sf):
+    return collage(spark, sf).markers().select("image_id", "ord", "code", "name")
+
+
+@query(
+    "q42_scan_segments",
+    f"""WITH {_IMAGES}, e AS (SELECT *, unnest(range(segs)) AS k FROM sg)
+    SELECT CAST(g AS VARCHAR) AS image_id, CAST(scan_idx AS INTEGER) AS scan_idx, CAST(k AS INTEGER) AS segment_idx, CAST(k * restart AS BIGINT) AS first_mcu, CAST(CASE WHEN restart = 0 THEN mx * my ELSE least(restart, mx * my - k * restart) END AS BIGINT) AS num_mcus,
+      CAST(mx AS INTEGER) AS num_mcus_x FROM e""",
+)
+def q42(spark, sf):
+    return collage(spark, sf).segments().select("image_id", "scan_idx", "segment_idx", "first_mcu", "num_mcus", "num_mcus_x")
+
+
+@query(
+    "q43_scan_geometry",
+    f"""WITH {_IMAGES}, c AS (SELECT sg.*, unnest(CASE WHEN scans = 2 AND scan_idx = 0 OR components = 1 THEN [0] WHEN scans = 2 THEN [1, 2] ELSE [0, 1, 2] END) AS comp FROM sg),
+    f AS (SELECT *, CASE WHEN units = 1 OR comp > 0 THEN 1 ELSE sx END AS ux, CASE WHEN units = 1 OR comp > 0 THEN 1 ELSE sy END AS uy FROM c)
+    SELECT CAST(g AS VARCHAR) AS image_id, CAST(scan_idx AS INTEGER) AS scan_idx, CAST(comp AS INTEGER) AS component_idx, CAST(8 * ux AS INTEGER) AS mcu_x, CAST(8 * uy AS INTEGER) AS mcu_y, CAST(8 * ux * mx AS INTEGER) AS data_x, CAST(8 * uy * my AS INTEGER) AS data_y,
+      CAST(comp AS INTEGER) AS table_id, CAST((SELECT sum((1 + (comp * 7 + i) % 31) * (i + 1)) FROM range(64) t(i)) AS BIGINT) AS q_check FROM f""",
+)
+def q43(spark, sf):
+    """Components of scans, and the divisors that hold for them."""
+    c = collage(spark, sf)
+    check = F.aggregate(F.transform("q", lambda v, i: v * (i + 1)), F.lit(0).cast("bigint"), lambda a, v: a + v)
+    used = c.scan_components().join(c.components().select("image_id", "component_idx", F.col("qtable_idx").alias("table_id")), ["image_id", "component_idx"])
+    both = used.join(c.qtables(), ["image_id", "scan_idx", "table_id"])
+    return both.select("image_id", "scan_idx", "component_idx", "mcu_x", "mcu_y", "data_x", "data_y", "table_id", check.alias("q_check"))
+
+
+# ---------------------------------------------------------------- streams that break the standard
+
+
+def broken_streams() -> list[tuple[bytes | None, str]]:
+    """One small 4:2:0 stream, and what is wrong in it, with the status that it must give."""
+    sampling = [(2, 2), (1, 1), (1, 1)]
+    zeros = [np.zeros((1 * y, 2 * x, 64), np.int64) for x, y in sampling]
+    make = lambda **o: jpeg.encode(20, 13, sampling, zeros, [[1] * 64] * 3, **o)
+    good = make()
+    dqt, sof, dht, sos = (good.index(bytes([0xFF, m])) for m in (0xDB, 0xC0, 0xC4, 0xDA))
+
+    def at(k: int, *values: int) -> bytes:
+        return good[:k] + bytes(values) + good[k + len(values) :]
+
+    interval = lambda n: bytes([0xFF, 0xDD, 0, 4, 0, n])
+    ok, bad, no, cut = "SUCCESS", "INVALID_JPEG", "NOT_SUPPORTED", "INCOMPLETE_BITSTREAM"
+    return [
+        (good, ok), (None, "INVALID_ARGUMENT"), (b"", bad), (at(0, 0xFF, 0xD9), bad), (at(0, 0xFE), bad), (at(sof, 0xFF, 0xC1), ok), (at(sof, 0xFF, 0xC2), no), (at(sof, 0xFF, 0xC9), no),
+        (at(sof + 4, 12), no), (at(sof + 5, 0, 0), bad), (at(sof + 7, 0, 0), bad), (at(sof + 9, 5), no), (at(sof + 9, 0), bad), (at(sof + 11, 0x51), bad), (at(sof + 11, 0x02), bad), (at(sof + 12, 4), bad),
+        (good[:2] + good[sof : sof + 19] + good[2:], bad), (at(dht + 4, 0x20), bad), (at(dht + 4, 0x04), no), (at(dht + 5, 255), bad), (at(dqt + 4, 0x10), no), (at(dqt + 4, 0x05), bad),
+        (make(extra=interval(2) * 2), ok), (make(extra=interval(2) + interval(3)), no), (make(extra=b"\xff\xe0\x00\x04ab\xff\xfe\x00\x03x"), ok), (make(extra=b"\xff\xe0\x00\x01"), bad),
+        (at(sos + 4, 0), bad), (at(sos + 5, 9), bad), (at(sos + 7, 1), bad), (at(sos + 6, 0x11), bad), (at(sos + 6, 0x40), bad), (at(sos + 12, 20), no),
+        (make(scans=[[0], [0], [1], [2]]), bad), (make(scans=[[0], [1]]), bad), (make(scans=[[0], [1], [2]]), ok), (good[:-2], bad), (good[:2] + good[sos:], bad), (b"\xff\xd8\xff\xd9", bad),
+        (good[:2] + b"\xff\xff" + good[2:], ok), (b"\xff\xd8\xff\xe0\x00\x20ab", cut), (good[: sof + 12], cut), (good[: sos + 9], cut),
+    ]
+
+
+_STATUSES = [status for _, status in broken_streams()]
+
+
+@query(
+    "q44_status",
+    f"""WITH s(k, status) AS (VALUES {', '.join(str((k, x)) for k, x in enumerate(_STATUSES))})
+    SELECT CAST(p_partkey AS VARCHAR) AS image_id, status, CASE status WHEN 'SUCCESS' THEN 'success' WHEN 'INVALID_ARGUMENT' THEN 'invalid argument' WHEN 'INVALID_JPEG' THEN 'invalid jpeg'
+      WHEN 'NOT_SUPPORTED' THEN 'jpeg is not supported' ELSE 'incomplete bitstream' END AS message, status = 'SUCCESS' AS decoded FROM part JOIN s ON p_partkey % {len(_STATUSES)} = k""",
+)
+def q44(spark, sf):
+    """The status of good and broken streams, and whether they give pixels."""
+    streams = F.broadcast(spark.createDataFrame([(k, data) for k, (data, _) in enumerate(broken_streams())], "k int, content binary"))
+    each = _table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("image_id"), (F.col("p_partkey") % len(_STATUSES)).cast("int").alias("k")).join(streams, "k")
+    c = RasterCollection(each.select("image_id", F.length("content").cast("bigint").alias("length"), "content"))
+    decoded = c.planes().where("component_idx = 0").select("image_id", F.lit(True).alias("decoded"))
+    return c.frames().join(decoded, "image_id", "left").select("image_id", "status", "message", F.coalesce("decoded", F.lit(False)).alias("decoded"))
+
+
+# ---------------------------------------------------------------- files
+
+
+@query("q45_image_files", f"WITH {_IMAGES} SELECT g || '.jpg' AS file, true AS whole, 'SUCCESS' AS status, CAST(w AS INTEGER) AS width, CAST(h AS INTEGER) AS height FROM im")
+def q45(spark, sf):
+    """Streams written as files and read again: names, lengths and headers."""
+    folder = f"{files.scratch_folder(spark)}/lumiframe/images-{uuid.uuid4().hex}"
+    made = collage(spark, sf).images.select(F.concat("image_id", F.lit(".jpg")).alias("file"), "length", "content")
+    files.write_files(made, folder).write.format("noop").mode("overwrite").save()
+    c = RasterCollection.read(spark, folder, batch_rows=None)
+    name = lambda df: df.withColumn("file", F.substring_index("image_id", "/", -1))
+    read = name(c.images).select("file", F.col("length").alias("read"))
+    both = name(c.frames()).join(read, "file").join(made.select("file", "length"), "file")
+    return both.select("file", (F.col("read") == F.col("length")).alias("whole"), "status", "width", "height")

@@ -139,3 +139,30 @@ def encode_blocks(blocks):
             yield pa.RecordBatch.from_arrays([b.column("image_id"), pa.array([len(m) for m in made], pa.int64()), pa.array(made, pa.binary())], names=["image_id", "length", "content"])
 
     return blocks.select("image_id", "coef", "q").mapInArrow(run, "image_id string, length long, content binary")
+
+
+ENCODABLE = (
+    "image_id string, width int, height int, sampling array<struct<x:int,y:int>>, tables array<array<int>>, restart int, scans array<array<int>>, "
+    "blocks array<struct<component_idx:int,block_y:int,block_x:int,coef:array<int>>>"
+)
+
+
+def encode_images(images):
+    """Images as rows of ``ENCODABLE`` to streams (image_id, length, content); blocks that are not given are zero."""
+    import pyarrow as pa
+
+    def one(r):
+        sampling = [(s["x"], s["y"]) for s in r["sampling"]]
+        top = [max(s[a] for s in sampling) for a in (0, 1)]
+        mcus = [-(-r["width"] // (8 * top[0])), -(-r["height"] // (8 * top[1]))]
+        blocks = [np.zeros((mcus[1] * y, mcus[0] * x, 64), np.int64) for x, y in sampling]
+        for b in r["blocks"]:
+            blocks[b["component_idx"]][b["block_y"], b["block_x"]] = b["coef"]
+        return encode(r["width"], r["height"], sampling, blocks, r["tables"], restart=r["restart"], scans=r["scans"])
+
+    def run(batches):
+        for b in batches:
+            made = [one(r) for r in b.to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("image_id"), pa.array([len(m) for m in made], pa.int64()), pa.array(made, pa.binary())], names=["image_id", "length", "content"])
+
+    return images.mapInArrow(run, "image_id string, length long, content binary")
