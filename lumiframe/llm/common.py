@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from weakref import WeakKeyDictionary
 
 import pyarrow as pa
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _OWN_DIR: list[str] = []
+_LEFT: set[str] = set()
 _WRITTEN: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 _SLICE = 1000
 _BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -54,9 +56,17 @@ def materialize(df: DataFrame, name: str, *, batch_rows: int | None = None) -> D
             spark.conf.set(_BATCH_ROWS, before)
     out = spark.read.schema(df.schema).parquet(path)
     _WRITTEN[out] = path
+    _LEFT.add(path)
     return out
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table, through the file system of its path."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _LEFT.discard(path)
+
+
 def discard(*tables: DataFrame | None) -> None:
     """Delete tables that :func:`materialize` wrote, once nothing that is still to run reads them.
 
@@ -66,9 +76,22 @@ def discard(*tables: DataFrame | None) -> None:
     for df in tables:
         path = _WRITTEN.pop(df, None) if df is not None else None
         if path:
-            spark = df.sparkSession
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            remove(df.sparkSession, path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end all tables that :func:`materialize` wrote inside it.
+
+    What is to stay must be written elsewhere by then: a lazy frame that an operator
+    returned inside cannot be read outside.
+    """
+    before = set(_LEFT)
+    try:
+        yield
+    finally:
+        for path in _LEFT - before:
+            remove(spark, path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, with_row_key
+from .common import discard, materialize, with_row_key
 
 BLOCKS, BLOCK_BITS, BLOCK_RADIUS = 8, 8, 2
 
@@ -128,7 +128,7 @@ def contaminated(
         hits = texts.select("id", F.explode(shingles_of(words_of(F.col("text")), size)).alias("h"))
         met = hits.join(F.broadcast(anchors) if small else anchors, "h", "left_semi").select("id")
         likely = met if likely is None else likely.unionByName(met)
-    likely = materialize(likely.distinct(), "likely").withColumnRenamed("id", "likely_id")
+    likely = materialize(likely.distinct().withColumnRenamed("id", "likely_id"), "likely")
     # each text of such an id is a document of its own until the end; it is cut into overlapping tiles
     chosen = materialize(texts.join(likely, F.col("id").eqNullSafe(F.col("likely_id")), "left_semi").select(F.monotonically_increasing_id().alias("doc"), "id", "text"), "chosen")
     split = chosen.select("doc", words_of(F.col("text")).alias("w"), F.explode(F.array(*[F.lit(k) for k in sizes])).alias("size")).select("doc", "size", _by_size("w", sizes).alias("s")).where("size(s) > 0")
@@ -140,6 +140,7 @@ def contaminated(
     sliced = F.transform("ws", lambda x: F.struct(x["start"].alias("start"), x["n"].alias("n"), F.slice("h", x["start"] - F.col("tile") * tile + 1, x["m"]).alias("s")))
     windows = tiles.join(per_tile, ["doc", "size", "tile"]).select("doc", "size", F.explode(sliced).alias("x")).select("doc", "size", "x.start", "x.n", "x.s")
     marked = materialize(windows.select("*", simhash("s").alias("fp")), "fingerprints")
+    discard(likely, tiles)
     block = lambda k: F.shiftrightunsigned(F.col("fp"), BLOCK_BITS * k).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1).cast("long"))
     blocks = F.array(*[F.struct(F.lit(k).alias("block"), block(k).alias("v")) for k in range(BLOCKS)])
     index = bench.select("key", "n", "size", simhash("s").alias("fp"))

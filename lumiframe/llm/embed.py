@@ -160,7 +160,9 @@ def near_duplicates(
     counts = found.where("a = b").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     roots = connected_components(found.where("a <> b")).withColumnRenamed("node", "rep")
     classed = classes.join(counts, "rep", "left").join(roots, "rep", "left").select("rep", "label", "v", "least", "mult", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("root", "rep").alias("root"))
-    classed = materialize(classed, "classes")
+    whole = materialize(classed, "classes")
+    discard(classes, signed, found)
+    classed = whole
     least = classed.groupBy("root").agg(F.min("least").alias("component_id"))
     known = classed.join(least, "root").select("label", "v", (F.col("n") + F.col("mult") - 1).alias("n_links"), "component_id")
     linked = fit.select("id", "label", "v").join(known, ["label", "v"]).select("id", "n_links", "component_id")

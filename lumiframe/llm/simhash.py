@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, fresh, materialize, with_row_key
+from .common import append_columns, discard, fresh, materialize, with_row_key
 from .components import connected_components, forest
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)  # byte -> its bits, high first
@@ -492,8 +492,10 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     pairs = materialize(pairs.where("a <> b"), "pairs")
     # only texts that share something are read again, once, as the sets that all rounds compare
     asked = shared.select("id").unionByName(pairs.select(F.col("a").alias("id"))).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = materialize(_shingle_sets(rows.join(materialize(asked, "asked"), "id", "left_semi"), words), "sets", batch_rows=2000)
+    asked = materialize(asked, "asked")
+    sets = materialize(_shingle_sets(rows.join(asked, "id", "left_semi"), words), "sets", batch_rows=2000)
     heart = materialize(shared.groupBy("t", "s").agg(F.max(F.struct("w", "id"))["id"].alias("heart")), "hearts")
+    done = [pairs, asked, sets, shared, heart]  # tables that nothing reads once the groups are known
     left, found, roots = shared.join(heart, ["t", "s"]).where("id <> heart").select("t", "s", "id", "w", "heart"), None, None
     for k in range(rounds):
         if k == 0:
@@ -509,13 +511,16 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         sized = new.join(facts.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(facts.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
         # sets of that similarity are of sizes within it: nothing similar is passed over
         likely = sized.where(F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-9).select("a", "b")
-        good = materialize(_similar(likely, sets, similarity), "checked", batch_rows=300).where("ok").select("a", "b")
+        checked = materialize(_similar(likely, sets, similarity), "checked", batch_rows=300)
+        good = checked.where("ok").select("a", "b")
         found = good if found is None else found.unionByName(good)
-        roots = materialize(connected_components(found), "roots")
+        roots, old = materialize(connected_components(found), "roots"), roots
+        discard(old)
         # those not connected to the heart of a sample that they share go on
         at = roots.select(F.col("node").alias("id"), "root")
         rest = left.join(at, "id", "left").join(at.select(F.col("id").alias("heart"), F.col("root").alias("hr")), "heart", "left")
         left = materialize(rest.where(F.coalesce("root", "id") != F.coalesce("hr", "heart")).select("t", "s", "id", "w", "heart"), "left")
+        done += [checked, left]
         if left.isEmpty():
             break
     else:
@@ -524,8 +529,10 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         members = members.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").join(classes.select("id", "samples"), "id")
         buckets = materialize(members.select("t", "s", "id", F.coalesce("root", "id").alias("root"), "samples"), "buckets")
         more = materialize(_rest_of_buckets(buckets, sets, similarity, block=block, block_bytes=block_bytes), "rest", batch_rows=300)
+        done += [buckets, more]
         if not more.isEmpty():
             roots = materialize(connected_components(found.unionByName(more)), "roots")
+    discard(*done)
     least = classes.join(roots, classes["id"] == roots["node"], "left").select("d1", "d2", F.coalesce("root", "id").alias("component_id"))
     return known.select("id", "d1", "d2").join(least, ["d1", "d2"]).select("id", "component_id")
 
