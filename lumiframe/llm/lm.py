@@ -46,7 +46,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 MAIN, HELD, OTHER = 0, 1, 2
 BUCKETS = 34
@@ -254,7 +254,9 @@ def score(
         return _batch([(k.astype(np.uint8).tobytes(), p2.astype("<f4").tobytes(), p1.astype("<f4").tobytes(), b.pair_count.astype("<u4").tobytes())], "bucket binary, p2 binary, p1 binary, n binary")
 
     data = blocks.where(F.col("role") == HELD).groupBy("block").cogroup(main.groupBy("block")).applyInArrow(held_out, "bucket binary, p2 binary, p1 binary, n binary")
-    weights = _em(materialize(data, "held"), 1 / (v_main + 1), rounds)
+    data = materialize(data, "held")
+    weights = _em(data, 1 / (v_main + 1), rounds)
+    discard(data)
 
     def final(t: pa.Table, a: pa.Table) -> pa.Table:
         b = Block(t.column("text").to_pylist())
