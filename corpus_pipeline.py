@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from lumiframe.llm import decontam, langid, packing, quality, simhash
-from lumiframe.llm.common import crc_mod, shared_dir, table
+from lumiframe.llm.common import crc_mod, remove, scratch, shared_dir, table
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +38,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents that are left, and their places in sequences of 1024 ids."""
-    return packing.pack_documents(docs, capacity=1024, special=True)
+    return packing.pack_documents(docs, capacity=1024)
 
 
 STAGES = [
@@ -54,10 +54,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each written as Parquet in the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages, each written as Parquet in the shared folder and read again.
+
+    What a stage's operator wrote on the way goes when the stage is written, and its
+    input when the next one is.
+    """
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = f"{shared_dir(spark)}/lumiframe/pipeline-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if last:
+            remove(spark, last)
+        last = path
     return docs
