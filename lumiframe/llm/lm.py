@@ -222,7 +222,7 @@ def score(
     id_col: str = "doc_id",
     text_col: str = "text",
     block_bytes: int = 20_000_000,
-    shard_bytes: int = 32_000_000,
+    shard_bytes: int = 16_000_000,
     rounds: int = 8,
 ) -> DataFrame:
     """``(id, n_tokens, n_known, train_tokens, base_score, score)`` of each row; counts from rows where ``learn`` holds."""
