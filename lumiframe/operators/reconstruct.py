@@ -52,14 +52,16 @@ def deinterleave(units: DataFrame, layout: DataFrame, scans: DataFrame) -> DataF
 
     ``scans``: image_id, scan_idx, num_mcus_x, units_in_mcu.
     """
-    s = units.join(scans.select("image_id", "scan_idx", "num_mcus_x", "units_in_mcu"), ["image_id", "scan_idx"])
-    s = s.withColumns({"mcu": expr.idiv(F.col("unit"), F.col("units_in_mcu")), "k": (F.col("unit") % F.col("units_in_mcu")).cast("int")})
-    placed = s.join(layout, ["image_id", "scan_idx", "k"])
+    keys = ["image_id", "scan_idx"]
+    # an MCU has ten units at most: a scan's layout is one small array, and the units join it once
+    mcus = layout.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("k", "component_idx", "x_in", "y_in", "ss_x", "ss_y"))).alias("layout"))
+    facts = scans.select(*keys, "num_mcus_x", "units_in_mcu").join(mcus, keys)
+    s = units.join(facts, keys).withColumns({"mcu": expr.idiv(F.col("unit"), F.col("units_in_mcu")), "at": F.get("layout", (F.col("unit") % F.col("units_in_mcu")).cast("int"))})
     rest = [c for c in units.columns if c not in ("image_id", "scan_idx", "unit")]
-    return placed.select(
-        "image_id", "component_idx",
-        (expr.idiv(F.col("mcu"), F.col("num_mcus_x")) * F.col("ss_y") + F.col("y_in")).alias("block_y"),
-        (F.col("mcu") % F.col("num_mcus_x") * F.col("ss_x") + F.col("x_in")).alias("block_x"),
+    return s.select(
+        "image_id", "at.component_idx",
+        (expr.idiv(F.col("mcu"), F.col("num_mcus_x")) * F.col("at.ss_y") + F.col("at.y_in")).alias("block_y"),
+        (F.col("mcu") % F.col("num_mcus_x") * F.col("at.ss_x") + F.col("at.x_in")).alias("block_x"),
         *rest,
     )
 

@@ -253,8 +253,7 @@ def q14(spark, sf):
     parts = spark.createDataFrame(rows, "image_id string, scan_idx int, sc int, component_idx int, ss_x int, ss_y int")
     scans = spark.createDataFrame([(i, 0, 5, x * y + 2) for i, x, y in _LAYOUTS], "image_id string, scan_idx int, num_mcus_x int, units_in_mcu int")
     units = _table(spark, sf, "events").selectExpr("cast(event_id % 4 as string) as image_id", "0 as scan_idx", "event_id div 4 as unit", "event_id")
-    # both sides are the layouts of four images: known to be small
-    return reconstruct.deinterleave(units, F.broadcast(reconstruct.mcu_layout(parts)), F.broadcast(scans)).select("event_id", "component_idx", "block_y", "block_x")
+    return reconstruct.deinterleave(units, reconstruct.mcu_layout(parts), scans).select("event_id", "component_idx", "block_y", "block_x")
 
 
 @query("q15_dequantize", f"WITH {_DEQ} SELECT vec_id, CAST(r * 8 + k AS INTEGER) AS i, CAST(v AS BIGINT) AS v FROM x")
