@@ -120,7 +120,7 @@ def shortest_pack_first(histogram: dict[int, int], capacity: int) -> list[tuple[
     return [p for s in sorted(room) for p in room[s]]
 
 
-def pack(found: DataFrame, *, capacity: int = 1024, rows_per_rank_group: int = 100_000) -> DataFrame:
+def pack(found: DataFrame, *, capacity: int = 1024, rows_per_rank_group: int = 100_000, broadcast_rows: int = 50_000) -> DataFrame:
     """``found`` (columns of :func:`pieces`) with ``sequence_id`` and ``offset``.
 
     ``found`` is read more than once: give a written table or one that is cheap
@@ -144,11 +144,14 @@ def pack(found: DataFrame, *, capacity: int = 1024, rows_per_rank_group: int = 1
     salted = found.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(salts)))
     sizes = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = sizes.selectExpr("length", "salt", "sum(n) over (partition by length order by salt rows between unbounded preceding and current row) - n as before")
-    ranked = salted.selectExpr("*", "row_number() over (partition by length, salt order by doc_id, start, ids_crc32) - 1 as r").join(before, ["length", "salt"]).selectExpr("*", "r + before as rank").drop("r", "before", "salt")
+    ranked = salted.selectExpr("*", "row_number() over (partition by length, salt order by doc_id, start, ids_crc32) - 1 as r").join(before, ["length", "salt"]).selectExpr("*", "r + before as rank").drop("r", "before")
     # ranges of ranks per length: found by position in the sorted array of their ends
     ends = slots.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("rank1", "rank0", "first", "offset"))).alias("s"))
-    placed = ranked.join(F.broadcast(ends) if len(rows) <= 50_000 else ends, "length")
-    at = placed.select("*", F.filter("s", lambda x: x["rank1"] > F.col("rank"))[0].alias("slot")).drop("s")
+    if len(rows) <= broadcast_rows:
+        placed = ranked.join(F.broadcast(ends), "length")
+    else:  # a length that most pieces share meets its slots in as many tasks as it was ranked in
+        placed = ranked.join(ends.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))), ["length", "salt"])
+    at = placed.select("*", F.filter("s", lambda x: x["rank1"] > F.col("rank"))[0].alias("slot")).drop("s", "salt")
     return at.select(*found.columns, (F.col("slot.first") + F.col("rank") - F.col("slot.rank0")).alias("sequence_id"), F.col("slot.offset").alias("offset"))
 
 

@@ -512,6 +512,13 @@ def test_pieces_and_places(spark):
     assert packing.pack_documents(frame(spark, rows).where("false")).count() == 0
 
 
+def test_slots_are_met_alike_with_and_without_a_broadcast(spark):
+    found = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit(0).cast("long").alias("start"), F.when(F.col("id") % 3 == 0, 64).otherwise(1 + F.col("id") % 64).cast("long").alias("length"), F.col("id").alias("ids_crc32"), F.lit(64).cast("long").alias("doc_tokens"))
+    key = lambda df: sorted(tuple(r) for r in df.collect())
+    one = key(packing.pack(found, capacity=64))
+    assert one == key(packing.pack(found, capacity=64, broadcast_rows=0)) == key(packing.pack(found, capacity=64, broadcast_rows=0, rows_per_rank_group=100)) and len(one) == 5000
+
+
 # ---------------------------------------------------------------- language model
 
 
