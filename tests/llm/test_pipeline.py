@@ -94,6 +94,37 @@ def test_packing_holds_every_id_of_what_is_left(stages):
     assert fill > 0.95
 
 
+def tables(spark, path, docs):
+    """Documents of odd rows and columns that the operators use themselves, with labels and a benchmark."""
+    df = spark.createDataFrame([(*d, 1.0, "x", 2) for d in docs], "doc_id long, text string, lang string, source string, n_chars long, score double, sequence_id string, fp long")
+    df.write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(d[0], None if d[0] is None else int(d[0] % 7 > 0), 0) for d in docs], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame([(1, ITEM), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    return str(path)
+
+
+ITEM = " ".join(f"item{k} of the test" for k in range(12))
+
+
+def test_all_stages_take_odd_rows(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    words = [f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(300)]
+    text = lambda k: " ".join(w.upper() + "!!" if k % 7 == 0 else w for w in rng.choice(words, 60))
+    clean = {k: text(k) for k in range(70)}
+    docs = [(k, t, "en", "s", 9) for k, t in clean.items()]
+    docs += [(None, None, None, None, None), (71, None, "en", "s", 0), (72, "", "en", "s", 0), (73, "  \n", None, "s", 0), (None, clean[1], None, None, None), (1, clean[1], "en", "s", 9), (74, clean[2] + " more", "en", "s", 9)]
+    docs += [(75, clean[3] + " " + ITEM, "en", "s", 9), (76, " ".join(rng.choice(words, 20_000)), "en", "s", 9), (3, text(1), "en", "other row of this id", 9)]
+    got = corpus_pipeline.run(spark, tables(spark, tmp_path, docs)).collect()
+    kept = {r.doc_id for r in got}
+    assert None not in kept and {1, 2, 3, 4, 5, 6, 76} <= kept and not kept & {71, 72, 73, 74, 75} and not kept & {7, 14, 21}
+    assert len({r.doc_tokens for r in got if r.doc_id == 3}) >= 1 and len([r for r in got if r.doc_id == 3]) == 2
+    assert len([r for r in got if r.doc_id == 1]) == 1 and len([r for r in got if r.doc_id == 76]) > 10
+
+
+def test_all_stages_take_empty_tables(spark, tmp_path):
+    assert corpus_pipeline.run(spark, tables(spark, tmp_path, [])).count() == 0
+
+
 def test_run_gives_the_last_stage(spark, stages):
     got = corpus_pipeline.run(spark, SF)
     assert got.columns == stages[5][1].columns
