@@ -120,7 +120,8 @@ def fit(
     sequential updates.  Rows that share an id count each, up to the bounds.
     """
     known = labels.select(F.col(id_col).alias("k"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1) and k is not null")
-    known = bounded_by_hash(known, ["k", "y"], max_train_rows, known.count())
+    # by the id alone, so that the same filter reaches the documents before the join
+    known = bounded_by_hash(known, "k", max_train_rows, known.count())
     rows = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).join(known, "k")
     # an id that many rows share is thinned by its texts, so that the task's input is bounded as well
     rows = bounded_by_hash(rows, ["k", "t", "y"], 2 * max_train_rows, rows.select("k").count()).select("k", "y", "t")
