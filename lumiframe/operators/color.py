@@ -32,41 +32,62 @@ def convertible(components: DataFrame) -> DataFrame:
     return s.select("image_id", "num_components", ((F.col("num_components") == 1) | ((F.col("num_components") == 3) & F.coalesce(alike & ~coarse, F.lit(False)))).alias("ok"))
 
 
-def upsample(pixels: DataFrame, factors: DataFrame) -> DataFrame:
-    """OP-61: (image_id, y, x, cy, cb, cr): each luma pixel with the nearest chroma samples.
+def _source(at: str, chroma: str, luma: str) -> str:
+    """SQL of the chroma sample of a luma sample, along one axis; divisions of whole numbers."""
+    return f"(({at}) * {chroma} div {luma})"
 
-    ``pixels``: image_id, component_idx (0, 1, 2), y, x, v.  ``factors``: image_id,
-    div_x, div_y: luma samples per chroma sample.
+
+def upsample(blocks: DataFrame, factors: DataFrame) -> DataFrame:
+    """OP-61: (image_id, block_y, block_x, samples): luma blocks with the nearest chroma samples.
+
+    ``blocks``: image_id, component_idx (0, 1, 2), block_y, block_x, px, width, height.
+    ``factors``: image_id, luma_x, luma_y, chroma_x, chroma_y.  ``samples`` are (y, x,
+    cy, cb, cr) inside the image.  Blocks meet blocks; positions are worked out in
+    arrays, so no pixel is a row of a shuffle.  A luma block whose samples lie in
+    several chroma blocks (up to four, where one factor is no multiple of the other)
+    gives a row for each.
     """
-    luma = pixels.where("component_idx = 0").join(factors, "image_id")
-    luma = luma.select("image_id", "y", "x", F.col("v").alias("cy"), expr.idiv(F.col("y"), F.col("div_y")).alias("sy"), expr.idiv(F.col("x"), F.col("div_x")).alias("sx"))
-    chroma = pixels.where("component_idx in (1, 2)").groupBy("image_id", F.col("y").cast("bigint").alias("sy"), F.col("x").cast("bigint").alias("sx")).agg(
-        F.max(F.when(F.col("component_idx") == 1, F.col("v"))).alias("cb"), F.max(F.when(F.col("component_idx") == 2, F.col("v"))).alias("cr")
+    y, x = "block_y * 8 + i div 8", "block_x * 8 + i % 8"
+    by, bx = _source(y, "chroma_y", "luma_y") + " div 8", _source(x, "chroma_x", "luma_x") + " div 8"
+    luma = blocks.where("component_idx = 0").join(factors, "image_id").select(
+        "image_id", "block_y", "block_x", "px", "width", "height", "luma_x", "luma_y", "chroma_x", "chroma_y",
+        F.explode(F.expr(f"array_distinct(transform(array(0, 7, 56, 63), i -> struct(cast({by} as bigint) as y, cast({bx} as bigint) as x)))")).alias("of"),
+    )
+    own = blocks.where("component_idx in (1, 2)").groupBy("image_id", F.col("block_y").cast("bigint").alias("chroma_block_y"), F.col("block_x").cast("bigint").alias("chroma_block_x")).agg(
+        F.max(F.when(F.col("component_idx") == 1, F.col("px"))).alias("cb"), F.max(F.when(F.col("component_idx") == 2, F.col("px"))).alias("cr")
     )
-    chroma = chroma.where("cb is not null and cr is not null")
-    return luma.join(chroma, ["image_id", "sy", "sx"]).select("image_id", "y", "x", "cy", "cb", "cr")
+    own = own.where("cb is not null and cr is not null")
+    both = luma.withColumns({"chroma_block_y": F.col("of.y"), "chroma_block_x": F.col("of.x")}).join(own, ["image_id", "chroma_block_y", "chroma_block_x"])
+    here = f"filter(sequence(0, 63), i -> {y} < height and {x} < width and {by} = chroma_block_y and {bx} = chroma_block_x)"
+    place = f"cast({_source(y, 'chroma_y', 'luma_y')} % 8 * 8 + {_source(x, 'chroma_x', 'luma_x')} % 8 as int)"
+    samples = f"transform({here}, i -> struct(cast({y} as bigint) as y, cast({x} as bigint) as x, px[i] as cy, cb[{place}] as cb, cr[{place}] as cr))"
+    return both.select("image_id", "block_y", "block_x", F.expr(samples).alias("samples"))
 
 
 def to_rgb(upsampled: DataFrame) -> DataFrame:
     """OP-62: (image_id, y, x, r, g, b)."""
-    r, g, b = expr.ycbcr_to_rgb(F.col("cy"), F.col("cb"), F.col("cr"))
-    return upsampled.select("image_id", "y", "x", r.alias("r"), g.alias("g"), b.alias("b"))
+    each = upsampled.select("image_id", F.explode("samples").alias("s"))
+    r, g, b = expr.ycbcr_to_rgb(F.col("s.cy"), F.col("s.cb"), F.col("s.cr"))
+    return each.select("image_id", "s.y", "s.x", r.alias("r"), g.alias("g"), b.alias("b"))
 
 
-RGB_IMAGES = "image_id string, status string, width int, height int, rgb binary"
+RGB_IMAGES = "image_id string, status string, width int, height int, num_components int, rgb binary"
 
 
 def _rgb(rows: list[dict]) -> dict:
-    """The planes of one image as interleaved RGB; what cannot be converted gets a status and no bytes."""
+    """The planes of one image as interleaved RGB; what cannot be converted gets a status and no bytes.
+
+    A luma sample at x has the chroma sample at ``x * (chroma factor) div (luma factor)``, whatever the
+    sizes that the planes were rounded up to.
+    """
     rows = sorted(rows, key=lambda r: r["component_idx"])
     y, n = rows[0], len(rows)
-    out = {"image_id": y["image_id"], "status": fixed.SUCCESS, "width": y["width"], "height": y["height"], "rgb": None}
+    out = {"image_id": y["image_id"], "status": fixed.SUCCESS, "width": y["width"], "height": y["height"], "num_components": n, "rgb": None}
     p = [np.frombuffer(r["data"], np.uint8).reshape(r["height"], r["width"]) for r in rows]
     if n == 1:
         out["rgb"] = np.repeat(p[0][:, :, None], 3, axis=2).tobytes()
-    elif n == 3 and p[1].shape == p[2].shape and p[1].shape[0] <= p[0].shape[0] and p[1].shape[1] <= p[0].shape[1]:
-        step = [-(-p[0].shape[a] // p[1].shape[a]) for a in (0, 1)]
-        at = [np.minimum(np.arange(p[0].shape[a]) // step[a], p[1].shape[a] - 1) for a in (0, 1)]
+    elif n == 3 and all(rows[1][f] == rows[2][f] <= y[f] for f in ("ss_y", "ss_x")):
+        at = [np.arange(p[0].shape[a]) * rows[1][f] // y[f] for a, f in enumerate(("ss_y", "ss_x"))]
         cb, cr = (c[np.ix_(*at)].astype(float) - 128 for c in p[1:])
         c = np.stack([p[0] + 1.402 * cr, p[0] - 0.344136 * cb - 0.714136 * cr, p[0] + 1.772 * cb], axis=2)
         out["rgb"] = np.clip(np.floor(np.abs(c) + 0.5) * np.sign(c), 0, 255).astype(np.uint8).tobytes()
@@ -90,4 +111,4 @@ def rgb_images(planes: DataFrame) -> DataFrame:
     """Whole images as interleaved RGB, one row each, from planes in any order."""
     schema = StructType.fromDDL(RGB_IMAGES)
     arrow = to_arrow_schema(schema)
-    return planes.groupBy("image_id").applyInArrow(lambda t: pa.Table.from_pylist([_rgb(t.to_pylist())], schema=arrow), schema)
+    return planes.groupBy("image_row", "image_id").applyInArrow(lambda t: pa.Table.from_pylist([_rgb(t.to_pylist())], schema=arrow), schema)

@@ -15,6 +15,21 @@ def mse(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.groupBy("image_id", "component_idx").agg((F.sum(d * d) / F.count("*")).alias("mse"))
 
 
+def block_mse(a: DataFrame, b: DataFrame) -> DataFrame:
+    """OP-63 over pixel blocks (image_id, component_idx, block_y, block_x, px, width, height): blocks meet blocks.
+
+    Samples in the padding do not count, nor those that one side lacks.
+    """
+    block = ["image_id", "component_idx", "block_y", "block_x"]
+    x = a.select(*block, F.col("px").alias("p"), F.col("width").alias("w"), F.col("height").alias("h"))
+    both = x.join(b.select(*block, F.col("px").alias("q"), "width", "height"), block)
+    columns, lines = (F.expr(f"cast(greatest(0, least(8, {mine} - {at} * 8, {other} - {at} * 8)) as int)") for at, mine, other in (("block_x", "w", "width"), ("block_y", "h", "height")))
+    squares = "zip_with(p, q, (s, t) -> cast(s - t as bigint) * (s - t))"
+    total = F.expr(f"aggregate(if(columns * lines = 64, {squares}, filter({squares}, (d, i) -> i % 8 < columns and i div 8 < lines)), 0L, (n, d) -> n + d)")
+    each = both.withColumns({"columns": columns, "lines": lines}).select("image_id", "component_idx", total.alias("squares"), (F.col("columns") * F.col("lines")).alias("n"))
+    return each.where("n > 0").groupBy("image_id", "component_idx").agg((F.sum("squares") / F.sum("n")).alias("mse"))
+
+
 def structure_diff(a: DataFrame, b: DataFrame) -> DataFrame:
     """OP-64: components of which sizes or sampling differ, or that one side lacks."""
     own = ["width", "height", "ss_x", "ss_y"]

@@ -1,9 +1,10 @@
-"""From images to coefficient blocks: segments as rows, then the entropy decoder over them."""
+"""From images to coefficient blocks: runs of segments as rows, then the entropy decoder over them."""
 
 from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -14,12 +15,14 @@ from pyspark.sql.types import StructType
 
 from .. import schemas
 from ..functions.fixed import SUBSEQUENCE_BYTES, SUCCESS
-from ..sources.header import parse
+from ..sources.header import Header, parse
 from .huffman import decode_lanes
 from .reconstruct import reconstruct
 
 #: Segments that are decoded side by side: at most so many, of so many bytes and units.
 _LANES, _BYTES, _UNITS = 2048, 8 << 20, 500_000
+#: A run of segments of one scan, the unit that is dealt to tasks, ends at so many bytes or segments.
+_RUN_BYTES, _RUN = 256 << 10, 4096
 
 
 #: A step from Arrow batches to Arrow batches; steps made on the driver can be chained in one task.
@@ -31,46 +34,60 @@ def _arrow(ddl: str) -> tuple[StructType, pa.Schema]:
     return schema, to_arrow_schema(schema)
 
 
-def _segment_rows(image_id: str, data: bytes) -> Iterator[dict]:
+def with_row(images: DataFrame) -> DataFrame:
+    """(image_row, image_id, content): images are told apart by their row; ids may repeat."""
+    return images.select(F.monotonically_increasing_id().alias("image_row"), "image_id", "content")
+
+
+def scan_facts(h: Header, s: dict) -> dict:
+    """What decoding any segment of a scan needs."""
+    by_idx = {p["component_idx"]: p for p in h.components}
+    mcu, quant = [], []
+    for c in s["components"]:
+        x, y = c["mcu_x"] // 8, c["mcu_y"] // 8
+        p = by_idx[c["component_idx"]]
+        mcu += [{"component_idx": c["component_idx"], "x_in": k % x, "y_in": k // x, "ss_x": x, "ss_y": y, "dc_idx": c["dc_idx"], "ac_idx": c["ac_idx"]} for k in range(x * y)]
+        quant.append({"component_idx": c["component_idx"], "q": next(q["q"] for q in s["qtables"] if q["table_id"] == p["qtable_idx"]), **{f: p[f] for f in ("width", "height", "ss_x", "ss_y")}})
+    return {"scan_idx": s["scan_idx"], "num_mcus_x": s["num_mcus_x"], "mcu": mcu, "huff_tables": s["huff_tables"], "quant": quant}
+
+
+def _part_rows(image: dict, data: bytes) -> Iterator[dict]:
     h = parse(data)
     if h.status != SUCCESS:
         return
     data = bytes(data)
     for s in h.scans:
-        by_idx = {p["component_idx"]: p for p in h.components}
-        mcu, quant = [], []
-        for c in s["components"]:
-            x, y = c["mcu_x"] // 8, c["mcu_y"] // 8
-            p = by_idx[c["component_idx"]]
-            mcu += [{"component_idx": c["component_idx"], "x_in": k % x, "y_in": k // x, "ss_x": x, "ss_y": y, "dc_idx": c["dc_idx"], "ac_idx": c["ac_idx"]} for k in range(x * y)]
-            quant.append({"component_idx": c["component_idx"], "q": next(q["q"] for q in s["qtables"] if q["table_id"] == p["qtable_idx"]), "width": p["width"], "height": p["height"]})
+        facts = image | scan_facts(h, s)
         total = s["num_mcus_x"] * s["num_mcus_y"]
-        each = h.restart_interval or total
-        at = 0
+        each = s["restart_interval"] or total
+        at = size = 0
+        own: list[dict] = []
         for g in s["segments"]:
             count = -(-g["num_bytes"] // SUBSEQUENCE_BYTES)
             first = g["segment_idx"] * each
             if first < total:
-                yield {
-                    "image_id": image_id, "scan_idx": s["scan_idx"], "segment_idx": g["segment_idx"], "subseq_offset": at, "subseq_count": count,
-                    "data": data[g["begin"] : g["end"]].replace(b"\xff\x00", b"\xff"), "num_mcus_x": s["num_mcus_x"], "first_mcu": first,
-                    "num_mcus": min(each, total - first), "mcu": mcu, "huff_tables": s["huff_tables"], "quant": quant,
-                }
+                if own and (size + g["num_bytes"] > _RUN_BYTES or len(own) == _RUN):
+                    yield facts | {"segments": own}
+                    own, size = [], 0
+                own.append({"segment_idx": g["segment_idx"], "subseq_offset": at, "subseq_count": count, "data": data[g["begin"] : g["end"]].replace(b"\xff\x00", b"\xff"), "first_mcu": first, "num_mcus": min(each, total - first)})
+                size += g["num_bytes"]
             at += count
+        if own:
+            yield facts | {"segments": own}
 
 
-def segment_step() -> Step:
-    """Batches of images (image_id, content) to batches of segments, bounded in rows and bytes."""
-    arrow = _arrow(schemas.SEGMENTS)[1]
+def part_step() -> Step:
+    """Batches of images (image_row, image_id, content) to batches of runs of segments, bounded in bytes."""
+    arrow = _arrow(schemas.PARTS)[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             some: list[dict] = []
             size = 0
-            for image_id, data in zip(b.column("image_id").to_pylist(), b.column("content")):
-                for r in _segment_rows(image_id, data.as_py()):
+            for row, image_id, data in zip(b.column("image_row").to_pylist(), b.column("image_id").to_pylist(), b.column("content")):
+                for r in _part_rows({"image_row": row, "image_id": image_id}, data.as_py()):
                     some.append(r)
-                    size += len(r["data"])
+                    size += sum(len(g["data"]) for g in r["segments"])
                     if len(some) == _LANES or size >= _BYTES:
                         yield pa.RecordBatch.from_pylist(some, schema=arrow)
                         some, size = [], 0
@@ -80,65 +97,65 @@ def segment_step() -> Step:
     return run
 
 
-def segments(images: DataFrame) -> DataFrame:
-    """OP-22, OP-23, OP-33: one row per restart segment, destuffed, with all that decoding it needs."""
-    return images.select("image_id", "content").mapInArrow(segment_step(), _arrow(schemas.SEGMENTS)[0])
+def parts(images: DataFrame) -> DataFrame:
+    """Runs of restart segments, destuffed, with all that decoding them needs: the layout and tables once a run."""
+    return with_row(images).mapInArrow(part_step(), _arrow(schemas.PARTS)[0])
 
 
-def spread(segs: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Deal segments evenly: for few large images with many restart intervals."""
-    keys = ["image_id", "scan_idx", "segment_idx"]
-    return segs.repartition(partitions, *keys) if partitions else segs.repartition(*keys)
+def segments(runs_: DataFrame) -> DataFrame:
+    """OP-22, OP-23, OP-33: one row per restart segment."""
+    return runs_.select("image_row", "image_id", "scan_idx", "num_mcus_x", F.explode("segments").alias("g")).select("image_row", "image_id", "scan_idx", "num_mcus_x", "g.*")
 
 
-_ONCE = ["mcu", "huff_tables", "quant"]  # the same in all segments of a scan
+def spread(runs_: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Deal runs of segments evenly: for few large images with many restart intervals."""
+    keys = ["image_row", "scan_idx", F.col("segments")[0]["segment_idx"]]
+    return runs_.repartition(partitions, *keys) if partitions else runs_.repartition(*keys)
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
-    """Rows of segments, gathered over batches up to the bounds of one decoding.
+@dataclass
+class Scan:
+    """What is the same in all segments of a run, ready for the decoder."""
 
-    Layout and tables are read once for each run of segments of one scan.
-    """
-    rows: list[dict] = []
+    facts: dict
+
+    def __post_init__(self) -> None:
+        tables = {t["slot"]: (tuple(t["counts"]), tuple(t["huffval"])) for t in self.facts["huff_tables"]}
+        self.layout = [(m["component_idx"], tables[2 * m["dc_idx"]], tables[2 * m["ac_idx"] + 1]) for m in self.facts["mcu"]]
+        self.of = {f: np.array([m[f] for m in self.facts["mcu"]]) for f in ("component_idx", "ss_y", "y_in", "ss_x", "x_in")}
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[dict, Scan]]]:
+    """Segments with their scans, gathered over runs and batches up to the bounds of one decoding."""
+    rows: list[tuple[dict, Scan]] = []
     size = units = 0
     for b in batches:
-        each = {f: b.column(f).to_pylist() for f in b.schema.names if f not in _ONCE}
-        scan = list(zip(each["image_id"], each["scan_idx"]))
-        heads = [k for k in range(len(scan)) if not k or scan[k] != scan[k - 1]]
-        once = {f: b.column(f).take(pa.array(heads, pa.int64())).to_pylist() for f in _ONCE}
-        at = -1
-        for k, values in enumerate(zip(*each.values())):
-            at += not k or scan[k] != scan[k - 1]
-            r = dict(zip(each, values)) | {f: once[f][at] for f in _ONCE}
-            rows.append(r)
-            size += len(r["data"])
-            units += r["num_mcus"] * len(r["mcu"])
-            if len(rows) == _LANES or size >= _BYTES or units >= _UNITS:
-                yield rows
-                rows, size, units = [], 0, 0
+        for r in b.to_pylist():
+            scan = Scan(r)
+            for g in r.pop("segments"):
+                rows.append((g, scan))
+                size += len(g["data"])
+                units += g["num_mcus"] * len(scan.layout)
+                if len(rows) == _LANES or size >= _BYTES or units >= _UNITS:
+                    yield rows
+                    rows, size, units = [], 0, 0
     if rows:
         yield rows
 
 
-def _decoded(batches: Iterator[pa.RecordBatch], predict: bool) -> Iterator[tuple[list[dict], np.ndarray, dict[str, np.ndarray]]]:
-    """Groups of rows, their blocks in one array, and of each block: its row, component, place and unit (OP-52)."""
+def _decoded(batches: Iterator[pa.RecordBatch], predict: bool) -> Iterator[tuple[list[tuple[dict, Scan]], np.ndarray, dict[str, np.ndarray]]]:
+    """Groups of segments, their blocks in one array, and of each block: its segment, component, place and unit (OP-52)."""
     for rows in _groups(batches):
-        lanes = []
-        for r in rows:
-            tables = {t["slot"]: (tuple(t["counts"]), tuple(t["huffval"])) for t in r["huff_tables"]}
-            layout = [(m["component_idx"], tables[2 * m["dc_idx"]], tables[2 * m["ac_idx"] + 1]) for m in r["mcu"]]
-            lanes.append((r["data"], r["num_mcus"] * len(layout), layout))
-        coef = decode_lanes(lanes, predict=predict)
+        coef = decode_lanes([(g["data"], g["num_mcus"] * len(s.layout), s.layout) for g, s in rows], predict=predict)
         at: dict[str, list[np.ndarray]] = {k: [] for k in ("row", "component", "y", "x", "unit")}
-        for k, (r, c) in enumerate(zip(rows, coef)):
-            i, n = np.arange(len(c)), len(r["mcu"])
-            of = lambda f, r=r, i=i, n=n: np.array([m[f] for m in r["mcu"]])[i % n]
-            mcu = r["first_mcu"] + i // n
+        for k, ((g, s), c) in enumerate(zip(rows, coef)):
+            i, n = np.arange(len(c)), len(s.layout)
+            in_mcu, mcu = i % n, g["first_mcu"] + i // n
             at["row"].append(np.full(len(c), k))
-            at["component"].append(of("component_idx"))
-            at["y"].append(mcu // r["num_mcus_x"] * of("ss_y") + of("y_in"))
-            at["x"].append(mcu % r["num_mcus_x"] * of("ss_x") + of("x_in"))
-            at["unit"].append(r["first_mcu"] * n + i)
+            at["component"].append(s.of["component_idx"][in_mcu])
+            at["y"].append(mcu // s.facts["num_mcus_x"] * s.of["ss_y"][in_mcu] + s.of["y_in"][in_mcu])
+            at["x"].append(mcu % s.facts["num_mcus_x"] * s.of["ss_x"][in_mcu] + s.of["x_in"][in_mcu])
+            at["unit"].append(g["first_mcu"] * n + i)
         yield rows, np.concatenate(coef), {k: np.concatenate(v) for k, v in at.items()}
 
 
@@ -146,69 +163,70 @@ def _lists(x: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel(), kind))
 
 
-def _of_rows(rows: list[dict], field: str, index: np.ndarray, kind: pa.DataType) -> pa.Array:
-    return pa.array([r[field] for r in rows], kind).take(pa.array(index))
+def _of_scan(rows: list[tuple[dict, Scan]], field: str, index: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.array([s.facts[field] for _, s in rows], kind).take(pa.array(index))
 
 
-def units(segs: DataFrame, *, predict: bool = True) -> DataFrame:
+def units(runs_: DataFrame, *, predict: bool = True) -> DataFrame:
     """OP-39, OP-44, OP-45: decoded units in stream order, with their blocks' places."""
     schema = StructType.fromDDL(schemas.UNITS)
     names = [f.name for f in schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, coef, at in _decoded(batches, predict):
-            one = lambda f, t: _of_rows(rows, f, at["row"], t)
+            segment = pa.array([g["segment_idx"] for g, _ in rows], pa.int32()).take(pa.array(at["row"]))
             yield pa.RecordBatch.from_arrays(
-                [one("image_id", pa.string()), one("scan_idx", pa.int32()), pa.array(at["unit"], pa.int64()), one("segment_idx", pa.int32()), *[pa.array(at[k], pa.int32()) for k in ("component", "y", "x")], _lists(coef, pa.int16())],
+                [_of_scan(rows, "image_id", at["row"], pa.string()), _of_scan(rows, "scan_idx", at["row"], pa.int32()), pa.array(at["unit"], pa.int64()), segment, *[pa.array(at[k], pa.int32()) for k in ("component", "y", "x")], _lists(coef, pa.int16())],
                 names=names,
             )
 
-    return segs.mapInArrow(run, schema)
+    return runs_.mapInArrow(run, schema)
 
 
-def coefficient_blocks(segs: DataFrame) -> DataFrame:
+def coefficient_blocks(runs_: DataFrame) -> DataFrame:
     """OP-53: quantised coefficients by component and block, of all scans."""
-    return units(segs).select("image_id", "component_idx", "block_y", "block_x", "coef")
+    return units(runs_).select("image_id", "component_idx", "block_y", "block_x", "coef")
 
 
 def pixel_step() -> Step:
-    """Batches of segments to batches of pixel blocks; the blocks of an image follow each other as its segments do."""
+    """Batches of runs of segments to batches of pixel blocks; the blocks of an image follow each other as its segments do."""
     names = [f.name for f in _arrow(schemas.PIXEL_BLOCKS)[0].fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, coef, at in _decoded(batches, True):
-            # the table and size of each (row, component), by number
-            kinds = {(k, q["component_idx"]): n for n, (k, q) in enumerate((k, q) for k, r in enumerate(rows) for q in r["quant"])}
-            quant = [q for r in rows for q in r["quant"]]
-            tops = max(c for _, c in kinds) + 1
-            number = np.zeros((len(rows), tops), np.int64)
-            for (k, c), n in kinds.items():
+            # the table and size of each (scan, component), by number
+            scans = list({id(s): s for _, s in rows}.values())
+            place = {id(s): k for k, s in enumerate(scans)}
+            of_row = np.array([place[id(s)] for _, s in rows])
+            quant = [q for s in scans for q in s.facts["quant"]]
+            number = np.zeros((len(scans), 1 + max(q["component_idx"] for q in quant)), np.int64)
+            for n, (k, c) in enumerate((k, q["component_idx"]) for k, s in enumerate(scans) for q in s.facts["quant"]):
                 number[k, c] = n
-            kind = number[at["row"], at["component"]]
+            kind = number[of_row[at["row"]], at["component"]]
             px = reconstruct(coef, np.array([q["q"] for q in quant], np.int64)[kind])
             size = lambda f: pa.array(np.array([q[f] for q in quant])[kind], pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [_of_rows(rows, "image_id", at["row"], pa.string()), *[pa.array(at[k], pa.int32()) for k in ("component", "y", "x")], _lists(px, pa.int16()), size("width"), size("height")],
+                [_of_scan(rows, "image_row", at["row"], pa.int64()), _of_scan(rows, "image_id", at["row"], pa.string()), *[pa.array(at[k], pa.int32()) for k in ("component", "y", "x")], _lists(px, pa.int16()), *map(size, ("width", "height", "ss_x", "ss_y"))],
                 names=names,
             )
 
     return run
 
 
-def pixel_blocks(segs: DataFrame) -> DataFrame:
+def pixel_blocks(runs_: DataFrame) -> DataFrame:
     """OP-39 to OP-57 in one pass over segments: no shuffle between bits and pixels."""
-    return segs.mapInArrow(pixel_step(), _arrow(schemas.PIXEL_BLOCKS)[0])
+    return runs_.mapInArrow(pixel_step(), _arrow(schemas.PIXEL_BLOCKS)[0])
 
 
 def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """One table for each run of rows of one image; a run may go on over batches."""
     held: list[pa.RecordBatch] = []
     for b in batches:
-        codes = b.column("image_id").dictionary_encode().indices.to_numpy()
-        cuts = [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), len(codes)] if len(codes) else []
+        image = b.column("image_row").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(image)) + 1).tolist(), len(image)] if len(image) else []
         for lo, hi in zip(cuts, cuts[1:]):
             part = b.slice(lo, hi - lo)
-            if held and held[0].column("image_id")[0] != part.column("image_id")[0]:
+            if held and held[0].column("image_row")[0] != part.column("image_row")[0]:
                 yield pa.Table.from_batches(held)
                 held = []
             held.append(part)
@@ -223,13 +241,14 @@ def _planes(t: pa.Table) -> list[dict]:
     px = t.column("px").combine_chunks().flatten().to_numpy().reshape(-1, 8, 8).astype(np.uint8)
     for c in np.unique(component):
         own = np.flatnonzero(component == c)
-        w, h = (t.column(f)[int(own[0])].as_py() for f in ("width", "height"))
+        facts = {f: t.column(f)[int(own[0])].as_py() for f in ("width", "height", "ss_x", "ss_y")}
+        w, h = facts["width"], facts["height"]
         canvas = np.zeros((int(y[own].max()) + 1, 8, int(x[own].max()) + 1, 8), np.uint8)
         canvas[y[own], :, x[own], :] = px[own]
         part = canvas.reshape(canvas.shape[0] * 8, -1)[:h, :w]
         full = np.zeros((h, w), np.uint8)
         full[: part.shape[0], : part.shape[1]] = part
-        out.append({"image_id": t.column("image_id")[0].as_py(), "component_idx": int(c), "width": w, "height": h, "data": full.tobytes()})
+        out.append({f: t.column(f)[0].as_py() for f in ("image_row", "image_id")} | facts | {"component_idx": int(c), "data": full.tobytes()})
     return out
 
 
@@ -244,23 +263,34 @@ def plane_step() -> Step:
     return run
 
 
-def timed(images: DataFrame) -> DataFrame:
-    """OP-66: (image_id, milliseconds, samples), each image decoded by itself; images that cannot be decoded have no row."""
-    to_segments, to_pixels = segment_step(), pixel_step()
+def timed(images: DataFrame, *, iterations: int = 1, warm_up: int = 0) -> DataFrame:
+    """OP-66: each image decoded by itself, ``iterations`` times after ``warm_up`` runs that do not count.
+
+    (image_id, iterations, total_ms, max_ms, milliseconds, samples): ``milliseconds`` is
+    the mean.  Rows merge by sums and maxima.  Images that cannot be decoded have none.
+    """
+    to_parts, to_pixels = part_step(), pixel_step()
+
+    def decoded(image: pa.RecordBatch) -> int:
+        return sum(len(p["data"]) for t in runs(to_pixels(to_parts(iter([image])))) for p in _planes(t))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, took, samples = [], [], []
+            out = []
             for k in range(b.num_rows):
-                began = time.perf_counter()
-                made = [len(p["data"]) for t in runs(to_pixels(to_segments(iter([b.slice(k, 1)])))) for p in _planes(t)]
-                if made:
-                    ids.append(b.column("image_id")[k].as_py())
-                    took.append(1000 * (time.perf_counter() - began))
-                    samples.append(sum(made))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(took, pa.float64()), pa.array(samples, pa.int64())], names=["image_id", "milliseconds", "samples"])
+                image, took, samples = b.slice(k, 1), [], 0
+                for n in range(warm_up + iterations):
+                    began = time.perf_counter()
+                    samples = decoded(image)
+                    if not samples:
+                        break
+                    if n >= warm_up:
+                        took.append(1000 * (time.perf_counter() - began))
+                if took:
+                    out.append((b.column("image_id")[k].as_py(), len(took), sum(took), max(took), sum(took) / len(took), samples))
+            yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in out], t) for n, t in enumerate((pa.string(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.int64()))], names=["image_id", "iterations", "total_ms", "max_ms", "milliseconds", "samples"])
 
-    return images.select("image_id", "content").mapInArrow(run, "image_id string, milliseconds double, samples long")
+    return with_row(images).mapInArrow(run, "image_id string, iterations int, total_ms double, max_ms double, milliseconds double, samples long")
 
 
 def planes(blocks: DataFrame) -> DataFrame:
@@ -273,4 +303,4 @@ def planes(blocks: DataFrame) -> DataFrame:
     schema, arrow = _arrow(schemas.PLANES)
     # blocks that lie wholly in the padding never travel
     inside = blocks.where((F.col("block_x") * 8 < F.col("width")) & (F.col("block_y") * 8 < F.col("height")))
-    return inside.groupBy("image_id", "component_idx").applyInArrow(lambda t: pa.Table.from_pylist(_planes(t), schema=arrow), schema)
+    return inside.groupBy("image_row", "image_id", "component_idx").applyInArrow(lambda t: pa.Table.from_pylist(_planes(t), schema=arrow), schema)

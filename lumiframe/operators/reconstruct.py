@@ -13,18 +13,24 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import expr, fixed
+from .scan import CHUNK, running_sums
 
 
-def dc_integrate(units: DataFrame, units_per_segment: Column | int | None = None) -> DataFrame:
+def dc_integrate(units: DataFrame, units_per_segment: Column | int | None = None, *, size: int = CHUNK) -> DataFrame:
     """OP-49, OP-50: ``dc`` replaced by its running sum per component, restarting each segment.
 
     ``units``: image_id, component_idx, unit (of the component), dc.
     ``units_per_segment``: restart interval times the component's units in an MCU;
-    none: the sum never restarts.
+    none: the sum never restarts.  Sums of more than ``size`` units are made in two
+    levels; an interval that is known to be shorter needs one.
     """
+    keys = ["image_id", "component_idx", "segment_key"]
     keyed = units.withColumn("segment_key", F.lit(0).cast("bigint") if units_per_segment is None else expr.idiv(F.col("unit"), units_per_segment))
-    upto = W.partitionBy("image_id", "component_idx", "segment_key").orderBy("unit").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return keyed.withColumn("dc", expr.wrap16(F.sum(F.col("dc").cast("bigint")).over(upto))).drop("segment_key")
+    if isinstance(units_per_segment, int) and units_per_segment <= size:
+        upto = W.partitionBy(*keys).orderBy("unit").rowsBetween(W.unboundedPreceding, W.currentRow)
+        return keyed.withColumn("dc", expr.wrap16(F.sum(F.col("dc").cast("bigint")).over(upto))).drop("segment_key")
+    summed = running_sums(keyed, keys, "unit", {"dc": F.col("dc")}, inclusive=True, size=size)
+    return summed.select(*[expr.wrap16(F.col("dc")).alias("dc") if c == "dc" else c for c in units.columns])
 
 
 def unit_address(units: DataFrame) -> DataFrame:

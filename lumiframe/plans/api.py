@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..operators import color, compare, decode, huffman, lookups
+from ..operators import color, compare, dealing, decode, huffman, lookups
 from ..operators.reconstruct import to_pixel_rows
-from ..sinks import png
-from ..sources import header, images
+from ..sinks import png, raster
+from ..sources import header, images, ranged
+from . import functions
 
 
 #: The methods that :meth:`RasterCollection.register` makes views of.
@@ -35,9 +36,21 @@ class RasterCollection:
 
     @classmethod
     def read(cls, spark: SparkSession, path: str | list[str], **options) -> RasterCollection:
-        reading = {k: options.pop(k) for k in ("pattern", "batch_rows") if k in options}
+        reading = {k: options.pop(k) for k in ("pattern",) if k in options}
         return cls(images.read_images(spark, path, **reading), **options)
 
+    @classmethod
+    def read_dealt(cls, spark: SparkSession, path: str | list[str], tasks: int, *, pattern: str = ranged.PATTERN) -> RasterCollection:
+        """Whole files in ``tasks`` tasks of about equal decoding cost (units by the headers, which are read by ranges)."""
+        files = ranged.list_files(spark, path, pattern=pattern).select("image_id")
+        units = lookups.decode_cost(ranged.headers(files)).select("image_id", "units")
+        return cls(ranged.contents(dealing.deal(files.join(units, "image_id", "left"), "units", tasks)))
+
+    @classmethod
+    def read_ranged(cls, spark: SparkSession, path: str | list[str], *, pattern: str = ranged.PATTERN, size: int = ranged.RANGE) -> RangedCollection:
+        """Files that are never read whole by one task: headers by ranges, and each scan's bytes by ranges of ``size``."""
+        return RangedCollection(ranged.list_files(spark, path, pattern=pattern), size)
+
     @cached_property
     def headers(self) -> DataFrame:
         return header.headers(self.images)
@@ -73,35 +86,38 @@ class RasterCollection:
     def cost(self) -> DataFrame:
         return lookups.decode_cost(self.headers)
 
-    def segments(self) -> DataFrame:
-        found = decode.segments(self.images)
+    def _parts(self) -> DataFrame:
+        found = decode.parts(self.images)
         return decode.spread(found, self.partitions) if self.partitions else found
 
+    def segments(self) -> DataFrame:
+        return decode.segments(decode.parts(self.images))
+
     def coefficients(self) -> DataFrame:
-        return decode.coefficient_blocks(self.segments())
+        return decode.coefficient_blocks(self._parts())
 
     def pixel_blocks(self) -> DataFrame:
-        return decode.pixel_blocks(self.segments())
+        return decode.pixel_blocks(self._parts())
 
     def pixels(self) -> DataFrame:
         rows = to_pixel_rows(self.pixel_blocks())
-        return rows.where((F.col("x") < F.col("width")) & (F.col("y") < F.col("height"))).drop("width", "height")
+        return rows.where((F.col("x") < F.col("width")) & (F.col("y") < F.col("height"))).select("image_id", "component_idx", "y", "x", "v")
 
     def planes(self) -> DataFrame:
         """Without ``partitions`` an image stays in its task from bits to planes; nothing is shuffled."""
         if self.partitions:
             return decode.planes(self.pixel_blocks())
-        return self._in_one_pass(schemas.PLANES, decode.segment_step(), decode.pixel_step(), decode.plane_step())
+        return self._in_one_pass(schemas.PLANES, decode.part_step(), decode.pixel_step(), decode.plane_step())
 
     def rgb(self) -> DataFrame:
         if self.partitions:
             return color.rgb_images(self.planes())
-        return self._in_one_pass(color.RGB_IMAGES, decode.segment_step(), decode.pixel_step(), decode.plane_step(), color.rgb_step())
+        return self._in_one_pass(color.RGB_IMAGES, decode.part_step(), decode.pixel_step(), decode.plane_step(), color.rgb_step())
 
     def png(self) -> DataFrame:
         if self.partitions:
             return png.encode_png(self.rgb())
-        return self._in_one_pass(png.PNG, decode.segment_step(), decode.pixel_step(), decode.plane_step(), color.rgb_step(), png.png_step())
+        return self._in_one_pass(png.PNG, decode.part_step(), decode.pixel_step(), decode.plane_step(), color.rgb_step(), png.png_step())
 
     def _in_one_pass(self, ddl: str, *steps: decode.Step) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,10 +125,10 @@ class RasterCollection:
                 batches = step(batches)
             return batches
 
-        return self.images.select("image_id", "content").mapInArrow(run, ddl)
+        return decode.with_row(self.images).mapInArrow(run, ddl)
 
     def mse(self, other: RasterCollection) -> DataFrame:
-        return compare.mse(self.pixels(), other.pixels())
+        return compare.block_mse(self.pixel_blocks(), other.pixel_blocks())
 
     def structure_diff(self, other: RasterCollection) -> DataFrame:
         return compare.structure_diff(self.components(), other.components())
@@ -120,11 +136,56 @@ class RasterCollection:
     def write_png(self, folder: str) -> DataFrame:
         return png.write_png(self.png(), folder)
 
-    def latency(self) -> DataFrame:
-        """(image_id, milliseconds, samples): what decoding each image took, from bytes to planes, in its task."""
-        return decode.timed(self.images)
+    def encoded(self, kind: str) -> DataFrame:
+        """(image_id, content): files of ``kind``: bmp, tga or hdr."""
+        return raster.encode(self.rgb(), kind)
+
+    def save_png(self, folder: str, *, mode: str = "append") -> None:
+        """Runs the decode and writes PNG files with a commit: after a failure there are none."""
+        png.save_png(self.png(), folder, mode=mode)
+
+    def latency(self, *, iterations: int = 1, warm_up: int = 0) -> DataFrame:
+        """What decoding each image took, from bytes to planes, in its task; see :func:`.decode.timed`."""
+        return decode.timed(self.images, iterations=iterations, warm_up=warm_up)
 
     def register(self, prefix: str = "") -> None:
-        """All tables as temporary views, for SQL; each is computed only when a query reads it."""
+        """All tables as temporary views, for SQL; each is computed only when a query reads it.  Also the table functions."""
+        functions.register(self.images.sparkSession)
         for name in TABLES:
             getattr(self, name)().createOrReplaceTempView(prefix + name)
+
+
+class RangedCollection(RasterCollection):
+    """Files by ranges (:mod:`.sources.ranged`): metadata without the pixels, pixels of one file from many tasks.
+
+    A file whose scans do not all end has no pixels.  ``scans`` does not say how many
+    segments a scan has; :meth:`scan_segments` does.
+    """
+
+    def __init__(self, files: DataFrame, size: int = ranged.RANGE) -> None:
+        super().__init__(files)
+        self.size = size
+        self.partitions = 1  # planes are put together by image
+
+    @cached_property
+    def headers(self) -> DataFrame:
+        return ranged.headers(self.images)
+
+    def frames(self) -> DataFrame:
+        """Read no further than the frame."""
+        return lookups.with_status_text(header.frames(ranged.headers(self.images, frame_only=True)))
+
+    def components(self) -> DataFrame:
+        return header.components(ranged.headers(self.images, frame_only=True))
+
+    def scan_segments(self) -> DataFrame:
+        return ranged.scan_segments(self.images, size=self.size)
+
+    def segments(self) -> DataFrame:
+        return decode.segments(self._parts())
+
+    def _parts(self) -> DataFrame:
+        return ranged.parts(self.images, size=self.size)
+
+    def latency(self, *, iterations: int = 1, warm_up: int = 0) -> DataFrame:
+        raise NotImplementedError("one file's decode is many tasks here; read whole files to time them")

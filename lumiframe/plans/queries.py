@@ -15,9 +15,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import expr
-from ..operators import color, compare, destuff, huffman, lookups, reconstruct
-from ..sinks import files, jpeg, png
+from ..functions import expr, fixed
+from ..operators import color, compare, dealing, destuff, forward, huffman, lookups, reconstruct
+from ..sinks import files, jpeg, png, raster
+from . import functions
 from .api import RasterCollection
 
 FLAGSHIP = "q17_idct_block"
@@ -363,13 +364,15 @@ def q34(spark, sf):
 # ---------------------------------------------------------------- colour and comparison
 
 
-def _ycc_pixels(spark, sf):
+def _ycc_blocks(spark, sf):
     """Four vectors an image: luma 16x8 of two, chroma 8x8 of one each; every value is a sample."""
-    e = _table(spark, sf, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "e"))
-    v = F.greatest(F.lit(0), F.least(F.lit(255), F.floor((F.col("e").cast("double") + 0.5) * 256))).cast("int")
+    e = _table(spark, sf, "embeddings")
+    px = F.transform("embedding", lambda e: F.greatest(F.lit(0), F.least(F.lit(255), F.floor((e.cast("double") + 0.5) * 256))).cast("int"))
     part = F.col("vec_id") % 4
-    x = (F.col("i") % 8 + F.when(part == 1, 8).otherwise(0)).cast("bigint")
-    return e.select(F.expr("cast(vec_id div 4 as string)").alias("image_id"), F.greatest(F.lit(0), part - 1).cast("int").alias("component_idx"), expr.idiv(F.col("i"), 8).alias("y"), x.alias("x"), v.alias("v"))
+    return e.select(
+        F.expr("cast(vec_id div 4 as string)").alias("image_id"), F.greatest(F.lit(0), part - 1).cast("int").alias("component_idx"), F.lit(0).alias("block_y"), (part == 1).cast("int").alias("block_x"),
+        px.alias("px"), F.when(part < 2, 16).otherwise(8).alias("width"), F.lit(8).alias("height"),
+    )
 
 
 @query(
@@ -381,9 +384,9 @@ def _ycc_pixels(spark, sf):
       CAST(greatest(0, least(255, round(cy - 0.344136::DOUBLE * cb - 0.714136::DOUBLE * cr))) AS INTEGER) AS g, CAST(greatest(0, least(255, round(cy + 1.772::DOUBLE * cb))) AS INTEGER) AS b FROM p""",
 )
 def q22(spark, sf):
-    px = _ycc_pixels(spark, sf)
-    factors = px.select("image_id").distinct().select("image_id", F.lit(2).alias("div_x"), F.lit(1).alias("div_y"))
-    return color.to_rgb(color.upsample(px, factors))
+    blocks_ = _ycc_blocks(spark, sf)
+    factors = blocks_.where("component_idx = 1").select("image_id", *[F.lit(n).alias(c) for c, n in (("luma_x", 2), ("luma_y", 1), ("chroma_x", 1), ("chroma_y", 1))])
+    return color.to_rgb(color.upsample(blocks_, factors))
 
 
 @query(
@@ -414,10 +417,11 @@ def q36(spark, sf):
     SELECT CAST(label AS VARCHAR) AS image_id, CAST(sum((a - b) * (a - b)) AS DOUBLE) / count(*) AS mse FROM p GROUP BY label""",
 )
 def q23(spark, sf):
-    e = blocks(spark, sf).select(F.col("label").cast("string").alias("image_id"), F.lit(0).alias("component_idx"), F.col("vec_id").alias("y"), F.posexplode("coef").alias("x", "c"))
-    px = lambda c: F.greatest(F.lit(0), F.least(F.lit(255), c + 128)).alias("v")
-    coarse = F.expr("(c div 8) * 8")
-    return compare.mse(e.select("image_id", "component_idx", "y", "x", px(F.col("c"))), e.select("image_id", "component_idx", "y", "x", px(coarse))).select("image_id", "mse")
+    """Each label is an image of one column of blocks."""
+    px = lambda f: F.transform("coef", lambda c: F.greatest(F.lit(0), F.least(F.lit(255), f(c) + 128))).alias("px")
+    b = blocks(spark, sf).select(F.col("label").cast("string").alias("image_id"), F.lit(0).alias("component_idx"), F.col("vec_id").alias("block_y"), F.lit(0).alias("block_x"), F.lit(8).alias("width"), F.lit(1 << 40).alias("height"), "coef")
+    sides = [b.select("image_id", "component_idx", "block_y", "block_x", px(f), "width", "height") for f in (lambda c: c, lambda c: F.call_function("div", c, F.lit(8)) * 8)]
+    return compare.block_mse(*sides).select("image_id", "mse")
 
 
 @query(
@@ -483,9 +487,10 @@ def collage(spark: SparkSession, sf: str) -> RasterCollection:
     factors = F.transform(F.sequence(F.lit(0), F.col("components") - 1), lambda c: F.struct(F.when(c == 0, F.col("sx")).otherwise(1).alias("x"), F.when(c == 0, F.col("sy")).otherwise(1).alias("y")))
     tables_ = F.transform(F.sequence(F.lit(0), F.col("components") - 1), lambda c: F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: 1 + (c * 7 + i) % 31))
     apart = F.array(F.array(F.lit(0)), F.array(F.lit(1), F.lit(2)))
+    two = (F.col("components") == 3) & (F.expr("g div 6") % 2 == 1)
     return RasterCollection(jpeg.encode_images(images.select(
         F.col("g").cast("string").alias("image_id"), F.expr("cast(8 * sx * cx - g % 7 as int)").alias("width"), F.expr("cast(8 * sy * cy - g % 5 as int)").alias("height"), factors.alias("sampling"), tables_.alias("tables"),
-        F.expr("cast(g % 4 as int)").alias("restart"), F.when((F.col("components") == 3) & (F.expr("g div 6") % 2 == 1), apart).alias("scans"), "blocks",
+        F.transform(F.sequence(F.lit(1), F.when(two, 2).otherwise(1)), lambda _: F.expr("cast(g % 4 as int)")).alias("restart"), F.when(two, apart).alias("scans"), "blocks",
     )))
 
 
@@ -550,14 +555,17 @@ def q40(spark, sf):
     return collage(spark, sf).planes().select("image_id", "component_idx", "width", "height", F.octet_length("data").alias("samples"), check.alias("sample_check"))
 
 
-@query(
-    "q31_png",
-    f"""WITH {_IMAGE_PX}, l AS (SELECT * FROM sm WHERE comp = 0),
+_RGB = f"""WITH {_IMAGE_PX}, l AS (SELECT * FROM sm WHERE comp = 0),
     t AS (SELECT l.g, l.w, l.h, l.y, l.x, CASE WHEN l.components = 1 THEN l.v ELSE greatest(0, least(255, round(l.v + 1.402::DOUBLE * (r.v - 128)))) END AS r,
       CASE WHEN l.components = 1 THEN l.v ELSE greatest(0, least(255, round(l.v - 0.344136::DOUBLE * (b.v - 128) - 0.714136::DOUBLE * (r.v - 128)))) END AS gr,
       CASE WHEN l.components = 1 THEN l.v ELSE greatest(0, least(255, round(l.v + 1.772::DOUBLE * (b.v - 128)))) END AS b
       FROM l LEFT JOIN sm b ON b.g = l.g AND b.comp = 1 AND b.y = l.y // l.sy AND b.x = l.x // l.sx LEFT JOIN sm r ON r.g = l.g AND r.comp = 2 AND r.y = b.y AND r.x = b.x),
-    i AS (SELECT *, 3 * (y * w + x) AS i FROM t)
+    i AS (SELECT *, 3 * (y * w + x) AS i FROM t)"""
+
+
+@query(
+    "q31_png",
+    f"""{_RGB}
     SELECT CAST(g AS VARCHAR) AS image_id, true AS is_png, CAST(max(w) AS INTEGER) AS width, CAST(max(h) AS INTEGER) AS height, CAST(sum(r + gr + b) AS BIGINT) AS rgb_sum,
       CAST(sum(r * (1 + i % 997) + gr * (1 + (i + 1) % 997) + b * (1 + (i + 2) % 997)) AS BIGINT) AS rgb_check FROM i GROUP BY g""",
 )
@@ -570,6 +578,61 @@ def q31(spark, sf):
     return back
 
 
+#: Factors of luma and of both chroma components, by turns.
+_SAMPLINGS = [(1, 1, 1, 1), (2, 1, 1, 1), (2, 2, 1, 1), (1, 2, 1, 1), (4, 1, 1, 1), (1, 4, 1, 1), (3, 1, 1, 1), (3, 1, 2, 1), (1, 3, 1, 2), (2, 2, 2, 1), (2, 2, 1, 2)]
+
+
+def samplings(spark: SparkSession, sf: str) -> RasterCollection:
+    """An image for each vector, of 1 to 16 columns and lines, in all samplings; two follow each other under one id.
+
+    Block (component, y, x) is the vector ``8 * component + 4 * y + x`` places on, zero
+    beyond the last.  Every third image has luma in a scan of its own, and a restart
+    interval that is set only after that scan.
+    """
+    of = lambda n: F.get(F.array(*[F.lit(k[n]) for k in _SAMPLINGS]), F.expr(f"cast(g % {len(_SAMPLINGS)} as int)"))
+    b = blocks(spark, sf).select("vec_id", F.transform("coef", lambda c: c.cast("int")).alias("coef"))
+    im = b.select(F.col("vec_id").alias("g"), F.expr("cast(1 + vec_id % 16 as int)").alias("width"), F.expr("cast(1 + vec_id * 7 div 16 % 16 as int)").alias("height")).withColumns({n: of(k) for k, n in enumerate(("sx", "sy", "cx", "cy"))})
+    im = im.withColumns({"mx": F.expr("(width + 8 * sx - 1) div (8 * sx)"), "my": F.expr("(height + 8 * sy - 1) div (8 * sy)")})
+    places = F.expr(
+        "flatten(transform(sequence(0, 2), c -> flatten(transform(sequence(0, my * if(c = 0, sy, cy) - 1), y -> transform(sequence(0, mx * if(c = 0, sx, cx) - 1), x -> struct(c as component_idx, cast(y as int) as block_y, cast(x as int) as block_x))))))"
+    )
+    each = im.select("*", F.explode(places).alias("p")).withColumn("vec_id", F.expr("g + 8 * p.component_idx + 4 * p.block_y + p.block_x"))
+    filled = each.join(b, "vec_id").groupBy("g", "width", "height", "sx", "sy", "cx", "cy").agg(F.collect_list(F.struct("p.component_idx", "p.block_y", "p.block_x", "coef")).alias("blocks"))
+    factors = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda c: F.struct(F.when(c == 0, F.col("sx")).otherwise(F.col("cx")).alias("x"), F.when(c == 0, F.col("sy")).otherwise(F.col("cy")).alias("y")))
+    tables_ = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda c: F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: 1 + (c * 7 + i) % 31))
+    third = F.col("g") % 3 == 0
+    return RasterCollection(jpeg.encode_images(filled.select(
+        F.expr("cast(g div 2 as string)").alias("image_id"), "width", "height", factors.alias("sampling"), tables_.alias("tables"), F.when(third, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))).alias("restart"),
+        F.when(third, F.array(F.array(F.lit(0)), F.array(F.lit(1), F.lit(2)))).alias("scans"), "blocks",
+    )))
+
+
+@query(
+    "q46_rgb_samplings",
+    f"""WITH {_COEF}, kinds(kind, sx, sy, cx, cy) AS (VALUES {', '.join(str((n, *k)) for n, k in enumerate(_SAMPLINGS))}),
+    im AS (SELECT vec_id AS g, 1 + vec_id % 16 AS w, 1 + vec_id * 7 // 16 % 16 AS h, sx, sy, cx, cy FROM embeddings JOIN kinds ON vec_id % {len(_SAMPLINGS)} = kind),
+    comps(comp) AS (VALUES (0), (1), (2)),
+    x AS (SELECT vec_id, comp * 1000000000 + vec_id AS key, i // 8 AS r, i % 8 AS k, {_WRAP.format('c * (1 + (comp * 7 + i) % 31)')} AS v FROM u CROSS JOIN comps),
+    y AS {_pass('x', 'key', 'r', 'k')}, z AS {_pass('y', 'key', 'k', 'r')},
+    px AS (SELECT key, r, k, greatest(0, least(255, {_WRAP.format('v + 128')})) AS px FROM z),
+    p AS (SELECT im.*, unnest(range(h)) AS y FROM im), q AS (SELECT p.*, unnest(range(w)) AS x FROM p), s AS (SELECT q.*, y * cy // sy AS v, x * cx // sx AS t FROM q),
+    m AS (SELECT s.*, coalesce(l.px, 128) AS lum, coalesce(b.px, 128) - 128 AS cb, coalesce(r.px, 128) - 128 AS cr FROM s
+      LEFT JOIN px l ON l.key = g + 4 * (y // 8) + x // 8 AND l.r = y % 8 AND l.k = x % 8
+      LEFT JOIN px b ON b.key = 1000000000 + g + 8 + 4 * (v // 8) + t // 8 AND b.r = v % 8 AND b.k = t % 8 LEFT JOIN px r ON r.key = 2000000000 + g + 16 + 4 * (v // 8) + t // 8 AND r.r = v % 8 AND r.k = t % 8),
+    o AS (SELECT g, w, h, 3 * (y * w + x) AS i, greatest(0, least(255, round(lum + 1.402::DOUBLE * cr))) AS r, greatest(0, least(255, round(lum - 0.344136::DOUBLE * cb - 0.714136::DOUBLE * cr))) AS gr, greatest(0, least(255, round(lum + 1.772::DOUBLE * cb))) AS b FROM m)
+    SELECT CAST(g // 2 AS VARCHAR) AS image_id, CAST(max(w) AS INTEGER) AS width, CAST(max(h) AS INTEGER) AS height, CAST(sum(r + gr + b) AS BIGINT) AS rgb_sum,
+      CAST(sum(r * (1 + i % 997) + gr * (1 + (i + 1) % 997) + b * (1 + (i + 2) % 997)) AS BIGINT) AS rgb_check FROM o GROUP BY g""",
+)
+def q46(spark, sf):
+    """RGB of small images in all samplings: other factors than 2, intervals set between scans, ids that repeat."""
+    zero = F.lit(0).cast("bigint")
+    rgb = samplings(spark, sf).rgb()
+    sample = F.transform(F.sequence(F.lit(0), F.octet_length("rgb") - 1), lambda i: F.conv(F.hex(F.substr("rgb", i + 1, F.lit(1))), 16, 10).cast("bigint"))
+    return rgb.select("image_id", "width", "height", sample.alias("s")).select(
+        "image_id", "width", "height", F.aggregate("s", zero, lambda a, v: a + v).alias("rgb_sum"), F.aggregate(F.transform("s", lambda v, i: v * (1 + i % 997)), zero, lambda a, v: a + v).alias("rgb_check")
+    )
+
+
 @query(
     "q41_markers",
     f"""WITH {_IMAGES}, m(code, name, place) AS (VALUES (216, 'Start of image', 0), (219, 'Define quantization table(s)', 1), (192, 'Baseline DCT', 2), (196, 'Define Huffman table(s)', 3), (221, 'Define restart interval', 4), (218, 'Start of scan', 5), (217, 'End of image', 6)),
@@ -606,6 +669,97 @@ def q43(spark, sf):
     return both.select("image_id", "scan_idx", "component_idx", "mcu_x", "mcu_y", "data_x", "data_y", "table_id", check.alias("q_check"))
 
 
+# ---------------------------------------------------------------- table functions, dealing, latency
+
+
+@query(
+    "q51_lateral_markers",
+    f"""WITH {_IMAGES}, m(code, what, place) AS (VALUES (216, 0, 0), (219, 1, 1), (192, 0, 2), (196, 2, 3), (221, 3, 4), (218, 4, 5), (217, 0, 6)),
+    e AS (SELECT g, code, CASE what WHEN 0 THEN 1 WHEN 1 THEN components WHEN 2 THEN 2 WHEN 3 THEN CASE WHEN restart > 0 THEN 1 ELSE 0 END ELSE scans END AS n FROM im, m)
+    SELECT CAST(g AS VARCHAR) AS image_id, code, n::BIGINT AS n FROM e WHERE n > 0""",
+)
+def q51(spark, sf):
+    """SQL over a binary column: how often each marker stands in each stream."""
+    functions.register(spark)
+    return spark.sql("SELECT image_id, m.code, count(*) AS n FROM {images}, LATERAL jpeg_markers(content) m GROUP BY image_id, m.code", images=collage(spark, sf).images)
+
+
+@query("q52_dealing_by_cost", "SELECT count(*) AS n, sum(octet_length(encode(coalesce(text, ''))))::BIGINT AS cost, 8 AS tasks, true AS even FROM documents")
+def q52(spark, sf):
+    """All documents dealt to eight tasks by their bytes: no task has over 1.2 times the mean (or the one largest row)."""
+    d = _table(spark, sf, "documents").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("cost"))
+    per = dealing.deal(d, "cost", 8, key="doc_id").groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"), F.sum("cost").alias("cost"), F.max("cost").alias("top"))
+    even = F.max("cost") <= F.greatest(F.sum("cost") / 8 * 1.2, F.max("top"))
+    return per.agg(F.sum("n").alias("n"), F.sum("cost").alias("cost"), F.count("*").cast("int").alias("tasks"), even.alias("even"))
+
+
+@query(
+    "q53_decode_latency",
+    f"WITH {_IMAGES} SELECT CAST(g AS VARCHAR) AS image_id, 3 AS iterations, CAST(max(w * h) + max(CASE WHEN components = 3 THEN 2 * ((w + sx - 1) // sx) * ((h + sy - 1) // sy) ELSE 0 END) AS BIGINT) AS samples, true AS timed FROM im GROUP BY g",
+)
+def q53(spark, sf):
+    """Real decodes, three times each after one that does not count; times themselves differ by run."""
+    t = collage(spark, sf).latency(iterations=3, warm_up=1)
+    return t.select("image_id", "iterations", "samples", ((F.col("max_ms") > 0) & (F.col("milliseconds") <= F.col("max_ms") + 1e-9) & (F.abs(F.col("total_ms") / 3 - F.col("milliseconds")) < 1e-6)).alias("timed"))
+
+
+# ---------------------------------------------------------------- pixels to streams
+
+_BASE = ", ".join(str((k, luma, chroma)) for k, (luma, chroma) in enumerate(zip(fixed.LUMA_TABLE, fixed.CHROMA_TABLE)))
+_FORWARD = f"""s AS (SELECT vec_id, label, unnest(range(64)) AS i, CAST(greatest(0, least(255, floor((unnest(embedding)::DOUBLE + 0.5) * 256))) AS BIGINT) - 128 AS p FROM embeddings),
+m(u, x, c) AS (VALUES {', '.join(str((u, x, v)) for u, row in enumerate(forward.MATRIX) for x, v in enumerate(row))}), base(i, luma, chroma) AS (VALUES {_BASE}),
+t AS (SELECT vec_id, u, i % 8 AS x, sum(c * p) AS v FROM s JOIN m ON m.x = i // 8 GROUP BY vec_id, u, i % 8),
+f AS (SELECT vec_id, t.u * 8 + m.u AS i, sum(v * c) AS f FROM t JOIN m ON m.x = t.x GROUP BY vec_id, t.u, m.u),
+d AS (SELECT vec_id, f.i, f, greatest(1, least(255, (CASE WHEN vec_id % 2 = 0 THEN luma ELSE chroma END * 50 + 50) // 100))::BIGINT AS q FROM f JOIN base USING (i)),
+co AS (SELECT vec_id, i, q, CAST(sign(f) * ((2 * abs(f) + q * {1 << 2 * forward.BITS}) // (q * {1 << 2 * forward.BITS + 1})) AS BIGINT) AS c FROM d)"""
+
+
+def sample_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """Each vector as a block of 64 samples, with the divisors of quality 75: luma's, or of odd vectors chroma's."""
+    px = F.transform("embedding", lambda e: F.greatest(F.lit(0), F.least(F.lit(255), F.floor((e.cast("double") + 0.5) * 256))).cast("bigint"))
+    luma, chroma = (F.array(*[F.lit(v) for v in forward.scaled_table(t, 75)]) for t in (fixed.LUMA_TABLE, fixed.CHROMA_TABLE))
+    return _table(spark, sf, "embeddings").select("vec_id", px.alias("px"), F.when(F.col("vec_id") % 2 == 0, luma).otherwise(chroma).alias("q"))
+
+
+@query(
+    "q54_raster_files",
+    f"""{_RGB}, k(kind) AS (VALUES ('bmp'), ('tga'))
+    SELECT kind, CAST(g AS VARCHAR) AS image_id, CAST(max(w) AS INTEGER) AS width, CAST(max(h) AS INTEGER) AS height, CAST(sum(r + gr + b) AS BIGINT) AS rgb_sum,
+      CAST(sum(r * (1 + i % 997) + gr * (1 + (i + 1) % 997) + b * (1 + (i + 2) % 997)) AS BIGINT) AS rgb_check FROM i, k GROUP BY g, kind""",
+)
+def q54(spark, sf):
+    """Bits to BMP and run-length TGA files, and the samples that are read back from them."""
+    zero, c, out = F.lit(0).cast("bigint"), collage(spark, sf), None
+    for kind in ("bmp", "tga"):
+        back = raster.decode(c.encoded(kind), kind).select(F.lit(kind).alias("kind"), "image_id", "width", "height", "rgb")
+        out = back if out is None else out.unionByName(back)
+    sample = F.transform(F.sequence(F.lit(0), F.octet_length("rgb") - 1), lambda i: F.conv(F.hex(F.substr("rgb", i + 1, F.lit(1))), 16, 10).cast("bigint"))
+    return out.withColumn("s", sample).select(
+        "kind", "image_id", "width", "height", F.aggregate("s", zero, lambda a, v: a + v).alias("rgb_sum"), F.aggregate(F.transform("s", lambda v, i: v * (1 + i % 997)), zero, lambda a, v: a + v).alias("rgb_check")
+    )
+
+
+@query("q47_forward_dct", f"WITH {_FORWARD} SELECT vec_id, CAST(i AS INTEGER) AS i, c FROM co")
+def q47(spark, sf):
+    return forward.quantized_blocks(sample_blocks(spark, sf)).select("vec_id", F.posexplode("coef").alias("i", "c"))
+
+
+@query(
+    "q48_pixels_to_stream",
+    f"WITH {_FORWARD}, x AS (SELECT vec_id, i // 8 AS r, i % 8 AS k, {_WRAP.format('c * q')} AS v FROM co), y AS {_pass('x', 'vec_id', 'r', 'k')}, z AS {_pass('y', 'vec_id', 'k', 'r')}, "
+    f"px AS (SELECT vec_id, r, k, greatest(0, least(255, {_WRAP.format('v + 128')})) AS px FROM z WHERE vec_id % 2 = 0) SELECT CAST(vec_id AS VARCHAR) AS image_id, CAST(sum(px) AS BIGINT) AS px_sum, CAST(sum(px * (r * 8 + k + 1)) AS BIGINT) AS px_check FROM px GROUP BY vec_id",
+)
+def q48(spark, sf):
+    """Grey pictures of 8x8 pixels, one of each even vector, to streams and back to pixels."""
+    grey = sample_blocks(spark, sf).where("vec_id % 2 = 0").select(
+        F.col("vec_id").cast("string").alias("image_id"), F.lit(8).alias("width"), F.lit(8).alias("height"), F.lit(1).alias("num_components"),
+        F.unhex(F.array_join(F.transform("px", lambda v: F.repeat(F.lpad(F.hex(v), 2, "0"), F.lit(3))), "")).alias("rgb"),
+    )
+    zero = F.lit(0).cast("bigint")
+    back = RasterCollection(jpeg.encode_rgb(grey, quality=75)).pixel_blocks()
+    return back.select("image_id", F.aggregate("px", zero, lambda a, v: a + v).alias("px_sum"), F.aggregate(F.transform("px", lambda v, i: v * (i + 1)), zero, lambda a, v: a + v).alias("px_check"))
+
+
 # ---------------------------------------------------------------- streams that break the standard
 
 
@@ -660,8 +814,37 @@ def q45(spark, sf):
     folder = f"{files.scratch_folder(spark)}/lumiframe/images-{uuid.uuid4().hex}"
     made = collage(spark, sf).images.select(F.concat("image_id", F.lit(".jpg")).alias("file"), "length", "content")
     files.write_files(made, folder).write.format("noop").mode("overwrite").save()
-    c = RasterCollection.read(spark, folder, batch_rows=None)
+    c = RasterCollection.read(spark, folder)
     name = lambda df: df.withColumn("file", F.substring_index("image_id", "/", -1))
     read = name(c.images).select("file", F.col("length").alias("read"))
     both = name(c.frames()).join(read, "file").join(made.select("file", "length"), "file")
     return both.select("file", (F.col("read") == F.col("length")).alias("whole"), "status", "width", "height")
+
+
+@query(
+    "q49_ranged_headers",
+    f"""WITH {_IMAGES}, c AS (SELECT g, w, h, components, scans, mx * my AS mcus, sx, sy, unnest(range(components)) AS comp FROM sg WHERE scan_idx = 0)
+    SELECT g || '.jpg' AS file, 'SUCCESS' AS status, CAST(w AS INTEGER) AS width, CAST(h AS INTEGER) AS height, CAST(scans AS INTEGER) AS num_scans, CAST(comp AS INTEGER) AS component_idx,
+      CAST(CASE WHEN comp = 0 THEN w ELSE (w + sx - 1) // sx END AS INTEGER) AS component_width, CAST((SELECT sum((1 + (comp * 7 + i) % 31) * (i + 1)) FROM range(64) t(i)) AS BIGINT) AS q_check, true AS in_part FROM c""",
+)
+def q49(spark, sf):
+    """Streams written as files, and their headers by ranges: frames, components and divisors without the pixels."""
+    folder = f"{files.scratch_folder(spark)}/lumiframe/images-{uuid.uuid4().hex}"
+    files.write_files(collage(spark, sf).images.select(F.concat("image_id", F.lit(".jpg")).alias("file"), "content"), folder).write.format("noop").mode("overwrite").save()
+    parsed = RasterCollection.read_ranged(spark, folder).headers.select(F.substring_index("image_id", "/", -1).alias("file"), "status", "width", "height", "scans", F.explode("components").alias("c"), (F.col("bytes_read") <= F.col("length")).alias("in_part"))
+    table = F.filter(F.flatten("scans.qtables"), lambda q: q["table_id"] == F.col("c.qtable_idx"))[0]["q"]
+    check = F.aggregate(F.transform(table, lambda v, i: v * (i + 1)), F.lit(0).cast("bigint"), lambda a, v: a + v)
+    return parsed.select("file", "status", "width", "height", F.size("scans").alias("num_scans"), "c.component_idx", F.col("c.width").alias("component_width"), check.alias("q_check"), "in_part")
+
+
+@query("q50_segments_by_ranges", f"WITH {_IMAGES}, e AS (SELECT *, unnest(range(segs)) AS k FROM sg) SELECT g || '.jpg' AS file, CAST(scan_idx AS INTEGER) AS scan_idx, CAST(k AS INTEGER) AS segment_idx, true AS same FROM e")
+def q50(spark, sf):
+    """Files cut into ranges of 64 bytes over tasks: the segments that the parser finds in whole streams."""
+    folder = f"{files.scratch_folder(spark)}/lumiframe/images-{uuid.uuid4().hex}"
+    made = collage(spark, sf)
+    files.write_files(made.images.select(F.concat("image_id", F.lit(".jpg")).alias("file"), "content"), folder).write.format("noop").mode("overwrite").save()
+    by_ranges = RasterCollection.read_ranged(spark, folder, size=64).scan_segments().withColumn("file", F.substring_index("image_id", "/", -1)).drop("image_id")
+    whole = made.headers.select(F.concat("image_id", F.lit(".jpg")).alias("file"), F.explode("scans").alias("s")).select("file", "s.scan_idx", F.explode("s.segments").alias("g"))
+    both = by_ranges.join(whole, (by_ranges.file == whole.file) & (by_ranges.scan_idx == whole.scan_idx) & (by_ranges.segment_idx == whole.g.segment_idx), "full_outer")
+    same = (by_ranges.begin == whole.g.begin) & (by_ranges.end == whole.g.end) & (by_ranges.num_bytes == whole.g.num_bytes)
+    return both.select(F.coalesce(whole.file, by_ranges.file).alias("file"), F.coalesce(whole.scan_idx, by_ranges.scan_idx).alias("scan_idx"), F.coalesce(whole.g.segment_idx, by_ranges.segment_idx).alias("segment_idx"), F.coalesce(same, F.lit(False)).alias("same"))

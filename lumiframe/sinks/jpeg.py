@@ -1,7 +1,7 @@
-"""Baseline JPEG streams from quantised blocks.
+"""Baseline JPEG streams, from quantised blocks or from pixels.
 
-Takes coefficients, so that decoding can be held against them without any
-tolerance.  Huffman tables are made by a rule, not fitted: either all codes of
+:func:`encode` takes coefficients, so that decoding can be held against them without
+any tolerance; :func:`encode_rgb` makes them of pixels.  Huffman tables are made by a rule, not fitted: either all codes of
 one length, or a staircase that uses lengths up to 16.
 """
 
@@ -11,6 +11,7 @@ import struct
 
 import numpy as np
 
+from ..functions import fixed
 from ..functions.fixed import NATURAL_ORDER
 
 
@@ -67,13 +68,16 @@ def encode(
     blocks: list[np.ndarray],
     tables: list[list[int]],
     *,
-    restart: int = 0,
+    restart: int | list[int] = 0,
     scans: list[list[int]] | None = None,
     stairs: bool = False,
     huff_ids: tuple[int, int] = (0, 0),
     extra: bytes = b"",
 ) -> bytes:
-    """``blocks[c]``: [rows, columns, 64] coefficients in raster order, padded to whole MCUs; ``tables[c]``: its divisors."""
+    """``blocks[c]``: [rows, columns, 64] coefficients in raster order, padded to whole MCUs; ``tables[c]``: its divisors.
+
+    ``restart``: one interval, or one for each scan, which is set where it changes.
+    """
     n = len(sampling)
     top = [max(s[a] for s in sampling) for a in (0, 1)]
     out = b"\xff\xd8" + extra
@@ -83,10 +87,13 @@ def encode(
     ac = huffman_rule([0x00, 0xF0, *[(r << 4) | s for r in range(16) for s in range(1, 11)]], stairs)
     for kind, ident, (counts, values) in ((0, huff_ids[0], dc), (1, huff_ids[1], ac)):
         out += _segment(0xC4, bytes([(kind << 4) | ident]) + bytes(counts) + bytes(values))
-    if restart:
-        out += _segment(0xDD, struct.pack(">H", restart))
     dc_code, ac_code = _codes(*dc), _codes(*ac)
-    for own in scans or [list(range(n))]:
+    scans = scans or [list(range(n))]
+    intervals, set_to = restart if isinstance(restart, list) else [restart] * len(scans), 0
+    for own, restart in zip(scans, intervals):
+        if restart != set_to:
+            out += _segment(0xDD, struct.pack(">H", restart))
+            set_to = restart
         out += _segment(0xDA, bytes([len(own)]) + b"".join(bytes([k + 1, (huff_ids[0] << 4) | huff_ids[1]]) for k in own) + bytes([0, 63, 0]))
         if len(own) == 1:
             x, y = sampling[own[0]] if n > 1 else top
@@ -142,7 +149,7 @@ def encode_blocks(blocks):
 
 
 ENCODABLE = (
-    "image_id string, width int, height int, sampling array<struct<x:int,y:int>>, tables array<array<int>>, restart int, scans array<array<int>>, "
+    "image_id string, width int, height int, sampling array<struct<x:int,y:int>>, tables array<array<int>>, restart array<int>, scans array<array<int>>, "
     "blocks array<struct<component_idx:int,block_y:int,block_x:int,coef:array<int>>>"
 )
 
@@ -166,3 +173,40 @@ def encode_images(images):
             yield pa.RecordBatch.from_arrays([b.column("image_id"), pa.array([len(m) for m in made], pa.int64()), pa.array(made, pa.binary())], names=["image_id", "length", "content"])
 
     return images.mapInArrow(run, "image_id string, length long, content binary")
+
+
+RGB = "image_id string, length long, content binary"
+
+
+def encode_rgb(images, *, quality: int = 90, sampling: tuple[int, int] = (2, 2), restart: int = 0):
+    """OP-68: (image_id, width, height, rgb) to baseline streams (image_id, length, content).
+
+    ``sampling``: luma samples for each chroma sample, across and down; (1, 1) keeps all.
+    Images of ``num_components`` 1, where that is a column, become grey.  Rows without
+    pixels have no stream.
+    """
+    import pyarrow as pa
+
+    from ..operators import forward
+
+    x, y = sampling
+    if not (1 <= x <= 4 and 1 <= y <= 4 and x * y + 2 <= 10):
+        raise ValueError("up to 4 x 4 luma samples a chroma sample, and 8 in all")
+    tables = [forward.scaled_table(t, quality) for t in (fixed.LUMA_TABLE, fixed.CHROMA_TABLE, fixed.CHROMA_TABLE)]
+
+    def one(r) -> bytes:
+        w, h = r["width"], r["height"]
+        c = forward.ycbcr(np.frombuffer(r["rgb"], np.uint8).reshape(h, w, 3))
+        grey = r.get("num_components") == 1
+        factors = [(1, 1)] if grey else [(x, y), (1, 1), (1, 1)]
+        mcus = [-(-w // (8 * factors[0][0])), -(-h // (8 * factors[0][1]))]
+        planes = [c[:, :, 0], *([] if grey else [forward.averaged(c[:, :, k], x, y) for k in (1, 2)])]
+        blocks = [forward.forward(forward.to_blocks(p, mcus[1] * fy, mcus[0] * fx), q) for p, (fx, fy), q in zip(planes, factors, tables)]
+        return encode(w, h, factors, blocks, tables[: len(planes)], restart=restart)
+
+    def run(batches):
+        for b in batches:
+            made = [None if r["rgb"] is None else one(r) for r in b.to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("image_id"), pa.array([None if m is None else len(m) for m in made], pa.int64()), pa.array(made, pa.binary())], names=["image_id", "length", "content"])
+
+    return images.select("image_id", "width", "height", "rgb", *[c for c in ("num_components",) if c in images.columns]).mapInArrow(run, RGB)

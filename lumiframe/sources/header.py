@@ -240,23 +240,28 @@ class Parser:
             for k, ((p, dc, ac), (x, y)) in enumerate(zip(parts, shape))
         ]
         self.scanned |= {p["component_idx"] for p, _, _ in parts}
-        begin, segments = c.at, []
-        start = begin
+        # tables and restart interval as they stand where the scan begins
+        scan = {
+            "scan_idx": len(h.scans), "begin": c.at, "end": c.at, "num_mcus_x": mcus[0], "num_mcus_y": mcus[1], "units_in_mcu": units, "restart_interval": h.restart_interval, "components": used,
+            "qtables": [{"table_id": q, "q": self.quant[q]} for q in sorted({p["qtable_idx"] for p, _, _ in parts})],
+            "huff_tables": [dict(self.huff[s]) for s in sorted({2 * dc for _, dc, _ in parts} | {2 * ac + 1 for _, _, ac in parts})],
+            "segments": [],
+        }
+        self._entropy(scan)
+        h.scans.append(scan)
+
+    def _entropy(self, scan: dict) -> None:
+        """The scan's segments, up to the marker that ends it."""
+        c, start = self.c, self.c.at
         while True:
             m = _MARK.search(c.data, c.at)
             if m is None:
                 raise Stop(INVALID_JPEG)
-            segments.append({"segment_idx": len(segments), "begin": start, "end": m.start(), "num_bytes": m.start() - start - c.data.count(b"\xff\x00", start, m.start())})
+            scan["segments"].append({"segment_idx": len(scan["segments"]), "begin": start, "end": m.start(), "num_bytes": m.start() - start - c.data.count(b"\xff\x00", start, m.start())})
             if not 0xD0 <= c.data[m.end() - 1] <= 0xD7:
-                c.at = m.end() - 2
-                break
+                scan["end"] = c.at = m.end() - 2
+                return
             c.at = start = m.end()
-        h.scans.append({
-            "scan_idx": len(h.scans), "begin": begin, "end": c.at, "num_mcus_x": mcus[0], "num_mcus_y": mcus[1], "units_in_mcu": units, "components": used,
-            "qtables": [{"table_id": q, "q": self.quant[q]} for q in sorted({p["qtable_idx"] for p, _, _ in parts})],
-            "huff_tables": [dict(self.huff[s]) for s in sorted({2 * dc for _, dc, _ in parts} | {2 * ac + 1 for _, _, ac in parts})],
-            "segments": segments,
-        })
 
 
 def parse(data: bytes | None) -> Header:
@@ -308,7 +313,7 @@ def components(parsed: DataFrame) -> DataFrame:
 def scans(parsed: DataFrame) -> DataFrame:
     s = parsed.select("image_id", F.explode("scans").alias("s")).select("image_id", "s.*")
     n = F.aggregate("segments", F.lit(0).cast("long"), lambda a, g: a + F.ceil(g["num_bytes"] / SUBSEQUENCE_BYTES))
-    return s.select("image_id", "scan_idx", "begin", "end", "num_mcus_x", "num_mcus_y", "units_in_mcu", F.size("segments").alias("num_segments"), n.cast("int").alias("num_subsequences"))
+    return s.select("image_id", "scan_idx", "begin", "end", "num_mcus_x", "num_mcus_y", "units_in_mcu", "restart_interval", F.size("segments").alias("num_segments"), n.cast("int").alias("num_subsequences"))
 
 
 def _of_scans(parsed: DataFrame, what: str) -> DataFrame:

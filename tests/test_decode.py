@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from fixtures import image, table
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from lumiframe.operators import decode
 from lumiframe.operators.huffman import decode_lanes, decode_segment, lookup_table
 from lumiframe.operators.reconstruct import reconstruct
 from lumiframe.plans.api import RasterCollection
+from lumiframe.sinks.png import filtered, png_bytes, unfiltered
 from lumiframe.sources.header import parse
 
 CASES = {
@@ -122,7 +124,7 @@ def test_png_holds_the_pixels(spark, tmp_path):
     at = raw.index(b"IDAT")
     size = int.from_bytes(raw[at - 4 : at], "big")
     lines = np.frombuffer(zlib.decompress(raw[at + 4 : at + 4 + size]), np.uint8).reshape(10, 64)
-    assert (lines[:, 0] == 0).all() and lines[:, 1:].tobytes() == c.rgb().where("rgb is not null").first().rgb
+    assert unfiltered(lines, 3).tobytes() == c.rgb().where("rgb is not null").first().rgb
 
 
 def test_truncated_data_never_raise(spark):
@@ -149,7 +151,7 @@ def lanes_of(data):
         tables = {t["slot"]: (tuple(t["counts"]), tuple(t["huffval"])) for t in s["huff_tables"]}
         layout = [(c["component_idx"], tables[2 * c["dc_idx"]], tables[2 * c["ac_idx"] + 1]) for c in s["components"] for _ in range(c["mcu_x"] * c["mcu_y"] // 64)]
         total = s["num_mcus_x"] * s["num_mcus_y"]
-        each = h.restart_interval or total
+        each = s["restart_interval"] or total
         for k, g in enumerate(s["segments"]):
             yield data[g["begin"] : g["end"]].replace(b"\xff\x00", b"\xff"), min(each, total - k * each) * len(layout), layout
 
@@ -177,7 +179,7 @@ def test_side_by_side_equals_one_by_one(predict):
 
 def test_segments_match_their_bytes(spark):
     data = image(width=100, height=60, restart=3)[0]
-    segs = decode.segments(table(spark, {"a": data})).orderBy("segment_idx").collect()
+    segs = decode.segments(decode.parts(table(spark, {"a": data}))).orderBy("segment_idx").collect()
     at = 0
     for k, s in enumerate(segs):
         assert (s.segment_idx, s.subseq_offset, s.subseq_count) == (k, at, -(-len(s.data) // 128))
@@ -215,6 +217,8 @@ def test_latency_of_real_decodes(spark):
     c = RasterCollection(table(spark, {"a": image(width=60, height=40)[0], "b": image()[0], "bad": b"x"}))
     got = {r.image_id: r for r in c.latency().collect()}
     assert set(got) == {"a", "b"} and all(r.milliseconds > 0 for r in got.values()) and got["a"].samples == 60 * 40 + 2 * 30 * 20
+    many = c.latency(iterations=4, warm_up=1).collect()
+    assert all(r.iterations == 4 and 0 < r.milliseconds <= r.max_ms <= r.total_ms and abs(r.total_ms - 4 * r.milliseconds) < 1e-6 for r in many) and len(many) == 2
     s = latency_stats(c.latency().withColumn("all", F.lit(1)), ["all"], "milliseconds").first()
     assert s.n == 2 and s.max_ms >= s.avg_ms > 0 and s.per_second > 0
 
@@ -226,3 +230,153 @@ def test_a_path_without_a_scheme_is_on_the_default_file_system(spark, tmp_path):
     rows = spark.createDataFrame([("a.bin", b"\x00\xff"), ("b.bin", b"")], "file string, content binary")
     assert sorted(r.file for r in write_files(rows, str(tmp_path / "o")).collect()) == ["a.bin", "b.bin"]
     assert sorted(p.name for p in (tmp_path / "o").iterdir() if not p.name.startswith(".")) == ["a.bin", "b.bin"] and (tmp_path / "o" / "a.bin").read_bytes() == b"\x00\xff"
+
+
+def test_images_of_one_id_stay_apart(spark):
+    """Two images of one id, one after the other and dealt out: six planes and two pictures."""
+    a, b = image(seed=1, width=50)[0], image(seed=2, width=50)[0]
+    images = spark.createDataFrame([("x", a), ("x", b), (None, a)], "image_id string, content binary").coalesce(1)
+    want = {n: [bytes(r.data) for r in RasterCollection(table(spark, {"x": s})).planes().orderBy("component_idx").collect()] for n, s in (("a", a), ("b", b))}
+    for c in (RasterCollection(images), RasterCollection(images, partitions=3)):
+        got = [(r.image_row, r.component_idx, bytes(r.data)) for r in c.planes().collect()]
+        assert len(got) == 9 and sorted(d for _, _, d in got) == sorted(2 * want["a"] + want["b"])
+        assert c.rgb().where("rgb is not null").count() == 3
+
+
+def test_an_interval_set_between_scans_holds_from_there(spark):
+    made = {k: image(width=60, height=40, seed=3, scans=[[0], [1, 2]], restart=r) for k, r in {"between": [0, 2], "before": [2, 2], "none": [0, 0]}.items()}
+    c = RasterCollection(table(spark, {k: v[0] for k, v in made.items()}))
+    assert {(r.image_id, r.scan_idx): r.restart_interval for r in c.scans().collect()} == {("between", 0): 0, ("between", 1): 2, ("before", 0): 2, ("before", 1): 2, ("none", 0): 0, ("none", 1): 0}
+    planes = {}
+    for r in c.planes().collect():
+        planes.setdefault(r.component_idx, set()).add(bytes(r.data))
+    assert {k: len(v) for k, v in planes.items()} == {0: 1, 1: 1, 2: 1}
+
+
+def test_tables_travel_once_a_run(spark):
+    """A restart interval of one: rows are about as large as the file, not a hundred times."""
+    data = image(width=512, height=512, restart=1)[0]
+    runs_ = decode.parts(table(spark, {"a": data})).toPandas()
+    assert len(runs_) == 1 and len(runs_.segments[0]) == 32 * 32
+    assert decode.segments(decode.parts(table(spark, {"a": data}))).count() == 32 * 32
+    cut = decode.parts(table(spark, {"b": image(width=200, height=100, restart=2)[0]}))
+    assert cut.count() == 1
+
+
+def test_runs_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(decode, "_RUN_BYTES", 600)
+    monkeypatch.setattr(decode, "_RUN", 5)
+    data = image(width=200, height=100, restart=2)[0]
+    got = [r for b in decode.part_step()(iter([pa.RecordBatch.from_pydict({"image_row": [1], "image_id": ["a"], "content": [data]})])) for r in b.to_pylist()]
+    assert len(got) > 5 and all(len(r["segments"]) <= 5 and (len(r["segments"]) == 1 or sum(len(g["data"]) for g in r["segments"]) <= 600) for r in got)
+    assert [g["segment_idx"] for r in got for g in r["segments"]] == list(range(len(parse(data).scans[0]["segments"])))
+
+
+@pytest.mark.parametrize("channels", [1, 3])
+def test_png_filters_undo(channels):
+    rng = np.random.default_rng(0)
+    for h, w in ((1, 1), (1, 9), (7, 1), (20, 30)):
+        noise = rng.integers(0, 256, (h, w * channels), dtype=np.uint8)
+        ramp = (np.add.outer(np.arange(h) * 3, np.arange(w * channels) // channels * 2) % 256).astype(np.uint8)
+        for lines in (noise, ramp, np.zeros_like(noise), (ramp + noise // 32).astype(np.uint8)):
+            made = filtered(lines, channels)
+            assert (unfiltered(made, channels) == lines).all()
+    kinds = set()
+    for kind in range(5):  # lines that each filter is the best for
+        made = np.random.default_rng(kind).integers(-1, 2, (12, 1 + 9 * channels)).astype(np.uint8)
+        made[:, 0] = kind
+        lines = unfiltered(made, channels)
+        again = filtered(lines, channels)
+        kinds |= set(again[:, 0].tolist())
+        assert (unfiltered(again, channels) == lines).all()
+    assert kinds == {0, 1, 2, 3, 4}
+
+
+def test_png_is_smaller_with_filters_and_another_codec_reads_it(spark, tmp_path):
+    import zlib
+
+    y, x = np.mgrid[:64, :96]
+    rgb = np.stack([(3 * x + y) % 256, (x * y // 40) % 256, (2 * y) % 256], axis=2).astype(np.uint8)
+    made = png_bytes(96, 64, rgb.tobytes())
+    plain = np.zeros((64, 1 + 96 * 3), np.uint8)
+    plain[:, 1:] = rgb.reshape(64, -1)
+    assert len(made) < 0.7 * len(zlib.compress(plain.tobytes(), 6))
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p" / "a.png").write_bytes(made)
+    (tmp_path / "p" / "g.png").write_bytes(png_bytes(96, 64, rgb[:, :, 0].tobytes(), channels=1))
+    theirs = {r.image.origin.rsplit("/", 1)[1]: r.image for r in spark.read.format("image").load(str(tmp_path / "p")).collect()}
+    assert (np.frombuffer(bytes(theirs["a.png"].data), np.uint8).reshape(64, 96, 3)[:, :, ::-1] == rgb).all()
+    assert (np.frombuffer(bytes(theirs["g.png"].data), np.uint8).reshape(64, 96) == rgb[:, :, 0]).all()
+
+
+def test_reading_images_leaves_the_session_alone(spark, tmp_path):
+    from lumiframe.sources.images import image_batches
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    (tmp_path / "a.jpg").write_bytes(image()[0])
+    c = RasterCollection.read(spark, str(tmp_path))
+    assert c.frames().count() == 1 and spark.conf.get(key) == before
+    with image_batches(spark, 7):
+        assert spark.conf.get(key) == "7" and c.planes().count() == 3
+    assert spark.conf.get(key) == before
+
+
+def test_forward_dct_is_the_inverse_of_the_inverse(spark):
+    """Expressions, numpy and the plain definition agree; decoded samples are as near as the divisors allow."""
+    from lumiframe.functions import fixed
+    from lumiframe.operators import forward
+
+    rng = np.random.default_rng(0)
+    px = np.concatenate([rng.integers(0, 256, (20, 64)), np.zeros((1, 64), int), np.full((1, 64), 255), np.tile([0, 255], (1, 32))])
+    for q in ([1] * 64, forward.scaled_table(fixed.LUMA_TABLE, 75), forward.scaled_table(fixed.CHROMA_TABLE, 10)):
+        got = forward.forward(px, q)
+        rows = spark.createDataFrame([(k, p.tolist(), q) for k, p in enumerate(px)], "k int, px array<bigint>, q array<int>")
+        assert {r.k: list(r.coef) for r in forward.quantized_blocks(rows).collect()} == {k: c.tolist() for k, c in enumerate(got)}
+        cos = np.array([[np.sqrt((1 if u else 0.5) / 4) * np.cos((2 * x + 1) * u * np.pi / 16) for x in range(8)] for u in range(8)])
+        plain = np.einsum("ux,nxy,vy->nuv", cos, px.reshape(-1, 8, 8) - 128.0, cos).reshape(-1, 64) / q
+        assert np.abs(got - plain).max() <= 0.51
+        bound = np.abs(np.einsum("ux,uv,vy->xy", np.abs(cos), np.array(q).reshape(8, 8) / 2.0, np.abs(cos))).max()
+        assert np.abs(reconstruct(got, np.array(q)).astype(int) - px).max() <= bound + 3
+    assert forward.scaled_table(fixed.LUMA_TABLE, 50) == fixed.LUMA_TABLE and set(forward.scaled_table(fixed.LUMA_TABLE, 100)) == {1} and max(forward.scaled_table(fixed.CHROMA_TABLE, 1)) == 255
+
+
+@pytest.mark.parametrize("sampling", [(1, 1), (2, 2), (2, 1), (1, 4), (3, 2)])
+def test_pictures_come_back_from_streams(spark, tmp_path, sampling):
+    """Smooth colours to a stream and back; a second codec reads the same picture."""
+    from lumiframe.sinks.jpeg import encode_rgb
+
+    y, x = np.mgrid[:45, :70]
+    rgb = np.clip(np.stack([60 + x * 2, 200 - y * 3, 90 + x + y], axis=2), 0, 255).astype(np.uint8)
+    images = spark.createDataFrame([("a", 70, 45, 3, rgb.tobytes()), ("g", 70, 45, 1, np.repeat(rgb[:, :, :1], 3, axis=2).tobytes()), ("none", 1, 1, 3, None)], "image_id string, width int, height int, num_components int, rgb binary")
+    made = encode_rgb(images, quality=95, sampling=sampling, restart=3)
+    streams = {r.image_id: r for r in made.collect()}
+    assert streams["none"].content is None and streams["a"].length == len(streams["a"].content)
+    c = RasterCollection(made.where("content is not null"))
+    got = {r.image_id: np.frombuffer(r.rgb, np.uint8).reshape(45, 70, 3).astype(int) for r in c.rgb().collect()}
+    assert {r.image_id: r.num_components for r in c.frames().collect()} == {"a": 3, "g": 1}
+    assert ((got["a"] - rgb) ** 2).mean() < (3 if sampling == (1, 1) else 25) and np.abs(got["g"][:, :, 0] - rgb[:, :, 0]).max() <= 4
+    (tmp_path / "a.jpg").write_bytes(streams["a"].content)
+    theirs = spark.read.format("image").load(str(tmp_path)).first().image
+    t = np.frombuffer(bytes(theirs.data), np.uint8).reshape(45, 70, 3)[:, :, ::-1].astype(int)
+    assert ((t - got["a"]) ** 2).mean() < 25
+    with pytest.raises(ValueError, match="luma samples"):
+        encode_rgb(images, sampling=(4, 4))
+
+
+def test_table_functions_in_sql(spark):
+    from lumiframe.plans import functions
+
+    functions.register(spark)
+    made = {"a": image(width=37, height=29, restart=2)[0], "b": image(scans=[[0], [1, 2]])[0], "bad": b"xx", "none": None}
+    images = table(spark, made)
+    c = RasterCollection(images)
+    images.createOrReplaceTempView("some_images")
+    rows = lambda df: sorted(map(repr, map(tuple, df.collect())))
+    sql = lambda what, f: spark.sql(f"SELECT i.image_id, {what} FROM some_images i, LATERAL {f}(i.content) t")
+    assert rows(sql("t.ord, t.code", "jpeg_markers")) == rows(c.markers().select("image_id", "ord", "code"))
+    assert rows(sql("t.status, t.width, t.num_components", "jpeg_frame")) == rows(c.frames().select("image_id", "status", "width", "num_components"))
+    assert rows(sql("t.component_idx, t.ss_x, t.height", "jpeg_components")) == rows(c.components().select("image_id", "component_idx", "ss_x", "height"))
+    assert rows(sql("t.scan_idx, t.table_id, t.q", "jpeg_qtables")) == rows(c.qtables().select("image_id", "scan_idx", "table_id", "q"))
+    assert rows(sql("t.scan_idx, t.slot, t.counts, t.huffval", "jpeg_huff_tables")) == rows(c.huff_tables().select("image_id", "scan_idx", "slot", "counts", "huffval"))
+    assert rows(sql("t.scan_idx, t.component_idx, t.dc_idx", "jpeg_scan_components")) == rows(c.scan_components().select("image_id", "scan_idx", "component_idx", "dc_idx"))

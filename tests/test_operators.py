@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lumiframe.functions import expr, fixed
-from lumiframe.operators import color, compare, decode, destuff, huffman, reconstruct
+from lumiframe.operators import color, compare, decode, destuff, huffman, reconstruct, scan
 from lumiframe.plans import queries
 from lumiframe.sinks.jpeg import huffman_rule
 
@@ -26,7 +26,7 @@ def test_windows_agree_with_the_decoder_s_segments(spark):
     segs = destuff.segments(indexed)
     dest = destuff.destuffed_bytes(destuff.destuff_offset(indexed), segs)
     ours = {r.segment_idx: r for r in segs.collect()}
-    theirs = {r.segment_idx: r for r in decode.segments(table(spark, {"a": data})).collect()}
+    theirs = {r.segment_idx: r for r in decode.segments(decode.parts(table(spark, {"a": data}))).collect()}
     assert len(ours) == len(theirs) > 10
     padded = {r.segment_idx: bytes(r.data) for r in destuff.padded_segments(dest).collect()}
     for k, t in theirs.items():
@@ -48,6 +48,80 @@ def test_windows_stay_within_images(spark):
     assert "SinglePartition" not in plan
 
 
+def stuffed(rng, n, restarts=0.02):
+    """Random data bytes, FF stuffed, with restart markers; FFs are frequent."""
+    out = []
+    for v in rng.choice([255, *range(0, 256, 5)], n):
+        out += [255, 0] if v == 255 else [int(v)]
+        if rng.random() < restarts:
+            out += [255, 208 + int(rng.integers(8))]
+    return out
+
+
+@pytest.mark.parametrize("size", [1, 2, 5, 64])
+def test_chunks_of_any_size_give_what_one_pass_gives(spark, size):
+    """Restarts, stuffed bytes and long segments across the cuts; positions that do not start at 0."""
+    rng = np.random.default_rng(size)
+    streams = {"a": stuffed(rng, 300), "b": stuffed(rng, 150, 0), "c": stuffed(rng, 40, 0.5), "d": [255, 208, 255, 209, 7], "e": [1]}
+    want = {}
+    for name, s in streams.items():
+        seg = off = 0
+        for p, v in enumerate(s):
+            after = p > 0 and s[p - 1] == 255
+            data, restart = v == 0 if after else v != 255, after and 208 <= v <= 215
+            want[name, p + 1000] = (data, 255 if after else v, restart, seg, off)
+            off += data
+            if restart:
+                seg, off = seg + 1, 0
+    shifted = bytes_frame(spark, streams).withColumn("pos", F.col("pos") + 1000)
+    indexed = destuff.segment_index(destuff.byte_flags(shifted, size=size), size=size)
+    placed = destuff.destuff_offset(indexed, size=size)
+    got = {(r.image_id, r.pos): (r.is_data, r.value, r.is_restart, r.segment_idx, r.offset) for r in placed.collect()}
+    assert got == want
+    segs = destuff.segments(indexed, size=size)
+    total = 0
+    for r in segs.where("image_id = 'a'").orderBy("segment_idx").collect():
+        assert r.subseq_offset == total
+        total += r.subseq_count
+    dest = destuff.destuffed_bytes(placed, segs, size=size)
+    heads = destuff.subsequence_map(dest).where("image_id = 'a'").orderBy("subseq_idx").collect()
+    assert [r.subseq_idx for r in heads] == list(range(total))
+    assert {(r.image_id, r.segment_idx, r.offset): r.b for r in dest.collect()} == {(n, s, o): v for (n, _), (d, v, _, s, o) in want.items() if d}
+
+
+@pytest.mark.parametrize("size", [1, 3, 1000])
+def test_sums_in_two_levels(spark, size):
+    rng = np.random.default_rng(size)
+    rows = [(k, int(p), int(rng.integers(-9, 10))) for k in range(3) for p in rng.choice(200, 60, replace=False)]
+    df = spark.createDataFrame(rows, "k int, p long, n int")
+    for inclusive in (False, True):
+        got = {(r.k, r.p): r.s for r in scan.running_sums(df, ["k"], "p", {"s": F.col("n")}, inclusive=inclusive, size=size).collect()}
+        assert got == {(k, p): sum(n for k2, p2, n in rows if k2 == k and (p2 < p or inclusive and p2 == p)) for k, p, _ in rows}
+    dc = spark.createDataFrame([("a", 0, u, int(rng.integers(-30000, 30000))) for u in range(50)], "image_id string, component_idx int, unit long, dc long")
+    for every in (None, 7):
+        one, two = (sorted(map(tuple, reconstruct.dc_integrate(dc, every, size=s).collect())) for s in (10**6, size))
+        assert one == two
+
+
+def test_a_stream_of_millions_of_bytes_is_no_single_window(spark):
+    n = 3_000_000
+    b = spark.range(n).select(F.lit("a").alias("image_id"), F.lit(0).alias("scan_idx"), F.col("id").alias("pos"), F.expr("cast(case when id % 1009 = 5 then 255 when id % 1009 = 6 then if(id % 5 = 0, 208, 0) else id % 255 end as int)").alias("b"))
+    placed = destuff.destuff_offset(destuff.segment_index(destuff.byte_flags(b)))
+    plan = placed._jdf.queryExecution().executedPlan().toString()
+    over_rows = [line for line in plan.splitlines() if "Window [" in line and ("b#" in line or "is_data" in line or "is_restart" in line)]
+    assert over_rows and all("chunk#" in line for line in over_rows)
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")  # partitions as they are dealt
+    try:
+        per = placed.groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset(key)
+    assert len(per) > 1 and max(r["count"] for r in per) < 0.7 * n
+    got = placed.selectExpr("max(segment_idx) s", "sum(cast(is_data as int)) d", "max(offset) o").first()
+    marks = sum(1 for k in range(6, n, 1009) if k % 5 == 0)
+    assert got.s == marks and got.d == n - 2 * marks - (len(range(5, n, 1009)) - marks) and got.o == 5 * 1009 - 2 - 4
+
+
 def test_codes_are_prefix_free_and_match_the_lookup(spark):
     tables = [huffman_rule(list(range(12)), s) for s in (False, True)] + [([0] * 16, [])]
     rows = huffman.canonical_codes(spark.createDataFrame([(k, c, v) for k, (c, v) in enumerate(tables)], "k int, counts array<int>, huffval array<int>")).collect()
@@ -123,7 +197,7 @@ def test_any_blocks_come_back(width, height, sampling, restart, stairs, seed):
 def test_relational_stages_equal_the_fused_decoder(spark):
     """units (differences) -> dc_integrate -> deinterleave -> dequantize -> idct, against pixel_blocks."""
     data, _, tables = image(width=50, height=40, restart=2, seed=9)
-    segs = decode.segments(table(spark, {"a": data}))
+    segs = decode.parts(table(spark, {"a": data}))
     raw = decode.units(segs, predict=False)
     comp = spark.createDataFrame([("a", 0, c, c, 2 if c == 0 else 1, 2 if c == 0 else 1) for c in range(3)], "image_id string, scan_idx int, sc int, component_idx int, ss_x int, ss_y int")
     scans = spark.createDataFrame([("a", 0, 4, 6)], "image_id string, scan_idx int, num_mcus_x int, units_in_mcu int")
@@ -142,12 +216,30 @@ def test_relational_stages_equal_the_fused_decoder(spark):
 def test_colour_by_join_equals_colour_by_image(spark):
     from lumiframe.plans.api import RasterCollection
 
-    c = RasterCollection(table(spark, {"a": image(width=33, height=21)[0]}))
-    factors = spark.createDataFrame([("a", 2, 2)], "image_id string, div_x int, div_y int")
-    rows = color.to_rgb(color.upsample(c.pixels(), factors)).collect()
-    r = c.rgb().first()
-    whole = np.frombuffer(r.rgb, np.uint8).reshape(r.height, r.width, 3)
-    assert len(rows) == 33 * 21 and all(tuple(whole[x.y, x.x]) == (x.r, x.g, x.b) for x in rows)
+    made = {"a": ((2, 2), 1, 1), "b": ((3, 1), 1, 1), "c": ((3, 1), 2, 1), "d": ((1, 4), 1, 1), "e": ((4, 1), 1, 1), "f": ((1, 3), 1, 2), "g": ((1, 1), 1, 1)}
+    c = RasterCollection(table(spark, {k: image(width=33, height=21, sampling=(luma, (x, y), (x, y)), seed=n)[0] for n, (k, (luma, x, y)) in enumerate(made.items())}))
+    factors = spark.createDataFrame([(k, *luma, x, y) for k, (luma, x, y) in made.items()], "image_id string, luma_x int, luma_y int, chroma_x int, chroma_y int")
+    rows = color.to_rgb(color.upsample(c.pixel_blocks(), factors)).collect()
+    whole = {r.image_id: np.frombuffer(r.rgb, np.uint8).reshape(r.height, r.width, 3) for r in c.rgb().collect()}
+    assert len({(x.image_id, x.y, x.x) for x in rows}) == len(rows) == 33 * 21 * len(made)
+    assert all(tuple(whole[x.image_id][x.y, x.x]) == (x.r, x.g, x.b) for x in rows)
+
+
+@pytest.mark.parametrize("luma,chroma", [((4, 1), (1, 1)), ((3, 1), (1, 1)), ((3, 1), (2, 1)), ((1, 3), (1, 2)), ((1, 4), (1, 1)), ((2, 2), (2, 1)), ((2, 2), (1, 1))])
+def test_rgb_of_every_small_size(luma, chroma):
+    """Chroma by the factors, not by the ratio of the rounded sizes: planes of ramps, so that a wrong step shows."""
+    for w in range(1, 17):
+        for h in (1, 2, 5, 8, 9, 16):
+            planes = []
+            for c, (x, y) in enumerate((luma, chroma, chroma)):
+                cw, ch = -(-w * x // max(luma[0], chroma[0])), -(-h * y // max(luma[1], chroma[1]))
+                data = (128 + np.add.outer(np.arange(ch), np.arange(cw))).astype(np.uint8) if c else np.full((ch, cw), 100, np.uint8)
+                planes.append({"image_row": 0, "image_id": "a", "component_idx": c, "width": cw, "height": ch, "ss_x": x, "ss_y": y, "data": data.tobytes()})
+            got = np.frombuffer(color._rgb(planes)["rgb"], np.uint8).reshape(h, w, 3)
+            for i in range(h):
+                for j in range(w):
+                    v = i * chroma[1] // luma[1] + j * chroma[0] // luma[0]
+                    assert tuple(got[i, j]) == tuple(int(np.clip(np.floor(t + 0.5), 0, 255)) for t in (100 + 1.402 * v, 100 - 0.344136 * v - 0.714136 * v, 100 + 1.772 * v))
 
 
 def test_uneven_chroma_is_not_converted(spark):
