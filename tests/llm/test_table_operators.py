@@ -169,11 +169,68 @@ def test_items_without_an_id_or_of_one_id(spark):
     assert {(r.id, r.item) for r in found.collect()} == {(0, None), (1, 4), (2, 4)}
 
 
-def test_decontamination_uses_no_python(spark):
+def test_decontamination_uses_no_python(spark, monkeypatch):
     d = spark.createDataFrame([(1, "a b c d e f g h")], "doc_id long, text string")
     b = spark.createDataFrame([(1, "b c d e f g h")], "item_id long, text string")
-    plan = decontam.contaminated(d, b)._jdf.queryExecution().executedPlan().toString()
-    assert not re.search("Python|Pandas|Arrow", plan)
+    plans, write = [], decontam.materialize
+    monkeypatch.setattr(decontam, "materialize", lambda df, name, **o: plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or write(df, name, **o))
+    decontam.contaminated(d, b)
+    assert {name for name, _ in plans} == {"items", "likely", "chosen", "tiles", "fingerprints", "contaminated"}
+    assert not any(re.search("Python|Pandas|Arrow", plan) for _, plan in plans)
+
+
+def test_texts_that_repeat_themselves_are_found(spark):
+    """Periods of one to four words: a shingle recurs many times, and windows differ by how often."""
+    rng = np.random.default_rng(0)
+    docs, items = [], []
+    for k in range(60):
+        words = [f"p{k}", f"q{k}", f"r{k}", f"s{k}"][: 1 + k % 4]
+        n = int(rng.integers(13, 32))
+        base = (words * n)[:n]
+        items.append((k, " ".join(base)))
+        for j in range(4):
+            w = list(base)
+            for _ in range(j):
+                at = int(rng.integers(n))
+                if rng.random() < 0.5:
+                    w[at:at] = [words[int(rng.integers(len(words)))]]
+                else:
+                    del w[at % len(w)]
+            docs.append((4 * k + j, " ".join([*rng.choice(WORDS, 5), *w, *rng.choice(WORDS, 5)])))
+    items += [(100, "five a b a b a b a b a b a b"), (101, "x y x y x y x y x z x y x y x y x y")]
+    docs += [(900, "b a b a b a b a b a b five a b a b a"), (901, "y x y x y x y z x y x y x y x y x y x y")]
+    want = brute_held(docs, items)
+    assert len(want) > 100
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.id, r.item) for r in decontam.contaminated(d, b).collect()} == want
+
+
+def test_items_that_share_a_template_meet_their_own_documents_only(spark):
+    """Pairs grow with what is found, not with items times documents."""
+    rng = np.random.default_rng(1)
+    template = " ".join(rng.choice(WORDS, 30))
+    rows = {}
+    for n in (40, 80):
+        own = [" ".join([f"i{k}x{j}" for j in range(20)]) for k in range(n)]
+        d = spark.createDataFrame([(k, f"{template} {w} end") for k, w in enumerate(own)], "doc_id long, text string")
+        b = spark.createDataFrame([(k, f"{template} {w}") for k, w in enumerate(own)], "item_id long, text string")
+        bench = decontam.benchmark_items(b)
+        texts = d.select("doc_id", "text", F.col("doc_id").alias("k1"), F.lit(0).cast("long").alias("k2"))
+        rows[n] = decontam._pairs(texts, bench.cache(), [5], 0.8, True).count()
+        assert {(r.id, r.item) for r in decontam.contaminated(d, b).collect()} == {(k, k) for k in range(n)}
+    assert rows == {40: 40, 80: 80}
+
+
+def test_numbered_multisets(spark):
+    cases = [[], [7], [7, 7], [1, 2, 1, 1, 3], [5] * 40, list(range(30)) + [3, 4, 3]]
+    got = [r.n for r in spark.createDataFrame([(c,) for c in cases], "s array<bigint>").select(decontam.numbered("s").alias("n")).collect()]
+    assert [len(set(n)) for n in got] == [len(c) for c in cases] and all(set(c) <= set(n) for c, n in zip(cases, got))
+    rng = np.random.default_rng(2)
+    pairs = [tuple(rng.integers(0, 6, int(rng.integers(1, 25))).tolist() for _ in "ab") for _ in range(60)]
+    df = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(pairs)], "k int, a array<bigint>, b array<bigint>").select("k", decontam.numbered("a").alias("a"), decontam.numbered("b").alias("b"))
+    for r in df.select("k", decontam.weighted_jaccard("a", "b").alias("j")).collect():
+        a, b = map(Counter, pairs[r.k])
+        assert r.j == sum((a & b).values()) / sum((a | b).values())
 
 
 def test_a_contaminated_row_takes_no_other_row_with_it(spark):
