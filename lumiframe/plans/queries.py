@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expr, fixed
-from ..operators import color, compare, dealing, destuff, forward, huffman, lookups, reconstruct
+from ..operators import bitwise, color, compare, dealing, decode, destuff, forward, huffman, lookups, reconstruct
 from ..sinks import files, jpeg, png, raster
 from . import functions
 from .api import RasterCollection
@@ -458,6 +458,14 @@ def q30(spark, sf):
     return _px_stats(encoded(spark, sf).pixel_blocks().select(F.col("image_id").cast("bigint").alias("vec_id"), "px"))
 
 
+@query("q55_decode_by_expressions", _PX_SQL)
+def q55(spark, sf):
+    """The same bits, decoded by column expressions: codes, coefficients and pixels without Python."""
+    units = bitwise.units(decode.parts(encoded(spark, sf).images)).select(F.col("image_id").cast("bigint").alias("vec_id"), "coef")
+    divisors = blocks(spark, sf).select("vec_id", "label").join(tables(spark, sf), "label").select("vec_id", "q")
+    return _px_stats(reconstruct.idct(reconstruct.dequantize(units, divisors, ["vec_id"])))
+
+
 @query(
     "q37_mean_luma",
     f"WITH {_PIXELS} SELECT CAST(vec_id AS VARCHAR) AS image_id, CAST(sum(px) AS DOUBLE) / count(*) AS mean_luma FROM px GROUP BY vec_id",
