@@ -661,6 +661,22 @@ def q42(spark, sf):
     return collage(spark, sf).segments().select("image_id", "scan_idx", "segment_idx", "first_mcu", "num_mcus", "num_mcus_x")
 
 
+@query("q56_segment_invariants", f"WITH {_IMAGES}, e AS (SELECT *, unnest(range(segs)) AS k FROM sg) SELECT CAST(g AS VARCHAR) AS image_id, CAST(scan_idx AS INTEGER) AS scan_idx, CAST(k AS INTEGER) AS segment_idx, true AS bytes_agree, true AS subsequences_agree FROM e")
+def q56(spark, sf):
+    """OP-32: the segments of byte tables, by prefix sums over bytes, are those that the parser counts in whole streams."""
+    c = collage(spark, sf)
+    parsed = c.headers.select("image_id", F.explode("scans").alias("s"))
+    scans = parsed.select("image_id", F.col("s.scan_idx").alias("scan_idx"), F.col("s.begin").alias("begin"), F.col("s.end").alias("end"))
+    data = c.images.join(scans, "image_id").select("image_id", "scan_idx", F.posexplode(F.expr("transform(sequence(begin + 1, end), k -> cast(conv(hex(substring(content, cast(k as int), 1)), 16, 10) as int))")).alias("pos", "b"))
+    indexed = destuff.segment_index(destuff.byte_flags(data.withColumn("pos", F.col("pos").cast("bigint"))))
+    segs = destuff.segments(indexed)
+    heads = destuff.subsequence_map(destuff.destuffed_bytes(destuff.destuff_offset(indexed), segs)).groupBy("image_id", "scan_idx", "segment_idx").agg(F.count("*").alias("heads"))
+    whole = parsed.select("image_id", F.col("s.scan_idx").alias("scan_idx"), F.explode("s.segments").alias("g")).select("image_id", "scan_idx", "g.segment_idx", F.col("g.num_bytes").alias("counted"))
+    both = segs.join(heads, ["image_id", "scan_idx", "segment_idx"], "left").join(whole, ["image_id", "scan_idx", "segment_idx"], "full_outer")
+    agree = lambda x: F.coalesce(x, F.lit(False))
+    return both.select("image_id", "scan_idx", "segment_idx", agree(F.col("num_bytes") == F.col("counted")).alias("bytes_agree"), agree(F.coalesce("heads", F.lit(0)) == expr.ceil_div(F.col("counted"), 128)).alias("subsequences_agree"))
+
+
 @query(
     "q43_scan_geometry",
     f"""WITH {_IMAGES}, c AS (SELECT sg.*, unnest(CASE WHEN scans = 2 AND scan_idx = 0 OR components = 1 THEN [0] WHEN scans = 2 THEN [1, 2] ELSE [0, 1, 2] END) AS comp FROM sg),

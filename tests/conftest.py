@@ -10,6 +10,10 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 os.environ["PYTHONPATH"] = os.pathsep.join([os.path.dirname(os.path.dirname(os.path.abspath(__file__))), os.environ.get("PYTHONPATH", "")])
 
 
+def pytest_configure(config):
+    config.addinivalue_line("markers", "slow: takes many seconds; left out where the tests run a second time, in a copy")
+
+
 @pytest.fixture(scope="session")
 def spark():
     from pyspark.sql import SparkSession

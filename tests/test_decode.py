@@ -322,6 +322,7 @@ def test_reading_images_leaves_the_session_alone(spark, tmp_path):
     assert spark.conf.get(key) == before
 
 
+@pytest.mark.slow
 def test_forward_dct_is_the_inverse_of_the_inverse(spark):
     """Expressions, numpy and the plain definition agree; decoded samples are as near as the divisors allow."""
     from lumiframe.functions import fixed
@@ -341,6 +342,7 @@ def test_forward_dct_is_the_inverse_of_the_inverse(spark):
     assert forward.scaled_table(fixed.LUMA_TABLE, 50) == fixed.LUMA_TABLE and set(forward.scaled_table(fixed.LUMA_TABLE, 100)) == {1} and max(forward.scaled_table(fixed.CHROMA_TABLE, 1)) == 255
 
 
+@pytest.mark.slow
 @pytest.mark.parametrize("sampling", [(1, 1), (2, 2), (2, 1), (1, 4), (3, 2)])
 def test_pictures_come_back_from_streams(spark, tmp_path, sampling):
     """Smooth colours to a stream and back; a second codec reads the same picture."""
@@ -382,6 +384,7 @@ def test_table_functions_in_sql(spark):
     assert rows(sql("t.scan_idx, t.component_idx, t.dc_idx", "jpeg_scan_components")) == rows(c.scan_components().select("image_id", "scan_idx", "component_idx", "dc_idx"))
 
 
+@pytest.mark.slow
 def test_expressions_decode_the_same_bits(spark):
     """Several components, scans, segments and code lengths; cut and corrupt segments stop where the other decoder stops."""
     from lumiframe.operators import bitwise

@@ -58,6 +58,7 @@ def stuffed(rng, n, restarts=0.02):
     return out
 
 
+@pytest.mark.slow
 @pytest.mark.parametrize("size", [1, 2, 5, 64])
 def test_chunks_of_any_size_give_what_one_pass_gives(spark, size):
     """Restarts, stuffed bytes and long segments across the cuts; positions that do not start at 0."""
@@ -89,6 +90,7 @@ def test_chunks_of_any_size_give_what_one_pass_gives(spark, size):
     assert {(r.image_id, r.segment_idx, r.offset): r.b for r in dest.collect()} == {(n, s, o): v for (n, _), (d, v, _, s, o) in want.items() if d}
 
 
+@pytest.mark.slow
 @pytest.mark.parametrize("size", [1, 3, 1000])
 def test_sums_in_two_levels(spark, size):
     rng = np.random.default_rng(size)
@@ -103,6 +105,7 @@ def test_sums_in_two_levels(spark, size):
         assert one == two
 
 
+@pytest.mark.slow
 def test_a_stream_of_millions_of_bytes_is_no_single_window(spark):
     n = 3_000_000
     b = spark.range(n).select(F.lit("a").alias("image_id"), F.lit(0).alias("scan_idx"), F.col("id").alias("pos"), F.expr("cast(case when id % 1009 = 5 then 255 when id % 1009 = 6 then if(id % 5 = 0, 208, 0) else id % 255 end as int)").alias("b"))

@@ -114,6 +114,7 @@ def test_segments_by_ranges_equal_the_parsers(spark, folder, size):
     assert got == sorted(want) and len(got) > 300
 
 
+@pytest.mark.slow
 def test_cuts_at_every_byte(spark, tmp_path):
     """Markers, stuffed bytes and fill bytes on either side of every cut."""
     data = large(width=100, height=80, restart=2, size=900, seed=5, fill=True)
@@ -125,6 +126,7 @@ def test_cuts_at_every_byte(spark, tmp_path):
         assert [(r.segment_idx, r.begin, r.end, r.num_bytes) for r in got] == want, size
 
 
+@pytest.mark.slow
 def test_one_large_file_is_read_by_many_tasks(spark, tmp_path):
     data = large(width=20_000, height=20_000, restart=50, size=100_000_000, seed=2)
     (tmp_path / "a.jpg").write_bytes(data)
@@ -161,6 +163,7 @@ def test_files_are_dealt_by_cost(spark, tmp_path):
     assert c.planes().count() == 41 * 3
 
 
+@pytest.mark.slow
 @pytest.mark.parametrize("tasks", [1, 3, 16])
 def test_dealing_is_even(spark, tasks):
     rng = np.random.default_rng(tasks)

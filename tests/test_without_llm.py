@@ -20,7 +20,7 @@ def test_library_and_its_tests_stand_without_the_subpackage(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | {"LUMIFRAME_COPY": "1"}
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True, timeout=120)
     if "LUMIFRAME_COPY" not in os.environ:
-        done = subprocess.run([sys.executable, "-m", "pytest", "tests", "-x", "-q", "-p", "no:cacheprovider", "--ignore", "tests/test_without_llm.py"], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=1800)
+        done = subprocess.run([sys.executable, "-m", "pytest", "tests", "-x", "-q", "-m", "not slow", "-p", "no:cacheprovider", "--ignore", "tests/test_without_llm.py"], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=1800)
         assert done.returncode == 0, done.stdout[-3000:]
 
 
