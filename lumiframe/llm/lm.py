@@ -20,11 +20,10 @@ answers then meet once more, so texts are shuffled twice (a tenth of them, the
 held-out ones, a third time).  No n-gram table and no document is ever in one
 place.
 
-What travels is linear in the input: each block's distinct n-grams once, 7 bytes
-and a count each, and as many counts back.  They are packed in one row for each
-block and shard.  A shard is sized by what it can hold (``shard_bytes`` of
-packed n-grams), so there are fewer shards than blocks, and a row is only ever a
-wrapper: it never carries nothing, and there are never more rows than n-grams.
+The bytes that travel are linear in the input: each block's distinct n-grams once, 7
+bytes and a count each, and as many counts back.  They are packed in one row for each
+block and shard, so rows grow with the product of the two, up to one for each n-gram.
+A shard is sized by what it can hold (``shard_bytes`` of packed n-grams).
 Both bounds are memory bounds; larger executors take larger blocks and shards
 (rows fall with the product of the two).
 
