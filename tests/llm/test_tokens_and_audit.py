@@ -135,12 +135,22 @@ def test_every_character_is_cut_as_the_library_cuts_it():
     tokenizer = tokencount.PreTokenizer(tokenizer_path("byte_bpe_50k.json"))
     chars = [c for k in range(0x110000) if not 0xD800 <= k < 0xE000 and not tokenizer.odd.match(c := chr(k))]
     assert len(chars) > 100_000 and sum(unicodedata.category(c) == "Lo" for c in chars) > 80_000
+    assert all(tokenizer.is_odd(f"ä{chr(k)}") == bool(tokenizer.odd.match(chr(k))) for k in [*range(0x300, 0x3000), 0x1F600, 0x2FFFF, 0x30000, 0x10FFFF])
     cut = tokenizer.model.pre_tokenizer.pre_tokenize_str
     for lo in range(0, len(chars), 5000):
         text = "".join(f"a{c}1{c}!{c} {c}\n" for c in chars[lo : lo + 5000])
         assert [len(x) for x in tokenizer.find(text)] == [e - s for _, (s, e) in cut(text)]
 
 
+def test_ascii_texts_are_cut_alike_by_both_engines():
+    tokenizer = tokencount.PreTokenizer(tokenizer_path("byte_bpe_50k.json"))
+    rng = np.random.default_rng(0)
+    chars = [chr(k) for k in range(128)] + list("  ''stmdrevl\n\t")
+    for _ in range(2000):
+        text = "".join(rng.choice(chars, int(rng.integers(0, 30))))
+        assert tokencount._ASCII.findall(text) == tokenizer.find(text) == [text[s:e] for _, (s, e) in tokenizer.model.pre_tokenizer.pre_tokenize_str(text)]
+
+
 def test_other_kinds_of_vocabularies_are_refused():
     with pytest.raises(ValueError, match="byte-level"):
         tokencount.PreTokenizer(tokenizer_path("word_bpe_49k.json"))
