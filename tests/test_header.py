@@ -113,11 +113,15 @@ def test_metadata_query_prunes_content(spark, tmp_path):
     assert "content" not in plan and "GreaterThan(length,10)" in plan
 
 
-def test_stream_of_arriving_files(spark, tmp_path):
-    from lumiframe.streaming.headers import stream_frames
+@pytest.mark.parametrize("by_ranges", [False, True])
+def test_stream_of_arriving_files(spark, tmp_path, by_ranges):
+    from lumiframe.streaming.headers import arrivals_by_status, stream_frames
 
     (tmp_path / "a.jpg").write_bytes(GOOD)
     (tmp_path / "b.jpg").write_bytes(GOOD[:50])
-    q = stream_frames(spark, str(tmp_path)).writeStream.format("memory").queryName("arrived").trigger(availableNow=True).start()
+    name = f"arrived_{by_ranges}"
+    q = stream_frames(spark, str(tmp_path), by_ranges=by_ranges).writeStream.format("memory").queryName(name).trigger(availableNow=True).start()
     q.awaitTermination(120)
-    assert {r.status for r in spark.table("arrived").collect()} == {"SUCCESS", "INVALID_JPEG"} or spark.table("arrived").count() == 2
+    assert sorted((r.image_id.rsplit("/", 1)[1], r.status, r.width) for r in spark.table(name).collect()) == [("a.jpg", "SUCCESS", 20), ("b.jpg", "INVALID_JPEG", 0)]
+    counted = arrivals_by_status(spark.table(name).withColumn("modificationTime", F.lit("2026-01-01 10:20:00").cast("timestamp"))).collect()
+    assert sorted((r.status, r.n) for r in counted) == [("INVALID_JPEG", 1), ("SUCCESS", 1)]
