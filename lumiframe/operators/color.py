@@ -12,7 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..functions import expr, fixed
-from .decode import Step, runs
+from .decode import Step, image_planes, runs
 
 
 def gray_to_rgb(luma: DataFrame) -> DataFrame:
@@ -107,8 +107,8 @@ def rgb_step() -> Step:
     return run
 
 
-def rgb_images(planes: DataFrame) -> DataFrame:
-    """Whole images as interleaved RGB, one row each, from planes in any order."""
+def rgb_images(blocks: DataFrame) -> DataFrame:
+    """Whole images as interleaved RGB, one row each, from pixel blocks in any order, which are shuffled once."""
     schema = StructType.fromDDL(RGB_IMAGES)
     arrow = to_arrow_schema(schema)
-    return planes.groupBy("image_row", "image_id").applyInArrow(lambda t: pa.Table.from_pylist([_rgb(t.to_pylist())], schema=arrow), schema)
+    return blocks.groupBy("image_row", "image_id").applyInArrow(lambda t: pa.Table.from_pylist([_rgb(image_planes(t))], schema=arrow), schema)

@@ -218,6 +218,34 @@ def pixel_blocks(runs_: DataFrame) -> DataFrame:
     return runs_.mapInArrow(pixel_step(), _arrow(schemas.PIXEL_BLOCKS)[0])
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pixel blocks with a byte a sample; blocks that lie wholly in the padding are left out."""
+    for b in batches:
+        at = {f: b.column(f).to_numpy() for f in ("block_x", "block_y", "width", "height")}
+        inside = np.flatnonzero((at["block_x"] * 8 < at["width"]) & (at["block_y"] * 8 < at["height"]))
+        px = b.column("px").flatten().to_numpy().reshape(-1, 64)[inside].astype(np.uint8)
+        packed = pa.Array.from_buffers(pa.binary(), len(px), [None, pa.py_buffer(np.arange(len(px) + 1, dtype=np.int32) * 64), pa.py_buffer(np.ascontiguousarray(px))])
+        kept = b.take(pa.array(inside))
+        yield pa.RecordBatch.from_arrays([packed if n == "px" else kept.column(n) for n in b.schema.names], names=b.schema.names)
+
+
+def packed_blocks(runs_: DataFrame) -> DataFrame:
+    """:func:`pixel_blocks` for a shuffle: ``px`` as 64 bytes, half of what the numbers take."""
+    step = pixel_step()
+    return runs_.mapInArrow(lambda batches: _pack(step(batches)), schemas.PIXEL_BLOCKS.replace("px array<smallint>", "px binary"))
+
+
+def _samples(px: pa.ChunkedArray) -> np.ndarray:
+    """The samples of blocks, as lists of numbers or packed."""
+    if pa.types.is_list(px.type):
+        return px.combine_chunks().flatten().to_numpy().astype(np.uint8)
+    out = []
+    for c in px.chunks:
+        ends = np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1]
+        out.append(np.frombuffer(c.buffers()[2], np.uint8)[ends[0] : ends[-1]])
+    return np.concatenate(out)
+
+
 def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """One table for each run of rows of one image; a run may go on over batches."""
     held: list[pa.RecordBatch] = []
@@ -234,11 +262,11 @@ def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _planes(t: pa.Table) -> list[dict]:
+def image_planes(t: pa.Table) -> list[dict]:
     """The planes of the blocks of one image."""
     out = []
     component, y, x = (t.column(c).to_numpy() for c in ("component_idx", "block_y", "block_x"))
-    px = t.column("px").combine_chunks().flatten().to_numpy().reshape(-1, 8, 8).astype(np.uint8)
+    px = _samples(t.column("px")).reshape(-1, 8, 8)
     for c in np.unique(component):
         own = np.flatnonzero(component == c)
         facts = {f: t.column(f)[int(own[0])].as_py() for f in ("width", "height", "ss_x", "ss_y")}
@@ -258,7 +286,7 @@ def plane_step() -> Step:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches):
-            yield pa.RecordBatch.from_pylist(_planes(t), schema=arrow)
+            yield pa.RecordBatch.from_pylist(image_planes(t), schema=arrow)
 
     return run
 
@@ -272,7 +300,7 @@ def timed(images: DataFrame, *, iterations: int = 1, warm_up: int = 0) -> DataFr
     to_parts, to_pixels = part_step(), pixel_step()
 
     def decoded(image: pa.RecordBatch) -> int:
-        return sum(len(p["data"]) for t in runs(to_pixels(to_parts(iter([image])))) for p in _planes(t))
+        return sum(len(p["data"]) for t in runs(to_pixels(to_parts(iter([image])))) for p in image_planes(t))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -296,11 +324,11 @@ def timed(images: DataFrame, *, iterations: int = 1, warm_up: int = 0) -> DataFr
 def planes(blocks: DataFrame) -> DataFrame:
     """OP-58, OP-69: one row per image and component, cropped, rows packed without padding.
 
-    For blocks in any order: a plane is one value by definition, so its blocks meet
+    For blocks, packed or not, in any order: a plane is one value by definition, so its blocks meet
     in one group.  Where an image's blocks follow each other, :func:`plane_step`
     needs no shuffle.
     """
     schema, arrow = _arrow(schemas.PLANES)
     # blocks that lie wholly in the padding never travel
     inside = blocks.where((F.col("block_x") * 8 < F.col("width")) & (F.col("block_y") * 8 < F.col("height")))
-    return inside.groupBy("image_row", "image_id", "component_idx").applyInArrow(lambda t: pa.Table.from_pylist(_planes(t), schema=arrow), schema)
+    return inside.groupBy("image_row", "image_id", "component_idx").applyInArrow(lambda t: pa.Table.from_pylist(image_planes(t), schema=arrow), schema)

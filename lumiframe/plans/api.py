@@ -106,12 +106,12 @@ class RasterCollection:
     def planes(self) -> DataFrame:
         """Without ``partitions`` an image stays in its task from bits to planes; nothing is shuffled."""
         if self.partitions:
-            return decode.planes(self.pixel_blocks())
+            return decode.planes(decode.packed_blocks(self._parts()))
         return self._in_one_pass(schemas.PLANES, decode.part_step(), decode.pixel_step(), decode.plane_step())
 
     def rgb(self) -> DataFrame:
         if self.partitions:
-            return color.rgb_images(self.planes())
+            return color.rgb_images(decode.packed_blocks(self._parts()))
         return self._in_one_pass(color.RGB_IMAGES, decode.part_step(), decode.pixel_step(), decode.plane_step(), color.rgb_step())
 
     def png(self) -> DataFrame:
