@@ -16,11 +16,13 @@ from pyspark.sql.types import StructType
 from .. import schemas
 from ..functions.fixed import SUBSEQUENCE_BYTES, SUCCESS
 from ..sources.header import Header, parse
-from .huffman import decode_lanes
+from .huffman import decode_all
 from .reconstruct import reconstruct
 
 #: Segments that are decoded side by side: at most so many, of so many bytes and units.
-_LANES, _BYTES, _UNITS = 2048, 8 << 20, 500_000
+_LANES, _BYTES, _UNITS = 2048, 16 << 20, 1_000_000
+#: Blocks of a batch that leaves Python.
+_OUT = 65_536
 #: A run of segments of one scan, the unit that is dealt to tasks, ends at so many bytes or segments.
 _RUN_BYTES, _RUN = 256 << 10, 4096
 
@@ -146,17 +148,18 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[dict, Scan
 def _decoded(batches: Iterator[pa.RecordBatch], predict: bool) -> Iterator[tuple[list[tuple[dict, Scan]], np.ndarray, dict[str, np.ndarray]]]:
     """Groups of segments, their blocks in one array, and of each block: its segment, component, place and unit (OP-52)."""
     for rows in _groups(batches):
-        coef = decode_lanes([(g["data"], g["num_mcus"] * len(s.layout), s.layout) for g, s in rows], predict=predict)
+        coef = decode_all([(g["data"], g["num_mcus"] * len(s.layout), s.layout) for g, s in rows], predict=predict)
         at: dict[str, list[np.ndarray]] = {k: [] for k in ("row", "component", "y", "x", "unit")}
-        for k, ((g, s), c) in enumerate(zip(rows, coef)):
-            i, n = np.arange(len(c)), len(s.layout)
+        for k, (g, s) in enumerate(rows):
+            n = len(s.layout)
+            i = np.arange(g["num_mcus"] * n)
             in_mcu, mcu = i % n, g["first_mcu"] + i // n
-            at["row"].append(np.full(len(c), k))
+            at["row"].append(np.full(len(i), k))
             at["component"].append(s.of["component_idx"][in_mcu])
             at["y"].append(mcu // s.facts["num_mcus_x"] * s.of["ss_y"][in_mcu] + s.of["y_in"][in_mcu])
             at["x"].append(mcu % s.facts["num_mcus_x"] * s.of["ss_x"][in_mcu] + s.of["x_in"][in_mcu])
             at["unit"].append(g["first_mcu"] * n + i)
-        yield rows, np.concatenate(coef), {k: np.concatenate(v) for k, v in at.items()}
+        yield rows, coef, {k: np.concatenate(v) for k, v in at.items()}
 
 
 def _lists(x: np.ndarray, kind: pa.DataType) -> pa.Array:
@@ -167,6 +170,12 @@ def _of_scan(rows: list[tuple[dict, Scan]], field: str, index: np.ndarray, kind:
     return pa.array([s.facts[field] for _, s in rows], kind).take(pa.array(index))
 
 
+def _in_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for lo in range(0, b.num_rows, _OUT):
+            yield b.slice(lo, _OUT)
+
+
 def units(runs_: DataFrame, *, predict: bool = True) -> DataFrame:
     """OP-39, OP-44, OP-45: decoded units in stream order, with their blocks' places."""
     schema = StructType.fromDDL(schemas.UNITS)
@@ -180,7 +189,7 @@ def units(runs_: DataFrame, *, predict: bool = True) -> DataFrame:
                 names=names,
             )
 
-    return runs_.mapInArrow(run, schema)
+    return runs_.mapInArrow(lambda batches: _in_parts(run(batches)), schema)
 
 
 def coefficient_blocks(runs_: DataFrame) -> DataFrame:
@@ -215,7 +224,8 @@ def pixel_step() -> Step:
 
 def pixel_blocks(runs_: DataFrame) -> DataFrame:
     """OP-39 to OP-57 in one pass over segments: no shuffle between bits and pixels."""
-    return runs_.mapInArrow(pixel_step(), _arrow(schemas.PIXEL_BLOCKS)[0])
+    step = pixel_step()
+    return runs_.mapInArrow(lambda batches: _in_parts(step(batches)), _arrow(schemas.PIXEL_BLOCKS)[0])
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,7 +242,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def packed_blocks(runs_: DataFrame) -> DataFrame:
     """:func:`pixel_blocks` for a shuffle: ``px`` as 64 bytes, half of what the numbers take."""
     step = pixel_step()
-    return runs_.mapInArrow(lambda batches: _pack(step(batches)), schemas.PIXEL_BLOCKS.replace("px array<smallint>", "px binary"))
+    return runs_.mapInArrow(lambda batches: _pack(_in_parts(step(batches))), schemas.PIXEL_BLOCKS.replace("px array<smallint>", "px binary"))
 
 
 def _samples(px: pa.ChunkedArray) -> np.ndarray:

@@ -122,8 +122,29 @@ _NATURAL = np.array(NATURAL_ORDER)
 SIDE_BY_SIDE = 64
 
 
-def decode_lanes(lanes: list[tuple[bytes, int, list[tuple[int, tuple, tuple]]]], *, predict: bool = True) -> list[np.ndarray]:
-    """Many segments at once: :func:`decode_segment` of each, one symbol of every segment a step.
+Lane = tuple[bytes, int, list[tuple[int, tuple, tuple]]]
+_HALF = np.array([0, *[1 << (n - 1) for n in range(1, 16)]], np.int64)
+_FULL = np.array([(1 << n) - 1 for n in range(16)], np.int64)
+_PAD = 96  # zeros after each segment: a lane stops 64 bytes past its end
+
+
+@lru_cache(maxsize=256)
+def _symbols(counts: tuple[int, ...], values: tuple[int, ...], ac: bool) -> np.ndarray:
+    """For each 16-bit window, packed: code length (5 bits), magnitude bits (4), zeros before (4), and how far the symbol goes on in its block."""
+    size, value = (x.astype(np.int32) for x in lookup_arrays(counts, values))
+    bits, run = value & 15, value >> 4 if ac else np.zeros_like(value)
+    on = np.where(bits > 0, run + 1, np.where(run == 15, 16, 64)) if ac else np.ones_like(value)
+    return size | bits << 5 | run << 9 | on << 13
+
+
+def decode_lanes(lanes: list[Lane], *, predict: bool = True) -> list[np.ndarray]:
+    """Many segments at once: :func:`decode_segment` of each; see :func:`decode_all`."""
+    ends = np.cumsum([n for _, n, _ in lanes])
+    return np.split(decode_all(lanes, predict=predict), ends[:-1]) if lanes else []
+
+
+def decode_all(lanes: list[Lane], *, predict: bool = True) -> np.ndarray:
+    """The blocks of many segments, one after another; one symbol of every segment a step.
 
     ``lanes``: data, units, and (component, DC table, AC table) of each unit of an
     MCU, a table being its (counts, values).  The work of a step is spread over all
@@ -132,22 +153,22 @@ def decode_lanes(lanes: list[tuple[bytes, int, list[tuple[int, tuple, tuple]]]],
     than the others are finished one by one.
     """
     if len(lanes) < SIDE_BY_SIDE:
-        return [_alone(*lane, predict) for lane in lanes]
-    keys = sorted({t for _, _, layout in lanes for _, *ts in layout for t in ts})
-    if len(keys) > 64:  # each table is 128 KB
+        return np.concatenate([_alone(*lane, predict) for lane in lanes]) if lanes else np.zeros((0, 64), np.int16)
+    keys = sorted({(t, k) for _, _, layout in lanes for _, *ts in layout for k, t in enumerate(ts)})
+    if len(keys) > 64:  # each is 256 KB
         half = len(lanes) // 2
-        return decode_lanes(lanes[:half], predict=predict) + decode_lanes(lanes[half:], predict=predict)
-    number = {t: k for k, t in enumerate(keys)}
-    size = np.stack([lookup_arrays(*t)[0] for t in keys])
-    value = np.stack([lookup_arrays(*t)[1] for t in keys])
+        return np.concatenate([decode_all(lanes[:half], predict=predict), decode_all(lanes[half:], predict=predict)])
+    number = {t: k << 16 for k, t in enumerate(keys)}
+    symbols = np.concatenate([_symbols(*t, bool(k)) for t, k in keys])
     widest = max(len(layout) for _, _, layout in lanes)
     tables = np.zeros((2, len(lanes), widest), np.int64)
     for k, (_, _, layout) in enumerate(lanes):
-        for c, (_, dc, ac) in enumerate(layout):
-            tables[:, k, c] = number[dc], number[ac]
+        for c, (_, *ts) in enumerate(layout):
+            tables[:, k, c] = [number[t, kind] for kind, t in enumerate(ts)]
+    ac_tables, tables = len(lanes) * widest, tables.ravel()
     length = np.array([len(d) for d, _, _ in lanes])
-    base = np.cumsum(length + 96) - (length + 96)
-    raw = np.zeros(int(base[-1] + length[-1]) + 104, np.uint64)
+    base = np.cumsum(length + _PAD) - (length + _PAD)
+    raw = np.zeros(int(base[-1] + length[-1]) + _PAD + 8, np.uint64)
     for at, (d, _, _) in zip(base, lanes):
         raw[at : at + len(d)] = np.frombuffer(d, np.uint8)
     word = np.zeros(len(raw) - 8, np.uint64)  # the 64 bits from each byte on
@@ -155,57 +176,62 @@ def decode_lanes(lanes: list[tuple[bytes, int, list[tuple[int, tuple, tuple]]]],
         word |= raw[k : len(raw) - 8 + k] << np.uint64(56 - 8 * k)
     total = np.array([n for _, n, _ in lanes])
     first = np.cumsum(total) - total
-    per = np.array([len(layout) for _, _, layout in lanes])
     out = np.zeros((int(total.sum()), 64), np.int16)
     flat = out.reshape(-1)
     reached = np.zeros(len(lanes), np.int64)
 
-    lane = np.flatnonzero(total > 0)  # lanes still at work, and their state
-    p, u, c, z = (np.zeros(len(lane), np.int64) for _ in range(4))
+    # the lanes still at work, and their state: bit position, block, unit in the MCU, place in the block
+    lane = np.flatnonzero(total > 0)
+    pos, block, c, z = 8 * base[lane], first[lane].copy(), np.zeros(len(lane), np.int64), np.zeros(len(lane), np.int64)
+    limit, last, own, per = (base + length + 64)[lane], (first + total)[lane], lane * widest, np.array([len(layout) for _, _, layout in lanes])[lane]
+    one, top = np.uint64(1), np.uint64(48)
     slow: list[int] = []
     while len(lane):
-        byte = p >> 3
-        ac = z > 0
-        w = word[base[lane] + byte] << (p & 7).astype(np.uint64)
-        t = tables[ac.astype(np.int64), lane, c]
-        window = (w >> np.uint64(48)).astype(np.int64)
-        n, s = size[t, window].astype(np.int64), value[t, window].astype(np.int64)
-        ok = (n > 0) & (byte <= length[lane] + 64)
-        run, cat = np.where(ac, s >> 4, 0), s & 15
-        bits = ((w << n.astype(np.uint64)) >> np.uint64(1) >> (63 - cat).astype(np.uint64)).astype(np.int64)
-        v = np.where(bits < (1 << np.maximum(cat - 1, 0)), bits + 1 - (1 << cat), bits)
-        at = z + run
-        put = ok & (cat > 0) & (at < 64)
-        where = np.flatnonzero(put)
-        flat[(first[lane[where]] + u[where]) * 64 + _NATURAL[at[where]]] = (((v[where] + 32768) & 65535) - 32768).astype(np.int16)
-        skip = ac & (cat == 0)
-        z = np.where(skip, np.where(run == 15, z + 16, 64), at + 1)
-        p = p + n + cat
-        over = ok & (z >= 64)
-        z[over] = 0
-        u = u + over
-        c = np.where(over, c + 1, c)
-        c[c == per[lane]] = 0
-        go = ok & (u < total[lane])
-        if not go.all():
-            gone = np.flatnonzero(~go)
+        byte, ac = pos >> 3, z > 0
+        w = word[byte] << (pos & 7).view(np.uint64)
+        e = symbols[tables[own + c + ac * ac_tables] + (w >> top).view(np.int64)].astype(np.int64)
+        n = e & 31
+        ok = (n > 0) & (byte <= limit)
+        if not ok.all():
+            gone = np.flatnonzero(~ok)
             # a segment that breaks off within a unit has reached it
-            reached[lane[gone]] = u[gone] + (~ok[gone] & ac[gone])
-            lane, p, u, c, z = lane[go], p[go], u[go], c[go], z[go]
-            if len(lane) < SIDE_BY_SIDE // 4 and len(lane) and (u / total[lane]).mean() < 0.5:
+            reached[lane[gone]] = block[gone] - first[lane[gone]] + ac[gone]
+            lane, pos, block, c, z, limit, last, own, per, w, e, n = (x[ok] for x in (lane, pos, block, c, z, limit, last, own, per, w, e, n))
+        bits = (e >> 5) & 15
+        v = (((w << n.view(np.uint64)) >> one) >> (63 - bits).view(np.uint64)).view(np.int64)
+        v -= _FULL[bits] * (v < _HALF[bits])
+        at = z + ((e >> 9) & 15)
+        if at.size and at.max() > 63:  # zeros that lead out of the block
+            inside = np.flatnonzero(at < 64)
+            flat[block[inside] * 64 + _NATURAL[at[inside]]] = v[inside].astype(np.int16)
+        else:  # symbols without magnitude write a zero where one is
+            flat[block * 64 + _NATURAL[at]] = v.astype(np.int16)
+        pos += n
+        pos += bits
+        z += e >> 13
+        over = z > 63
+        z[over] = 0
+        block += over
+        c += over
+        c[c == per] = 0
+        done = block == last
+        if done.any():
+            reached[lane[done]] = total[lane[done]]
+            go = ~done
+            lane, pos, block, c, z, limit, last, own, per = (x[go] for x in (lane, pos, block, c, z, limit, last, own, per))
+            if len(lane) < SIDE_BY_SIDE // 4 and len(lane) and ((block - first[lane]) / total[lane]).mean() < 0.5:
                 slow = lane.tolist()
                 break
     if predict:
-        for k, (_, units, layout) in enumerate(lanes):
-            own = out[first[k] : first[k] + reached[k], 0]
-            comps = np.array([x for x, _, _ in layout])[np.arange(len(own)) % len(layout)]
+        for k, (_, _, layout) in enumerate(lanes):
+            mine = out[first[k] : first[k] + reached[k], 0]
+            comps = np.array([x for x, _, _ in layout])[np.arange(len(mine)) % len(layout)]
             for x in set(comps.tolist()):
-                sums = np.cumsum(own[comps == x].astype(np.int64))
-                own[comps == x] = ((sums + 32768) & 65535) - 32768
-    result = [out[f : f + n] for f, n in zip(first, total)]
+                sums = np.cumsum(mine[comps == x].astype(np.int64))
+                mine[comps == x] = ((sums + 32768) & 65535) - 32768
     for k in slow:
-        result[k] = _alone(*lanes[k], predict)
-    return result
+        out[first[k] : first[k] + total[k]] = _alone(*lanes[k], predict)
+    return out
 
 
 def _alone(data: bytes, units: int, layout: list[tuple[int, tuple, tuple]], predict: bool) -> np.ndarray:
