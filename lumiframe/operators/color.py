@@ -74,6 +74,12 @@ def to_rgb(upsampled: DataFrame) -> DataFrame:
 RGB_IMAGES = "image_id string, status string, width int, height int, num_components int, rgb binary"
 
 
+_SIGNED = np.arange(256) - 128.0
+#: What chroma samples add to red and blue, rounded: luma is whole and no sum is a tie.  Green has two terms and is summed before it is rounded.
+_RED, _BLUE = (np.floor(f * _SIGNED + 0.5).astype(np.int16) for f in (1.402, 1.772))
+_GREEN_CB, _GREEN_CR = 0.344136 * _SIGNED, 0.714136 * _SIGNED
+
+
 def _rgb(rows: list[dict]) -> dict:
     """The planes of one image as interleaved RGB; what cannot be converted gets a status and no bytes.
 
@@ -88,9 +94,11 @@ def _rgb(rows: list[dict]) -> dict:
         out["rgb"] = np.repeat(p[0][:, :, None], 3, axis=2).tobytes()
     elif n == 3 and all(rows[1][f] == rows[2][f] <= y[f] for f in ("ss_y", "ss_x")):
         at = [np.arange(p[0].shape[a]) * rows[1][f] // y[f] for a, f in enumerate(("ss_y", "ss_x"))]
-        cb, cr = (c[np.ix_(*at)].astype(float) - 128 for c in p[1:])
-        c = np.stack([p[0] + 1.402 * cr, p[0] - 0.344136 * cb - 0.714136 * cr, p[0] + 1.772 * cb], axis=2)
-        out["rgb"] = np.clip(np.floor(np.abs(c) + 0.5) * np.sign(c), 0, 255).astype(np.uint8).tobytes()
+        cb, cr = (c[np.ix_(*at)] for c in p[1:])
+        luma, rgb = p[0].astype(np.int16), np.empty((*p[0].shape, 3), np.uint8)
+        rgb[:, :, 0], rgb[:, :, 2] = np.clip(luma + _RED[cr], 0, 255), np.clip(luma + _BLUE[cb], 0, 255)
+        rgb[:, :, 1] = np.clip(np.floor(p[0] - _GREEN_CB[cb] - _GREEN_CR[cr] + 0.5), 0, 255)
+        out["rgb"] = rgb.tobytes()
     else:
         out["status"] = fixed.NOT_SUPPORTED
     return out

@@ -197,6 +197,18 @@ def coefficient_blocks(runs_: DataFrame) -> DataFrame:
     return units(runs_).select("image_id", "component_idx", "block_y", "block_x", "coef")
 
 
+def _pixels(coef: np.ndarray, tables: list[tuple], kind: np.ndarray) -> np.ndarray:
+    """Blocks to samples, table by table; ``kind``: the number of each block's table.  Images often share their tables."""
+    own = {t: k for k, t in enumerate(dict.fromkeys(tables))}
+    if len(own) == 1:
+        return reconstruct(coef, np.array(tables[0]))
+    out, number = np.empty(coef.shape, np.int16), np.array([own[t] for t in tables])[kind]
+    for t, k in own.items():
+        at = np.flatnonzero(number == k)
+        out[at] = reconstruct(coef[at], np.array(t))
+    return out
+
+
 def pixel_step() -> Step:
     """Batches of runs of segments to batches of pixel blocks; the blocks of an image follow each other as its segments do."""
     names = [f.name for f in _arrow(schemas.PIXEL_BLOCKS)[0].fields]
@@ -212,7 +224,7 @@ def pixel_step() -> Step:
             for n, (k, c) in enumerate((k, q["component_idx"]) for k, s in enumerate(scans) for q in s.facts["quant"]):
                 number[k, c] = n
             kind = number[of_row[at["row"]], at["component"]]
-            px = reconstruct(coef, np.array([q["q"] for q in quant], np.int64)[kind])
+            px = _pixels(coef, [tuple(q["q"]) for q in quant], kind)
             size = lambda f: pa.array(np.array([q[f] for q in quant])[kind], pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [_of_scan(rows, "image_row", at["row"], pa.int64()), _of_scan(rows, "image_id", at["row"], pa.string()), *[pa.array(at[k], pa.int32()) for k in ("component", "y", "x")], _lists(px, pa.int16()), *map(size, ("width", "height", "ss_x", "ss_y"))],

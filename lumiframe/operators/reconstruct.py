@@ -122,10 +122,10 @@ def reconstruct(coef: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Quantised blocks [n, 64] and a table [64], or one for each block [n, 64], to pixels [n, 64]."""
     out = np.empty(coef.shape, np.int16)
     for lo in range(0, len(coef), 4096):  # parts that stay in the processor's cache
-        own = coef[lo : lo + 4096]
-        x = _wrap(own.astype(np.int64) * (q if q.ndim == 1 else q[lo : lo + 4096])).reshape(-1, 8, 8)
-        if np.abs(x).max() <= 4000:  # no sum of either pass then leaves 32 bits
-            x = x.astype(np.int32)
+        # 16-bit coefficients times divisors of 8 bits stay within 32 bits
+        x = _wrap(coef[lo : lo + 4096].astype(np.int32) * (q if q.ndim == 1 else q[lo : lo + 4096]).astype(np.int32)).reshape(-1, 8, 8)
+        if max(int(x.max()), -int(x.min())) > 4000:  # else no sum of either pass leaves 32 bits
+            x = x.astype(np.int64)
         x = np.stack(_transform([x[:, k, :] for k in range(8)]), axis=1)
         x = np.stack(_transform([x[:, :, k] for k in range(8)]), axis=2)
         out[lo : lo + 4096] = np.clip(_wrap(x + 128), 0, 255).reshape(-1, 64)

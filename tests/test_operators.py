@@ -228,6 +228,17 @@ def test_colour_by_join_equals_colour_by_image(spark):
     assert all(tuple(whole[x.image_id][x.y, x.x]) == (x.r, x.g, x.b) for x in rows)
 
 
+def test_colour_tables_equal_the_formula():
+    """All pairs of chroma samples, at several luma values."""
+    cb, cr = (x.astype(np.uint8) for x in np.mgrid[:256, :256])
+    for y in (0, 1, 100, 254, 255):
+        plane = lambda c, d: {"image_row": 0, "image_id": "a", "component_idx": c, "width": 256, "height": 256, "ss_x": 1, "ss_y": 1, "data": d.astype(np.uint8).tobytes()}
+        got = np.frombuffer(color._rgb([plane(0, np.full((256, 256), y)), plane(1, cb), plane(2, cr)])["rgb"], np.uint8).reshape(256, 256, 3)
+        b, r = cb.astype(float) - 128, cr.astype(float) - 128
+        c = np.stack([y + 1.402 * r, y - 0.344136 * b - 0.714136 * r, y + 1.772 * b], axis=2)
+        assert (got == np.clip(np.floor(np.abs(c) + 0.5) * np.sign(c), 0, 255)).all()
+
+
 @pytest.mark.parametrize("luma,chroma", [((4, 1), (1, 1)), ((3, 1), (1, 1)), ((3, 1), (2, 1)), ((1, 3), (1, 2)), ((1, 4), (1, 1)), ((2, 2), (2, 1)), ((2, 2), (1, 1))])
 def test_rgb_of_every_small_size(luma, chroma):
     """Chroma by the factors, not by the ratio of the rounded sizes: planes of ramps, so that a wrong step shows."""
