@@ -169,8 +169,9 @@ def byte_alphabet():
 def brute_alignment(rows):
     import sentencepiece
 
+    alphabet = byte_alphabet()
     with open(tokenizer_path("byte_bpe_50k.json"), encoding="utf-8") as f:
-        entry = {n: bytes(map(byte_alphabet().__getitem__, w)) for w, n in json.load(f)["model"]["vocab"].items()}
+        entry = {n: bytes(map(alphabet.__getitem__, w)) for w, n in json.load(f)["model"]["vocab"].items()}
     a_model = library()
     a_model.encode_special_tokens = True
     b_model = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path("piece_bpe_32k.model"))
