@@ -360,6 +360,8 @@ class JpegHeaders(DataSource):
 
     ``table``: headers, frames, components, qtables or huff_tables; frames and
     components read no further than the frame.  Register it with :func:`register`.
+    The driver lists the folder; for many millions of files :func:`list_files` lists them
+    as Spark does, over the cluster.
     """
 
     @classmethod
