@@ -25,6 +25,10 @@ _LANES, _BYTES, _UNITS = 2048, 8 << 20, 500_000
 _OUT = 65_536
 #: A run of segments of one scan, the unit that is dealt to tasks, ends at so many bytes or segments.
 _RUN_BYTES, _RUN = 256 << 10, 4096
+#: Runs of a batch between two Python passes: each is a hundred times its size as Python objects.
+_PART_ROWS = 256
+#: A batch of planes ends at so many images or bytes.
+_PLANES, _PLANE_BYTES = 256, 4 << 20
 
 
 #: A step from Arrow batches to Arrow batches; steps made on the driver can be chained in one task.
@@ -78,23 +82,28 @@ def _part_rows(image: dict, data: bytes) -> Iterator[dict]:
             yield facts | {"segments": own}
 
 
+def _runs_of_images(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """The runs of segments of each image (image_row, image_id, content), one after another."""
+    for b in batches:
+        for row, image_id, data in zip(b.column("image_row").to_pylist(), b.column("image_id").to_pylist(), b.column("content")):
+            yield from _part_rows({"image_row": row, "image_id": image_id}, data.as_py())
+
+
 def part_step() -> Step:
-    """Batches of images (image_row, image_id, content) to batches of runs of segments, bounded in bytes."""
+    """Batches of images (image_row, image_id, content) to batches of runs of segments, bounded in rows and bytes."""
     arrow = _arrow(schemas.PARTS)[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            some: list[dict] = []
-            size = 0
-            for row, image_id, data in zip(b.column("image_row").to_pylist(), b.column("image_id").to_pylist(), b.column("content")):
-                for r in _part_rows({"image_row": row, "image_id": image_id}, data.as_py()):
-                    some.append(r)
-                    size += sum(len(g["data"]) for g in r["segments"])
-                    if len(some) == _LANES or size >= _BYTES:
-                        yield pa.RecordBatch.from_pylist(some, schema=arrow)
-                        some, size = [], 0
-            if some:
+        some: list[dict] = []
+        size = 0
+        for r in _runs_of_images(batches):
+            some.append(r)
+            size += sum(len(g["data"]) for g in r["segments"])
+            if len(some) == _PART_ROWS or size >= _BYTES:
                 yield pa.RecordBatch.from_pylist(some, schema=arrow)
+                some, size = [], 0
+        if some:
+            yield pa.RecordBatch.from_pylist(some, schema=arrow)
 
     return run
 
@@ -127,27 +136,32 @@ class Scan:
         self.of = {f: np.array([m[f] for m in self.facts["mcu"]]) for f in ("component_idx", "ss_y", "y_in", "ss_x", "x_in")}
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[dict, Scan]]]:
-    """Segments with their scans, gathered over runs and batches up to the bounds of one decoding."""
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for b in batches:
+        for lo in range(0, b.num_rows, _PART_ROWS):
+            yield from b.slice(lo, _PART_ROWS).to_pylist()
+
+
+def _groups(runs_: Iterator[dict]) -> Iterator[list[tuple[dict, Scan]]]:
+    """Segments with their scans, gathered over runs up to the bounds of one decoding."""
     rows: list[tuple[dict, Scan]] = []
     size = units = 0
-    for b in batches:
-        for r in b.to_pylist():
-            scan = Scan(r)
-            for g in r.pop("segments"):
-                rows.append((g, scan))
-                size += len(g["data"])
-                units += g["num_mcus"] * len(scan.layout)
-                if len(rows) == _LANES or size >= _BYTES or units >= _UNITS:
-                    yield rows
-                    rows, size, units = [], 0, 0
+    for r in runs_:
+        scan = Scan(r)
+        for g in r.pop("segments"):
+            rows.append((g, scan))
+            size += len(g["data"])
+            units += g["num_mcus"] * len(scan.layout)
+            if len(rows) == _LANES or size >= _BYTES or units >= _UNITS:
+                yield rows
+                rows, size, units = [], 0, 0
     if rows:
         yield rows
 
 
-def _decoded(batches: Iterator[pa.RecordBatch], predict: bool) -> Iterator[tuple[list[tuple[dict, Scan]], np.ndarray, dict[str, np.ndarray]]]:
+def _decoded(runs_: Iterator[dict], predict: bool) -> Iterator[tuple[list[tuple[dict, Scan]], np.ndarray, dict[str, np.ndarray]]]:
     """Groups of segments, their blocks in one array, and of each block: its segment, component, place and unit (OP-52)."""
-    for rows in _groups(batches):
+    for rows in _groups(runs_):
         coef = decode_all([(g["data"], g["num_mcus"] * len(s.layout), s.layout) for g, s in rows], predict=predict)
         at: dict[str, list[np.ndarray]] = {k: [] for k in ("row", "component", "y", "x", "unit")}
         for k, (g, s) in enumerate(rows):
@@ -182,7 +196,7 @@ def units(runs_: DataFrame, *, predict: bool = True) -> DataFrame:
     names = [f.name for f in schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, coef, at in _decoded(batches, predict):
+        for rows, coef, at in _decoded(_rows(batches), predict):
             segment = pa.array([g["segment_idx"] for g, _ in rows], pa.int32()).take(pa.array(at["row"]))
             yield pa.RecordBatch.from_arrays(
                 [_of_scan(rows, "image_id", at["row"], pa.string()), _of_scan(rows, "scan_idx", at["row"], pa.int32()), pa.array(at["unit"], pa.int64()), segment, *[pa.array(at[k], pa.int32()) for k in ("component", "y", "x")], _lists(coef, pa.int16())],
@@ -209,12 +223,16 @@ def _pixels(coef: np.ndarray, tables: list[tuple], kind: np.ndarray) -> np.ndarr
     return out
 
 
-def pixel_step() -> Step:
-    """Batches of runs of segments to batches of pixel blocks; the blocks of an image follow each other as its segments do."""
+def pixel_step(*, of_images: bool = False) -> Step:
+    """Batches of runs of segments to batches of pixel blocks; the blocks of an image follow each other as its segments do.
+
+    ``of_images``: from batches of images, whose runs then never become a table.
+    """
+    rows_of = _runs_of_images if of_images else _rows
     names = [f.name for f in _arrow(schemas.PIXEL_BLOCKS)[0].fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, coef, at in _decoded(batches, True):
+        for rows, coef, at in _decoded(rows_of(batches), True):
             # the table and size of each (scan, component), by number
             scans = list({id(s): s for _, s in rows}.values())
             place = {id(s): k for k, s in enumerate(scans)}
@@ -240,6 +258,12 @@ def pixel_blocks(runs_: DataFrame) -> DataFrame:
     return runs_.mapInArrow(lambda batches: _in_parts(step(batches)), _arrow(schemas.PIXEL_BLOCKS)[0])
 
 
+def image_pixel_blocks(images: DataFrame) -> DataFrame:
+    """:func:`pixel_blocks` of whole images, with one Python worker a task."""
+    step = pixel_step(of_images=True)
+    return with_row(images).mapInArrow(lambda batches: _in_parts(step(batches)), _arrow(schemas.PIXEL_BLOCKS)[0])
+
+
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pixel blocks with a byte a sample; blocks that lie wholly in the padding are left out."""
     for b in batches:
@@ -303,12 +327,21 @@ def image_planes(t: pa.Table) -> list[dict]:
 
 
 def plane_step() -> Step:
-    """Batches of pixel blocks, an image's one after another, to batches of its planes."""
+    """Batches of pixel blocks, an image's one after another, to batches of its planes, of many small images or one large."""
     arrow = _arrow(schemas.PLANES)[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some: list[dict] = []
+        images = size = 0
         for t in runs(batches):
-            yield pa.RecordBatch.from_pylist(image_planes(t), schema=arrow)
+            made = image_planes(t)
+            some += made
+            images, size = images + 1, size + sum(len(p["data"]) for p in made)
+            if images == _PLANES or size >= _PLANE_BYTES:
+                yield pa.RecordBatch.from_pylist(some, schema=arrow)
+                some, images, size = [], 0, 0
+        if some:
+            yield pa.RecordBatch.from_pylist(some, schema=arrow)
 
     return run
 
@@ -319,10 +352,10 @@ def timed(images: DataFrame, *, iterations: int = 1, warm_up: int = 0) -> DataFr
     (image_id, iterations, total_ms, max_ms, milliseconds, samples): ``milliseconds`` is
     the mean.  Rows merge by sums and maxima.  Images that cannot be decoded have none.
     """
-    to_parts, to_pixels = part_step(), pixel_step()
+    to_pixels = pixel_step(of_images=True)
 
     def decoded(image: pa.RecordBatch) -> int:
-        return sum(len(p["data"]) for t in runs(to_pixels(to_parts(iter([image])))) for p in image_planes(t))
+        return sum(len(p["data"]) for t in runs(to_pixels(iter([image]))) for p in image_planes(t))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -97,7 +97,7 @@ class RasterCollection:
         return decode.coefficient_blocks(self._parts())
 
     def pixel_blocks(self) -> DataFrame:
-        return decode.pixel_blocks(self._parts())
+        return decode.pixel_blocks(self._parts()) if self.partitions else decode.image_pixel_blocks(self.images)
 
     def pixels(self) -> DataFrame:
         rows = to_pixel_rows(self.pixel_blocks())
@@ -107,17 +107,17 @@ class RasterCollection:
         """Without ``partitions`` an image stays in its task from bits to planes; nothing is shuffled."""
         if self.partitions:
             return decode.planes(decode.packed_blocks(self._parts()))
-        return self._in_one_pass(schemas.PLANES, decode.part_step(), decode.pixel_step(), decode.plane_step())
+        return self._in_one_pass(schemas.PLANES, decode.pixel_step(of_images=True), decode.plane_step())
 
     def rgb(self) -> DataFrame:
         if self.partitions:
             return color.rgb_images(decode.packed_blocks(self._parts()))
-        return self._in_one_pass(color.RGB_IMAGES, decode.part_step(), decode.pixel_step(), decode.plane_step(), color.rgb_step())
+        return self._in_one_pass(color.RGB_IMAGES, decode.pixel_step(of_images=True), decode.plane_step(), color.rgb_step())
 
     def png(self) -> DataFrame:
         if self.partitions:
             return png.encode_png(self.rgb())
-        return self._in_one_pass(png.PNG, decode.part_step(), decode.pixel_step(), decode.plane_step(), color.rgb_step(), png.png_step())
+        return self._in_one_pass(png.PNG, decode.pixel_step(of_images=True), decode.plane_step(), color.rgb_step(), png.png_step())
 
     def _in_one_pass(self, ddl: str, *steps: decode.Step) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

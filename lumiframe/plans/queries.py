@@ -40,6 +40,15 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def _dealt(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` in as many tasks as the session's shuffles have, or cores: images are work, however few bytes their rows have.
+
+    By bytes alone Spark reads a small table in one task, and joins such partitions again.
+    """
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), key)
+
+
 # ---------------------------------------------------------------- bytes, from events
 
 
@@ -450,7 +459,7 @@ def q28(spark, sf):
 def encoded(spark: SparkSession, sf: str) -> RasterCollection:
     """Each vector's block as a JPEG stream of its own."""
     b = blocks(spark, sf).join(tables(spark, sf), "label").select(F.col("vec_id").cast("string").alias("image_id"), "coef", "q")
-    return RasterCollection(jpeg.encode_blocks(b))
+    return RasterCollection(jpeg.encode_blocks(_dealt(b, "image_id")))
 
 
 @query("q30_decode_e2e", _PX_SQL)
@@ -775,7 +784,7 @@ def q47(spark, sf):
 )
 def q48(spark, sf):
     """Grey pictures of 8x8 pixels, one of each even vector, to streams and back to pixels."""
-    grey = sample_blocks(spark, sf).where("vec_id % 2 = 0").select(
+    grey = _dealt(sample_blocks(spark, sf).where("vec_id % 2 = 0"), "vec_id").select(
         F.col("vec_id").cast("string").alias("image_id"), F.lit(8).alias("width"), F.lit(8).alias("height"), F.lit(1).alias("num_components"),
         F.unhex(F.array_join(F.transform("px", lambda v: F.repeat(F.lpad(F.hex(v), 2, "0"), F.lit(3))), "")).alias("rgb"),
     )
