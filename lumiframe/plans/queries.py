@@ -500,7 +500,7 @@ def collage(spark: SparkSession, sf: str) -> RasterCollection:
     place = F.expr(
         "named_struct('component_idx', cast(c as int), 'block_y', cast(if(c = 0, mcu div cx * sy + k div sx, mcu div cx) as int), 'block_x', cast(if(c = 0, mcu % cx * sx + k % sx, mcu % cx) as int), 'coef', coef)"
     )
-    images = b.groupBy("g", "sx", "sy", "cx", "cy", "components").agg(F.collect_list(place).alias("blocks"))
+    images = _dealt(b, "g").groupBy("g", "sx", "sy", "cx", "cy", "components").agg(F.collect_list(place).alias("blocks"))
     factors = F.transform(F.sequence(F.lit(0), F.col("components") - 1), lambda c: F.struct(F.when(c == 0, F.col("sx")).otherwise(1).alias("x"), F.when(c == 0, F.col("sy")).otherwise(1).alias("y")))
     tables_ = F.transform(F.sequence(F.lit(0), F.col("components") - 1), lambda c: F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: 1 + (c * 7 + i) % 31))
     apart = F.array(F.array(F.lit(0)), F.array(F.lit(1), F.lit(2)))
@@ -614,7 +614,7 @@ def samplings(spark: SparkSession, sf: str) -> RasterCollection:
         "flatten(transform(sequence(0, 2), c -> flatten(transform(sequence(0, my * if(c = 0, sy, cy) - 1), y -> transform(sequence(0, mx * if(c = 0, sx, cx) - 1), x -> struct(c as component_idx, cast(y as int) as block_y, cast(x as int) as block_x))))))"
     )
     each = im.select("*", F.explode(places).alias("p")).withColumn("vec_id", F.expr("g + 8 * p.component_idx + 4 * p.block_y + p.block_x"))
-    filled = each.join(b, "vec_id").groupBy("g", "width", "height", "sx", "sy", "cx", "cy").agg(F.collect_list(F.struct("p.component_idx", "p.block_y", "p.block_x", "coef")).alias("blocks"))
+    filled = _dealt(each.join(b, "vec_id"), "g").groupBy("g", "width", "height", "sx", "sy", "cx", "cy").agg(F.collect_list(F.struct("p.component_idx", "p.block_y", "p.block_x", "coef")).alias("blocks"))
     factors = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda c: F.struct(F.when(c == 0, F.col("sx")).otherwise(F.col("cx")).alias("x"), F.when(c == 0, F.col("sy")).otherwise(F.col("cy")).alias("y")))
     tables_ = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda c: F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: 1 + (c * 7 + i) % 31))
     third = F.col("g") % 3 == 0

@@ -64,5 +64,5 @@ def test_bits_to_pixels_is_one_python_pass(spark):
 
 
 def test_images_are_dealt_to_tasks_however_small_their_rows(spark):
-    for made in (queries.encoded(spark, SF),):
+    for made in (queries.encoded(spark, SF), queries.collage(spark, SF), queries.samplings(spark, SF)):
         assert made.images.rdd.getNumPartitions() >= 4
