@@ -56,7 +56,7 @@ class RasterCollection:
         return header.headers(self.images)
 
     def frames(self) -> DataFrame:
-        return lookups.with_status_text(header.frames(self.headers))
+        return lookups.with_status_text(header.frame_rows(self.images))
 
     def markers(self) -> DataFrame:
         return header.markers(self.headers)

@@ -832,7 +832,8 @@ _STATUSES = [status for _, status in broken_streams()]
 def q44(spark, sf):
     """The status of good and broken streams, and whether they give pixels."""
     streams = F.broadcast(spark.createDataFrame([(k, data) for k, (data, _) in enumerate(broken_streams())], "k int, content binary"))
-    each = _table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("image_id"), (F.col("p_partkey") % len(_STATUSES)).cast("int").alias("k")).join(streams, "k")
+    parts = _dealt(_table(spark, sf, "part").select("p_partkey"), "p_partkey")
+    each = parts.select(F.col("p_partkey").cast("string").alias("image_id"), (F.col("p_partkey") % len(_STATUSES)).cast("int").alias("k")).join(streams, "k")
     c = RasterCollection(each.select("image_id", F.length("content").cast("bigint").alias("length"), "content"))
     decoded = c.planes().where("component_idx = 0").select("image_id", F.lit(True).alias("decoded"))
     return c.frames().join(decoded, "image_id", "left").select("image_id", "status", "message", F.coalesce("decoded", F.lit(False)).alias("decoded"))

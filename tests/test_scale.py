@@ -63,6 +63,14 @@ def test_bits_to_pixels_is_one_python_pass(spark):
     assert plan(c.pixel_blocks()).count("MapInArrow") == 1
 
 
+def test_frames_without_tables_equal_those_of_headers(spark):
+    streams = {str(k): data for k, (data, _) in enumerate(queries.broken_streams())}
+    images = table(spark, streams)
+    assert sorted(header.frame_rows(images).collect()) == sorted(header.frames(header.headers(images)).collect())
+    assert "scans" not in plan(RasterCollection(images).frames())
+
+
 def test_images_are_dealt_to_tasks_however_small_their_rows(spark):
     for made in (queries.encoded(spark, SF), queries.collage(spark, SF), queries.samplings(spark, SF)):
         assert made.images.rdd.getNumPartitions() >= 4
+    assert "REPARTITION_BY_NUM" in plan(queries.q44(spark, SF))
