@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import expr, fixed
 from ..operators import bitwise, color, compare, dealing, decode, destuff, forward, huffman, lookups, reconstruct
 from ..sinks import files, jpeg, png, raster
+from ..sources import header
 from . import functions
 from .api import RasterCollection
 
@@ -673,11 +674,11 @@ def q42(spark, sf):
 @query("q56_segment_invariants", f"WITH {_IMAGES}, e AS (SELECT *, unnest(range(segs)) AS k FROM sg) SELECT CAST(g AS VARCHAR) AS image_id, CAST(scan_idx AS INTEGER) AS scan_idx, CAST(k AS INTEGER) AS segment_idx, true AS bytes_agree, true AS subsequences_agree FROM e")
 def q56(spark, sf):
     """OP-32: the segments of byte tables, by prefix sums over bytes, are those that the parser counts in whole streams."""
-    c = collage(spark, sf)
-    parsed = c.headers.select("image_id", F.explode("scans").alias("s"))
-    scans = parsed.select("image_id", F.col("s.scan_idx").alias("scan_idx"), F.col("s.begin").alias("begin"), F.col("s.end").alias("end"))
-    data = c.images.join(scans, "image_id").select("image_id", "scan_idx", F.posexplode(F.expr("transform(sequence(begin + 1, end), k -> cast(conv(hex(substring(content, cast(k as int), 1)), 16, 10) as int))")).alias("pos", "b"))
-    indexed = destuff.segment_index(destuff.byte_flags(data.withColumn("pos", F.col("pos").cast("bigint"))))
+    # streams and bytes are read several times below; neither is made again
+    made = files.written(header.headers(collage(spark, sf).images, with_content=True).select("image_id", "scans", "content"), "streams")
+    parsed = _dealt(made, "image_id").select("image_id", F.explode("scans").alias("s"), "content")
+    data = parsed.select("image_id", F.col("s.scan_idx").alias("scan_idx"), F.col("s.begin").alias("begin"), F.col("s.end").alias("end"), "content").select("image_id", "scan_idx", F.posexplode(F.expr("transform(sequence(begin + 1, end), k -> cast(conv(hex(substring(content, cast(k as int), 1)), 16, 10) as int))")).alias("pos", "b"))
+    indexed = files.written(destuff.segment_index(destuff.byte_flags(data.withColumn("pos", F.col("pos").cast("bigint")))), "bytes")
     segs = destuff.segments(indexed)
     heads = destuff.subsequence_map(destuff.destuffed_bytes(destuff.destuff_offset(indexed), segs)).groupBy("image_id", "scan_idx", "segment_idx").agg(F.count("*").alias("heads"))
     whole = parsed.select("image_id", F.col("s.scan_idx").alias("scan_idx"), F.explode("s.segments").alias("g")).select("image_id", "scan_idx", "g.segment_idx", F.col("g.num_bytes").alias("counted"))

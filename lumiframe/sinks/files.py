@@ -26,6 +26,13 @@ def scratch_folder(spark: SparkSession) -> str:
     return _OWN[0]
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet in the shared folder, once, and read back: for what a plan reads several times."""
+    path = f"{scratch_folder(df.sparkSession)}/lumiframe/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def qualified(spark: SparkSession, folder: str) -> str:
     """``folder`` with its scheme: a path without one is on Spark's default file system, not on a local disk."""
     at = spark._jvm.org.apache.hadoop.fs.Path(folder)

@@ -74,3 +74,7 @@ def test_images_are_dealt_to_tasks_however_small_their_rows(spark):
     for made in (queries.encoded(spark, SF), queries.collage(spark, SF), queries.samplings(spark, SF)):
         assert made.images.rdd.getNumPartitions() >= 4
     assert "REPARTITION_BY_NUM" in plan(queries.q44(spark, SF))
+
+
+def test_invariants_make_their_streams_once(spark):
+    assert "MapInArrow" not in plan(queries.q56(spark, SF))
