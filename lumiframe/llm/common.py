@@ -37,6 +37,19 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN_DIR[0]
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int | None) -> Iterator[None]:
+    """Arrow batches of ``rows`` rows for the actions inside, where rows are wide; None: as the session has it."""
+    before = spark.conf.get(_BATCH_ROWS, "10000")
+    if rows:
+        spark.conf.set(_BATCH_ROWS, rows)
+    try:
+        yield
+    finally:
+        if rows:
+            spark.conf.set(_BATCH_ROWS, before)
+
+
 def materialize(df: DataFrame, name: str, *, batch_rows: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
@@ -46,14 +59,8 @@ def materialize(df: DataFrame, name: str, *, batch_rows: int | None = None) -> D
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lumiframe/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_BATCH_ROWS, "10000")
-    if batch_rows:
-        spark.conf.set(_BATCH_ROWS, batch_rows)
-    try:
+    with arrow_rows(spark, batch_rows):
         df.write.parquet(path)
-    finally:
-        if batch_rows:
-            spark.conf.set(_BATCH_ROWS, before)
     out = spark.read.schema(df.schema).parquet(path)
     _WRITTEN[out] = path
     _LEFT.add(path)

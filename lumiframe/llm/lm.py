@@ -37,7 +37,8 @@ nothing to learn from, every token has probability 1 / (V + 1) = 1.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -56,7 +57,7 @@ _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 class _Words(dict):
     def __init__(self) -> None:
         super().__init__({b"": 0})
-        self.hashes = [_END]
+        self.hashes = array("Q", [_END])
 
     def __missing__(self, w: bytes) -> int:
         self[w] = n = len(self.hashes)
@@ -64,29 +65,52 @@ class _Words(dict):
         return n
 
 
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``np.unique`` with first places, the number of each and counts; places as 32 bits, and half its memory."""
+    order = np.argsort(x, kind="stable")
+    x = x[order]
+    order = order.astype(np.int32)
+    new = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    starts = np.flatnonzero(new).astype(np.int32)
+    number = np.empty(len(x), np.int32)
+    number[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    return x[starts], order[starts], number, np.diff(starts, append=np.int32(len(x))).astype(np.int64)
+
+
+def _texts(t: pa.Table) -> Iterator[str | None]:
+    """The texts of a table; few of them are Python objects at a time."""
+    for b in t.select(["text"]).to_batches(max_chunksize=256):
+        yield from b.column(0).to_pylist()
+
+
 class Block:
     """The n-grams of some texts: tokens ``w`` with contexts ``v``, distinct words and bigrams by hash."""
 
-    def __init__(self, texts: list[str | None]) -> None:
-        words = _Words()
-        parts, self.sizes = [], np.zeros(len(texts), np.int64)
-        for k, t in enumerate(texts):
+    def __init__(self, texts: Iterable[str | None]) -> None:
+        words, w, sizes = _Words(), array("i"), array("q")
+        for t in texts:
             own = (t or "").encode("utf-8", "replace").lower().split()
             own.append(b"")
-            parts.append(np.fromiter(map(words.__getitem__, own), np.int32, len(own)))
-            self.sizes[k] = len(own)
-        self.w = np.concatenate(parts) if parts else np.empty(0, np.int32)
-        self.v = np.append(np.int32(0), self.w[:-1])  # the end token before is the context of a first word
+            w.extend(map(words.__getitem__, own))
+            sizes.append(len(own))
+        self.sizes = np.array(sizes, np.int64)
         raw = np.array(words.hashes, np.uint64)
+        del words  # the texts of the words are not needed again
         order = np.argsort(raw)
-        place = np.empty_like(order)
-        place[order] = np.arange(len(order))
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
         self.words = raw[order]
-        self.w, self.v = place[self.w].astype(np.int32), place[self.v].astype(np.int32)
-        self.word_count = np.bincount(self.w, minlength=len(raw))
-        two = (self.words * _A)[self.v] ^ (self.words * _B)[self.w]
-        two = (two ^ (two >> np.uint64(29))) * _B
-        self.pairs, self.first, self.pair, self.pair_count = np.unique(two, return_index=True, return_inverse=True, return_counts=True)
+        self.w = place[np.frombuffer(w, np.int32)] if len(w) else np.empty(0, np.int32)
+        del w, raw, order
+        # the end token before is the context of a first word
+        self.v = np.append(place[:1], self.w[:-1]) if len(self.w) else self.w
+        self.word_count = np.bincount(self.w, minlength=len(self.words))
+        two = (self.words * _A)[self.v]
+        two ^= (self.words * _B)[self.w]
+        two ^= two >> np.uint64(29)
+        two *= _B
+        self.pairs, self.first, self.pair, self.pair_count = _distinct(two)
 
 
 def _cuts(hashes: np.ndarray, shards: int) -> np.ndarray:
@@ -95,6 +119,10 @@ def _cuts(hashes: np.ndarray, shards: int) -> np.ndarray:
     return np.searchsorted(shard, np.arange(shards + 1, dtype=np.uint64))
 
 
+#: Rows of packed n-grams that leave Python together, and texts or rows that enter it.
+_TOGETHER, _ENTER = 8, 32
+#: Bigrams whose probabilities are made at a time.
+_SLICE = 1 << 16
 _WIDTH = 7  # bytes of a hash that travel; the shard stands for its highest bits
 
 
@@ -115,7 +143,7 @@ def _counts(x: np.ndarray) -> bytes:
 
 
 def _numbers(b: bytes) -> np.ndarray:
-    return np.frombuffer(b, f"<u{b[0]}", offset=1).astype(np.int64) if b else np.empty(0, np.int64)
+    return np.frombuffer(b, f"<u{b[0]}", offset=1).astype(np.int64) if len(b) else np.empty(0, np.int64)
 
 
 _ASKED = "shard int, block int, role int, words binary, word_n binary, pairs binary, pair_n binary"
@@ -128,17 +156,23 @@ def _batch(rows: list[tuple], ddl: str) -> pa.Table:
     return pa.table({n: pa.array([r[k] for r in rows], kind[t]) for k, (n, t) in enumerate(fields)})
 
 
+def _together(tables: list[pa.Table], ddl: str) -> pa.Table:
+    """Tables of wide rows as one, in which each few stay a batch of their own on the way to the JVM."""
+    some = [pa.concat_tables(tables[k : k + _TOGETHER]).combine_chunks() for k in range(0, len(tables), _TOGETHER)]
+    return pa.concat_tables(some) if some else _batch([], ddl)
+
+
 def _ask(shards: int) -> Callable[[pa.Table], pa.Table]:
     def run(t: pa.Table) -> pa.Table:
-        b = Block(t.column("text").to_pylist())
+        b = Block(_texts(t))
         cw, cp = _cuts(b.words, shards), _cuts(b.pairs, shards)
         block, role = t.column("block")[0].as_py(), t.column("role")[0].as_py()
         rows = []
         for s in range(shards):
             w, p = slice(cw[s], cw[s + 1]), slice(cp[s], cp[s + 1])
             if w.stop > w.start or p.stop > p.start:
-                rows.append((s, block, role, _pack(b.words[w]), _counts(b.word_count[w]), _pack(b.pairs[p]), _counts(b.pair_count[p])))
-        return _batch(rows, _ASKED)
+                rows.append(_batch([(s, block, role, _pack(b.words[w]), _counts(b.word_count[w]), _pack(b.pairs[p]), _counts(b.pair_count[p]))], _ASKED))
+        return _together(rows, _ASKED)
 
     return run
 
@@ -151,26 +185,33 @@ def _tell(t: pa.Table) -> pa.Table:
     answers: dict[str, list[bytes]] = {}
     totals = []
     for name, number in (("words", "word_n"), ("pairs", "pair_n")):
-        asked = [_unpack(x) for x in t.column(name).to_pylist()]
-        size = np.array([len(x) for x in asked])
-        n = np.concatenate([_numbers(x) for x in t.column(number).to_pylist()])
-        each = np.repeat(role, size)
-        _, back = np.unique(np.concatenate(asked), return_inverse=True)
+        size = np.array([len(x.as_buffer()) // _WIDTH for x in t.column(name)])
         ends = np.cumsum(size)
-        for key, known in ((name, each != OTHER), (f"{name}_main", each == MAIN)):
-            count = np.bincount(back, np.where(known, n, 0)).astype(np.int64)  # exact up to 2**53
-            answers[key] = [_counts(count[back[e - s : e]]) if key == name or role[k] == HELD else b"" for k, (s, e) in enumerate(zip(size, ends))]
+        asked = np.empty(int(ends[-1]), np.uint64)
+        for x, s, e in zip(t.column(name), size, ends):
+            asked[e - s : e] = _unpack(x.as_buffer())
+        back = _distinct(asked)[2]
+        del asked
+        count, main = np.zeros((2, int(back.max(initial=-1)) + 1), np.int64)
+        for k, (x, s, e) in enumerate(zip(t.column(number), size, ends)):
+            if role[k] != OTHER:  # an n-gram stands once in a block
+                own, n = back[e - s : e], _numbers(x.as_buffer())
+                count[own] += n
+                if role[k] == MAIN:
+                    main[own] += n
+        for key, of in ((name, count), (f"{name}_main", main)):
+            answers[key] = [_counts(of[back[e - s : e]]) if key == name or role[k] == HELD else b"" for k, (s, e) in enumerate(zip(size, ends))]
             if name == "words":
-                totals += [int(count.sum()), int((count > 0).sum())]
-    rows = [(b, shard, answers["words"][k], answers["pairs"][k], answers["words_main"][k], answers["pairs_main"][k], 0, 0, 0, 0) for k, b in enumerate(blocks)]
-    return _batch([*rows, (-1, shard, b"", b"", b"", b"", *totals)], _TOLD)
+                totals += [int(of.sum()), int((of > 0).sum())]
+    rows = [_batch([(b, shard, answers["words"][k], answers["pairs"][k], answers["words_main"][k], answers["pairs_main"][k], 0, 0, 0, 0)], _TOLD) for k, b in enumerate(blocks)]
+    return _together([*rows, _batch([(-1, shard, b"", b"", b"", b"", *totals)], _TOLD)], _TOLD)
 
 
 def _joined(t: pa.Table, column: str) -> np.ndarray:
     """A block's answers from all shards, in the order of its sorted hashes."""
     order = np.argsort(t.column("shard").to_numpy())
-    got = t.column(column).to_pylist()
-    return np.concatenate([_numbers(got[k]) for k in order]) if len(order) else np.empty(0, np.int64)
+    got = t.column(column)
+    return np.concatenate([_numbers(got[int(k)].as_buffer()) for k in order]) if len(order) else np.empty(0, np.int64)
 
 
 def bucket(context_count: np.ndarray) -> np.ndarray:
@@ -239,7 +280,7 @@ def score(
     block = F.when(F.col("role") == MAIN, F.col("b")).otherwise(F.lit(count) + (F.col("role") - 1) * some + F.col("b") % some).cast("int")
     blocks = each.select("id", "text", "role", block.alias("block"))
     asked = blocks.groupBy("block").applyInArrow(_ask(shards), _ASKED)
-    told = materialize(asked.groupBy("shard").applyInArrow(_tell, _TOLD), "counts")
+    told = materialize(asked.groupBy("shard").applyInArrow(_tell, _TOLD), "counts", batch_rows=_ENTER)
     n, v, n_main, v_main = (x or 0 for x in told.where("block = -1").agg(*[F.sum(c) for c in ("n", "v", "n_main", "v_main")]).first())
     answers = told.where("block >= 0").select("block", "shard", "words", "pairs")
     main = told.where(F.length("words_main") + F.length("pairs_main") > 0).select("block", "shard", F.col("words_main").alias("words"), F.col("pairs_main").alias("pairs"))
@@ -247,21 +288,24 @@ def score(
     def held_out(t: pa.Table, a: pa.Table) -> pa.Table:
         if not t.num_rows:
             return _batch([], "bucket binary, p2 binary, p1 binary, n binary")
-        b = Block(t.column("text").to_pylist())
+        b = Block(_texts(t))
         words, pairs = _joined(a, "words"), _joined(a, "pairs")
         k, p2, p1 = _parts(words[b.v[b.first]], words[b.w[b.first]], pairs, n_main)
         return _batch([(k.astype(np.uint8).tobytes(), p2.astype("<f4").tobytes(), p1.astype("<f4").tobytes(), b.pair_count.astype("<u4").tobytes())], "bucket binary, p2 binary, p1 binary, n binary")
 
     data = blocks.where(F.col("role") == HELD).groupBy("block").cogroup(main.groupBy("block")).applyInArrow(held_out, "bucket binary, p2 binary, p1 binary, n binary")
-    data = materialize(data, "held")
+    data = materialize(data, "held", batch_rows=_ENTER)
     weights = _em(data, 1 / (v_main + 1), rounds)
     discard(data)
 
     def final(t: pa.Table, a: pa.Table) -> pa.Table:
-        b = Block(t.column("text").to_pylist())
+        b = Block(_texts(t))
         words, pairs = _joined(a, "words"), _joined(a, "pairs")
-        k, p2, p1 = _parts(words[b.v[b.first]], words[b.w[b.first]], pairs, n)
-        of_pair = np.log10(mixture(weights[k], p2, p1, v))
+        of_pair = np.empty(len(pairs))
+        for lo in range(0, len(pairs), _SLICE):
+            first, part = b.first[lo : lo + _SLICE], slice(lo, lo + _SLICE)
+            k, p2, p1 = _parts(words[b.v[first]], words[b.w[first]], pairs[part], n)
+            of_pair[part] = np.log10(mixture(weights[k], p2, p1, v))
         of_word = np.log10((words + 0.1) / (n + 0.1 * (v + 1)))
         starts = np.cumsum(b.sizes) - b.sizes
         add = lambda x: np.add.reduceat(x, starts) if len(starts) else x
