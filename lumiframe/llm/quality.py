@@ -21,18 +21,19 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, bounded_by_hash, fresh
+from .common import append_columns, arrow_rows, bounded_by_hash, fresh
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _REPEAT = np.uint64((7 * 0x9E3779B97F4A7C15) % 2**64)
 _SCALE = 8.0
+#: Rows of an Arrow batch in training: texts, and features of up to tens of kilobytes.
+_BATCH = 256
 
 
 @dataclass
@@ -135,16 +136,17 @@ def fit(
                 names=["k", "y", "i", "v"],
             )
 
-    def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z, n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
         data, slots = [], 0
         for b in batches:
-            for y, i, v in zip(b["y"], b["i"], b["v"]):
-                slots += len(i) // 4
+            for y, i, v in zip(b.column("y").to_pylist(), b.column("i"), b.column("v")):
+                i, v = np.frombuffer(i.as_buffer(), np.int32), np.frombuffer(v.as_buffer(), np.float32)
+                slots += len(i)
                 if len(data) == max_train_rows or slots > max_train_slots:
                     break
                 # the last slot is the bias
-                data.append((y, np.append(np.frombuffer(i, np.int32), np.int32(1 << bits)), np.append(np.frombuffer(v, np.float32), np.float32(1))))
+                data.append((y, np.append(i, np.int32(1 << bits)), np.append(v, np.float32(1))))
         bias = np.int32(1 << bits)
 
         def weight(i: np.ndarray) -> np.ndarray:
@@ -160,10 +162,11 @@ def fit(
                 z[i] += g - sigma * w
                 n[i] += g * g
         w = weight(np.arange((1 << bits) + 1))
-        yield pd.DataFrame({"w": [w[:-1].astype(np.float32).tobytes()], "b": [float(w[-1])]})
+        yield pa.RecordBatch.from_pydict({"w": [w[:-1].astype(np.float32).tobytes()], "b": [float(w[-1])]})
 
     kept = rows.mapInArrow(sparse, "k long, y int, i binary, v binary" if dict(rows.dtypes)["k"] == "bigint" else T.StructType([rows.schema["k"], T.StructField("y", T.IntegerType()), T.StructField("i", T.BinaryType()), T.StructField("v", T.BinaryType())]))
-    got = kept.repartition(1).sortWithinPartitions(F.xxhash64("k"), "k").mapInPandas(train, "w binary, b double").collect()
+    with arrow_rows(docs.sparkSession, _BATCH):
+        got = kept.repartition(1).sortWithinPartitions(F.xxhash64("k"), "k").mapInArrow(train, "w binary, b double").collect()
     if not got:
         return QualityModel(bits, np.zeros(1 << bits, np.float32), 0.0)
     return QualityModel(bits, np.frombuffer(got[0]["w"], np.float32), got[0]["b"])

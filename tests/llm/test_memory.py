@@ -1,11 +1,11 @@
-"""What the LM's blocks and shards hold at a time."""
+"""What the LM's blocks and shards and the classifier's training hold at a time."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
 
-from lumiframe.llm import lm
+from lumiframe.llm import common, lm, quality
 
 
 def test_distinct_is_unique():
@@ -33,3 +33,20 @@ def test_texts_of_a_block_become_objects_few_at_a_time():
     t = pa.table({"text": ["a b"] * 1000})
     sizes = [b.num_rows for b in t.to_batches(max_chunksize=256)]
     assert max(sizes) <= 256 and list(lm._texts(t)) == ["a b"] * 1000
+
+
+def test_training_reads_small_batches_and_leaves_the_session_alone(spark, monkeypatch):
+    key, asked = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before = spark.conf.get(key)
+    inner = common.arrow_rows
+
+    def recorded(session, rows):
+        asked.append(rows)
+        return inner(session, rows)
+
+    monkeypatch.setattr(quality, "arrow_rows", recorded)
+    docs = spark.createDataFrame([(k, "good text here" if k % 2 else "BAD !!! 999") for k in range(60)], "doc_id long, text string")
+    model = quality.fit(docs, spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int"))
+    assert asked and max(asked) <= 256 and spark.conf.get(key) == before
+    got = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    assert got[1] > 0.5 > got[0]
